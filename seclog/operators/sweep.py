@@ -43,6 +43,11 @@ class Distinct(Count):
     value: Column | None = None
 
 
+@dataclass(frozen=True)
+class GapSum(Count):
+    """Microseconds between the first and the last matching row in the window."""
+
+
 def _markers(rows: DataFrame, key: str, names: Sequence[str], signals: list[Column]) -> DataFrame:
     return rows.select(key, F.explode(F.array_compact(F.array(*signals))).alias("m")).select(
         key, "m.us", "m.seen", *[F.col(f"m.{n}").alias(n) for n in names]
@@ -73,7 +78,7 @@ def window_counts(
     if us != "us":
         events = events.withColumn("us", F.col(us))
     names = [t.name for t in terms]
-    counts = [t for t in terms if not isinstance(t, Distinct)]
+    counts = [t for t in terms if type(t) is Count]
     instants = events.groupBy(key, "us").agg(
         F.count(F.lit(1)).alias("__rows"),
         *[F.sum(F.when(t.where, 1).otherwise(0)).alias(t.name) for t in counts],
@@ -93,6 +98,8 @@ def window_counts(
     for term in terms:
         if isinstance(term, Distinct):
             markers = markers.unionByName(_distinct_markers(events, key, term, names, chunk_us))
+        elif isinstance(term, GapSum):
+            markers = markers.unionByName(_gap_markers(events, key, term, names, chunk_us))
     summed = running(
         markers, [key], "us", {n: Running(F.col(n)) for n in names}, chunk_us
     )
@@ -133,3 +140,29 @@ def _distinct_markers(
             _signal(F.col("us") + term.leaves_after, False, {term.name: F.lit(-1)}, names),
         ],
     )
+
+
+def _gap_markers(
+    events: DataFrame, key: str, term: GapSum, names: Sequence[str], chunk_us: int
+) -> DataFrame:
+    """A gap belongs to the window from its later row until its earlier row leaves."""
+    seen = events.filter(term.where).select(key, "us").distinct().withColumn("__tie", F.lit(0))
+    linked = running(
+        seen,
+        [key],
+        "us",
+        {"__previous": Running(F.col("us"), "max")},
+        chunk_us,
+        tie="__tie",
+        include_current=False,
+    ).filter(F.col("__previous") + term.leaves_after > F.col("us"))
+    gap = F.col("us") - F.col("__previous")
+    return _markers(
+        linked,
+        key,
+        names,
+        [
+            _signal(F.col("us"), False, {term.name: gap}, names),
+            _signal(F.col("__previous") + term.leaves_after, False, {term.name: -gap}, names),
+        ],
+    )
