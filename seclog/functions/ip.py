@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seclog.functions.binding import let
+
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_PATTERN = rf"^({_OCTET}\.){{3}}{_OCTET}$"
 
@@ -25,12 +27,11 @@ def is_ipv4(ip: Column) -> Column:
 
 def ipv4_to_long(ip: Column) -> Column:
     """Address as a number, null unless it is a valid IPv4 literal."""
-    part = F.split(ip, r"\.")
-    value = sum(
-        (F.try_element_at(part, F.lit(i + 1)).cast("long") * F.lit(256 ** (3 - i)) for i in range(4)),
-        F.lit(0),
-    )
-    return F.when(is_ipv4(ip), value)
+
+    def number(part: Column) -> Column:
+        return sum((part[i].cast("long") * F.lit(256 ** (3 - i)) for i in range(4)), F.lit(0))
+
+    return F.when(is_ipv4(ip), let(F.split(ip, r"\."), number))
 
 
 def _long(ip: str) -> int:
@@ -44,43 +45,47 @@ def _without_zone(ip: Column) -> Column:
 
 def ipv6_groups(ip: Column) -> Column:
     """The eight lower-case groups of an IPv6 literal, each four digits; null if invalid."""
-    text = F.lower(ip)
-    # A trailing dotted quad stands for two groups.
-    quad = F.regexp_extract(text, r":([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
-    number = ipv4_to_long(quad)
-    as_groups = F.concat(
-        F.lower(F.hex(F.shiftright(number, 16))),
-        F.lit(":"),
-        F.lower(F.hex(number.bitwiseAND(F.lit(0xFFFF)))),
-    )
-    text = F.when(
-        quad != "",
-        F.concat(F.regexp_replace(text, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$", ""), as_groups),
-    ).otherwise(text)
-    halves = F.split(text, "::", -1)
-    left = _groups(F.element_at(halves, 1))
-    right = F.when(F.size(halves) == 2, _groups(F.element_at(halves, 2))).otherwise(
-        F.array().cast("array<string>")
-    )
-    given = F.size(left) + F.size(right)
-    filled = F.concat(
-        left,
-        F.when(F.size(halves) == 2, F.array_repeat(F.lit("0"), F.lit(8) - given)).otherwise(
-            F.array().cast("array<string>")
-        ),
-        right,
-    )
-    shape = (
-        text.contains(":")
-        & ~text.contains(":::")
-        & (((F.size(halves) == 1) & (given == 8)) | ((F.size(halves) == 2) & (given <= 7)))
-    )
-    digits = F.forall(filled, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(shape, F.when(digits, F.transform(filled, lambda g: F.lpad(g, 4, "0"))))
-
-
-def _groups(half: Column) -> Column:
-    return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
+    none = F.array().cast("array<string>")
+
+    def two_groups(number: Column) -> Column:
+        return F.concat(
+            F.lower(F.hex(F.shiftright(number, 16))),
+            F.lit(":"),
+            F.lower(F.hex(number.bitwiseAND(F.lit(0xFFFF)))),
+        )
+
+    def without_quad(text: Column) -> Column:
+        # A trailing dotted quad stands for two groups; an invalid one makes all null.
+        quad = F.regexp_extract(text, r":([0-9.]+)$", 1)
+        plain = F.regexp_replace(text, r"[0-9.]+$", "")
+        return F.when(
+            quad.contains("."), F.concat(plain, let(ipv4_to_long(quad), two_groups))
+        ).otherwise(text)
+
+    def halves(text: Column) -> Column:
+        return F.when(
+            text.contains(":") & ~text.contains(":::"),
+            F.transform(
+                F.split(text, "::", -1),
+                lambda half: F.when(half == "", none).otherwise(F.split(half, ":", -1)),
+            ),
+        )
+
+    def filled(parts: Column) -> Column:
+        left, right = parts[0], F.coalesce(F.get(parts, F.lit(1)), none)
+        given = F.size(left) + F.size(right)
+        zeros = F.array_repeat(F.lit("0"), F.lit(8) - given)
+        return (
+            F.when((F.size(parts) == 1) & (given == 8), left)
+            .when((F.size(parts) == 2) & (given <= 7), F.concat(left, zeros, right))
+        )
+
+    def padded(groups: Column) -> Column:
+        digits = F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(digits, F.transform(groups, lambda g: F.lpad(g, 4, "0")))
+
+    text = let(F.lower(ip), without_quad)
+    return F.when(ip.contains(":"), let(let(let(text, halves), filled), padded))
 
 
 def is_valid_ip(ip: Column) -> Column:
@@ -93,16 +98,23 @@ def is_valid_ip(ip: Column) -> Column:
 def is_private(ip: Column) -> Column:
     """True for addresses in the local networks; invalid input gives false."""
     bare = F.substring_index(ip, "%", 1)
-    number = ipv4_to_long(bare)
-    v4 = F.lit(False)
-    for net, bits in PRIVATE_IPV4:
-        low = _long(net)
-        v4 = v4 | number.between(low, low + 2 ** (32 - bits) - 1)
-    groups = ipv6_groups(bare)
-    loopback = F.concat_ws("", groups) == "0" * 31 + "1"
-    unique_local = F.substring(F.element_at(groups, 1), 1, 2).isin(*PRIVATE_IPV6_FIRST_BYTES)
-    v6 = F.when(bare.contains(":"), loopback | unique_local)
-    return F.coalesce(F.when(number.isNotNull(), v4).otherwise(v6), F.lit(False))
+
+    def local_v4(number: Column) -> Column:
+        inside = F.lit(False)
+        for net, bits in PRIVATE_IPV4:
+            low = _long(net)
+            inside = inside | number.between(low, low + 2 ** (32 - bits) - 1)
+        return inside
+
+    def local_v6(groups: Column) -> Column:
+        loopback = F.concat_ws("", groups) == "0" * 31 + "1"
+        first_byte = F.substring(groups[0], 1, 2)
+        return loopback | first_byte.isin(*PRIVATE_IPV6_FIRST_BYTES)
+
+    judged = F.when(bare.contains(":"), let(ipv6_groups(bare), local_v6)).otherwise(
+        let(ipv4_to_long(bare), local_v4)
+    )
+    return F.coalesce(judged, F.lit(False))
 
 
 def network_of(address: Column, prefix_len: Column | int) -> Column:

@@ -39,7 +39,7 @@ def login_history(events: DataFrame, limits: BaselineLimits = BaselineLimits())
             tie="event_id", include_current=False,
         )
     turns_usual = F.when(
-        F.col("hour_prior") == 1, F.shiftleft(F.lit(1).cast("long"), F.col("hour"))
+        F.col("hour_prior") == 1, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("hour"))
     ).otherwise(F.lit(0).cast("long"))
     previous = F.struct(
         F.col("us").alias("us"),
@@ -127,7 +127,8 @@ def frequency_spike(limits: BaselineLimits) -> Column:
 
 def reasons(limits: BaselineLimits) -> Column:
     days = F.floor((F.col("us") - F.col("previous_us")) / DAY_US)
-    average = F.format_string("%.1f", F.col("earlier_logins") / F.col("earlier_days"))
+    # ties round to even
+    average = F.format_string("%.1f", F.bround(F.col("earlier_logins") / F.col("earlier_days"), 1))
     return F.array_compact(
         F.array(
             F.when(

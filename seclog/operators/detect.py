@@ -10,6 +10,7 @@ from seclog.functions.scalar import severity_of_rank, severity_rank
 from seclog.operators.suppress import suppress_within
 from seclog.operators.sweep import Count, Distinct, window_counts
 from seclog.schema import HANDLED_KINDS, NET_HINT, SYS_KINDS, WEB_KINDS
+from seclog.sources.staging import staged
 
 
 def handled(events: DataFrame) -> DataFrame:
@@ -253,7 +254,8 @@ def incidents(
 ) -> DataFrame:
     """Detection end to end: candidates, cooldown, repeat-offender escalation."""
     candidates = incident_candidates(events, limits, reputation, reputation_limits)
-    return escalate_repeat_offenders(fired_incidents(candidates, limits, severity_aware), limits)
+    fired = staged(fired_incidents(candidates, limits, severity_aware), "fired")
+    return escalate_repeat_offenders(fired, limits)
 
 
 def activity_snapshot(

@@ -34,7 +34,8 @@ class Running:
 
 
 def chunk_of(us: Column, chunk_us: int) -> Column:
-    return F.floor(us / F.lit(chunk_us))
+    # A multiple of chunk_us divides exactly; plain us / chunk_us could round up.
+    return ((us - F.pmod(us, F.lit(chunk_us))) / F.lit(chunk_us)).cast("long")
 
 
 def running(

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seclog.operators.scan import CHUNK, chunk_of
+from seclog.sources.staging import staged
 
 _OPEN = -(2**62)  # "nothing kept so far"; also sorts a chunk's opening before its rows
 
@@ -35,15 +36,19 @@ def suppress_within(
     us: str = "us",
     tie: str = "event_id",
     chunk_cooldowns: int = 64,
+    stage: bool = True,
 ) -> DataFrame:
     """Rows of ``df`` that survive suppression per ``keys``; ``tie`` orders equal instants.
 
-    (keys, us, tie) identifies a row. Null keys are dropped.
+    (keys, us, tie) identifies a row. Null keys are dropped. The input is read
+    three times and therefore staged; pass ``stage=False`` for a plain table.
     """
     if cooldown_us <= 0:
         raise ValueError("cooldown must be positive")
     span = cooldown_us * chunk_cooldowns
     usable = df.dropna(subset=keys)
+    if stage:
+        usable = staged(usable, "candidates")
     # Of several rows at one instant only the first can survive: combine before shuffling.
     instants = (
         usable.groupBy(*keys, F.col(us).alias("__us"))

@@ -91,7 +91,7 @@ CTES = {
         d7 AS (PARTITION BY src_ip ORDER BY us RANGE BETWEEN {7 * DAY - 1} PRECEDING AND CURRENT ROW),
         d10 AS (PARTITION BY src_ip ORDER BY us RANGE BETWEEN {10 * DAY - 1} PRECEDING AND CURRENT ROW)""",
     "corr": """
-      SELECT src_ip, us, 'multi_service_brute_force' AS rule, 0.85 AS confidence, 'HIGH' AS severity,
+      SELECT src_ip, us, 'multi_service_brute_force' AS rule, CAST(0.85 AS DOUBLE) AS confidence, 'HIGH' AS severity,
         'Credential spray: ' || ssh5 || ' SSH fails + ' || db5 || ' DB fails in 432000s' AS description,
         'SSH_FAIL=' || ssh5 || ',DB_AUTH_FAIL=' || db5 AS evidence
         FROM corr_cnt WHERE ssh5 >= 3 AND db5 >= 2
@@ -139,7 +139,7 @@ CTES = {
       FROM login_prior WINDOW w AS (PARTITION BY src_ip ORDER BY us, event_id),
         p AS (PARTITION BY src_ip ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "login_hist": """
-      SELECT s.*, list_filter(usual0, x -> x IS NOT NULL) AS usual,
+      SELECT s.*, list_filter(usual0, lambda x: x IS NOT NULL) AS usual,
              coalesce(d.earlier_days, 0) AS earlier_days, coalesce(d.earlier_logins, 0) AS earlier_logins
       FROM login_seq s LEFT JOIN login_days d ON s.src_ip = d.src_ip AND s.previous_day = d.day""",
     "geo": f"""

@@ -418,3 +418,6 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("line"),
     )
+
+
+AUDIT_PAYLOAD = "ip string, severity string, fail_count int"

@@ -118,7 +118,7 @@ def final_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
           SELECT * FROM every) GROUP BY src_ip""",
 )
 def suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = suppress_within(fx.raw_events(spark, sf_dir), ["src_ip"], DAY)
+    kept = suppress_within(fx.raw_events(spark, sf_dir), ["src_ip"], DAY, stage=False)
     return kept.groupBy("src_ip").agg(
         F.count(F.lit(1)).alias("kept"), F.min("us").alias("first_us"), F.max("us").alias("last_us")
     )

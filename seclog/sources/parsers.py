@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seclog.functions.binding import let, only_if
 from seclog.schema import NET_HINT, SEC_EVENT, meta_struct
 
 # --- Fixed values: line formats and word lists the parsers recognise. -------------
@@ -64,6 +65,9 @@ MDNS_SERVICE = r"_([\w-]+)\._tcp\.local"
 SSH_PORT = r"\.22\s+>|>\s+\.22\s"
 WEB_TIME = r"\[(\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})\]"
 ISO_TIME = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2}))"
+SYSLOG_HOST = (
+    r"^(?:[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}|\d{4}-\S+) (\S+) [A-Za-z][\w-]*(?:\[\d+\])?:"
+)
 SYSLOG_TIME = r"^([A-Z][a-z]{2}) +(\d{1,2}) (\d{2}:\d{2}:\d{2})"
 # ----------------------------------------------------------------------------------
 
@@ -93,8 +97,7 @@ def _groups(text: Column, pattern: str, count: int, anchored: bool = False) -> C
     joined = F.regexp_replace(
         text, f"{flags}{start}{pattern}.*$", "\n".join(f"${i + 1}" for i in range(count))
     )
-    parts = F.split(joined, "\n", -1)
-    return F.when(F.size(parts) == count, parts)
+    return only_if(F.split(joined, "\n", -1), lambda parts: F.size(parts) == count)
 
 
 def _event(kind: Column, **fields: Column) -> Column:
@@ -113,16 +116,18 @@ def _event(kind: Column, **fields: Column) -> Column:
 def parse_sshd(line: Column) -> Column:
     """SSH logins; a success pattern wins over a failure pattern."""
     text = _stripped(line)
-    accepted = _groups(text, _no_case(SSHD_ACCEPTED), 2)
-    failed_ip = _found(text, _no_case(SSHD_FAILED))
-    failed_user = F.coalesce(
+    user = F.coalesce(
         _found(text, _no_case(SSHD_FAILED_USER), 1), _found(text, _no_case(SSHD_FAILED_USER), 2)
     )
-    kind = F.when(accepted.isNotNull(), "SSH_SUCCESS").when(failed_ip.isNotNull(), "SSH_FAIL")
-    event = _event(
-        kind,
-        src_ip=F.when(accepted.isNotNull(), accepted[1]).otherwise(failed_ip),
-        user=F.when(accepted.isNotNull(), accepted[0]).otherwise(failed_user),
+    failed = let(
+        _found(text, _no_case(SSHD_FAILED)),
+        lambda ip: _event(F.when(ip.isNotNull(), "SSH_FAIL"), src_ip=ip, user=user),
+    )
+    event = let(
+        _groups(text, _no_case(SSHD_ACCEPTED), 2),
+        lambda part: F.when(
+            part.isNotNull(), _event(F.lit("SSH_SUCCESS"), src_ip=part[1], user=part[0])
+        ).otherwise(failed),
     )
     return F.when(F.lower(line).contains("sshd"), event)
 
@@ -135,103 +140,131 @@ def scanner_agent(agent: Column) -> Column:
     return agent.rlike(_no_case("|".join(SCANNER_AGENTS)))
 
 
-def web_threat_score(method: Column, path: Column, status: Column, agent: Column) -> Column:
-    def points(condition: Column, n: int) -> Column:
-        return F.when(condition, n).otherwise(0)
-
+def _threat_score(post: Column, status: Column, attack: Column, scanner: Column) -> Column:
     return (
         F.when(status.isin(401, 403), 2).when(status == 404, 1).otherwise(0)
-        + points(attack_path(path), 3)
-        + points(scanner_agent(agent), 2)
-        + points((method == "POST") & attack_path(path), 2)
+        + F.when(attack, 3).otherwise(0)
+        + F.when(scanner, 2).otherwise(0)
+        + F.when(attack & post, 2).otherwise(0)
     )
 
 
+def web_threat_score(method: Column, path: Column, status: Column, agent: Column) -> Column:
+    return _threat_score(method == "POST", status, attack_path(path), scanner_agent(agent))
+
+
 def parse_web_access(line: Column) -> Column:
     """Combined-format access lines; an attack path outranks the status."""
-    part = _groups(_stripped(line), ACCESS_LINE, 5, anchored=True)
-    method, path, status, agent = part[1], part[2], part[3].cast("int"), part[4]
-    kind = (
-        F.when(attack_path(path), "WEB_EXPLOIT_ATTEMPT")
-        .when(status.isin(401, 403), "WEB_AUTH_FAIL")
-        .when(status == 404, "WEB_SCAN")
-        .when(scanner_agent(agent), "WEB_SCAN")
-    )
-    return _event(
-        kind,
-        src_ip=part[0],
-        meta=meta_struct(
-            method=method,
-            path=path,
-            status=status,
-            ua=agent,
-            threat_score=web_threat_score(method, path, status, agent),
-        ),
-    )
+
+    def judge(part: Column) -> Column:
+        method, path, agent = part[1], part[2], part[4]
+        seen = F.struct(
+            part[3].cast("int").alias("status"),
+            attack_path(path).alias("attack"),
+            scanner_agent(agent).alias("scanner"),
+        )
+
+        def event(s: Column) -> Column:
+            status, attack, scanner = s["status"], s["attack"], s["scanner"]
+            kind = (
+                F.when(attack, "WEB_EXPLOIT_ATTEMPT")
+                .when(status.isin(401, 403), "WEB_AUTH_FAIL")
+                .when((status == 404) | scanner, "WEB_SCAN")
+            )
+            meta = meta_struct(
+                method=method,
+                path=path,
+                status=status,
+                ua=agent,
+                threat_score=_threat_score(method == "POST", status, attack, scanner),
+            )
+            return _event(kind, src_ip=part[0], meta=meta)
+
+        return F.when(part.isNotNull(), let(seen, event))
+
+    return let(_groups(_stripped(line), ACCESS_LINE, 5, anchored=True), judge)
 
 
 def parse_mysql_denied(line: Column) -> Column:
-    part = _groups(_stripped(line), _no_case(MYSQL_DENIED), 2)
-    return _event(
-        F.when(part.isNotNull(), "DB_AUTH_FAIL"),
-        src_ip=part[1],
-        user=part[0],
-        meta=meta_struct(db=F.lit("mysql")),
+    return let(
+        _groups(_stripped(line), _no_case(MYSQL_DENIED), 2),
+        lambda part: _event(
+            F.when(part.isNotNull(), "DB_AUTH_FAIL"),
+            src_ip=part[1],
+            user=part[0],
+            meta=meta_struct(db=F.lit("mysql")),
+        ),
     )
 
 
 def parse_firewall(line: Column) -> Column:
     """Blocked packets (upper-case BLOCK only); decoy ports have their own kind."""
     text = _stripped(line)
-    part = _groups(text, _no_case(FIREWALL_LINE), 3)
     port = F.coalesce(_found(text, FIREWALL_PORT).cast("int"), F.lit(0))
-    kind = F.when(
-        part[0] == "BLOCK", F.when(port.isin(*DECOY_PORTS), "FW_HONEYPOT_PORT").otherwise("FW_BLOCK")
-    )
-    return F.when(
-        F.lower(text).contains("[ufw "),
-        _event(kind, src_ip=part[1], dst_ip=part[2], meta=meta_struct(dst_port=port, action=part[0])),
-    )
+
+    def event(part: Column) -> Column:
+        def with_port(dpt: Column) -> Column:
+            kind = F.when(dpt.isin(*DECOY_PORTS), "FW_HONEYPOT_PORT").otherwise("FW_BLOCK")
+            meta = meta_struct(dst_port=dpt, action=part[0])
+            return _event(kind, src_ip=part[1], dst_ip=part[2], meta=meta)
+
+        return F.when(part[0] == "BLOCK", let(port, with_port))
+
+    found = let(_groups(text, _no_case(FIREWALL_LINE), 3), event)
+    return F.when(F.lower(line).contains("[ufw "), found)
 
 
 def parse_privilege(line: Column) -> Column:
     """Failed sudo and su; these lines carry no address (see attribute_privilege)."""
     text = _stripped(line)
-    sudo = text.rlike(_no_case(SUDO_FAILED))
-    su = _groups(text, _no_case(SU_FAILED), 2)
-    return _event(
-        F.when(sudo, "SUDO_FAIL").when(su.isNotNull(), "SU_FAIL"),
-        user=F.when(sudo, _found(text, SUDO_USER)).otherwise(su[1]),
-        meta=meta_struct(
-            target_user=F.when(~sudo, su[0]), type=F.lit("privilege_escalation")
+    kind_of_abuse = F.lit("privilege_escalation")
+    sudo = _event(
+        F.lit("SUDO_FAIL"), user=_found(text, SUDO_USER), meta=meta_struct(type=kind_of_abuse)
+    )
+    su = let(
+        _groups(text, _no_case(SU_FAILED), 2),
+        lambda part: _event(
+            F.when(part.isNotNull(), "SU_FAIL"),
+            user=part[1],
+            meta=meta_struct(target_user=part[0], type=kind_of_abuse),
         ),
     )
+    return F.when(text.rlike(_no_case(SUDO_FAILED)), sudo).when(
+        F.lower(line).contains("failed su"), su
+    )
 
 
 def packet_hint(line: Column) -> Column:
-    text = F.lower(_stripped(line))
-
-    def has(*words: str) -> Column:
-        return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    """What a packet line hints at; the first rule that matches decides."""
+
+    def judge(text: Column) -> Column:
+        def has(*words: str) -> Column:
+            return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+        return (
+            F.when(has(" arp", "who-has") | text.startswith("arp,"), "DISCOVERY")
+            .when(has(".mdns", " mdns", "_googlecast"), "DISCOVERY")
+            .when(has(" nbns", " netbios", " smb"), "ENUM_HINT")
+            .when(text.rlike(r"\.(445|139)\b"), "ENUM_HINT")
+            .when(has(" tcp ") & has(".22 "), "SSH_NET")
+        )
 
-    return (
-        F.when(has(" arp", "who-has") | text.startswith("arp,"), "DISCOVERY")
-        .when(has(".mdns", " mdns", "_googlecast"), "DISCOVERY")
-        .when(has(" nbns", " netbios", " smb"), "ENUM_HINT")
-        .when(text.rlike(r"\.(445|139)\b"), "ENUM_HINT")
-        .when(has(" tcp ") & has(".22 "), "SSH_NET")
-    )
+    return let(F.lower(_stripped(line)), judge)
 
 
 def parse_packet_hint(line: Column) -> Column:
-    hint = packet_hint(line)
-    part = _groups(_stripped(line), PACKET_ADDRESSES, 2)
-    return _event(
-        F.when(hint.isNotNull(), NET_HINT),
-        src_ip=part[0],
-        dst_ip=part[1],
-        meta=meta_struct(hint=hint),
-    )
+    addresses = _groups(_stripped(line), PACKET_ADDRESSES, 2)
+
+    def event(hint: Column) -> Column:
+        known = let(
+            addresses,
+            lambda part: _event(
+                F.lit(NET_HINT), src_ip=part[0], dst_ip=part[1], meta=meta_struct(hint=hint)
+            ),
+        )
+        return F.when(hint.isNotNull(), known)
+
+    return let(packet_hint(line), event)
 
 
 # Parser and source label per log source; extend with ``register_parser``.
@@ -262,13 +295,14 @@ def event_time(line: Column, year: int | Column, zone: str = "UTC") -> Column:
     year = F.lit(year) if isinstance(year, int) else year
     web = F.try_to_timestamp(_found(text, WEB_TIME), F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
     iso = _found(text, ISO_TIME).try_cast("timestamp")
-    stamp = _groups(text, SYSLOG_TIME, 3, anchored=True)
-    plain = F.try_to_timestamp(
-        F.concat_ws(" ", year.cast("string"), stamp[0], stamp[1], stamp[2]),
-        F.lit("yyyy MMM d HH:mm:ss"),
-    )
-    syslog = F.when(stamp.isNotNull(), plain if zone == "UTC" else F.to_utc_timestamp(plain, zone))
-    return F.coalesce(iso, web, syslog)
+
+    def dated(stamp: Column) -> Column:
+        plain = F.try_to_timestamp(
+            F.concat_ws(" ", year.cast("string"), stamp), F.lit("yyyy MMM d HH:mm:ss")
+        )
+        return F.when(stamp.isNotNull(), plain if zone == "UTC" else F.to_utc_timestamp(plain, zone))
+
+    return F.coalesce(iso, web, let(_groups(text, SYSLOG_TIME, 3, anchored=True), dated))
 
 
 def parse_lines(
@@ -284,27 +318,24 @@ def parse_lines(
     The event time is the time in the line, or ``arrived`` where the line has none.
     """
     text = F.col(line)
-    host = F.nullif(
-        F.regexp_extract(text, r"^(?:[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}|\d{4}-\S+) (\S+) \S+?(?:\[\d+\])?:", 1),
-        F.lit(""),
-    )
-    stamp = event_time(text, year)
+    # explode drops the lines without an event and keeps the parse in one place:
+    # a filter on its result would be pushed down and run the patterns twice.
     parsed = lines.select(
         F.col(event_id).alias("event_id"),
-        (stamp if arrived is None else F.coalesce(stamp, arrived)).alias("ts"),
         text.alias("raw"),
-        host.alias("host"),
-        PARSERS[source](text).alias("ev"),
-    ).filter(F.col("ev").isNotNull())
+        *([] if arrived is None else [arrived.alias("arrived")]),
+        F.explode(F.array_compact(F.array(PARSERS[source](text)))).alias("ev"),
+    )
+    stamp = event_time(F.col("raw"), year)
     return parsed.select(
         "event_id",
-        "ts",
+        (stamp if arrived is None else F.coalesce(stamp, F.col("arrived"))).alias("ts"),
         F.lit(source).alias("source"),
         F.col("ev.kind").alias("kind"),
         F.col("ev.src_ip").alias("src_ip"),
         F.col("ev.dst_ip").alias("dst_ip"),
         F.col("ev.user").alias("user"),
-        "host",
+        _found(_stripped(F.col("raw")), SYSLOG_HOST).alias("host"),
         "raw",
         F.col("ev.meta").alias("meta"),
     ).to(SEC_EVENT)
@@ -327,23 +358,30 @@ def network_identity(line: Column, src_ip: Column) -> Column:
         )
 
     lower = F.lower(line)
-    sender = _found(lower, ARP_REQUEST, 2)
-    reply_ip = _found(line, _no_case(ARP_REPLY), 1)
-    reply_mac = F.lower(_found(line, _no_case(ARP_REPLY), 2))
-    hostname = F.coalesce(_found(line, _no_case(DNS_NAME)), _found(line, _no_case(DNS_POINTER)))
-    service = _found(lower, MDNS_SERVICE)
-    smb = lower.contains(" smb") | lower.contains(" nbns")
     known = src_ip.isNotNull()
-    other = F.array_compact(
-        F.array(
-            F.when(known & hostname.isNotNull(), fact(src_ip, "hostname", hostname)),
-            F.when(known & service.isNotNull(), fact(src_ip, "service", service)),
-            F.when(known & smb, fact(src_ip, "service", F.lit("smb"))),
-            F.when(known & line.rlike(SSH_PORT), fact(src_ip, "service", F.lit("ssh"))),
+
+    def about_source(hostname: Column, service: Column) -> Column:
+        smb = lower.contains(" smb") | lower.contains(" nbns")
+        return F.array_compact(
+            F.array(
+                F.when(known & hostname.isNotNull(), fact(src_ip, "hostname", hostname)),
+                F.when(known & service.isNotNull(), fact(src_ip, "service", service)),
+                F.when(known & smb, fact(src_ip, "service", F.lit("smb"))),
+                F.when(known & line.rlike(SSH_PORT), fact(src_ip, "service", F.lit("ssh"))),
+            )
         )
+
+    name = F.coalesce(_found(line, _no_case(DNS_NAME)), _found(line, _no_case(DNS_POINTER)))
+    other = let(name, lambda n: let(_found(lower, MDNS_SERVICE), lambda s: about_source(n, s)))
+    reply = let(
+        _groups(line, _no_case(ARP_REPLY), 2),
+        lambda part: F.when(
+            part.isNotNull(), F.array(fact(part[0], "mac", F.lower(part[1])))
+        ).otherwise(other),
     )
-    return (
-        F.when(sender.isNotNull(), F.array(fact(sender, "seen", F.lit(None))))
-        .when(reply_ip.isNotNull(), F.array(fact(reply_ip, "mac", reply_mac)))
-        .otherwise(other)
+    return let(
+        _found(lower, ARP_REQUEST, 2),
+        lambda sender: F.when(
+            sender.isNotNull(), F.array(fact(sender, "seen", F.lit(None)))
+        ).otherwise(reply),
     )
