@@ -1,0 +1,322 @@
+"""Enrichment, blocks, file integrity, assets and decoy sessions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seclog.operators import assets as asx
+from seclog.operators import blocks as bk
+from seclog.operators import decoy as dc
+from seclog.operators import enrich as en
+from seclog.operators import fim as fi
+from seclog.plans import fixtures as fx
+from seclog.plans.catalog import query
+from seclog.plans.fixture_sql import DAY
+from seclog.plans.fixtures import AS_OF_US, BLOCKS, CHUNK_US, IDLE_SEC
+from seclog.plans.queries_detect import final_incidents
+from seclog.sources.staging import staged
+
+_TTL = 12 * 3600
+
+
+# --- enrichment -------------------------------------------------------------------
+
+
+@query(
+    "geo_enrich",
+    """SELECT r.event_id, r.src_ip, g.country, g.country_code, g.city, g.isp, g.flag
+       FROM raw r LEFT JOIN ip_geo g ON r.src_ip = g.src_ip""",
+)
+def geo_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = fx.raw_events(spark, sf_dir).select("event_id", "src_ip")
+    return en.geo_enrich(events, fx.geo_ranges(spark, sf_dir), prefixes=fx.GEO_PREFIXES).select(
+        "event_id", "src_ip", "country", "country_code", "city", "isp", "flag"
+    )
+
+
+@query(
+    "reputation_enrich",
+    """SELECT r.event_id, r.src_ip, p.abuse_score, p.total_reports, p.isp AS reputation_isp,
+         coalesce(p.abuse_score >= 50 AND p.is_public, false) AS flagged FROM raw r LEFT JOIN rep p ON r.src_ip = p.ip""",
+)
+def reputation_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = fx.raw_events(spark, sf_dir).select("event_id", "src_ip")
+    return en.reputation_enrich(events, fx.reputation(spark, sf_dir))
+
+
+@query(
+    "fresh_lookup",
+    f"SELECT ip, abuse_score, fetched_us FROM rep WHERE fetched_us <= {AS_OF_US} AND {AS_OF_US} - fetched_us < {_TTL}000000",
+)
+def fresh_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.reputation(spark, sf_dir)
+    # every record twice, the earlier one stale and with another score
+    older = rows.withColumn("abuse_score", F.lit(0)).withColumn("fetched_us", F.col("fetched_us") - 1)
+    return en.fresh_records(rows.unionByName(older), AS_OF_US, _TTL).select(
+        "ip", "abuse_score", "fetched_us"
+    )
+
+
+@query(
+    "lookup_worklist",
+    f"""SELECT DISTINCT src_ip AS ip FROM raw WHERE src_ip NOT IN
+        (SELECT ip FROM rep WHERE {AS_OF_US} - fetched_us < {_TTL}000000)""",
+)
+def lookup_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = fx.raw_events(spark, sf_dir).select(F.col("src_ip").alias("ip"))
+    return en.lookup_worklist(seen, fx.reputation(spark, sf_dir), AS_OF_US, _TTL)
+
+
+@query("allowlist_filter", "SELECT event_id, src_ip FROM raw WHERE src_ip NOT IN (SELECT src_ip FROM allowed)")
+def allowlist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = fx.raw_events(spark, sf_dir).select("event_id", "src_ip")
+    return en.outside_networks(events, fx.allowlist(spark, sf_dir), prefixes=fx.ALLOW_PREFIXES)
+
+
+# --- blocks -----------------------------------------------------------------------
+
+
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bk.block_intervals(bk.block_requests(final_incidents(spark, sf_dir)), BLOCKS)
+
+
+@query("block_intervals", "SELECT ip, start_us, end_us, reason FROM blocks")
+def block_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals(spark, sf_dir)
+
+
+@query("active_blocks", f"SELECT ip, start_us, end_us FROM blocks WHERE start_us <= {AS_OF_US} AND end_us > {AS_OF_US}")
+def active_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bk.active_blocks(intervals(spark, sf_dir), AS_OF_US).select("ip", "start_us", "end_us")
+
+
+@query(
+    "manual_overrides",
+    f"""SELECT e.ip, e.us AS start_us, least(e.us + {15 * DAY},
+          (SELECT min(l.us) FROM lifts l WHERE l.ip = e.ip AND l.us >= e.us)) AS end_us FROM epoch_at e""",
+)
+def manual_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lifts = (
+        fx.raw_events(spark, sf_dir)
+        .filter((F.col("event_type") == "view") & (F.col("k") % 10 == 3))
+        .select(F.col("src_ip").alias("ip"), "us", F.col("event_id").alias("request_id"))
+    )
+    requests = staged(bk.block_requests(final_incidents(spark, sf_dir)), "requests")
+    return bk.block_intervals(requests, BLOCKS, lifts, CHUNK_US).select("ip", "start_us", "end_us")
+
+
+@query(
+    "cluster_blocklist",
+    f"""SELECT ip, coalesce(reason, 'remote_block') AS reason, node_id, us AS blocked_us, us + coalesce(ttl, 1296000)::BIGINT * 1000000 AS expire_us
+        FROM (SELECT * FROM msgs WHERE node_id <> 'n0' QUALIFY row_number() OVER (PARTITION BY ip ORDER BY us DESC, message_id DESC) = 1)
+        WHERE action = 'block' AND us + coalesce(ttl, 1296000)::BIGINT * 1000000 > {AS_OF_US}""",
+)
+def cluster_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dataclasses import replace
+
+    limits = replace(BLOCKS, default_ttl_sec=15 * 86_400)
+    return bk.cluster_blocklist(fx.block_messages(spark, sf_dir), AS_OF_US, limits, own_node="n0")
+
+
+@query(
+    "active_nodes",
+    f"SELECT node_id, max(us) AS last_us FROM msgs GROUP BY node_id HAVING max(us) + {DAY} > {AS_OF_US}",
+)
+def active_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bk.active_nodes(fx.block_messages(spark, sf_dir), AS_OF_US, BLOCKS)
+
+
+# --- file integrity ---------------------------------------------------------------
+
+
+@query(
+    "fim_baseline_init",
+    f"""SELECT path, hash, size, mode, first_seen_us FROM fim_old
+        UNION ALL SELECT path, hash, size, mode, {AS_OF_US} FROM fim_new WHERE hash IS NOT NULL AND path NOT IN (SELECT path FROM fim_old)""",
+)
+def fim_baseline_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fi.baseline_init(
+        fx.fim_baseline(spark, sf_dir), fx.fim_current(spark, sf_dir), AS_OF_US
+    ).select("path", "hash", "size", "mode", "first_seen_us")
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fi.diff(fx.fim_baseline(spark, sf_dir), fx.fim_current(spark, sf_dir), AS_OF_US)
+
+
+@query("fim_diff", "SELECT path, change, severity, old_hash, new_hash, old_mode, new_mode FROM fim_alerts")
+def fim_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes(spark, sf_dir).select(
+        "path", "change", "severity", "old_hash", "new_hash", "old_mode", "new_mode"
+    )
+
+
+@query(
+    "fim_baseline_merge",
+    f"""SELECT path, CASE WHEN change IS NULL THEN old_hash ELSE new_hash END AS hash, CASE WHEN change IS NULL THEN old_mode ELSE new_mode END AS mode,
+          CASE WHEN change IS NULL THEN old_size ELSE new_size END AS size, coalesce(first_seen_us, {AS_OF_US}) AS first_seen_us,
+          CASE WHEN change IS NULL THEN last_seen_us ELSE {AS_OF_US} END AS last_seen_us
+        FROM fim_changes WHERE coalesce(change, '') <> 'deleted' AND (had OR change IS NOT NULL)""",
+)
+def fim_baseline_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fi.baseline_merge(
+        fx.fim_baseline(spark, sf_dir), fx.fim_current(spark, sf_dir), AS_OF_US
+    ).select("path", "hash", "mode", "size", "first_seen_us", "last_seen_us")
+
+
+@query(
+    "fim_recent_alerts",
+    "SELECT path, change, severity FROM fim_alerts ORDER BY path LIMIT 50",
+)
+def fim_recent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fi.recent_alerts(changes(spark, sf_dir), 50).select("path", "change", "severity")
+
+
+@query(
+    "fim_counts",
+    "SELECT count(*) AS fim_alert_count, count(*) FILTER (severity = 'CRITICAL') AS fim_critical FROM fim_alerts",
+)
+def fim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fi.alert_counts(changes(spark, sf_dir), AS_OF_US - DAY)
+
+
+# --- assets -----------------------------------------------------------------------
+
+
+@query(
+    "asset_inventory",
+    """SELECT s.src_ip, min(us) AS first_seen_us, max(us) AS last_seen_us, count(*) AS event_count, count(*) FILTER (kind = 'SSH_FAIL') AS fail_count,
+         coalesce(string_agg(DISTINCT CASE source WHEN 'auth' THEN 'ssh' WHEN 'nginx' THEN 'http' WHEN 'mysql' THEN 'mysql' END, ','
+                    ORDER BY CASE source WHEN 'auth' THEN 'ssh' WHEN 'nginx' THEN 'http' WHEN 'mysql' THEN 'mysql' END), '') AS services,
+         any_value(g.country) AS country, any_value(g.flag) AS flag
+       FROM sec s JOIN ip_geo g ON s.src_ip = g.src_ip GROUP BY s.src_ip""",
+)
+def asset_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = fx.sec_events(spark, sf_dir)
+    geo = en.geo_lookup(events, fx.geo_ranges(spark, sf_dir), prefixes=fx.GEO_PREFIXES)
+    return asx.asset_inventory(events, geo).withColumn("services", F.array_join("services", ","))
+
+
+@query("asset_users", "SELECT DISTINCT src_ip, 'user:' || \"user\" AS note FROM sec")
+def asset_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asx.asset_users(fx.sec_events(spark, sf_dir))
+
+
+def trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asx.asset_trust(
+        fx.sec_events(spark, sf_dir),
+        fx.allowlist(spark, sf_dir),
+        bk.active_blocks(intervals(spark, sf_dir), AS_OF_US),
+        fx.ALLOW_PREFIXES,
+    )
+
+
+@query("asset_trust", "SELECT src_ip, trust FROM trust")
+def asset_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trust(spark, sf_dir)
+
+
+@query("assets_by_trust", "SELECT src_ip, trust FROM trust WHERE trust = 'attacker'")
+def assets_by_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asx.assets_by_trust(trust(spark, sf_dir), "attacker")
+
+
+@query(
+    "asset_summary",
+    "SELECT coalesce(trust, 'total') AS trust, count(*) AS assets FROM trust GROUP BY ROLLUP (trust)",
+)
+def asset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asx.asset_summary(trust(spark, sf_dir))
+
+
+_FACTS = """(SELECT event_id AS line_id, us, src_ip AS ip, CASE WHEN k % 9 = 0 THEN 'seen' WHEN k % 9 = 1 THEN 'mac' WHEN k % 9 = 5 THEN 'hostname' ELSE 'service' END AS attribute,
+    CASE k % 9 WHEN 1 THEN 'aa:bb:cc:00:00:0' || (k % 10) WHEN 2 THEN 'http' || (k % 3) WHEN 5 THEN 'host' || (k % 4) || '.example.com' WHEN 6 THEN 'smb' END AS value
+    FROM raw WHERE k % 9 IN (0, 1, 2, 5, 6))"""
+
+
+@query(
+    "asset_identity",
+    f"""SELECT ip, arg_max(value, (us, line_id)) FILTER (attribute = 'mac') AS mac, count(DISTINCT value) FILTER (attribute = 'hostname') AS hostnames,
+          count(DISTINCT value) FILTER (attribute = 'service') AS services, max(us) AS last_seen_us FROM {_FACTS} GROUP BY ip""",
+)
+def asset_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asx.asset_identity(asx.identity_facts(fx.packet_lines(spark, sf_dir)))
+
+
+@query(
+    "asset_attributes",
+    f"""SELECT ip, attribute, value, min(us) AS first_us, max(us) AS last_us FROM {_FACTS} WHERE attribute IN ('hostname', 'service') GROUP BY ALL""",
+)
+def asset_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asx.asset_attributes(asx.identity_facts(fx.packet_lines(spark, sf_dir)))
+
+
+@query(
+    "asset_listing",
+    f"""SELECT src_ip, strftime(make_timestamp(max(us)), '%Y-%m-%dT%H:%M:%SZ') AS last_seen_iso,
+          CASE WHEN ({AS_OF_US} - max(us)) // 1000000 < 60 THEN (({AS_OF_US} - max(us)) // 1000000) || 's ago'
+               WHEN ({AS_OF_US} - max(us)) // 1000000 < 3600 THEN (({AS_OF_US} - max(us)) // 60000000) || 'm ago'
+               WHEN ({AS_OF_US} - max(us)) // 1000000 < 86400 THEN (({AS_OF_US} - max(us)) // 3600000000) || 'h ago'
+               ELSE (({AS_OF_US} - max(us)) // {DAY}) || 'd ago' END AS last_seen_ago FROM raw GROUP BY src_ip""",
+)
+def asset_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inventory = asx.asset_inventory(fx.sec_events(spark, sf_dir))
+    return asx.newest_first(inventory, AS_OF_US).select("src_ip", "last_seen_iso", "last_seen_ago")
+
+
+# --- decoy sessions ---------------------------------------------------------------
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.decoy_sessions(fx.decoy_log(spark, sf_dir), IDLE_SEC, CHUNK_US)
+
+
+_SESSIONS = """SELECT ip, session_us, max(us) AS end_us, count(*) FILTER (type = 'honeypot_command') AS commands,
+  count(*) FILTER (type = 'honeypot_credentials') AS auth_attempts, count(*) AS records, max(us) - session_us AS duration_us
+  FROM decoy_session GROUP BY ip, session_us"""
+
+
+@query("decoy_sessions", _SESSIONS)
+def decoy_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions(spark, sf_dir)
+
+
+@query(
+    "decoy_session_commands",
+    """SELECT ip, session_us, row_number() OVER (PARTITION BY ip, session_us ORDER BY us, record_id) AS seq, us, command
+       FROM decoy_session WHERE type = 'honeypot_command'""",
+)
+def decoy_session_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.session_commands(fx.decoy_log(spark, sf_dir), IDLE_SEC, CHUNK_US)
+
+
+@query(
+    "decoy_session_attempts",
+    "SELECT ip, session_us, us, username, password FROM decoy_session WHERE type = 'honeypot_credentials'",
+)
+def decoy_session_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.session_attempts(fx.decoy_log(spark, sf_dir), IDLE_SEC, CHUNK_US)
+
+
+@query("decoy_recent_sessions", f"{_SESSIONS} ORDER BY session_us DESC, ip LIMIT 20")
+def decoy_recent_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.recent_sessions(sessions(spark, sf_dir))
+
+
+@query(
+    "decoy_top_credentials",
+    """SELECT username, password, count(*) AS tries FROM decoy WHERE type = 'honeypot_credentials' GROUP BY ALL
+       ORDER BY tries DESC, username, password LIMIT 20""",
+)
+def decoy_top_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.top_credentials(fx.decoy_log(spark, sf_dir))
+
+
+@query(
+    "decoy_top_commands",
+    """SELECT lower(split_part(trim(command), ' ', 1)) AS word, count(*) AS uses FROM decoy WHERE type = 'honeypot_command' GROUP BY ALL
+       ORDER BY uses DESC, word LIMIT 20""",
+)
+def decoy_top_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.top_commands(fx.decoy_log(spark, sf_dir))
