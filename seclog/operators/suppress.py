@@ -40,8 +40,9 @@ def suppress_within(
 ) -> DataFrame:
     """Rows of ``df`` that survive suppression per ``keys``; ``tie`` orders equal instants.
 
-    (keys, us, tie) identifies a row. Null keys are dropped. The input is read
-    three times and therefore staged; pass ``stage=False`` for a plain table.
+    (keys, us, tie) identifies a row; copies of a kept row come out once. Null keys
+    are dropped. The input is read three times and therefore staged; pass
+    ``stage=False`` for a plain table.
     """
     if cooldown_us <= 0:
         raise ValueError("cooldown must be positive")
@@ -92,7 +93,8 @@ def suppress_within(
         .mapInArrow(_thinner(keys, group, cooldown_us, span), kept_schema)
         .withColumnsRenamed({"__us": us, "__tie": tie})
     )
-    return usable.join(kept, [*keys, us, tie], "left_semi")
+    identity = [*keys, us, tie]
+    return usable.join(kept, identity, "left_semi").dropDuplicates(identity)
 
 
 def _changes(table: pa.Table, names: list[str]) -> np.ndarray:

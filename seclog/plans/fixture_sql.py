@@ -178,6 +178,10 @@ CTES = {
       SELECT ip, epoch, min(us) AS us FROM req_epoch GROUP BY ip, epoch
       UNION ALL SELECT b.ip, b.epoch, min(r.us) FROM epoch_at b
       JOIN req_epoch r ON r.ip = b.ip AND r.epoch = b.epoch AND r.us >= b.us + {15 * DAY} GROUP BY b.ip, b.epoch""",
+    "port_req": "SELECT src_ip AS ip, us FROM sec WHERE kind = 'FW_HONEYPOT_PORT'",
+    "port_at": f"""
+      SELECT ip, min(us) AS us FROM port_req GROUP BY ip
+      UNION ALL SELECT h.ip, min(q.us) FROM port_at h JOIN port_req q ON q.ip = h.ip AND q.us >= h.us + {5 * DAY} GROUP BY h.ip""",
     "msgs": """
       SELECT src_ip AS ip, us, event_id AS message_id, CASE WHEN k % 5 = 0 THEN 'unblock' ELSE 'block' END AS action,
              CASE WHEN k % 3 <> 0 THEN 'r' || (k % 4) END AS reason, CASE WHEN k % 2 = 0 THEN 432000 END AS ttl,
@@ -239,7 +243,7 @@ CTES = {
              CASE WHEN k % 3 = 0 THEN '' ELSE 'isp*' || (k % 4) END AS isp, k % 4 = 0 AS proxy, k % 6 = 0 AS hosting
       FROM sec WHERE kind <> 'FW_BLOCK'""",
 }
-_REUSED = {"cand", "corr", "req", "req_epoch", "fired"}  # read again on every step of a recursion
+_REUSED = {"cand", "corr", "req", "req_epoch", "fired", "port_req"}  # read again on every step of a recursion
 
 
 def sql(body: str) -> str:

@@ -66,11 +66,14 @@ def _choose(value: Column, cases: dict, otherwise=None) -> Column:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Given events with ``us``, ``k`` and the derived address, user and host."""
+    return as_raw_events(read_table(spark, sf_dir, "events"))
+
+
+def as_raw_events(events: DataFrame) -> DataFrame:
     user_id = F.col("user_id")
     k = F.get_json_object("props", "$.k").cast("int")
     return (
-        read_table(spark, sf_dir, "events")
-        .withColumn("us", F.unix_micros("ts"))
+        events.withColumn("us", F.unix_micros("ts"))
         .withColumn("k", k)
         .withColumn(
             "src_ip",
@@ -95,10 +98,13 @@ def kind_of(event_type: Column, k: Column) -> Column:
 
 
 def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_sec_events(raw_events(spark, sf_dir))
+
+
+def as_sec_events(raw: DataFrame) -> DataFrame:
     kind, k = F.col("kind"), F.col("k")
     return (
-        raw_events(spark, sf_dir)
-        .withColumn("kind", kind_of(F.col("event_type"), k))
+        raw.withColumn("kind", kind_of(F.col("event_type"), k))
         .select(
             "event_id",
             "ts",
@@ -349,9 +355,14 @@ def block_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decoy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_decoy_log(raw_events(spark, sf_dir))
+
+
+def as_decoy_log(raw: DataFrame) -> DataFrame:
     k, kind = F.col("k"), F.col("event_type")
-    return raw_events(spark, sf_dir).select(
+    return raw.select(
         F.col("src_ip").alias("ip"),
+        "ts",
         "us",
         F.col("event_id").alias("record_id"),
         F.when(kind == "signup", "honeypot_connection")

@@ -1,0 +1,139 @@
+"""Streaming queries, run over the given tables until all input is taken."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seclog.operators import enrich as en
+from seclog.plans import fixtures as fx
+from seclog.plans.catalog import query
+from seclog.plans.fixture_sql import DAY
+from seclog.plans.fixtures import CHUNK_US, LIMITS, RULES
+from seclog.sources.sinks import read_appended
+from seclog.sources.staging import new_folder
+from seclog.streaming import detect as sd
+from seclog.streaming import sinks
+from seclog.streaming import windows as sw
+
+_LAST = "(SELECT max(us) FROM raw)"
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    fx.read_table(spark, sf_dir, "events")  # sets the session time zone
+    return sw.stream_table(spark, sf_dir, "events.parquet", schema)
+
+
+def sec_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.as_sec_events(fx.as_raw_events(event_stream(spark, sf_dir)))
+
+
+def taken(stream: DataFrame, label: str) -> DataFrame:
+    """Run a stream over the input that is there and read back what it wrote."""
+    spark = stream.sparkSession
+    path = new_folder(spark, label)
+    sinks.to_table(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query(
+    "stream_window_counts",
+    f"""SELECT us // {DAY} * {DAY} AS start_us, us // {DAY} * {DAY} + {DAY} AS end_us, src_ip, kind, count(*) AS n
+        FROM sec WHERE us // {DAY} * {DAY} + {DAY} <= {_LAST} GROUP BY ALL""",
+)
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = sw.with_event_time_bound(sec_stream(spark, sf_dir), "0 seconds")
+    return taken(sw.window_counts(events, "1 day"), "windows")
+
+
+@query(
+    "stream_sessions",
+    f"""SELECT ip, session_us, max(us) AS end_us, count(*) FILTER (type = 'honeypot_command') AS commands,
+          count(*) FILTER (type = 'honeypot_credentials') AS auth_attempts, count(*) AS records
+        FROM decoy_session GROUP BY ip, session_us HAVING max(us) + {DAY} <= {_LAST}""",
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = fx.as_raw_events(event_stream(spark, sf_dir)).withWatermark("ts", "0 seconds")
+    return taken(sw.decoy_sessions(fx.as_decoy_log(raw), "1 day"), "sessions")
+
+
+@query("stream_dedup", "SELECT event_id, us FROM raw")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = event_stream(spark, sf_dir).withWatermark("ts", "1 hour")
+    twice = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    rows = sw.deduplicated(twice).select("event_id", F.unix_micros("ts").alias("us"))
+    return taken(rows, "dedup")
+
+
+@query(
+    "stream_enrich",
+    "SELECT r.event_id, r.src_ip, g.country, g.flag FROM raw r LEFT JOIN ip_geo g ON r.src_ip = g.src_ip",
+)
+def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lookup = en.geo_lookup(
+        fx.raw_events(spark, sf_dir), fx.geo_ranges(spark, sf_dir), prefixes=fx.GEO_PREFIXES
+    ).select("src_ip", "country", "flag")
+    rows = fx.as_raw_events(event_stream(spark, sf_dir)).select("event_id", "src_ip")
+    return taken(sw.enriched(rows, lookup), "enriched")
+
+
+@query(
+    "stream_pairs",
+    f"""SELECT a.event_id AS probe_id, b.event_id AS fail_id, a.src_ip FROM sec a JOIN sec b ON a.src_ip = b.src_ip
+          AND b.us >= a.us AND b.us <= a.us + {3 * DAY} WHERE a.kind = 'FW_HONEYPOT_PORT' AND b.kind = 'SSH_FAIL'""",
+)
+def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def side(kind: str) -> DataFrame:
+        rows = sec_stream(spark, sf_dir).filter(F.col("kind") == kind)
+        return rows.select("event_id", "src_ip", "ts").withWatermark("ts", "1 hour")
+
+    pairs = sw.paired(side("FW_HONEYPOT_PORT"), side("SSH_FAIL"), "3 days")
+    shown = pairs.select(
+        F.col("a.event_id").alias("probe_id"), F.col("b.event_id").alias("fail_id"), F.col("a.src_ip").alias("src_ip")
+    )
+    return taken(shown, "pairs")
+
+
+@query(
+    "stream_detect",
+    "SELECT event_id, src_ip, us, severity, fail_count, uniq_users, trigger, reasons FROM inc",
+)
+def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "detect")
+    handler = sd.IncidentDetector(f"{path}/state", f"{path}/out", LIMITS)
+    sinks.for_each_batch(sec_stream(spark, sf_dir), [handler], f"{path}/checkpoint").awaitTermination()
+    return read_appended(spark, f"{path}/out").select(
+        "event_id", "src_ip", "us", "severity", "fail_count", "uniq_users", "trigger",
+        F.array_join("reasons", "; ").alias("reasons"),
+    )
+
+
+@query("stream_correlate", "SELECT src_ip, us, rule, confidence, severity, description FROM corr_kept")
+def stream_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "correlate")
+    handler = sd.CorrelationDetector(f"{path}/state", f"{path}/out", RULES, chunk_us=CHUNK_US)
+    sinks.for_each_batch(sec_stream(spark, sf_dir), [handler], f"{path}/checkpoint").awaitTermination()
+    return read_appended(spark, f"{path}/out").select(
+        "src_ip", "us", "rule", "confidence", "severity", "description"
+    )
+
+
+@query(
+    "stream_blocklist",
+    f"""SELECT ip, 'block' AS action, us, 'port' AS reason FROM port_at WHERE us // 1000 < {_LAST} // 1000
+        UNION ALL SELECT ip, 'unblock', us + {5 * DAY}, NULL FROM port_at WHERE (us + {5 * DAY}) // 1000 < {_LAST} // 1000""",
+)
+def stream_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seclog.config import BlockLimits
+    from seclog.streaming.blocklist import ROCKSDB, block_changes
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        rows = sec_stream(spark, sf_dir).withWatermark("ts", "0 seconds")
+        requests = rows.filter(F.col("kind") == "FW_HONEYPOT_PORT").select(
+            F.col("src_ip").alias("ip"), "ts", "us", F.col("event_id").alias("request_id"), F.lit("port").alias("reason")
+        )
+        return taken(block_changes(requests, BlockLimits(duration_sec=5 * 86_400)), "blocklist")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
