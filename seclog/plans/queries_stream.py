@@ -121,8 +121,8 @@ def stream_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_blocklist",
-    f"""SELECT ip, 'block' AS action, us, 'port' AS reason FROM port_at WHERE us // 1000 < {_LAST} // 1000
-        UNION ALL SELECT ip, 'unblock', us + {5 * DAY}, NULL FROM port_at WHERE (us + {5 * DAY}) // 1000 < {_LAST} // 1000""",
+    f"""SELECT ip, 'block' AS action, us, 'port' AS reason FROM port_at WHERE us // 1000 < (SELECT max(us) FROM port_req) // 1000
+        UNION ALL SELECT ip, 'unblock', us + {5 * DAY}, NULL FROM port_at WHERE (us + {5 * DAY}) // 1000 < (SELECT max(us) FROM port_req) // 1000""",
 )
 def stream_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seclog.config import BlockLimits

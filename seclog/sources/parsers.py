@@ -2,7 +2,8 @@
 
 A parser is a function ``line -> struct(kind, src_ip, dst_ip, user, meta)``. All
 of them are Catalyst expressions; each pattern runs once per line and its groups
-are split out of one rewritten string (a log line holds no newline itself).
+are split out of one rewritten string. A line must hold no newline; white space
+around it does not matter.
 """
 
 from __future__ import annotations
@@ -64,21 +65,16 @@ DNS_POINTER = r"PTR\?\s+([\w.-]+)\."
 MDNS_SERVICE = r"_([\w-]+)\._tcp\.local"
 SSH_PORT = r"\.22\s+>|>\s+\.22\s"
 WEB_TIME = r"\[(\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})\]"
-ISO_TIME = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2}))"
+ISO_TIME = r"^\s*(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2}))"
 SYSLOG_HOST = (
-    r"^(?:[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}|\d{4}-\S+) (\S+) [A-Za-z][\w-]*(?:\[\d+\])?:"
+    r"^\s*(?:[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}|\d{4}-\S+) (\S+) [A-Za-z][\w-]*(?:\[\d+\])?:"
 )
-SYSLOG_TIME = r"^([A-Z][a-z]{2}) +(\d{1,2}) (\d{2}:\d{2}:\d{2})"
+SYSLOG_TIME = r"([A-Z][a-z]{2}) +(\d{1,2}) (\d{2}:\d{2}:\d{2})"
 # ----------------------------------------------------------------------------------
 
-_WHITESPACE = " \t\r\n\f\x0b"
 LineParser = Callable[[Column], Column]
 
 
-def _stripped(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(_WHITESPACE)), "\n", " ")
-
-
 def _no_case(pattern: str) -> str:
     return "(?i)" + pattern
 
@@ -90,7 +86,7 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
 
 def _groups(text: Column, pattern: str, count: int, anchored: bool = False) -> Column:
     """All groups of the first match as an array, null when there is no match."""
-    start = "^" if anchored else "^.*?"
+    start = r"^\s*" if anchored else "^.*?"
     flags = "(?s)"
     if pattern.startswith("(?i)"):
         flags, pattern = "(?is)", pattern[4:]
@@ -114,22 +110,30 @@ def _event(kind: Column, **fields: Column) -> Column:
 
 
 def parse_sshd(line: Column) -> Column:
-    """SSH logins; a success pattern wins over a failure pattern."""
-    text = _stripped(line)
-    user = F.coalesce(
-        _found(text, _no_case(SSHD_FAILED_USER), 1), _found(text, _no_case(SSHD_FAILED_USER), 2)
-    )
-    failed = let(
-        _found(text, _no_case(SSHD_FAILED)),
-        lambda ip: _event(F.when(ip.isNotNull(), "SSH_FAIL"), src_ip=ip, user=user),
-    )
-    event = let(
-        _groups(text, _no_case(SSHD_ACCEPTED), 2),
-        lambda part: F.when(
-            part.isNotNull(), _event(F.lit("SSH_SUCCESS"), src_ip=part[1], user=part[0])
-        ).otherwise(failed),
-    )
-    return F.when(F.lower(line).contains("sshd"), event)
+    """SSH logins; a success pattern wins over a failure pattern.
+
+    Plain substring checks come first: most lines need at most one pattern.
+    """
+
+    def judge(text: Column) -> Column:
+        low = F.lower(text)
+        failures = reduce(lambda a, b: a | b, [low.contains(f.lower()) for f in SSHD_FAILURES])
+        user = F.coalesce(
+            _found(text, _no_case(SSHD_FAILED_USER), 1), _found(text, _no_case(SSHD_FAILED_USER), 2)
+        )
+        failed = let(
+            F.when(failures, _found(text, _no_case(SSHD_FAILED))),
+            lambda ip: _event(F.when(ip.isNotNull(), "SSH_FAIL"), src_ip=ip, user=user),
+        )
+        accepted = F.when(low.contains("accepted"), _groups(text, _no_case(SSHD_ACCEPTED), 2))
+        return let(
+            accepted,
+            lambda part: F.when(
+                part.isNotNull(), _event(F.lit("SSH_SUCCESS"), src_ip=part[1], user=part[0])
+            ).otherwise(failed),
+        )
+
+    return F.when(F.lower(line).contains("sshd"), judge(line))
 
 
 def attack_path(path: Column) -> Column:
@@ -182,12 +186,12 @@ def parse_web_access(line: Column) -> Column:
 
         return F.when(part.isNotNull(), let(seen, event))
 
-    return let(_groups(_stripped(line), ACCESS_LINE, 5, anchored=True), judge)
+    return let(_groups(line, ACCESS_LINE, 5, anchored=True), judge)
 
 
 def parse_mysql_denied(line: Column) -> Column:
     return let(
-        _groups(_stripped(line), _no_case(MYSQL_DENIED), 2),
+        _groups(line, _no_case(MYSQL_DENIED), 2),
         lambda part: _event(
             F.when(part.isNotNull(), "DB_AUTH_FAIL"),
             src_ip=part[1],
@@ -199,7 +203,7 @@ def parse_mysql_denied(line: Column) -> Column:
 
 def parse_firewall(line: Column) -> Column:
     """Blocked packets (upper-case BLOCK only); decoy ports have their own kind."""
-    text = _stripped(line)
+    text = line
     port = F.coalesce(_found(text, FIREWALL_PORT).cast("int"), F.lit(0))
 
     def event(part: Column) -> Column:
@@ -216,7 +220,7 @@ def parse_firewall(line: Column) -> Column:
 
 def parse_privilege(line: Column) -> Column:
     """Failed sudo and su; these lines carry no address (see attribute_privilege)."""
-    text = _stripped(line)
+    text = line
     kind_of_abuse = F.lit("privilege_escalation")
     sudo = _event(
         F.lit("SUDO_FAIL"), user=_found(text, SUDO_USER), meta=meta_struct(type=kind_of_abuse)
@@ -249,11 +253,11 @@ def packet_hint(line: Column) -> Column:
             .when(has(" tcp ") & has(".22 "), "SSH_NET")
         )
 
-    return let(F.lower(_stripped(line)), judge)
+    return let(F.ltrim(F.lower(line)), judge)
 
 
 def parse_packet_hint(line: Column) -> Column:
-    addresses = _groups(_stripped(line), PACKET_ADDRESSES, 2)
+    addresses = _groups(line, PACKET_ADDRESSES, 2)
 
     def event(hint: Column) -> Column:
         known = let(
@@ -291,7 +295,7 @@ def event_struct(kind: Column, **fields: Column) -> Column:
 
 def event_time(line: Column, year: int | Column, zone: str = "UTC") -> Column:
     """Time written in the line: access-log, ISO-8601 with offset, or syslog stamp."""
-    text = _stripped(line)
+    text = line
     year = F.lit(year) if isinstance(year, int) else year
     web = F.try_to_timestamp(_found(text, WEB_TIME), F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
     iso = _found(text, ISO_TIME).try_cast("timestamp")
@@ -335,7 +339,7 @@ def parse_lines(
         F.col("ev.src_ip").alias("src_ip"),
         F.col("ev.dst_ip").alias("dst_ip"),
         F.col("ev.user").alias("user"),
-        _found(_stripped(F.col("raw")), SYSLOG_HOST).alias("host"),
+        _found(F.col("raw"), SYSLOG_HOST).alias("host"),
         "raw",
         F.col("ev.meta").alias("meta"),
     ).to(SEC_EVENT)
