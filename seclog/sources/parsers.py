@@ -203,8 +203,7 @@ def parse_mysql_denied(line: Column) -> Column:
 
 def parse_firewall(line: Column) -> Column:
     """Blocked packets (upper-case BLOCK only); decoy ports have their own kind."""
-    text = line
-    port = F.coalesce(_found(text, FIREWALL_PORT).cast("int"), F.lit(0))
+    port = F.coalesce(_found(line, FIREWALL_PORT).cast("int"), F.lit(0))
 
     def event(part: Column) -> Column:
         def with_port(dpt: Column) -> Column:
@@ -214,26 +213,25 @@ def parse_firewall(line: Column) -> Column:
 
         return F.when(part[0] == "BLOCK", let(port, with_port))
 
-    found = let(_groups(text, _no_case(FIREWALL_LINE), 3), event)
+    found = let(_groups(line, _no_case(FIREWALL_LINE), 3), event)
     return F.when(F.lower(line).contains("[ufw "), found)
 
 
 def parse_privilege(line: Column) -> Column:
     """Failed sudo and su; these lines carry no address (see attribute_privilege)."""
-    text = line
     kind_of_abuse = F.lit("privilege_escalation")
     sudo = _event(
-        F.lit("SUDO_FAIL"), user=_found(text, SUDO_USER), meta=meta_struct(type=kind_of_abuse)
+        F.lit("SUDO_FAIL"), user=_found(line, SUDO_USER), meta=meta_struct(type=kind_of_abuse)
     )
     su = let(
-        _groups(text, _no_case(SU_FAILED), 2),
+        _groups(line, _no_case(SU_FAILED), 2),
         lambda part: _event(
             F.when(part.isNotNull(), "SU_FAIL"),
             user=part[1],
             meta=meta_struct(target_user=part[0], type=kind_of_abuse),
         ),
     )
-    return F.when(text.rlike(_no_case(SUDO_FAILED)), sudo).when(
+    return F.when(line.rlike(_no_case(SUDO_FAILED)), sudo).when(
         F.lower(line).contains("failed su"), su
     )
 
@@ -295,10 +293,9 @@ def event_struct(kind: Column, **fields: Column) -> Column:
 
 def event_time(line: Column, year: int | Column, zone: str = "UTC") -> Column:
     """Time written in the line: access-log, ISO-8601 with offset, or syslog stamp."""
-    text = line
     year = F.lit(year) if isinstance(year, int) else year
-    web = F.try_to_timestamp(_found(text, WEB_TIME), F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
-    iso = _found(text, ISO_TIME).try_cast("timestamp")
+    web = F.try_to_timestamp(_found(line, WEB_TIME), F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
+    iso = _found(line, ISO_TIME).try_cast("timestamp")
 
     def dated(stamp: Column) -> Column:
         plain = F.try_to_timestamp(
@@ -306,7 +303,7 @@ def event_time(line: Column, year: int | Column, zone: str = "UTC") -> Column:
         )
         return F.when(stamp.isNotNull(), plain if zone == "UTC" else F.to_utc_timestamp(plain, zone))
 
-    return F.coalesce(iso, web, let(_groups(text, SYSLOG_TIME, 3, anchored=True), dated))
+    return F.coalesce(iso, web, let(_groups(line, SYSLOG_TIME, 3, anchored=True), dated))
 
 
 def parse_lines(

@@ -46,8 +46,13 @@ class BlockKeeper(StatefulProcessor):
         self.until = handle.getValueState("until", _UNTIL)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A waiting request inside a block that surely covers it can never start one.
+        # A request inside the current block can never start one: only the others wait.
+        until = self.until.get()[0] if self.until.exists() else None
         for pdf in rows:
+            if until is not None:
+                pdf = pdf[pdf["us"] >= until]
+            if pdf.empty:
+                continue
             waiting = [(int(u), int(i), r) for u, i, r in zip(pdf["us"], pdf["request_id"], pdf["reason"])]
             self.pending.appendList(waiting)
             for ms in {-(-u // 1000) for u, _, _ in waiting}:
