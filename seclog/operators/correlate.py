@@ -153,25 +153,25 @@ def correlate(
     """
     terms = [t for rule in rules for t in _terms(rule)]
     counts = window_counts(events, terms, chunk_us=chunk_us)
-    alerts = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    _holds(rule),
-                    F.struct(
-                        F.lit(rule.name).alias("rule"),
-                        F.lit(float(rule.confidence)).alias("confidence"),
-                        F.lit(rule.severity).alias("severity"),
-                        _describe(rule).alias("description"),
-                        _evidence(rule).alias("evidence"),
-                    ),
-                )
-                for rule in rules
-            ]
-        )
+    alerts = F.array(
+        *[
+            F.when(
+                _holds(rule),
+                F.struct(
+                    F.lit(rule.name).alias("rule"),
+                    F.lit(float(rule.confidence)).alias("confidence"),
+                    F.lit(rule.severity).alias("severity"),
+                    _describe(rule).alias("description"),
+                    _evidence(rule).alias("evidence"),
+                ),
+            )
+            for rule in rules
+        ]
     )
-    return counts.select("src_ip", "us", F.explode(alerts).alias("a")).select(
-        "src_ip", "us", "a.rule", "a.confidence", "a.severity", "a.description", "a.evidence"
+    return (
+        counts.select("src_ip", "us", F.explode(alerts).alias("a"))
+        .filter(F.col("a").isNotNull())
+        .select("src_ip", "us", "a.rule", "a.confidence", "a.severity", "a.description", "a.evidence")
     )
 
 

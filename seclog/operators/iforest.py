@@ -97,7 +97,10 @@ def fit(
     features: Sequence[str] = FEATURES,
     identity: Sequence[str] = ("src_ip", "us"),
 ) -> DataFrame:
-    """The forest as a table of nodes; inner nodes have a feature, leaves have -1."""
+    """The forest as a table of nodes; inner nodes have a feature, leaves have -1.
+
+    ``rows`` is read twice (size, sample): pass a table, not a long computation.
+    """
     sample = training_sample(rows, limits, features, identity)
     return sample.groupBy("tree").applyInPandas(_grower(features, limits), _NODE)
 

@@ -49,8 +49,11 @@ class GapSum(Count):
 
 
 def _markers(rows: DataFrame, key: str, names: Sequence[str], signals: list[Column]) -> DataFrame:
-    return rows.select(key, F.explode(F.array_compact(F.array(*signals))).alias("m")).select(
-        key, "m.us", "m.seen", *[F.col(f"m.{n}").alias(n) for n in names]
+    # Explode first, then drop the nulls: array_compact would leave generated code.
+    return (
+        rows.select(key, F.explode(F.array(*signals)).alias("m"))
+        .filter(F.col("m").isNotNull())
+        .select(key, "m.us", "m.seen", *[F.col(f"m.{n}").alias(n) for n in names])
     )
 
 

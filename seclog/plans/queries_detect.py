@@ -18,6 +18,7 @@ from seclog.plans import fixtures as fx
 from seclog.plans.catalog import query
 from seclog.plans.fixture_sql import DAY
 from seclog.plans.fixtures import AS_OF_US, BASELINE, CHUNK_US, FOREST, LIMITS, RULES
+from seclog.sources.staging import staged
 
 
 @query(
@@ -439,11 +440,11 @@ def ip_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("iforest_fit")
 def iforest_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iforest.fit(_features(spark, sf_dir), FOREST)
+    return iforest.fit(staged(_features(spark, sf_dir), "features"), FOREST)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _features(spark, sf_dir)
+    rows = staged(_features(spark, sf_dir), "features")
     return iforest.score(rows, iforest.fit(rows, FOREST), limits=FOREST)
 
 

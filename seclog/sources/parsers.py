@@ -319,14 +319,14 @@ def parse_lines(
     The event time is the time in the line, or ``arrived`` where the line has none.
     """
     text = F.col(line)
-    # explode drops the lines without an event and keeps the parse in one place:
-    # a filter on its result would be pushed down and run the patterns twice.
+    # The one-element explode keeps the parse in one place: a filter on a plain column
+    # would be pushed below the projection and run the patterns twice.
     parsed = lines.select(
         F.col(event_id).alias("event_id"),
         text.alias("raw"),
         *([] if arrived is None else [arrived.alias("arrived")]),
-        F.explode(F.array_compact(F.array(PARSERS[source](text)))).alias("ev"),
-    )
+        F.explode(F.array(PARSERS[source](text))).alias("ev"),
+    ).filter(F.col("ev").isNotNull())
     stamp = event_time(F.col("raw"), year)
     return parsed.select(
         "event_id",
