@@ -76,7 +76,7 @@ def suppress_within(
     openings = (
         steps.repartition(*keys)
         .sortWithinPartitions(*group, "__entry")
-        .mapInArrow(_chunk_walker(keys, cooldown_us), open_schema)
+        .mapInArrow(_chunk_walker(keys, cooldown_us, span), open_schema)
     )
     # __open carries when the chunk opens; such a row sorts before all rows of its chunk.
     rows = instants.withColumn("__open", F.lit(None).cast("long")).unionByName(
@@ -173,34 +173,42 @@ def _step_finder(group: list[str], cooldown: int, span: int):
     return find
 
 
-def _chunk_walker(keys: list[str], cooldown: int):
+def _chunk_walker(keys: list[str], cooldown: int, span: int):
+    """When each chunk opens. Only chunks that an earlier one can still silence are walked."""
+    group = [*keys, CHUNK]
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = chunk = None
-        opens, after = _OPEN, None
-        for batch in batches:
-            take, times = [], []
-            columns = [batch.column(k).to_pylist() for k in keys]
-            chunks = batch.column(CHUNK).to_pylist()
-            entries = batch.column("__entry").to_pylist()
-            exits = batch.column("__exit").to_pylist()
-            for i, row_key in enumerate(zip(*columns)):
-                if row_key != key:
-                    key, chunk, opens, after = row_key, None, _OPEN, None
-                if chunks[i] != chunk:
-                    if after is not None:
-                        opens, after = after, None
-                    chunk = chunks[i]
-                    take.append(i)
-                    times.append(opens)
-                if after is None and entries[i] >= opens:
-                    after = exits[i] + cooldown
-            if take:
-                rows = pa.Table.from_batches([batch]).select([*keys, CHUNK]).take(pa.array(take))
-                yield from rows.append_column("__us", pa.array(times, pa.int64())).to_batches()
+        last_key, last_exit = None, _OPEN
+        for table in _whole_groups(batches, group):
+            first = np.flatnonzero(_changes(table, group))
+            heads = table.select(group).take(pa.array(first))
+            entry = table.column("__entry").to_numpy()
+            leave = table.column("__exit").to_numpy()
+            stop = np.r_[first[1:], len(entry)]
+            new_key = _changes(heads, keys)
+            # The latest exit the chunk before can have.
+            latest = np.r_[_OPEN, np.maximum.reduceat(leave, first)[:-1]]
+            left = leave[first].copy()  # the exit of each chunk if nothing silences it
+            opens = np.full(len(first), _OPEN, dtype=np.int64)
+            new_key[0] = _key_at(heads, keys, 0) != last_key
+            if not new_key[0]:
+                latest[0] = last_exit
+            begins = heads.column(CHUNK).to_numpy() * span
+            for i in np.flatnonzero(~new_key & (latest + cooldown > begins)):
+                before = left[i - 1] if i else last_exit
+                opens[i] = before + cooldown
+                j = first[i] + np.searchsorted(entry[first[i] : stop[i]], opens[i])
+                left[i] = leave[j] if j < stop[i] else before
+            last_key, last_exit = _key_at(heads, keys, len(first) - 1), int(left[-1])
+            yield from heads.append_column("__us", pa.array(opens)).to_batches()
 
     return walk
 
 
+def _key_at(table: pa.Table, keys: list[str], row: int) -> tuple:
+    return tuple(table.column(k)[row].as_py() for k in keys)
+
+
 def _thinner(keys: list[str], group: list[str], cooldown: int, span: int):
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, group):
