@@ -72,7 +72,8 @@ def asset_trust(
     Blocked addresses are attackers; allowlisted ones stay so otherwise. Else
     whichever comes first decides: the third SSH failure (suspicious) or the
     first SSH success (known). The third failure needs only three rows per
-    address, which the planner keeps per task before the shuffle.
+    address, which the planner keeps per task before the shuffle. At one instant
+    the success counts first.
     """
     rows = events.filter(F.col("src_ip").isNotNull())
     order = Window.partitionBy("src_ip").orderBy("us", "event_id")
@@ -81,21 +82,22 @@ def asset_trust(
         .select("src_ip", "us", "event_id", F.row_number().over(order).alias("n"))
         .filter(F.col("n") <= FAILS_UNTIL_SUSPICIOUS)
         .filter(F.col("n") == FAILS_UNTIL_SUSPICIOUS)
-        .select("src_ip", F.struct("us", "event_id").alias("third_fail"))
+        .select("src_ip", F.col("us").alias("third_fail_us"))
     )
     seen = rows.groupBy("src_ip").agg(
-        F.min(
-            F.when(F.col("kind") == "SSH_SUCCESS", F.struct("us", "event_id"))
-        ).alias("first_success")
+        F.min(F.when(F.col("kind") == "SSH_SUCCESS", F.col("us"))).alias("first_success_us")
     )
     out = seen.join(third, "src_ip", "left")
     trust = (
         F.when(
-            F.col("third_fail").isNotNull()
-            & (F.col("first_success").isNull() | (F.col("third_fail") < F.col("first_success"))),
+            F.col("third_fail_us").isNotNull()
+            & (
+                F.col("first_success_us").isNull()
+                | (F.col("third_fail_us") < F.col("first_success_us"))
+            ),
             "suspicious",
         )
-        .when(F.col("first_success").isNotNull(), "known")
+        .when(F.col("first_success_us").isNotNull(), "known")
         .otherwise("unknown")
     )
     if allowlist is not None:

@@ -384,8 +384,12 @@ def as_decoy_log(raw: DataFrame) -> DataFrame:
 
 def report_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents projected straight from the events, for report queries alone."""
+    return as_report_incidents(sec_events(spark, sf_dir))
+
+
+def as_report_incidents(events: DataFrame) -> DataFrame:
     kind = F.col("kind")
-    return sec_events(spark, sf_dir).filter(~kind.isin("FW_BLOCK")).select(
+    return events.filter(~kind.isin("FW_BLOCK")).select(
         "event_id",
         "src_ip",
         "us",

@@ -12,10 +12,11 @@ from seclog.operators import enrich as en
 from seclog.operators import fim as fi
 from seclog.plans import fixtures as fx
 from seclog.plans.catalog import query
-from seclog.plans.fixture_sql import DAY
+from seclog.plans.fixture_sql import BASE, DAY
 from seclog.plans.fixtures import AS_OF_US, BLOCKS, CHUNK_US, IDLE_SEC
 from seclog.plans.queries_detect import final_incidents
-from seclog.sources.staging import staged
+from seclog.sources import sinks, tables
+from seclog.sources.staging import new_folder, staged
 
 _TTL = 12 * 3600
 
@@ -320,3 +321,61 @@ def decoy_top_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def decoy_top_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.top_commands(fx.decoy_log(spark, sf_dir))
+
+
+# --- result and dimension tables --------------------------------------------------
+
+
+@query(
+    "write_incidents",
+    "SELECT event_id, src_ip, us, severity, reason1 || '; ' || reason2 AS reasons, fail_count FROM rinc",
+)
+def write_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "incidents")
+    sinks.write_incidents(fx.report_incidents(spark, sf_dir), path)
+    return sinks.read_appended(spark, path).select(
+        "event_id", "src_ip", "us", "severity", F.array_join("reasons", "; ").alias("reasons"), "fail_count"
+    )
+
+
+@query("write_blocks", "SELECT ip, max(start_us) AS start_us, max(end_us) AS end_us FROM blocks GROUP BY ip")
+def write_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "blocks")
+    sinks.write_blocks(intervals(spark, sf_dir), path)
+    log = sinks.read_appended(spark, path)
+    return sinks.current_blocks(log).select("ip", "start_us", "end_us")
+
+
+@query("write_fim_alerts", "SELECT path, change, severity FROM fim_alerts")
+def write_fim_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "fim")
+    sinks.write_fim_alerts(changes(spark, sf_dir), path, batch=1)
+    sinks.write_fim_alerts(changes(spark, sf_dir), path, batch=1)  # a retry leaves no copies
+    return sinks.read_appended(spark, path).select("path", "change", "severity")
+
+
+@query(
+    "load_dimensions",
+    f"""SELECT 'geo' AS kind, n_name AS name, {BASE} + n_nationkey * 64 AS lo, 26 AS prefix_len FROM nation
+        UNION ALL SELECT 'allow', s_name, {BASE} + s_suppkey % 65536, 32 FROM supplier""",
+)
+def load_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, supplier = fx.read_table(spark, sf_dir, "nation"), fx.read_table(spark, sf_dir, "supplier")
+    key = F.col("n_nationkey") * 64 + 5  # host bits are cleared again
+    geo = nation.select(
+        F.concat(F.lit("198.18."), F.floor(key / 256), F.lit("."), key % 256, F.lit("/26")).alias("cidr"),
+        F.col("n_name").alias("country"),
+    )
+    at = F.col("s_suppkey") % 65536
+    allow = supplier.select(
+        F.concat(F.lit("198.18."), F.floor(at / 256), F.lit("."), at % 256).alias("cidr"),
+        F.col("s_name").alias("name"),
+    )
+    path = new_folder(spark, "dimensions")
+    geo.write.csv(f"{path}/geo", header=True)
+    allow.write.csv(f"{path}/allow", header=True)
+    networks = tables.load_geo(spark, f"{path}/geo").select(
+        F.lit("geo").alias("kind"), F.col("country").alias("name"), "lo", "prefix_len"
+    )
+    named = tables.with_network(spark.read.schema("cidr string, name string").csv(f"{path}/allow", header=True))
+    return networks.unionByName(named.select(F.lit("allow").alias("kind"), "name", "lo", "prefix_len"))

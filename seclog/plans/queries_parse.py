@@ -25,6 +25,8 @@ def parsed(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
 _SSH = """kind IN ('SSH_FAIL', 'SSH_SUCCESS') AND NOT (kind = 'SSH_FAIL' AND k % 6 = 5)"""
 _SSH_USER = """CASE WHEN kind = 'SSH_FAIL' AND k % 6 IN (2, 3) THEN NULL ELSE "user" END"""
 
+SSH_LINES = f'SELECT kind, src_ip, {_SSH_USER} AS "user", us FROM sec WHERE {_SSH}'
+
 
 @query("parse_sshd", f'SELECT event_id, kind, src_ip, {_SSH_USER} AS "user", host FROM sec WHERE {_SSH}')
 def parse_sshd(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seclog.operators import enrich as en
+from seclog.operators import outbox as ob
 from seclog.plans import fixtures as fx
 from seclog.plans.catalog import query
 from seclog.plans.fixture_sql import DAY
-from seclog.plans.fixtures import CHUNK_US, LIMITS, RULES
+from seclog.plans.fixtures import CHUNK_US, LIMITS, RULES, YEAR
+from seclog.plans.queries_parse import CHANNELS, SSH_LINES
 from seclog.sources.sinks import read_appended
+from seclog.sources import parsers as pa
+from seclog.sources import text
 from seclog.sources.staging import new_folder
 from seclog.streaming import detect as sd
 from seclog.streaming import sinks
@@ -37,6 +41,63 @@ def taken(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+_SSH_LINES = f"SELECT src_ip, kind, \"user\", us - us % 1000000 AS us, count(*) AS n FROM ({SSH_LINES}) GROUP BY ALL"
+
+
+def _ssh_folder(spark: SparkSession, sf_dir: str) -> str:
+    """SSH log lines as text files."""
+    path = new_folder(spark, "logs")
+    lines = fx.log_lines(spark, sf_dir).filter(F.col("source") == "auth")
+    lines.select("line").write.text(path)
+    return path
+
+
+def _counted(events: DataFrame) -> DataFrame:
+    # Text lines have no id of their own: compare how often each event occurs.
+    return events.groupBy("src_ip", "kind", "user", F.unix_micros("ts").alias("us")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@query("read_log_lines", _SSH_LINES)
+def read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = text.read_log_lines(spark, _ssh_folder(spark, sf_dir))
+    return _counted(pa.parse_lines(lines, "auth", YEAR))
+
+
+@query("stream_ingest", _SSH_LINES)
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = text.stream_log_lines(spark, _ssh_folder(spark, sf_dir))
+    events = pa.parse_lines(lines, "auth", YEAR).select("src_ip", "kind", "user", "ts")
+    return _counted(taken(events, "ingest"))
+
+
+@query(
+    "stream_watermark",
+    f"""SELECT us // {DAY} * {DAY} AS start_us, kind, count(*) AS n FROM sec
+        WHERE us // {DAY} * {DAY} + {DAY} <= ({_LAST} - {3 * DAY}) // 1000 * 1000 GROUP BY ALL""",
+)
+def stream_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a bound of three days, the windows of the last three days stay open."""
+    events = sw.with_event_time_bound(sec_stream(spark, sf_dir), "3 days")
+    closed = taken(sw.window_counts(events, "1 day"), "bound")
+    return closed.groupBy("start_us", "kind").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "stream_sinks",
+    """SELECT src_ip, us, severity, channel FROM rinc, (SELECT unnest(['chat', 'hook']) AS channel) WHERE severity IN ('MEDIUM', 'HIGH')""",
+)
+def stream_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents of a stream routed to the outbox table, one idempotent write per batch."""
+    path = new_folder(spark, "outbox")
+    found = fx.as_report_incidents(sec_stream(spark, sf_dir))
+    outbox = ob.route_channels(found, CHANNELS)
+    handlers = [sinks.table_handler(f"{path}/out")]
+    sinks.for_each_batch(outbox, handlers, f"{path}/checkpoint").awaitTermination()
+    return read_appended(spark, f"{path}/out").select("src_ip", "us", "severity", "channel")
+
+
 @query(
     "stream_window_counts",
     f"""SELECT us // {DAY} * {DAY} AS start_us, us // {DAY} * {DAY} + {DAY} AS end_us, src_ip, kind, count(*) AS n
@@ -78,23 +139,6 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(sw.enriched(rows, lookup), "enriched")
 
 
-@query(
-    "stream_pairs",
-    f"""SELECT a.event_id AS probe_id, b.event_id AS fail_id, a.src_ip FROM sec a JOIN sec b ON a.src_ip = b.src_ip
-          AND b.us >= a.us AND b.us <= a.us + {3 * DAY} WHERE a.kind = 'FW_HONEYPOT_PORT' AND b.kind = 'SSH_FAIL'""",
-)
-def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def side(kind: str) -> DataFrame:
-        rows = sec_stream(spark, sf_dir).filter(F.col("kind") == kind)
-        return rows.select("event_id", "src_ip", "ts").withWatermark("ts", "1 hour")
-
-    pairs = sw.paired(side("FW_HONEYPOT_PORT"), side("SSH_FAIL"), "3 days")
-    shown = pairs.select(
-        F.col("a.event_id").alias("probe_id"), F.col("b.event_id").alias("fail_id"), F.col("a.src_ip").alias("src_ip")
-    )
-    return taken(shown, "pairs")
-
-
 @query(
     "stream_detect",
     "SELECT event_id, src_ip, us, severity, fail_count, uniq_users, trigger, reasons FROM inc",

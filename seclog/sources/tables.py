@@ -62,15 +62,26 @@ def with_network(df: DataFrame, cidr: str = "cidr") -> DataFrame:
     )
 
 
+def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV files with a header; columns may be missing or in any order."""
+    text = spark.read.csv(path, header=True)
+    return text.select(
+        *[
+            (F.col(f.name) if f.name in text.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
+    )
+
+
 def load_geo(spark: SparkSession, path: str) -> DataFrame:
     """Geo networks from CSV files with a ``cidr`` column."""
-    return with_network(spark.read.schema(GEO_SCHEMA).csv(path, header=True))
+    return with_network(_csv(spark, path, GEO_SCHEMA))
 
 
 def load_reputation(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REPUTATION_SCHEMA).csv(path, header=True)
+    return _csv(spark, path, REPUTATION_SCHEMA)
 
 
 def load_allowlist(spark: SparkSession, path: str) -> DataFrame:
     """Allowlisted addresses and networks from CSV files with a ``cidr`` column."""
-    return with_network(spark.read.schema(ALLOWLIST_SCHEMA).csv(path, header=True))
+    return with_network(_csv(spark, path, ALLOWLIST_SCHEMA))

@@ -77,20 +77,3 @@ def deduplicated(events: DataFrame, key: str = "event_id") -> DataFrame:
 def enriched(events: DataFrame, lookup: DataFrame, on: str = "src_ip") -> DataFrame:
     """Stream-static join with a lookup table (see ``geo_lookup``)."""
     return events.join(lookup, on, "left")
-
-
-def paired(
-    left: DataFrame, right: DataFrame, within: str, key: str = "src_ip", ts: str = "ts"
-) -> DataFrame:
-    """Pairs of a left event and a right event of one address at most ``within`` later.
-
-    Stream-stream interval join; both sides need an event-time bound, which also
-    limits the state that is kept.
-    """
-    a, b = left.alias("a"), right.alias("b")
-    near = (
-        (F.col(f"a.{key}") == F.col(f"b.{key}"))
-        & (F.col(f"b.{ts}") >= F.col(f"a.{ts}"))
-        & (F.col(f"b.{ts}") <= F.col(f"a.{ts}") + F.expr(f"interval {within}"))
-    )
-    return a.join(b, near)
