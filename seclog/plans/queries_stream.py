@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seclog.config import BlockLimits
 from seclog.operators import enrich as en
 from seclog.operators import outbox as ob
 from seclog.plans import fixtures as fx
@@ -163,21 +164,35 @@ def stream_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _port_requests(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("kind") == "FW_HONEYPOT_PORT").select(
+        F.col("src_ip").alias("ip"), "ts", "us", F.col("event_id").alias("request_id"), F.lit("port").alias("reason")
+    )
+
+
+@query(
+    "stream_block_intervals",
+    f"SELECT ip, us, us + {5 * DAY} AS end_us, 'port' AS reason FROM port_at",
+)
+def stream_block_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "blocks")
+    handler = sd.BlockDetector(f"{path}/state", f"{path}/out", BlockLimits(duration_sec=5 * 86_400))
+    requests = _port_requests(sec_stream(spark, sf_dir)).drop("ts")
+    sinks.for_each_batch(requests, [handler], f"{path}/checkpoint").awaitTermination()
+    return read_appended(spark, f"{path}/out")
+
+
 @query(
     "stream_blocklist",
     f"""SELECT ip, 'block' AS action, us, 'port' AS reason FROM port_at WHERE us // 1000 < (SELECT max(us) FROM port_req) // 1000
         UNION ALL SELECT ip, 'unblock', us + {5 * DAY}, NULL FROM port_at WHERE (us + {5 * DAY}) // 1000 < (SELECT max(us) FROM port_req) // 1000""",
 )
 def stream_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from seclog.config import BlockLimits
     from seclog.streaming.blocklist import ROCKSDB, block_changes
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
         rows = sec_stream(spark, sf_dir).withWatermark("ts", "0 seconds")
-        requests = rows.filter(F.col("kind") == "FW_HONEYPOT_PORT").select(
-            F.col("src_ip").alias("ip"), "ts", "us", F.col("event_id").alias("request_id"), F.lit("port").alias("reason")
-        )
-        return taken(block_changes(requests, BlockLimits(duration_sec=5 * 86_400)), "blocklist")
+        return taken(block_changes(_port_requests(rows), BlockLimits(duration_sec=5 * 86_400)), "blocklist")
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

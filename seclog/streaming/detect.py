@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seclog.config import SECOND_US, DetectionLimits
+from seclog.config import SECOND_US, BlockLimits, DetectionLimits
 from seclog.operators.correlate import RuleSpec, correlate, correlation_alerts
 from seclog.operators.detect import (
     escalate_repeat_offenders,
@@ -26,6 +26,7 @@ from seclog.operators.detect import (
     handled,
     incident_candidates,
 )
+from seclog.operators.suppress import suppress_within
 from seclog.sources.sinks import append_table
 from seclog.sources.staging import staged
 
@@ -136,3 +137,26 @@ class CorrelationDetector(_Incremental):
             fresh, before, until, batch_id, keep, lambda rows: correlation_alerts(rows, self.rules)
         )
         return fired.filter(F.col("us") > before)
+
+
+class BlockDetector(_Incremental):
+    """``foreachBatch`` handler for accepted blocks of requests (ip, us, request_id, reason)."""
+
+    def __init__(
+        self, folder: str, output: str, limits: BlockLimits = BlockLimits(), delay_us: int = 0
+    ) -> None:
+        super().__init__(folder, output, delay_us, 0)
+        self.length_us = limits.duration_sec * SECOND_US
+
+    def judge(self, due: DataFrame, before: int, until: int, batch_id: int) -> DataFrame:
+        fired = self.thin(
+            due.filter(F.col("us") > before),
+            before,
+            until,
+            batch_id,
+            self.length_us,
+            lambda rows: suppress_within(rows, ["ip"], self.length_us, tie="request_id"),
+        )
+        return fired.filter(F.col("us") > before).select(
+            "ip", "us", (F.col("us") + self.length_us).alias("end_us"), "reason"
+        )
