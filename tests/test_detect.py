@@ -205,3 +205,10 @@ def test_block_intervals_and_unblock(spark):
     lift = spark.createDataFrame([("a", 600 * second, 100)], "ip string, us long, request_id long")
     cut = sorted((r.start_us // second, r.end_us // second) for r in blocks.block_intervals(req, unblocks=lift).collect())
     assert cut == [(0, 600), (899, 1799), (2000, 2900)]
+
+
+def test_recent_kind_maps(spark):
+    rows = ssh([1, 2, 3]) + [(9, 2_000_000, "1.1.1.1", "ufw", "FW_BLOCK", None)]
+    counts = correlate.recent_kind_counts(frame(spark, rows), 4_000_000, window_sec=3)
+    (row,) = correlate.kind_count_maps(counts).collect()
+    assert (row.src_ip, row.counts) == ("1.1.1.1", {"SSH_FAIL": 2, "FW_BLOCK": 1})  # the edge at 1 s is outside

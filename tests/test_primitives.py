@@ -94,3 +94,19 @@ def test_running_excludes_current_row(spark):
         earlier = [d for d in data if d[1] == r.src_ip and (d[2], d[0]) < (r.us, r.event_id)]
         assert r.n == len(earlier)
         assert r["last"] == (max(d[2] for d in earlier) if earlier else None)
+
+
+def test_copies_of_a_kept_row_come_out_once(spark):
+    data = [(1, "a", 5, "A", "u")] * 200 + [(2, "a", 6, "A", "u")] * 50 + [(3, "a", 40, "A", "u"), (4, None, 5, "A", "u")]
+    out = suppress_within(frame(spark, data), ["src_ip"], 10).collect()
+    assert sorted((r.event_id, r.us) for r in out) == [(1, 5), (3, 40)]
+
+
+def test_copies_count_in_windows(spark):
+    data = [(i, "a", 5, "A", "u") for i in range(300)] + [(900, "a", 15, "A", "v")]
+    counts = window_counts(
+        frame(spark, data),
+        [Count("n", F.col("kind") == "A", 10), Distinct("users", F.lit(True), 10, value=F.col("user"))],
+        chunk_us=4,
+    )
+    assert sorted((r.us, r.n, r.users) for r in counts.collect()) == [(5, 300, 1), (15, 301, 2)]
