@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seclog.llm import archive, bpe, exact, mixing, quality, simhash, token_counts, token_files, toxicity
+from seclog.llm import archive, bpe, exact, katz, mixing, quality, simhash, token_counts, token_files, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES = {
         token_counts.op7_token_counts,
         mixing.op8_mix_sources,
         toxicity.op9_toxicity,
+        katz.op10_katz_scores,
     )
 }
 ORACLES = {"op5_web_archive": archive.OP5_SQL, "op6_exact_copies": exact.OP6_SQL}
