@@ -42,6 +42,8 @@ class ByteEncoder:
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.pieces = latin_pattern(PIECES).findall
         self.kept: dict[str, bytes] = {}
+        #: Bytes that hold any id of the vocabulary.
+        self.width = 2 if self.own.get_vocab_size() <= 1 << 16 else 4
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -74,29 +76,32 @@ def byte_encoder(name: str) -> ByteEncoder:
     return ByteEncoder(tokenizer_path(name))
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def sequence_schema(length: int, width: int) -> pa.Schema:
+    """Sequences of unsigned integers of ``width`` bytes, and masks of one bit an id."""
+    kind = {2: pa.uint16(), 4: pa.uint32()}[width]
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class SequenceWriter:
     """Appends ids to one Arrow stream file, in batches of ``batch`` sequences of ``length`` ids.
 
     All batches but the last have ``batch`` rows, so id k of the file is in batch k // (batch * length). The last
-    sequence is filled up with 0; its mask is 0 there. At most one batch of ids waits in memory.
+    sequence is filled up with 0; its mask is false there. At most one batch of ids waits in memory.
     """
 
-    def __init__(self, path: str, length: int = LENGTH, batch: int = BATCH) -> None:
+    def __init__(self, path: str, length: int = LENGTH, batch: int = BATCH, width: int = 4) -> None:
         from pyarrow import fs
 
         store, place = fs.FileSystem.from_uri(path)
         store.create_dir(place.rsplit("/", 1)[0], recursive=True)
         self.out = store.open_output_stream(place)
-        self.writer = pa.ipc.new_stream(self.out, sequence_schema(length))
+        self.schema, self.kind = sequence_schema(length, width), {2: np.uint16, 4: np.uint32}[width]
+        self.writer = pa.ipc.new_stream(self.out, self.schema)
         self.length, self.batch = length, batch
         self.waiting, self.held, self.total = [], 0, 0
 
     def append(self, ids: np.ndarray) -> None:
-        self.waiting.append(ids)
+        self.waiting.append(ids.astype(self.kind))
         self.held += len(ids)
         self.total += len(ids)
         full = self.length * self.batch
@@ -108,19 +113,14 @@ class SequenceWriter:
             self.waiting, self.held = [rest], len(rest)
 
     def _write(self, ids: np.ndarray, used: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:used] = 1
+        mask = np.arange(len(ids)) < used
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
-        self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.writer_schema))
-
-    @property
-    def writer_schema(self) -> pa.Schema:
-        return sequence_schema(self.length)
+        self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
         if self.held:
             flat = np.concatenate(self.waiting)
-            padded = np.zeros(-(-len(flat) // self.length) * self.length, np.uint32)
+            padded = np.zeros(-(-len(flat) // self.length) * self.length, self.kind)
             padded[: len(flat)] = flat
             self._write(padded, len(flat))
         self.writer.close()
@@ -141,16 +141,16 @@ class SequenceReader:
 
     def ids(self, start: int, n: int) -> np.ndarray:
         at, skip = divmod(start, self.per_batch)
-        found = self.flat[at][skip : skip + n] if n else np.empty(0, np.uint32)
+        found = self.flat[at][skip : skip + n] if n else np.empty(0, np.uint16)
         while len(found) < n:
             at += 1
             found = np.concatenate((found, self.flat[at][: n - len(found)]))
         return found
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence ``k`` and its mask."""
+        """Sequence ``k``, which is a view of the file, and its mask, unpacked to booleans."""
         batch, row = divmod(k, self.batches[0].num_rows)
-        return tuple(self.batches[batch].column(c)[row].values.to_numpy() for c in ("ids", "mask"))
+        return tuple(self.batches[batch].column(c)[row].values.to_numpy(zero_copy_only=c == "ids") for c in ("ids", "mask"))
 
 
 INDEX = "file string, first long, starts array<long>, lengths array<long>, total long"
@@ -171,7 +171,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_5
         out = None
         stop = array("I", [end]).tobytes()
         for batch in batches:
-            out = out or SequenceWriter(path, length)
+            out = out or SequenceWriter(path, length, width=encoder.width if end < 1 << 16 else 4)
             starts, lengths = [], []
             for ids in encoder.encode_all(texts(batch)):
                 starts.append(out.total)
@@ -219,7 +219,7 @@ def read_token_files(index: DataFrame) -> DataFrame:
                     name, reader = file, SequenceReader(file)
                 starts, lengths = (batch.column(c)[i].as_py() for c in ("starts", "lengths"))
                 base = batch.column("base")[i].as_py()
-                sums = [zlib.crc32(reader.ids(s, n).astype("<u4", copy=False)) for s, n in zip(starts, lengths, strict=True)]
+                sums = [zlib.crc32(reader.ids(s, n).astype("<u4")) for s, n in zip(starts, lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_ids")[i].values, pa.array([base + s for s in starts], pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
