@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seclog.llm.common import documents, mapped, texts
+from seclog.sources.staging import staged
 
 #: Lengths of the n-grams in bytes and the number of hashed features.
 ORDERS = (4, 5, 6)
@@ -61,46 +62,43 @@ def features(text: str) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.int32)
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float, alpha: float = 1.0, ridge: float = 2e-3, steps: int = 150) -> Model:
-    """Ratios and weights from presence of features; ``share`` is the share of toxic rows among all labelled ones.
+def ratios(toxic: np.ndarray, other: np.ndarray, n1: int, n0: int, alpha: float = 1.0, errors: float = 3.5) -> np.ndarray:
+    """Log of a feature's smoothed share in toxic texts over that in the others, from the texts that have it.
 
-    The ratio of a feature is log of its smoothed share in toxic texts over that in the others. Logistic
-    regression on presence times ratio, each class weighed to its share, is minimised by accelerated gradient steps.
+    0 where the difference is within ``errors`` standard errors, as chance gives for most features.
     """
-    if not toxic.any() or toxic.all():
-        return Model(np.zeros(FEATURES, np.float32), 60.0 if len(toxic) and toxic.all() else -60.0)
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    label = np.repeat(toxic, lengths)
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    count = [np.bincount(flat[label == c], minlength=FEATURES).astype(np.float64) for c in (True, False)]
-    ratio = np.log((count[0] + alpha) / (n1 + 2 * alpha)) - np.log((count[1] + alpha) / (n0 + 2 * alpha))
-    # A feature whose difference is what chance would give says nothing.
-    pooled = (count[0] + count[1] + alpha) / (n1 + n0 + 2 * alpha)
+    ratio = np.log((toxic + alpha) / (n1 + 2 * alpha)) - np.log((other + alpha) / (n0 + 2 * alpha))
+    pooled = (toxic + other + alpha) / (n1 + n0 + 2 * alpha)
     error = np.sqrt((1 - pooled) / pooled * (1 / n1 + 1 / n0))
-    ratio = np.where(np.abs(ratio) > 3.5 * error, ratio, 0.0)
-    used = ratio[flat] != 0
-    owner = np.repeat(np.arange(len(rows)), lengths)[used]
-    flat = flat[used]
+    return np.where(np.abs(ratio) > errors * error, ratio, 0.0)
+
+
+def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float, ratio: np.ndarray, ridge: float = 2e-3, steps: int = 150) -> Model:
+    """Learn weights from the features of each row, all with a ratio; ``share`` is that of toxic rows among all labelled ones.
+
+    Logistic regression on presence times ratio, each class weighed to its share, is minimised by accelerated
+    gradient steps.
+    """
+    weight, b = np.zeros(FEATURES, np.float32), float(np.log(share / (1 - share)))
+    flat = np.concatenate(rows)
     names, column = np.unique(flat, return_inverse=True)
-    value = ratio[flat]
-    y = toxic.astype(float)
-    importance = np.where(toxic, share / n1, (1 - share) / n0)
     if not len(names):
-        return Model(np.zeros(FEATURES, np.float32), float(np.log(share / (1 - share))))
-    norm = np.bincount(owner, weights=value * value, minlength=len(rows))
+        return Model(weight, b)
+    n, owner, value = len(rows), np.repeat(np.arange(len(rows)), list(map(len, rows))), ratio[flat]
+    y = toxic.astype(float)
+    importance = np.where(toxic, share / toxic.sum(), (1 - share) / (~toxic).sum())
+    norm = np.bincount(owner, weights=value * value, minlength=n)
     rate = 1 / (0.25 * float((importance * (norm + 1)).sum()) + ridge)
-    w, b = np.zeros(len(names)), float(np.log(share / (1 - share)))
+    w = np.zeros(len(names))
     look_w, look_b, t = w.copy(), b, 1.0
     for _ in range(steps):
-        z = np.bincount(owner, weights=value * look_w[column], minlength=len(rows)) + look_b
+        z = np.bincount(owner, weights=value * look_w[column], minlength=n) + look_b
         g = importance * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
         new_w = look_w - rate * (np.bincount(column, weights=value * g[owner], minlength=len(names)) + ridge * look_w)
         new_b = look_b - rate * float(g.sum())
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look_w, look_b = new_w + (t - 1) / t2 * (new_w - w), new_b + (t - 1) / t2 * (new_b - b)
         w, b, t = new_w, new_b, t2
-    weight = np.zeros(FEATURES, np.float32)
     weight[names] = w * ratio[names]
     return Model(weight, b)
 
@@ -110,12 +108,31 @@ def held_out(doc_id: Column, modulus: int = 5, rest: int = 0) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == rest, F.lit(False))
 
 
+def _counted(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic and other rows that have each feature; added up in tasks, then by feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, FEATURES), np.int64)
+        for batch in batches:
+            for toxic, own in zip(batch.column("is_toxic").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                counts[int(not toxic)][np.frombuffer(own, np.int32)] += 1
+        some = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(c[some]) for c in counts)], names=["feature", "toxic", "other"])
+
+    sums = found.mapInArrow(run, "feature int, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    table = sums.toArrow()  # at most FEATURES rows
+    out = np.zeros((2, FEATURES))
+    for k, c in enumerate(("toxic", "other")):
+        out[k][table.column("feature").to_numpy()] = table.column(c).to_numpy()
+    return out[0], out[1]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on up to ``sample`` labelled rows of each class that are not held out.
 
     The chosen rows are at most 2 * sample doc_ids, so they are broadcast; texts stay where they are and become
-    feature numbers there. Rows with a null doc_id or label teach nothing; a doc_id with several labels is
-    toxic if any of them is.
+    feature numbers there. Only the features whose ratio counts, of those rows, reach the driver. Rows with a null
+    doc_id or label teach nothing; a doc_id with several labels is toxic if any of them is.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id")))
@@ -127,12 +144,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         chosen = part if chosen is None else chosen.union(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     kind = "is_toxic boolean, found binary"
-    found = mapped(rows, lambda b: {"is_toxic": b.column("is_toxic"), "found": [features(t).tobytes() for t in texts(b)]}, kind).toArrow()
-    toxic = np.array(found.column("is_toxic").to_pylist(), bool)
-    order = sorted(range(len(toxic)), key=lambda i: (bool(toxic[i]), found.column("found")[i].as_py()))
-    numbers = [np.frombuffer(found.column("found")[i].as_py(), np.int32) for i in order]
-    total = sum(counts.values())
-    return fit(numbers, toxic[order], counts.get(True, 0) / total if total else 0.0)
+    found = staged(mapped(rows, lambda b: {"is_toxic": b.column("is_toxic"), "found": [features(t).tobytes() for t in texts(b)]}, kind), "features")
+    sizes = {r[0]: r[1] for r in found.groupBy("is_toxic").count().collect()}
+    if not sizes.get(True) or not sizes.get(False):
+        return Model(np.zeros(FEATURES, np.float32), 60.0 if sizes.get(True) else -60.0)
+    ratio = ratios(*_counted(found), sizes[True], sizes[False])
+    counts_ = ratio != 0
+
+    def only(b: pa.RecordBatch) -> dict:
+        own = [np.frombuffer(x, np.int32) for x in b.column("found").to_pylist()]
+        return {"is_toxic": b.column("is_toxic"), "found": [x[counts_[x]].tobytes() for x in own]}
+
+    table = mapped(found, only, kind).toArrow().sort_by([("is_toxic", "ascending"), ("found", "ascending")])
+    numbers = [np.frombuffer(x, np.int32) for x in table.column("found").to_pylist()]
+    return fit(numbers, table.column("is_toxic").to_numpy(), counts[True] / (counts[True] + counts[False]), ratio)
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
