@@ -141,9 +141,9 @@ OP5_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
      g AS (SELECT html, max(page_id) AS last FROM p GROUP BY html),
      x AS (SELECT p.page_id, p.html, g.last, sha1(p.html) AS h FROM p JOIN g ON p.html = g.html),
-     b AS (SELECT *, list_transform(range(40), i -> strpos('0123456789abcdef', substr(h, CAST(i + 1 AS BIGINT), 1)) - 1) AS n FROM x)
+     b AS (SELECT *, list_transform(range(40), lambda i: strpos('0123456789abcdef', substr(h, CAST(i + 1 AS BIGINT), 1)) - 1) AS n FROM x)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(32), k -> substr('{BASE32}', CAST(1 + (
+       array_to_string(list_transform(range(32), lambda k: substr('{BASE32}', CAST(1 + (
            (n[CAST((5 * k) // 4 + 1 AS BIGINT)] * 16 + coalesce(n[CAST((5 * k) // 4 + 2 AS BIGINT)], 0))
            // CAST(pow(2, 3 - (5 * k) % 4) AS BIGINT)) % 32 AS BIGINT), 1)), '') AS payload_digest,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
