@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seclog.config import SECOND_US, DetectionLimits, ReputationLimits
 from seclog.functions.scalar import severity_of_rank, severity_rank
+from seclog.operators.enrich import one_per_address
 from seclog.operators.suppress import suppress_within
 from seclog.operators.sweep import Count, Distinct, window_counts
 from seclog.schema import HANDLED_KINDS, NET_HINT, SYS_KINDS, WEB_KINDS
@@ -120,7 +121,7 @@ def incident_candidates(
         flag = F.lit(None).cast("string")
     else:
         least = (reputation_limits or ReputationLimits()).flag_score
-        flagged = reputation.filter((F.col("abuse_score") >= least) & F.col("is_public")).select(
+        flagged = one_per_address(reputation).filter((F.col("abuse_score") >= least) & F.col("is_public")).select(
             F.col("ip").alias("src_ip"),
             _text(
                 "abuseipdb_score=", F.col("abuse_score"), " reports=", F.col("total_reports"),

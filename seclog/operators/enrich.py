@@ -21,6 +21,17 @@ GEO_TEXT = ("country", "country_code", "city", "isp", "org", "asn")
 GEO_BOOL = ("proxy", "hosting")
 
 
+def _proposed(addresses: DataFrame, ip: str, prefixes: Sequence[int]) -> DataFrame:
+    """(__ip, prefix_len, lo): per distinct address one network of each length; ``lo`` is null if it is not IPv4."""
+    distinct = addresses.select(F.col(ip).alias("__ip")).distinct()
+    number = ipv4_to_long(F.col("__ip"))
+    return (
+        distinct.withColumn("__number", number)
+        .select("__ip", "__number", F.explode(F.array(*[F.lit(p) for p in prefixes])).alias("prefix_len"))
+        .select("__ip", "prefix_len", network_of(F.col("__number"), F.col("prefix_len")).alias("lo"))
+    )
+
+
 def matching_networks(
     addresses: DataFrame, networks: DataFrame, ip: str = "ip", prefixes: Sequence[int] = ALL_PREFIXES
 ) -> DataFrame:
@@ -31,14 +42,7 @@ def matching_networks(
     table by equality -- no range comparison, so no nested-loop join and no
     pairs that fail. Name only the prefix lengths that occur to explode less.
     """
-    distinct = addresses.select(F.col(ip).alias("__ip")).distinct()
-    number = ipv4_to_long(F.col("__ip"))
-    proposed = (
-        distinct.withColumn("__number", number)
-        .filter(F.col("__number").isNotNull())
-        .select("__ip", "__number", F.explode(F.array(*[F.lit(p) for p in prefixes])).alias("prefix_len"))
-        .select("__ip", "prefix_len", network_of(F.col("__number"), F.col("prefix_len")).alias("lo"))
-    )
+    proposed = _proposed(addresses, ip, prefixes).filter(F.col("lo").isNotNull())
     table = networks.withColumn("prefix_len", F.col("prefix_len").cast("int"))
     return proposed.join(table, ["prefix_len", "lo"]).withColumnRenamed("__ip", ip)
 
@@ -49,12 +53,16 @@ def geo_lookup(
     """One row per distinct address: location of the most specific network holding it."""
     have = set(ranges.columns)
     fields = [c for c in GEO_TEXT + GEO_BOOL if c in have]
+    # Addresses are read once: proposals that meet no network stay, as rows without location.
+    proposed = _proposed(addresses.filter(F.col(ip).isNotNull()), ip, prefixes)
+    table = ranges.withColumn("prefix_len", F.col("prefix_len").cast("int")).withColumn("__met", F.lit(True))
+    met = F.when(F.col("__met"), F.col("prefix_len"))
     found = (
-        matching_networks(addresses, ranges, ip, prefixes)
-        .groupBy(ip)
-        .agg(F.max_by(F.struct(*fields), F.col("prefix_len")).alias("g"))
+        proposed.join(table, ["prefix_len", "lo"], "left")
+        .groupBy("__ip")
+        .agg(F.max_by(F.struct(*fields), met).alias("g"))
+        .withColumnRenamed("__ip", ip)
     )
-    every = addresses.select(ip).filter(F.col(ip).isNotNull()).distinct()
     local = is_private(F.col(ip))
 
     def text(name: str, at_home: str, otherwise: str):
@@ -66,7 +74,7 @@ def geo_lookup(
         return F.when(local, False).otherwise(F.coalesce(known, F.lit(False))).alias(name)
 
     code = F.coalesce(F.col("g.country_code"), F.lit(UNKNOWN_CODE))
-    return every.join(found, ip, "left").select(
+    return found.select(
         ip,
         text("country", LOCAL_COUNTRY, UNKNOWN_COUNTRY),
         text("country_code", LOCAL_CODE, UNKNOWN_CODE),
@@ -98,8 +106,11 @@ def geo_enrich(
 def reputation_enrich(
     events: DataFrame, reputation: DataFrame, limits: ReputationLimits = ReputationLimits()
 ) -> DataFrame:
-    """Events with abuse score, reports and provider; ``flagged`` if bad and public."""
-    side = reputation.select(
+    """Events with abuse score, reports and provider; ``flagged`` if bad and public.
+
+    Of several records of an address the latest counts, so events are never multiplied.
+    """
+    side = one_per_address(reputation).select(
         F.col("ip").alias("src_ip"),
         "abuse_score",
         "total_reports",
@@ -113,6 +124,15 @@ def reputation_enrich(
     )
 
 
+def one_per_address(records: DataFrame, ip: str = "ip") -> DataFrame:
+    """The latest record per address; without ``fetched_us``, the one with the highest score."""
+    payload = [c for c in records.columns if c != ip]
+    latest = F.coalesce("fetched_us", F.lit(0)) if "fetched_us" in payload else F.coalesce("abuse_score", F.lit(0))
+    return records.groupBy(ip).agg(F.max_by(F.struct(*payload), latest).alias("r")).select(
+        ip, *[F.col(f"r.{c}").alias(c) for c in payload]
+    )
+
+
 def fresh_records(records: DataFrame, as_of_us: int, ttl_sec: int, ip: str = "ip") -> DataFrame:
     """Latest record per address if it is younger than ``ttl_sec`` at ``as_of_us``.
 

@@ -36,11 +36,13 @@ def training_sample(
     """(tree, rank, features...) with at most ``sample_size`` rows per tree.
 
     A row goes to one tree; only when the data are too few to fill the trees
-    does it go to several, as many as are needed.
+    does it go to several, as many as are needed. With fewer than
+    ``min_samples`` rows there is no sample, and so an empty forest. The sample
+    size per tree is a parameter of the method; scoring reads every row.
     """
     have = rows.count()
     if have < limits.min_samples:
-        raise ValueError(f"need at least {limits.min_samples} rows to train, got {have}")
+        rows, have = rows.limit(0), 1
     wanted = limits.trees * limits.sample_size
     copies = min(limits.trees, math.ceil(2 * wanted / have))
     first = F.pmod(F.xxhash64(*identity, F.lit(limits.seed)), F.lit(limits.trees))

@@ -161,7 +161,7 @@ CTES = {
              {AS_OF_US} - c_custkey % 40 * 3600000000 AS fetched_us
       FROM customer""",
     "allow": f"""
-      SELECT {BASE} + s_suppkey * 3 AS lo, {BASE} + s_suppkey * 3 AS hi FROM supplier WHERE s_suppkey < 10
+      SELECT {BASE} + s_suppkey * 3 AS lo, {BASE} + s_suppkey * 3 AS hi FROM supplier
       UNION ALL SELECT {BASE} + 64, {BASE} + 79""",
     "allowed": f"SELECT DISTINCT src_ip FROM ips JOIN allow ON {BASE} + user_id BETWEEN lo AND hi",
     "req": "SELECT src_ip AS ip, us, event_id AS request_id, reasons AS reason FROM inc WHERE severity = 'HIGH'",
@@ -192,7 +192,7 @@ CTES = {
              ELSE '/usr/bin/sudo' END || '.' || doc_id AS path,
              sha256(text) AS hash, n_chars AS size, {AS_OF_US - DAY} AS mtime, '0o100644' AS mode,
              {AS_OF_US - 9 * DAY} AS first_seen_us, {AS_OF_US - 2 * DAY} AS last_seen_us
-      FROM documents WHERE doc_id % 10 <> 0""",
+      FROM documents WHERE doc_id % 10 <> 0 OR doc_id % 70 = 0""",
     "fim_new": f"""
       SELECT CASE doc_id % 8 WHEN 0 THEN '/etc/passwd' WHEN 1 THEN '/etc/cron.d/job' WHEN 2 THEN '/home/a/.ssh/authorized_keys'
              WHEN 3 THEN '/var/log/app' WHEN 4 THEN '/etc/hosts' WHEN 5 THEN '/opt/data' WHEN 6 THEN '/etc/sudoers.d/x'
@@ -200,7 +200,7 @@ CTES = {
              CASE WHEN doc_id % 23 <> 0 THEN sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) END AS hash,
              n_chars + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS size, {AS_OF_US} AS mtime,
              CASE WHEN doc_id % 11 = 0 THEN '0o100777' ELSE '0o100644' END AS mode
-      FROM documents WHERE doc_id % 7 <> 0""",
+      FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 70 = 0""",
     "fim_pair": """
       SELECT coalesce(o.path, n.path) AS path, o.path IS NOT NULL AS had, n.path IS NOT NULL AS has,
              o.hash AS old_hash, n.hash AS new_hash, o.mode AS old_mode, n.mode AS new_mode, o.size AS old_size, n.size AS new_size,

@@ -278,10 +278,10 @@ def reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single addresses of the first suppliers plus one /28."""
+    """A single address per supplier plus one /28."""
     key = F.col("s_suppkey")
     base = 198 * 256**3 + 18 * 256**2
-    suppliers = read_table(spark, sf_dir, "supplier").filter(key < 10)
+    suppliers = read_table(spark, sf_dir, "supplier")
     single = suppliers.select((F.lit(base) + key * 3).cast("long").alias("lo"), F.lit(32).alias("prefix_len"))
     block = suppliers.filter(key == 0).select(F.lit(base + 64).cast("long").alias("lo"), F.lit(28).alias("prefix_len"))
     return single.unionByName(block)
@@ -305,7 +305,7 @@ def fim_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
     return (
         read_table(spark, sf_dir, "documents")
-        .filter(key % 10 != 0)
+        .filter((key % 10 != 0) | (key % 70 == 0))
         .select(
             _file_path(key).alias("path"),
             F.sha2("text", 256).alias("hash"),
@@ -325,7 +325,7 @@ def fim_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when(key % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     return (
         read_table(spark, sf_dir, "documents")
-        .filter(key % 7 != 0)
+        .filter((key % 7 != 0) | (key % 70 == 0))
         .select(
             _file_path(key).alias("path"),
             F.when(key % 23 != 0, F.sha2(content, 256)).alias("hash"),

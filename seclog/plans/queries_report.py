@@ -61,7 +61,7 @@ def timeline_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     "timeline_24h_filled",
     f"""SELECT CAST(h AS INTEGER) AS hour_offset, s AS severity, (SELECT count(*) FROM rinc WHERE severity = s AND us >= {AS_OF_US - DAY} AND us <= {AS_OF_US}
           AND least(23, (us - {AS_OF_US - DAY}) // 3600000000) = h) AS n
-        FROM (SELECT unnest(range(24)) AS h), (SELECT unnest(['HIGH', 'MEDIUM']) AS s)""",
+        FROM (SELECT unnest(range(24)) AS h), (SELECT unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW']) AS s)""",
 )
 def timeline_24h_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.timeline_filled(fx.report_incidents(spark, sf_dir), AS_OF_US)
@@ -141,7 +141,7 @@ _COUNTERS = f"""
   UNION ALL SELECT 'ssh_fails_total', '', count(*) FROM sec WHERE kind = 'SSH_FAIL'
   UNION ALL SELECT 'blocks_total', '', count(*) FROM blocks
   UNION ALL SELECT 'blocks_active', '', count(*) FROM blocks WHERE start_us <= {AS_OF_US} AND end_us > {AS_OF_US}
-  UNION ALL SELECT 'incidents_total', s, (SELECT count(*) FROM rinc WHERE severity = s) FROM (SELECT unnest(['HIGH', 'MEDIUM', 'LOW']) AS s)"""
+  UNION ALL SELECT 'incidents_total', s, (SELECT count(*) FROM rinc WHERE severity = s) FROM (SELECT unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW']) AS s)"""
 
 
 def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +239,16 @@ def expose_top_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.expose_top_ips(rp.top_failing_ips(fx.sec_events(spark, sf_dir), _geo(spark, sf_dir)))
 
 
-@query("report_document")
+@query(
+    "report_document",
+    f"""SELECT CAST(to_json({{'period_days': {_DAYS}, 'generated_at': strftime(make_timestamp({AS_OF_US}), '%Y-%m-%dT%H:%M:%SZ'),
+          'since': strftime(make_timestamp({_SINCE}), '%Y-%m-%dT%H:%M:%SZ'),
+          'totals': {{'block_count': held, 'fim_alert_count': fim, 'fim_critical': crit, 'high_count': high, 'medium_count': medium, 'total_incidents': total}},
+          'top_attackers': (SELECT list({{'src_ip': src_ip, 'incident_count': n, 'max_severity': worst}} ORDER BY n DESC, src_ip) FROM (
+            SELECT src_ip, count(*) AS n, {_WORST} AS worst FROM rinc WHERE us >= {_SINCE} AND us <= {AS_OF_US} GROUP BY src_ip ORDER BY n DESC, src_ip LIMIT 10))}})
+          AS VARCHAR) AS document FROM ({_TOTALS})""",
+)
 def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fx.report_incidents(spark, sf_dir).withColumn("flag", country_flag(F.lit("AB")))
+    found = found.filter(F.col("us").between(_SINCE, AS_OF_US))
     return rp.report_document(_report(spark, sf_dir), rp.top_attackers(found), AS_OF_US, _DAYS)

@@ -146,7 +146,7 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "detect")
-    handler = sd.IncidentDetector(f"{path}/state", f"{path}/out", LIMITS)
+    handler = sd.IncidentDetector(f"{path}/state", f"{path}/out", LIMITS, delay_us=0)
     sinks.for_each_batch(sec_stream(spark, sf_dir), [handler], f"{path}/checkpoint").awaitTermination()
     return read_appended(spark, f"{path}/out").select(
         "event_id", "src_ip", "us", "severity", "fail_count", "uniq_users", "trigger",
@@ -157,7 +157,7 @@ def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_correlate", "SELECT src_ip, us, rule, confidence, severity, description FROM corr_kept")
 def stream_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "correlate")
-    handler = sd.CorrelationDetector(f"{path}/state", f"{path}/out", RULES, chunk_us=CHUNK_US)
+    handler = sd.CorrelationDetector(f"{path}/state", f"{path}/out", RULES, delay_us=0, chunk_us=CHUNK_US)
     sinks.for_each_batch(sec_stream(spark, sf_dir), [handler], f"{path}/checkpoint").awaitTermination()
     return read_appended(spark, f"{path}/out").select(
         "src_ip", "us", "rule", "confidence", "severity", "description"
@@ -176,7 +176,7 @@ def _port_requests(rows: DataFrame) -> DataFrame:
 )
 def stream_block_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "blocks")
-    handler = sd.BlockDetector(f"{path}/state", f"{path}/out", BlockLimits(duration_sec=5 * 86_400))
+    handler = sd.BlockDetector(f"{path}/state", f"{path}/out", BlockLimits(duration_sec=5 * 86_400), delay_us=0)
     requests = _port_requests(sec_stream(spark, sf_dir)).drop("ts")
     sinks.for_each_batch(requests, [handler], f"{path}/checkpoint").awaitTermination()
     return read_appended(spark, f"{path}/out")

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from seclog.config import DAY_US, HOUR_US
 from seclog.functions.scalar import iso_from_micros, severity_of_rank, severity_rank
 
-REPORTED = ("HIGH", "MEDIUM", "LOW")
+REPORTED = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
 
 def recent_incidents(incidents: DataFrame, limit: int = 50) -> DataFrame:
-    """The newest incidents; the limit is kept within 1..500."""
-    return incidents.orderBy(F.desc("us"), "src_ip").limit(max(1, min(limit, 500)))
+    """The ``limit`` newest incidents."""
+    if limit < 1:
+        raise ValueError(f"limit must be at least 1, got {limit}")
+    return incidents.orderBy(F.desc("us"), "src_ip").limit(limit)
 
 
 def top_attackers(incidents: DataFrame, limit: int | None = 20) -> DataFrame:
@@ -65,7 +67,7 @@ def timeline_filled(
     grid = (
         incidents.sparkSession.range(1)
         .select(F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("hour_offset"))
-        .select("hour_offset", F.explode(F.array(*[F.lit(s) for s in REPORTED[:2]])).alias("severity"))
+        .select("hour_offset", F.explode(F.array(*[F.lit(s) for s in REPORTED])).alias("severity"))
     )
     return grid.join(counted, ["hour_offset", "severity"], "left").select(
         "hour_offset", "severity", F.coalesce("n", F.lit(0)).alias("n")
@@ -266,11 +268,24 @@ def top_failing_ips(events: DataFrame, geo: DataFrame | None = None, limit: int
 
 
 def top_failing_ips_approx(events: DataFrame, limit: int = 10, tracked: int = 10_000) -> DataFrame:
-    """The same from a mergeable sketch of ``tracked`` counters: one row, no shuffle of keys."""
-    top = events.filter((F.col("kind") == "SSH_FAIL") & F.col("src_ip").isNotNull()).agg(
-        F.expr(f"approx_top_k(src_ip, {limit}, {tracked})").alias("t")
-    )
-    return top.select(F.explode("t").alias("i")).select(
+    """The same from a mergeable sketch of ``tracked`` counters: one row, no shuffle of keys.
+
+    A count is off by at most a share of 1 / (0.75 * tracked) of all failures once more addresses than
+    0.75 * tracked occur; where that could reach the last of the top, an error says so.
+    """
+    rows = events.filter((F.col("kind") == "SSH_FAIL") & F.col("src_ip").isNotNull())
+    top = rows.agg(
+        F.expr(f"approx_top_k(src_ip, {limit}, {tracked})").alias("t"),
+        F.count(F.lit(1)).alias("n"),
+        F.approx_count_distinct("src_ip").alias("addresses"),
+    )
+    exact = F.col("addresses") * 1.2 < 0.75 * tracked
+    least = F.array_min(F.transform("t", lambda i: i["count"]))
+    sure = exact | (least > F.col("n") / (0.75 * tracked)) | (F.size("t") == 0)
+    checked = F.when(sure, F.col("t")).otherwise(
+        F.raise_error(F.lit(f"{tracked} counters are too few for this many addresses"))
+    )
+    return top.select(F.explode(checked).alias("i")).select(
         F.col("i.item").alias("src_ip"), F.col("i.count").alias("fails")
     )
 
@@ -308,7 +323,7 @@ def rate_series(
 
 
 def expose_metrics(counters: DataFrame, prefix: str = "seclog") -> DataFrame:
-    """Counters as text exposition lines."""
+    """Counters as text exposition lines; ``expose_headers`` has the HELP and TYPE lines that go before them."""
     name = F.concat(F.lit(prefix + "_"), F.col("metric"))
     label = F.when(F.col("label") == "", "").otherwise(
         F.concat(F.lit('{severity="'), F.col("label"), F.lit('"}'))
@@ -343,13 +358,13 @@ def expose_headers(prefix: str = "seclog") -> list[str]:
 
 
 def report_document(
-    report: DataFrame, top: DataFrame, as_of_us: int, days: int
+    report: DataFrame, top: DataFrame, as_of_us: int, days: int, k: int = 10
 ) -> DataFrame:
-    """The period report as one JSON text: totals and at most ten top attackers."""
+    """The period report as one JSON text: totals and the ``k`` top attackers of ``top``."""
     totals = report.agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("totals")
     )
-    best = top.orderBy(F.desc("incident_count"), "src_ip").limit(10).agg(
+    best = top.orderBy(F.desc("incident_count"), "src_ip").limit(k).agg(
         F.array_sort(
             F.collect_list(
                 F.struct(

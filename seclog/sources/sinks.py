@@ -2,30 +2,52 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _with_day(rows: DataFrame, us: str) -> DataFrame:
     return rows.withColumn("day", F.to_date(F.timestamp_micros(F.col(us))))
 
 
-def append_table(rows: DataFrame, path: str, us: str = "us", batch: int | None = None) -> None:
+def append_table(
+    rows: DataFrame, path: str, us: str = "us", batch: int | None = None, query: str = "stream"
+) -> None:
     """Append rows below ``path``, in one folder per batch and day.
 
     A streaming batch that runs again replaces its own folder, so a retried
-    micro-batch leaves no duplicates.
+    micro-batch leaves no duplicates; streams that share a table need their own
+    ``query`` names. Rows appended without a batch get a folder of their own.
     """
-    target = f"{path}/batch={0 if batch is None else batch}"
-    mode = "append" if batch is None else "overwrite"
-    # Rows of one day meet in few tasks, so that a day is not spread over many small files.
-    _with_day(rows, us).repartition("day", F.pmod(F.xxhash64(us), F.lit(8))).write.mode(mode).partitionBy(
-        "day"
-    ).parquet(target)
+    target = f"{path}/batch={uuid.uuid4().hex if batch is None else f'{query}-{batch}'}"
+    # Rows of a day meet in few files; a large day is split by size.
+    _with_day(rows, us).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(target)
+
 
+def read_appended(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    since_us: int | None = None,
+    until_us: int | None = None,
+) -> DataFrame:
+    """What was appended below ``path``; give ``schema`` where it may hold no rows yet.
 
-def read_appended(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path).drop("batch", "day")
+    ``since_us`` and ``until_us`` name the days to read, so only their folders are opened.
+    """
+    reader = spark.read.option("basePath", path)
+    if schema is not None:
+        own = T.StructType([f for f in schema.fields if f.name not in ("batch", "day")])
+        reader = reader.schema(own.add("batch", "string").add("day", "date"))
+    rows = reader.parquet(path)
+    if since_us is not None:
+        rows = rows.filter(F.col("day") >= F.to_date(F.timestamp_micros(F.lit(since_us))))
+    if until_us is not None:
+        rows = rows.filter(F.col("day") <= F.to_date(F.timestamp_micros(F.lit(until_us))))
+    return rows.drop("batch", "day")
 
 
 def write_incidents(incidents: DataFrame, path: str, batch: int | None = None) -> None:

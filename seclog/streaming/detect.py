@@ -7,7 +7,9 @@ runs again reads the same state and replaces its own results. Nothing is held pe
 key in one task: the operators split hot addresses as they do in batch.
 
 Rows are judged once the event-time bound has passed them, in event order, so the
-results equal the batch results over the same events.
+results equal the batch results over the same events. Rows that come later than the
+bound allows are kept in a table of their own, which ``late_rows`` reads and counts.
+State older than the previous batch is removed.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seclog.config import SECOND_US, BlockLimits, DetectionLimits
 from seclog.operators.correlate import RuleSpec, correlate, correlation_alerts
@@ -27,8 +30,8 @@ from seclog.operators.detect import (
     incident_candidates,
 )
 from seclog.operators.suppress import suppress_within
-from seclog.sources.sinks import append_table
-from seclog.sources.staging import staged
+from seclog.sources.sinks import append_table, read_appended
+from seclog.sources.staging import remove, staged
 
 _START = -(2**62)
 
@@ -51,6 +54,10 @@ class _State:
         rows.write.mode("overwrite").parquet(self._at(batch, name))
         return rows.sparkSession.read.schema(rows.schema).parquet(self._at(batch, name))
 
+    def forget(self, spark: SparkSession, batch: int, name: str) -> None:
+        if batch >= 0:
+            remove(spark, self._at(batch, name))
+
     def judged_until(self, spark: SparkSession, batch: int) -> int:
         if batch < 0:
             return _START
@@ -70,6 +77,7 @@ class _Incremental:
         spark = batch.sparkSession
         before = self.state.judged_until(spark, batch_id - 1)
         carried = self.state.load(spark, batch_id - 1, "events", batch)
+        append_table(batch.filter(F.col("us") <= before), f"{self.state.folder}/late", "us", batch_id)
         rows = staged(carried.unionByName(batch.filter(F.col("us") > before)), "rows")
         newest = rows.agg(F.max("us")).first()[0]
         until = before if newest is None else max(before, newest - self.delay_us)
@@ -79,6 +87,12 @@ class _Incremental:
         self.state.save(
             spark.range(1).select(F.lit(until).cast("long").alias("us")), batch_id, "judged"
         )
+        for name in ("events", "fired", "judged"):
+            self.state.forget(spark, batch_id - 2, name)
+
+    def late_rows(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        """Rows that came after their time was judged."""
+        return read_appended(spark, f"{self.state.folder}/late", schema)
 
     def judge(self, due: DataFrame, before: int, until: int, batch_id: int) -> DataFrame:
         raise NotImplementedError
@@ -107,7 +121,7 @@ class _Incremental:
 class IncidentDetector(_Incremental):
     """``foreachBatch`` handler for incidents (candidates, cooldown, escalation)."""
 
-    def __init__(self, folder: str, output: str, limits: DetectionLimits, delay_us: int = 0) -> None:
+    def __init__(self, folder: str, output: str, limits: DetectionLimits, delay_us: int) -> None:
         super().__init__(folder, output, delay_us, limits.window_sec * SECOND_US)
         self.limits = limits
 
@@ -124,7 +138,7 @@ class CorrelationDetector(_Incremental):
     """``foreachBatch`` handler for correlation alerts."""
 
     def __init__(
-        self, folder: str, output: str, rules: Sequence[RuleSpec], delay_us: int = 0,
+        self, folder: str, output: str, rules: Sequence[RuleSpec], delay_us: int,
         chunk_us: int = 3_600_000_000,
     ) -> None:
         super().__init__(folder, output, delay_us, max(r.window_sec for r in rules) * SECOND_US)
@@ -143,7 +157,7 @@ class BlockDetector(_Incremental):
     """``foreachBatch`` handler for accepted blocks of requests (ip, us, request_id, reason)."""
 
     def __init__(
-        self, folder: str, output: str, limits: BlockLimits = BlockLimits(), delay_us: int = 0
+        self, folder: str, output: str, limits: BlockLimits, delay_us: int
     ) -> None:
         super().__init__(folder, output, delay_us, 0)
         self.length_us = limits.duration_sec * SECOND_US

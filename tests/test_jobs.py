@@ -125,6 +125,42 @@ def test_streaming_detection_equals_batch(spark, tmp_path):
     assert got == want and want
 
 
+def test_appended_rows_and_batches_do_not_collide(spark, tmp_path):
+    rows = lambda n: spark.range(n).select("id", (F.col("id") * 1000).alias("us"))
+    path = str(tmp_path / "t")
+    sinks.append_table(rows(10), path)
+    sinks.append_table(rows(3), path, batch=0)
+    sinks.append_table(rows(3), path, batch=0)
+    sinks.append_table(rows(2), path, batch=0, query="other")
+    assert sinks.read_appended(spark, path).count() == 15
+    assert sinks.read_appended(spark, path, since_us=86_400_000_000).count() == 0
+    empty = str(tmp_path / "e")
+    sinks.append_table(rows(0), empty)
+    assert sinks.read_appended(spark, empty, rows(0).schema).collect() == []
+
+
+def test_equal_lines_of_one_second_stay_events_of_their_own(spark, tmp_path):
+    (tmp_path / "a.log").write_text("Apr 15 10:00:00 s sshd[1]: Failed password for x from 1.2.3.4 port 1 ssh2\n" * 12)
+    lines = text.read_log_lines(spark, str(tmp_path / "a.log"))
+    ids = [r.event_id for r in lines.collect()]
+    assert len(set(ids)) == 12 and sorted(ids) == sorted(r.event_id for r in text.read_log_lines(spark, str(tmp_path / "a.log")).collect())
+
+
+def test_an_instant_split_over_batches(spark, tmp_path):
+    """Six failures of one second in each of two batches are one brute force; what comes too late is kept."""
+    fails = [(i, 5 * SECOND_US, "1.2.3.4", "auth", "SSH_FAIL", "u") for i in range(12)]
+    end = [(99, 100 * SECOND_US, "9.9.9.9", "ufw", "FW_BLOCK", None)]
+    late = [(100, 6 * SECOND_US, "1.2.3.4", "auth", "SSH_FAIL", "u")]
+    handler = sd.IncidentDetector(str(tmp_path / "s"), str(tmp_path / "out"), LIMITS, SECOND_US)
+    for n, rows in enumerate((fails[:6], fails[6:], end, late)):
+        handler(frame(spark, rows), n)
+    want = {(r.event_id, r.us) for r in detect.incidents(frame(spark, fails), LIMITS).collect()}
+    got = {(r.event_id, r.us) for r in sinks.read_appended(spark, str(tmp_path / "out")).collect()}
+    assert got == want and got
+    assert [r.event_id for r in handler.late_rows(spark, frame(spark, late).schema).collect()] == [100]
+    assert sorted(p.name for p in (tmp_path / "s" / "events").glob("batch=*")) == ["batch=2", "batch=3"]
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     folder = str(tmp_path / "in")
     for part in ([(1, 0), (2, 5000)], [(3, 100)], [(4, 9000)]):
