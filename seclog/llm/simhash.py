@@ -67,9 +67,10 @@ def variants(fp: Column, distance: int = DISTANCE) -> Column:
     for offset, length in segments(distance):
         segment = F.shiftrightunsigned(fp, offset).bitwiseAND(F.lit((1 << length) - 1))
         for bit in range(length):
-            tag = (offset + bit) << 56 if offset + bit < 0 else (offset + bit)
+            tag = F.lit(offset + bit).cast("long")
             rest = segment.bitwiseAND(F.lit(((1 << length) - 1) & ~(1 << bit)))
-            keys.append(F.shiftleft(rest, 6).bitwiseOR(F.lit(tag).cast("long")) if length <= 57 else F.xxhash64(rest, F.lit(tag)))
+            # A segment of more bits than leave room for the number is hashed; what is not alike fails the comparison.
+            keys.append(F.shiftleft(rest, 6).bitwiseOR(tag) if length <= 57 else F.xxhash64(rest, tag))
     return F.array(*keys)
 
 
