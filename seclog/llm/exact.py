@@ -60,8 +60,10 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     repeat doc_id and text each get a row, of which one at most is kept; a null doc_id is smaller than any other
     (a group of nulls only keeps one row, with keep_id null). Other columns are not read; no rows give no rows.
     """
-    made = recipes(docs)
+    made = staged(recipes(docs), "recipes")
+    # As a table of its own, so that the join below has two shuffled sides and can split a group with many rows.
     groups = made.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = staged(groups, "groups")
     rows = made.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
     )
