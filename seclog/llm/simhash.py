@@ -187,8 +187,9 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     marked = staged(fingerprints(docs), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = roots(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    placed = nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    placed = staged(nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
+    # A table of its own: the join below then has two shuffled sides and can split a large component.
+    least = staged(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = placed.join(least, "root").select("fp", "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(named, "fp").select("doc_id", text, "component_id")
