@@ -157,10 +157,11 @@ def engine_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "expose_metrics",
-    f"""SELECT 'seclog_' || metric || CASE WHEN label = '' THEN '' ELSE '{{severity="' || label || '"}}' END || ' ' || value AS line FROM ({_COUNTERS})""",
+    f"""SELECT 'seclog_' || metric || CASE WHEN label = '' THEN '' ELSE '{{severity="' || label || '"}}' END || ' ' || value AS line FROM ({_COUNTERS})
+        UNION ALL SELECT unnest({rp.expose_headers()})""",
 )
 def expose_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rp.expose_metrics(_counters(spark, sf_dir))
+    return rp.expose_metrics(_counters(spark, sf_dir), headers=True)
 
 
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,13 +322,17 @@ def rate_series(
     )
 
 
-def expose_metrics(counters: DataFrame, prefix: str = "seclog") -> DataFrame:
-    """Counters as text exposition lines; ``expose_headers`` has the HELP and TYPE lines that go before them."""
+def expose_metrics(counters: DataFrame, prefix: str = "seclog", headers: bool = False) -> DataFrame:
+    """Counters as text exposition lines, with the HELP and TYPE lines of all metrics if asked for."""
     name = F.concat(F.lit(prefix + "_"), F.col("metric"))
     label = F.when(F.col("label") == "", "").otherwise(
         F.concat(F.lit('{severity="'), F.col("label"), F.lit('"}'))
     )
-    return counters.select(F.concat(name, label, F.lit(" "), F.col("value")).alias("line"))
+    lines = counters.select(F.concat(name, label, F.lit(" "), F.col("value")).alias("line"))
+    if not headers:
+        return lines
+    described = F.explode(F.array(*map(F.lit, expose_headers(prefix)))).alias("line")
+    return counters.sparkSession.range(1).select(described).unionByName(lines)
 
 
 def expose_top_ips(top: DataFrame, prefix: str = "seclog") -> DataFrame:
