@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,29 +30,44 @@ def context_events(events: DataFrame) -> DataFrame:
     return handled(events).filter(F.col("kind").isin("FW_BLOCK", *SYS_KINDS))
 
 
+COUNTED = ("ssh_fails", "web_scans", "web_auth_fails", "web_exploits", "db_fails", "uniq_users")
+
+#: The count that a rule looks at.
+RULE_COUNT = {
+    "brute_force": "ssh_fails",
+    "credential_stuffing": "uniq_users",
+    "credential_breach": "ssh_fails",
+    "web_scan_flood": "web_scans",
+    "web_auth_flood": "web_auth_fails",
+    "web_exploit": "web_exploits",
+    "db_brute_force": "db_fails",
+}
+
+
 def _kind(*kinds: str) -> Column:
     return F.col("kind").isin(*kinds)
 
 
-def detection_counts(events: DataFrame, limits: DetectionLimits) -> DataFrame:
-    """Counts behind all detections, one row per (src_ip, instant)."""
+def detection_counts(
+    events: DataFrame, limits: DetectionLimits, names: tuple[str, ...] = COUNTED
+) -> DataFrame:
+    """Counts behind the detections (those of ``names``), one row per (src_ip, instant)."""
     w = limits.window_sec * SECOND_US
+    terms = [
+        Count("ssh_fails", _kind("SSH_FAIL"), w),
+        Count("web_scans", _kind("WEB_SCAN"), w),
+        Count("web_auth_fails", _kind("WEB_AUTH_FAIL"), w),
+        Count("web_exploits", _kind("WEB_EXPLOIT_ATTEMPT"), w),
+        Count("db_fails", _kind("DB_AUTH_FAIL"), w),
+        Distinct(
+            "uniq_users",
+            _kind("SSH_FAIL") & (F.col("user") != ""),
+            w,
+            value=F.col("user"),
+        ),
+    ]
     return window_counts(
-        handled(events),
-        [
-            Count("ssh_fails", _kind("SSH_FAIL"), w),
-            Count("web_scans", _kind("WEB_SCAN"), w),
-            Count("web_auth_fails", _kind("WEB_AUTH_FAIL"), w),
-            Count("web_exploits", _kind("WEB_EXPLOIT_ATTEMPT"), w),
-            Count("db_fails", _kind("DB_AUTH_FAIL"), w),
-            Distinct(
-                "uniq_users",
-                _kind("SSH_FAIL") & (F.col("user") != ""),
-                w,
-                value=F.col("user"),
-            ),
-        ],
-        chunk_us=limits.chunk_us,
+        handled(events), [t for t in terms if t.name in names], chunk_us=limits.chunk_us
     )
 
 
@@ -69,24 +86,23 @@ def rule_hits(limits: DetectionLimits) -> dict[str, Column]:
     }
 
 
-def _possible(limits: DetectionLimits) -> Column:
+def _possible(limits: DetectionLimits, names: tuple[str, ...] = COUNTED) -> Column:
     """Instants at which some counted rule can hold; keeps the join back small."""
-    return (
-        (F.col("ssh_fails") >= min(limits.fails, limits.success_after_fails))
-        | (F.col("uniq_users") >= limits.unique_users)
-        | (F.col("web_scans") >= limits.web_scan)
-        | (F.col("web_auth_fails") >= limits.web_auth_fail)
-        | (F.col("web_exploits") >= 1)
-        | (F.col("db_fails") >= limits.db_fail)
-    )
-
-
-COUNTED = ("ssh_fails", "web_scans", "web_auth_fails", "web_exploits", "db_fails", "uniq_users")
+    least = {
+        "ssh_fails": min(limits.fails, limits.success_after_fails),
+        "uniq_users": limits.unique_users,
+        "web_scans": limits.web_scan,
+        "web_auth_fails": limits.web_auth_fail,
+        "web_exploits": 1,
+        "db_fails": limits.db_fail,
+    }
+    return reduce(lambda a, b: a | b, [F.col(n) >= least[n] for n in names])
 
 
 def rule_rows(events: DataFrame, rule: str, limits: DetectionLimits) -> DataFrame:
-    """Events at which one counted rule holds, with the counts at their instants."""
-    counts = detection_counts(events, limits).filter(_possible(limits))
+    """Events at which one counted rule holds, with its count at their instants."""
+    name = RULE_COUNT[rule]
+    counts = detection_counts(events, limits, (name,)).filter(_possible(limits, (name,)))
     return handled(events).join(counts, ["src_ip", "us"]).filter(rule_hits(limits)[rule])
 
 

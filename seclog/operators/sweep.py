@@ -2,8 +2,12 @@
 
 Every instant adds its counts when it happens and takes them back when it
 leaves the window; a running sum over these markers is the windowed count.
-Unlike a moving RANGE frame the cost does not grow with the window width, and
-copies of an event at one instant are pre-aggregated before the shuffle.
+Unlike a moving RANGE frame the cost does not grow with the window width.
+
+Chunks overlap: an instant goes to its own (key, chunk) and to the next one if
+it is still in a window there, so each chunk is complete in itself. The input
+is read once; copies of an event at one instant are combined before the first
+shuffle, and the second one (on key and chunk) serves all windows of all terms.
 """
 
 from __future__ import annotations
@@ -12,11 +16,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seclog.config import HOUR_US
-from seclog.operators.scan import Running, running
+from seclog.operators.scan import CHUNK, chunk_of
 
 
 @dataclass(frozen=True)
@@ -48,19 +52,10 @@ class GapSum(Count):
     """Microseconds between the first and the last matching row in the window."""
 
 
-def _markers(rows: DataFrame, key: str, names: Sequence[str], signals: list[Column]) -> DataFrame:
-    # Explode first, then drop the nulls: array_compact would leave generated code.
-    return (
-        rows.select(key, F.explode(F.array(*signals)).alias("m"))
-        .filter(F.col("m").isNotNull())
-        .select(key, "m.us", "m.seen", *[F.col(f"m.{n}").alias(n) for n in names])
-    )
-
-
-def _signal(us: Column, seen: bool, deltas: dict[str, Column], names: Sequence[str]) -> Column:
+def _signal(us: Column, seen: Column, deltas: dict[str, Column], names: Sequence[str]) -> Column:
     return F.struct(
         us.alias("us"),
-        F.lit(seen).alias("seen"),
+        seen.alias("seen"),
         *[deltas.get(n, F.lit(0)).cast("long").alias(n) for n in names],
     )
 
@@ -76,96 +71,100 @@ def window_counts(
     us: str = "us",
     chunk_us: int = HOUR_US,
 ) -> DataFrame:
-    """One row per (key, instant) of ``events`` with every term's windowed count."""
-    events = events.filter(F.col(key).isNotNull())
+    """One row per (key, instant) of ``events`` with every term's windowed count.
+
+    Rows without key or instant are left out. A chunk is at least as long as
+    the longest window, so an instant has at most one copy in a later chunk.
+    """
+    longest = max([1, *[t.leaves_after for t in terms]])
+    chunk_us = max(chunk_us, longest)
+    events = events.filter(F.col(key).isNotNull() & F.col(us).isNotNull())
     if us != "us":
         events = events.withColumn("us", F.col(us))
-    names = [t.name for t in terms]
-    counts = [t for t in terms if type(t) is Count]
-    instants = events.groupBy(key, "us").agg(
+    distinct = {t.name: t for t in terms if isinstance(t, Distinct)}
+    counted = [t for t in terms if t.name not in distinct]
+    own = chunk_of(F.col("us"), chunk_us)
+    instants = events.groupBy(
+        key, "us", *[F.when(t.where, t.value).alias(f"__value_{n}") for n, t in distinct.items()]
+    ).agg(
         F.count(F.lit(1)).alias("__rows"),
-        *[F.sum(F.when(t.where, 1).otherwise(0)).alias(t.name) for t in counts],
+        *[F.sum(F.when(t.where, 1).otherwise(0)).alias(t.name) for t in counted],
     )
-    signals = [_signal(F.col("us"), True, {t.name: F.col(t.name) for t in counts}, names)]
+    chunked = instants.withColumn(
+        CHUNK, F.explode(F.sequence(own, chunk_of(F.col("us") + (longest - 1), chunk_us)))
+    ).repartition(key, CHUNK)
+
+    names = [t.name for t in terms]
+    signals = _count_signals(counted, names, F.col(CHUNK) == own)
+    for name, term in distinct.items():
+        value, previous = f"__value_{name}", f"__previous_{name}"
+        by_value = Window.partitionBy(key, CHUNK, value).orderBy("us")
+        chunked = chunked.withColumn(previous, F.lag("us").over(by_value))
+        signals += _distinct_signals(term, F.col(value), F.col(previous), names)
+    for term in counted:
+        if isinstance(term, GapSum):
+            previous = f"__previous_{term.name}"
+            earlier = (
+                Window.partitionBy(key, CHUNK).orderBy("us").rowsBetween(Window.unboundedPreceding, -1)
+            )
+            matching = F.when(F.col(term.name) > 0, F.col("us"))
+            chunked = chunked.withColumn(previous, F.max(matching).over(earlier))
+            signals += _gap_signals(term, F.col(previous), names)
+
+    # Explode first, then drop the nulls: array_compact would leave generated code.
+    markers = (
+        chunked.select(key, CHUNK, F.explode(F.array(*signals)).alias("m"))
+        .filter(F.col("m").isNotNull())
+        .groupBy(key, CHUNK, F.col("m.us").alias("us"))
+        .agg(F.max("m.seen").alias("seen"), *[F.sum(f"m.{n}").alias(n) for n in names])
+    )
+    so_far = (
+        Window.partitionBy(key, CHUNK).orderBy("us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return markers.select(
+        key, "us", "seen", *[F.sum(n).over(so_far).alias(n) for n in names]
+    ).filter("seen").drop("seen")
+
+
+def _count_signals(counted: Sequence[Count], names: Sequence[str], here: Column) -> list[Column]:
+    """The instant itself with its counts, and one removal per window length."""
+    counts = [t for t in counted if not isinstance(t, GapSum)]
+    signals = [_signal(F.col("us"), here, {t.name: F.col(t.name) for t in counts}, names)]
     for after in sorted({t.leaves_after for t in counts}):
         leaving = [t for t in counts if t.leaves_after == after]
-        signals.append(
-            F.when(
-                _any([F.col(t.name) > 0 for t in leaving]),
-                _signal(
-                    F.col("us") + after, False, {t.name: -F.col(t.name) for t in leaving}, names
-                ),
-            )
+        removal = _signal(
+            F.col("us") + after, F.lit(False), {t.name: -F.col(t.name) for t in leaving}, names
         )
-    markers = _markers(instants, key, names, signals)
-    for term in terms:
-        if isinstance(term, Distinct):
-            markers = markers.unionByName(_distinct_markers(events, key, term, names, chunk_us))
-        elif isinstance(term, GapSum):
-            markers = markers.unionByName(_gap_markers(events, key, term, names, chunk_us))
-    summed = running(
-        markers, [key], "us", {n: Running(F.col(n)) for n in names}, chunk_us
-    )
-    return summed.filter("seen").drop("seen")
+        signals.append(F.when(_any([F.col(t.name) > 0 for t in leaving]), removal))
+    return signals
 
 
-def _distinct_markers(
-    events: DataFrame, key: str, term: Distinct, names: Sequence[str], chunk_us: int
-) -> DataFrame:
+def _distinct_signals(
+    term: Distinct, value: Column, previous: Column, names: Sequence[str]
+) -> list[Column]:
     """A value counts once while any of its occurrences is in the window.
 
     A repeat inside the window does not add 1; it cancels the earlier
-    occurrence's removal, so only the previous occurrence has to be known.
+    occurrence's removal, so only the previous occurrence has to be known. One
+    that the chunk does not hold has left every window before the chunk began.
     """
-    seen = (
-        events.filter(term.where & term.value.isNotNull())
-        .select(key, term.value.alias("__value"), "us")
-        .distinct()
-        .withColumn("__tie", F.lit(0))
-    )
-    linked = running(
-        seen,
-        [key, "__value"],
-        "us",
-        {"__previous": Running(F.col("us"), "max")},
-        chunk_us,
-        tie="__tie",
-        include_current=False,
-    )
-    overlap = F.coalesce(F.col("__previous") + term.leaves_after > F.col("us"), F.lit(False))
-    enter = F.when(overlap, F.col("__previous") + term.leaves_after).otherwise(F.col("us"))
-    return _markers(
-        linked,
-        key,
-        names,
-        [
-            _signal(enter, False, {term.name: F.lit(1)}, names),
-            _signal(F.col("us") + term.leaves_after, False, {term.name: F.lit(-1)}, names),
-        ],
-    )
-
-
-def _gap_markers(
-    events: DataFrame, key: str, term: GapSum, names: Sequence[str], chunk_us: int
-) -> DataFrame:
+    us, leaves = F.col("us"), previous + term.leaves_after
+    enter = F.when(F.coalesce(leaves > us, F.lit(False)), leaves).otherwise(us)
+    return [
+        F.when(value.isNotNull(), _signal(enter, F.lit(False), {term.name: F.lit(1)}, names)),
+        F.when(
+            value.isNotNull(),
+            _signal(us + term.leaves_after, F.lit(False), {term.name: F.lit(-1)}, names),
+        ),
+    ]
+
+
+def _gap_signals(term: GapSum, previous: Column, names: Sequence[str]) -> list[Column]:
     """A gap belongs to the window from its later row until its earlier row leaves."""
-    seen = events.filter(term.where).select(key, "us").distinct().withColumn("__tie", F.lit(0))
-    linked = running(
-        seen,
-        [key],
-        "us",
-        {"__previous": Running(F.col("us"), "max")},
-        chunk_us,
-        tie="__tie",
-        include_current=False,
-    ).filter(F.col("__previous") + term.leaves_after > F.col("us"))
-    gap = F.col("us") - F.col("__previous")
-    return _markers(
-        linked,
-        key,
-        names,
-        [
-            _signal(F.col("us"), False, {term.name: gap}, names),
-            _signal(F.col("__previous") + term.leaves_after, False, {term.name: -gap}, names),
-        ],
-    )
+    us = F.col("us")
+    gap = us - previous
+    held = (F.col(term.name) > 0) & (gap > 0) & (previous + term.leaves_after > us)
+    return [
+        F.when(held, _signal(us, F.lit(False), {term.name: gap}, names)),
+        F.when(held, _signal(previous + term.leaves_after, F.lit(False), {term.name: -gap}, names)),
+    ]
