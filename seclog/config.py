@@ -45,7 +45,6 @@ class BaselineLimits:
     spike_min_days: int = 3
     spike_min_count: int = 5
     spike_factor: int = 3
-    chunk_us: int = DAY_US
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seclog.config import DAY_US, HOUR_US, SECOND_US, BaselineLimits
-from seclog.operators.scan import Running, running
+from seclog.operators.scan import CHUNK, chunk_of
 
 
 def logins(events: DataFrame) -> DataFrame:
@@ -28,69 +28,121 @@ def logins(events: DataFrame) -> DataFrame:
 def login_history(events: DataFrame, limits: BaselineLimits = BaselineLimits()) -> DataFrame:
     """Every login with what was known about its address before it.
 
-    ``usual_mask`` has bit h set once hour h was seen twice: the second login in
-    an hour adds ``1 << h`` exactly once, so a running sum is the set.
+    Time is cut into clock hours, so all logins of a chunk share hour and day:
+    what an address brings into a chunk (``_carried``) is one row, and only
+    what is known of a user is one row per user. Everything else is counted
+    inside the chunk. ``usual_mask`` has bit h set once hour h was seen twice.
     """
-    one = Running(F.lit(1))
-    rows = logins(events)
-    for name, by in (("hour_prior", "hour"), ("user_prior", "user"), ("day_prior", "day")):
-        rows = running(
-            rows, ["src_ip", by], "us", {name: one}, limits.chunk_us,
-            tie="event_id", include_current=False,
+    rows = logins(events).withColumn(CHUNK, chunk_of(F.col("us"), HOUR_US))
+    users = _users_per_chunk(rows)
+    here = Window.partitionBy("src_ip", CHUNK).orderBy("us", "event_id")
+    same_user = Window.partitionBy("src_ip", CHUNK, "user").orderBy("us", "event_id")
+    counted = (
+        rows.join(users.select("src_ip", "user", CHUNK, "user_before"), ["src_ip", "user", CHUNK])
+        .select(
+            "*",
+            (F.row_number().over(here) - 1).cast("long").alias("n_here"),
+            (F.col("user_before") + F.row_number().over(same_user) - 1).alias("user_prior"),
+            F.lag("us").over(here).alias("us_here"),
+        )
+        .withColumn(
+            "users_here",
+            F.coalesce(
+                F.sum(F.when(F.col("user_prior") == 0, 1)).over(
+                    here.rowsBetween(Window.unboundedPreceding, -1)
+                ),
+                F.lit(0),
+            ),
+        )
+    )
+    n_here, hour_prior = F.col("n_here"), F.col("hour_before") + F.col("n_here")
+    turned = (F.col("hour_before") < 2) & (hour_prior >= 2)
+
+    def of_previous(own: Column, carried: str) -> Column:
+        return F.when(n_here > 0, own).otherwise(F.coalesce(f"previous.{carried}", F.lit(0)))
+
+    return counted.join(_carried(users, limits), ["src_ip", CHUNK]).select(
+        "event_id",
+        "src_ip",
+        "user",
+        "us",
+        "hour",
+        (F.col("prior_before") + n_here).alias("prior"),
+        hour_prior.alias("hour_prior"),
+        "user_prior",
+        F.when(turned, F.col("mask_before").bitwiseOR(_bit(F.col("hour"))))
+        .otherwise(F.col("mask_before"))
+        .alias("usual_mask"),
+        (F.col("users_before") + F.col("users_here")).alias("known_users"),
+        F.coalesce("us_here", "previous.us").alias("previous_us"),
+        of_previous(F.col("day_before") + n_here, "n").alias("today_count"),
+        of_previous(F.col("earlier_days"), "earlier_days").alias("earlier_days"),
+        of_previous(F.col("earlier_logins"), "earlier_logins").alias("earlier_logins"),
+    )
+
+
+def _bit(hour: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), hour)
+
+
+def _sum_before(value: Column, *keys: str) -> Column:
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(before), F.lit(0))
+
+
+def _users_per_chunk(rows: DataFrame) -> DataFrame:
+    """Logins per (address, user, chunk), with the user's logins in earlier chunks."""
+    return (
+        rows.groupBy("src_ip", "user", CHUNK)
+        .agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("last_us"))
+        .withColumn("user_before", _sum_before(F.col("n"), "src_ip", "user"))
+    )
+
+
+def _carried(users: DataFrame, limits: BaselineLimits) -> DataFrame:
+    """What an address brings into each of its chunks, one row per hour with logins."""
+    hours = (
+        users.groupBy("src_ip", CHUNK)
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum(F.when(F.col("user_before") == 0, 1).otherwise(0)).alias("new_users"),
+            F.max("last_us").alias("last_us"),
         )
+        .withColumn("__hour", F.pmod(F.col(CHUNK), F.lit(24)).cast("int"))
+        .withColumn("__day", F.floor(F.col(CHUNK) / 24))
+        .withColumn("hour_before", _sum_before(F.col("n"), "src_ip", "__hour"))
+        .withColumn("day_before", _sum_before(F.col("n"), "src_ip", "__day"))
+        .withColumn("day_no", F.dense_rank().over(Window.partitionBy("src_ip").orderBy("__day")))
+    )
     turns_usual = F.when(
-        F.col("hour_prior") == 1, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("hour"))
+        (F.col("hour_before") < 2) & (F.col("hour_before") + F.col("n") >= 2), _bit(F.col("__hour"))
     ).otherwise(F.lit(0).cast("long"))
-    previous = F.struct(
-        F.col("us").alias("us"),
-        F.col("event_id").alias("id"),
-        F.col("day").alias("day"),
-        (F.col("day_prior") + 1).alias("n"),
-    )
-    rows = running(
-        rows,
-        ["src_ip"],
-        "us",
-        {
-            "prior": one,
-            "usual_mask": Running(turns_usual),
-            "known_users": Running(F.when(F.col("user_prior") == 0, 1).otherwise(0)),
-            "previous": Running(previous, "max"),
-        },
-        limits.chunk_us,
-        tie="event_id",
-        include_current=False,
-    )
-    daily = logins(events).groupBy("src_ip", "day").agg(F.count(F.lit(1)).alias("n"))
-    # One row per active day: the frame holds the days before the most recent one.
+    # Days are numbered as they occur: the frame holds the active days before this one.
     earlier = (
-        Window.partitionBy("src_ip").orderBy("day").rowsBetween(-(limits.active_days - 1), -1)
+        Window.partitionBy("src_ip").orderBy("day_no").rangeBetween(-(limits.active_days - 1), -1)
     )
-    habits = daily.select(
-        "src_ip",
-        F.col("day").alias("previous_day"),
-        F.count("n").over(earlier).alias("earlier_days"),
+    known = hours.select(
+        "*",
+        F.least(F.col("day_no") - 1, F.lit(limits.active_days - 1)).cast("long").alias("earlier_days"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier_logins"),
     )
-    return (
-        rows.withColumn("previous_day", F.col("previous.day"))
-        .join(habits, ["src_ip", "previous_day"], "left")
-        .select(
-            "event_id",
-            "src_ip",
-            "user",
-            "us",
-            "hour",
-            "prior",
-            "hour_prior",
-            "user_prior",
-            "usual_mask",
-            "known_users",
-            F.col("previous.us").alias("previous_us"),
-            F.coalesce("previous.n", F.lit(0)).alias("today_count"),
-            F.coalesce("earlier_days", F.lit(0)).alias("earlier_days"),
-            F.coalesce("earlier_logins", F.lit(0)).alias("earlier_logins"),
-        )
+    last = F.struct(
+        F.col("last_us").alias("us"),
+        (F.col("day_before") + F.col("n")).alias("n"),
+        "earlier_days",
+        "earlier_logins",
+    )
+    return known.select(
+        "src_ip",
+        CHUNK,
+        "hour_before",
+        "day_before",
+        "earlier_days",
+        "earlier_logins",
+        _sum_before(F.col("n"), "src_ip").alias("prior_before"),
+        _sum_before(F.col("new_users"), "src_ip").alias("users_before"),
+        _sum_before(turns_usual, "src_ip").alias("mask_before"),
+        F.lag(last).over(Window.partitionBy("src_ip").orderBy(CHUNK)).alias("previous"),
     )
 
 

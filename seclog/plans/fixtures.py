@@ -34,7 +34,7 @@ LIMITS = DetectionLimits(
 )
 BLOCKS = BlockLimits(duration_sec=15 * 86_400, heartbeat_sec=86_400)
 BASELINE = BaselineLimits(
-    min_observations=5, absence_sec=4 * 86_400, spike_min_count=2, spike_factor=1, chunk_us=CHUNK_US
+    min_observations=5, absence_sec=4 * 86_400, spike_min_count=2, spike_factor=1
 )
 FOREST = ForestLimits(cooldown_sec=5 * 86_400, window_sec=86_400)
 IDLE_SEC = 86_400

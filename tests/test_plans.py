@@ -17,6 +17,7 @@ BOUNDS = {
     "sliding_count_sweep": (2, 1),
     "sliding_distinct_sweep": (2, 1),
     "ip_window_features": (2, 1),
+    "login_anomalies": (9, 3),
 }
 
 
