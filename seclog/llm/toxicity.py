@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from seclog.llm.common import documents, mapped, texts
 from seclog.sources.staging import staged
 
-#: Lengths of the n-grams in bytes and the number of hashed features.
+#: Lengths of the n-grams in characters and the number of hashed features.
 ORDERS = (4, 5, 6)
 FEATURES = 1 << 19
 #: Labelled rows per class that the classifier is fitted on: those with the least hashes of their doc_id.
 SAMPLE = 3000
-#: Bytes of a text that are turned into numbers at once.
+#: Characters of a text that are turned into numbers at once.
 PART = 1 << 20
-_MULTIPLY, _BYTE, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(8), np.uint64(64 - 19)
+_MULTIPLY, _STEP, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(64 - 19)
 
 
 @dataclass
@@ -40,16 +40,15 @@ class Model:
 
 
 def _hashes(text: str) -> Iterator[np.ndarray]:
-    """Feature numbers of the n-grams of a text in UTF-8, lower-cased and with a space at both ends, in parts."""
-    raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)
-    longest = max(ORDERS)
-    for at in range(0, len(raw), PART):
-        part = raw[at : at + PART + longest - 1].astype(np.uint64)
+    """Feature numbers of the n-grams of a text in characters, lower-cased and with a space at both ends, in parts."""
+    whole, longest = f" {text.lower()} ", max(ORDERS)
+    for at in range(0, len(whole), PART):
+        part = np.frombuffer(whole[at : at + PART + longest - 1].encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
         code = part
         for n in range(2, longest + 1):
             if len(part) < n:
                 break
-            code = (code[: len(part) - n + 1] << _BYTE) | part[n - 1 :]
+            code = code[: len(part) - n + 1] * _STEP + part[n - 1 :]
             if n in ORDERS:
                 yield ((code + np.uint64(n << 56)) * _MULTIPLY >> _SHIFT).astype(np.int32)[:PART]
 
