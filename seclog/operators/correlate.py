@@ -256,3 +256,9 @@ def attribute_privilege(events: DataFrame, window_sec: int, chunk_us: int = HOUR
             for c in events.columns
         ]
     )
+
+
+def with_attributed_privilege(events: DataFrame, window_sec: int, chunk_us: int = HOUR_US) -> DataFrame:
+    """All events, failed sudo / su rows with the address that ``attribute_privilege`` finds for them."""
+    named = F.col("kind").isin(*SYS_KINDS) & F.col("host").isNotNull() & F.col("user").isNotNull()
+    return events.filter(~F.coalesce(named, F.lit(False))).unionByName(attribute_privilege(events, window_sec, chunk_us))

@@ -246,12 +246,13 @@ CTES = {
 _REUSED = {"cand", "corr", "req", "req_epoch", "fired", "port_req"}  # read again on every step of a recursion
 
 
-def sql(body: str) -> str:
-    """``body`` with the named steps it uses, directly or not, in front."""
+def sql(body: str, own: dict[str, str] | None = None) -> str:
+    """``body`` with the named steps it uses, directly or not, in front; ``own`` adds steps or replaces them."""
+    known = {**CTES, **(own or {})}
     needed: list[str] = []
 
     def visit(text: str, inside: str | None = None) -> None:
-        for name, step in CTES.items():
+        for name, step in known.items():
             if name != inside and name not in needed and re.search(rf"\b{name}\b", text):
                 visit(step, name)
                 needed.append(name)
@@ -260,6 +261,6 @@ def sql(body: str) -> str:
     if not needed:
         return body
     steps = ",\n".join(
-        f"{n} AS {'MATERIALIZED ' if n in _REUSED else ''}({CTES[n]})" for n in needed
+        f"{n} AS {'MATERIALIZED ' if n in _REUSED else ''}({known[n]})" for n in needed
     )
     return f"WITH RECURSIVE {steps}\n{body}"

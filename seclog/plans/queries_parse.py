@@ -18,8 +18,8 @@ from seclog.sources import parsers as pa
 
 
 def parsed(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    lines = fx.log_lines(spark, sf_dir).filter(F.col("source") == source)
-    return pa.parse_lines(lines, source, YEAR)
+    """What the parser of a source makes of all lines, of which it must drop those of the others."""
+    return pa.parse_lines(fx.log_lines(spark, sf_dir), source, YEAR)
 
 
 _SSH = """kind IN ('SSH_FAIL', 'SSH_SUCCESS') AND NOT (kind = 'SSH_FAIL' AND k % 6 = 5)"""
@@ -149,8 +149,7 @@ def extract_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT event_id, 'syslog', kind FROM sec WHERE source = 'syslog' AND (kind = 'SUDO_FAIL' OR k % 5 <> 0)""",
 )
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = [parsed(spark, sf_dir, s) for s in ("auth", "nginx", "mysql", "ufw", "syslog")]
-    return pa.union_sources(*every).select("event_id", "source", "kind")
+    return pa.parse_mixed(fx.log_lines(spark, sf_dir), YEAR).select("event_id", "source", "kind")
 
 
 @query(

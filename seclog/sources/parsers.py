@@ -8,7 +8,7 @@ around it does not matter.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -318,20 +318,46 @@ def parse_lines(
 
     The event time is the time in the line, or ``arrived`` where the line has none.
     """
-    text = F.col(line)
+    return _as_events(lines, PARSERS[source](F.col(line)), F.lit(source), year, line, event_id, arrived)
+
+
+def parse_mixed(
+    lines: DataFrame,
+    year: int | Column,
+    source: str = "source",
+    sources: Sequence[str] | None = None,
+    line: str = "line",
+    event_id: str = "event_id",
+    arrived: Column | None = None,
+) -> DataFrame:
+    """Parse a table with lines of several sources in one read, each line by the parser of its source.
+
+    Lines of a source without parser (or not among ``sources``) are dropped, as are those their parser drops.
+    """
+    label = F.col(source)
+    chosen = F.lit(None)
+    for name in PARSERS if sources is None else sources:
+        chosen = F.when(label == name, PARSERS[name](F.col(line))).otherwise(chosen)
+    return _as_events(lines, chosen, label, year, line, event_id, arrived)
+
+
+def _as_events(
+    lines: DataFrame, event: Column, label: Column, year: int | Column, line: str, event_id: str, arrived: Column | None
+) -> DataFrame:
     # The one-element explode keeps the parse in one place: a filter on a plain column
     # would be pushed below the projection and run the patterns twice.
     parsed = lines.select(
         F.col(event_id).alias("event_id"),
-        text.alias("raw"),
+        F.col(line).alias("raw"),
+        label.alias("source"),
         *([] if arrived is None else [arrived.alias("arrived")]),
-        F.explode(F.array(PARSERS[source](text))).alias("ev"),
+        F.explode(F.array(event)).alias("ev"),
     ).filter(F.col("ev").isNotNull())
     stamp = event_time(F.col("raw"), year)
     return parsed.select(
         "event_id",
         (stamp if arrived is None else F.coalesce(stamp, F.col("arrived"))).alias("ts"),
-        F.lit(source).alias("source"),
+        "source",
         F.col("ev.kind").alias("kind"),
         F.col("ev.src_ip").alias("src_ip"),
         F.col("ev.dst_ip").alias("dst_ip"),
