@@ -122,3 +122,17 @@ def network_of(address: Column, prefix_len: Column | int) -> Column:
     bits = F.lit(prefix_len) if isinstance(prefix_len, int) else prefix_len
     size = F.pow(F.lit(2), F.lit(32) - bits).cast("long")
     return address - F.pmod(address, size)
+
+
+def ipv6_to_hex(ip: Column) -> Column:
+    """Address as 32 lower-case hexadecimal digits, null unless it is a valid IPv6 literal; a ``%zone`` is ignored."""
+    return let(ipv6_groups(_without_zone(ip)), lambda groups: F.when(groups.isNotNull(), F.array_join(groups, "")))
+
+
+def ipv6_network_of(digits: Column, prefix_len: Column) -> Column:
+    """First address of the IPv6 network of the given prefix length, as 32 hexadecimal digits."""
+    whole, rest = F.floor(prefix_len / 4).cast("int"), prefix_len % 4
+    digit = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    size = F.lit(16) / F.pow(F.lit(2), rest)
+    part = F.when(rest > 0, F.lower(F.hex((digit - digit % size).cast("long")))).otherwise("")
+    return F.rpad(F.concat(F.substr(digits, F.lit(1), whole), part), 32, "0")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seclog.config import SECOND_US, ReputationLimits
-from seclog.functions.ip import ipv4_to_long, is_private, network_of
+from seclog.functions.ip import ipv4_to_long, ipv6_network_of, ipv6_to_hex, is_private, network_of
 from seclog.functions.scalar import GLOBE, HOUSE, country_flag
 
 ALL_PREFIXES = tuple(range(33))
+ALL_PREFIXES_6 = tuple(range(129))
 
 # Labels of local and unknown addresses.
 LOCAL_COUNTRY, LOCAL_CODE, LOCAL_ISP = "Local/Private", "LO", "Local network"
@@ -21,44 +22,63 @@ GEO_TEXT = ("country", "country_code", "city", "isp", "org", "asn")
 GEO_BOOL = ("proxy", "hosting")
 
 
-def _proposed(addresses: DataFrame, ip: str, prefixes: Sequence[int]) -> DataFrame:
-    """(__ip, prefix_len, lo): per distinct address one network of each length; ``lo`` is null if it is not IPv4."""
+def _key(lo: Column, lo6: Column) -> Column:
+    """One name for a network of either family; with the prefix length it is unique."""
+    return F.coalesce(F.concat(F.lit("v4/"), lo), lo6)
+
+
+def _proposed(addresses: DataFrame, ip: str, prefixes: Sequence[int], prefixes6: Sequence[int]) -> DataFrame:
+    """(__ip, prefix_len, __net): per distinct address one network of each length; ``__net`` is null if it is no address."""
     distinct = addresses.select(F.col(ip).alias("__ip")).distinct()
-    number = ipv4_to_long(F.col("__ip"))
-    return (
-        distinct.withColumn("__number", number)
-        .select("__ip", "__number", F.explode(F.array(*[F.lit(p) for p in prefixes])).alias("prefix_len"))
-        .select("__ip", "prefix_len", network_of(F.col("__number"), F.col("prefix_len")).alias("lo"))
+    both = distinct.select("__ip", ipv4_to_long(F.col("__ip")).alias("__number"), ipv6_to_hex(F.col("__ip")).alias("__digits"))
+    lengths = F.when(F.col("__number").isNotNull(), F.array(*map(F.lit, prefixes))).when(
+        F.col("__digits").isNotNull(), F.array(*map(F.lit, prefixes6))
     )
+    bits = F.col("prefix_len")
+    return both.select("*", F.explode_outer(lengths).alias("prefix_len")).select(
+        "__ip", "prefix_len", _key(network_of(F.col("__number"), bits), ipv6_network_of(F.col("__digits"), bits)).alias("__net")
+    )
+
+
+def _keyed(networks: DataFrame) -> DataFrame:
+    lo6 = F.col("lo6") if "lo6" in networks.columns else F.lit(None).cast("string")
+    return networks.withColumn("prefix_len", F.col("prefix_len").cast("int")).withColumn("__net", _key(F.col("lo"), lo6))
 
 
 def matching_networks(
-    addresses: DataFrame, networks: DataFrame, ip: str = "ip", prefixes: Sequence[int] = ALL_PREFIXES
+    addresses: DataFrame,
+    networks: DataFrame,
+    ip: str = "ip",
+    prefixes: Sequence[int] = ALL_PREFIXES,
+    prefixes6: Sequence[int] = ALL_PREFIXES_6,
 ) -> DataFrame:
-    """(address, network) pairs where the network contains the address.
+    """(address, network) pairs where the network contains the address, IPv4 and IPv6.
 
-    ``networks`` has ``lo`` (first address as a number) and ``prefix_len``. Each
-    distinct address proposes one network per prefix length and meets the
-    table by equality -- no range comparison, so no nested-loop join and no
-    pairs that fail. Name only the prefix lengths that occur to explode less.
+    ``networks`` has ``prefix_len`` and the first address as ``with_network`` gives it (``lo``; ``lo6`` may be
+    missing). Each distinct address proposes one network per prefix length and meets the table by equality -- no
+    range comparison, so no nested-loop join and no pairs that fail. Name only the prefix lengths that occur to
+    explode less.
     """
-    proposed = _proposed(addresses, ip, prefixes).filter(F.col("lo").isNotNull())
-    table = networks.withColumn("prefix_len", F.col("prefix_len").cast("int"))
-    return proposed.join(table, ["prefix_len", "lo"]).withColumnRenamed("__ip", ip)
+    proposed = _proposed(addresses, ip, prefixes, prefixes6).filter(F.col("__net").isNotNull())
+    return proposed.join(_keyed(networks), ["prefix_len", "__net"]).drop("__net").withColumnRenamed("__ip", ip)
 
 
 def geo_lookup(
-    addresses: DataFrame, ranges: DataFrame, ip: str = "src_ip", prefixes: Sequence[int] = ALL_PREFIXES
+    addresses: DataFrame,
+    ranges: DataFrame,
+    ip: str = "src_ip",
+    prefixes: Sequence[int] = ALL_PREFIXES,
+    prefixes6: Sequence[int] = ALL_PREFIXES_6,
 ) -> DataFrame:
     """One row per distinct address: location of the most specific network holding it."""
     have = set(ranges.columns)
     fields = [c for c in GEO_TEXT + GEO_BOOL if c in have]
     # Addresses are read once: proposals that meet no network stay, as rows without location.
-    proposed = _proposed(addresses.filter(F.col(ip).isNotNull()), ip, prefixes)
-    table = ranges.withColumn("prefix_len", F.col("prefix_len").cast("int")).withColumn("__met", F.lit(True))
+    proposed = _proposed(addresses.filter(F.col(ip).isNotNull()), ip, prefixes, prefixes6)
+    table = _keyed(ranges).withColumn("__met", F.lit(True))
     met = F.when(F.col("__met"), F.col("prefix_len"))
     found = (
-        proposed.join(table, ["prefix_len", "lo"], "left")
+        proposed.join(table, ["prefix_len", "__net"], "left")
         .groupBy("__ip")
         .agg(F.max_by(F.struct(*fields), met).alias("g"))
         .withColumnRenamed("__ip", ip)
@@ -92,7 +112,11 @@ def geo_lookup(
 
 
 def geo_enrich(
-    events: DataFrame, ranges: DataFrame, ip: str = "src_ip", prefixes: Sequence[int] = ALL_PREFIXES
+    events: DataFrame,
+    ranges: DataFrame,
+    ip: str = "src_ip",
+    prefixes: Sequence[int] = ALL_PREFIXES,
+    prefixes6: Sequence[int] = ALL_PREFIXES_6,
 ) -> DataFrame:
     """Events with the location of their address.
 
@@ -100,7 +124,7 @@ def geo_enrich(
     the planner broadcasts the lookup when it measures small and splits hot
     addresses (adaptive skew join) when it does not.
     """
-    return events.join(geo_lookup(events, ranges, ip, prefixes), ip, "left")
+    return events.join(geo_lookup(events, ranges, ip, prefixes, prefixes6), ip, "left")
 
 
 def reputation_enrich(
@@ -158,8 +182,12 @@ def lookup_worklist(
 
 
 def outside_networks(
-    rows: DataFrame, networks: DataFrame, ip: str = "src_ip", prefixes: Sequence[int] = ALL_PREFIXES
+    rows: DataFrame,
+    networks: DataFrame,
+    ip: str = "src_ip",
+    prefixes: Sequence[int] = ALL_PREFIXES,
+    prefixes6: Sequence[int] = ALL_PREFIXES_6,
 ) -> DataFrame:
     """Rows whose address is in none of the networks (allowlist filter, CIDR-aware)."""
-    inside = matching_networks(rows, networks, ip, prefixes).select(ip).distinct()
+    inside = matching_networks(rows, networks, ip, prefixes, prefixes6).select(ip).distinct()
     return rows.join(inside, ip, "left_anti")

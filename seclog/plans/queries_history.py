@@ -75,6 +75,26 @@ def allowlist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return en.outside_networks(events, fx.allowlist(spark, sf_dir), prefixes=fx.ALLOW_PREFIXES)
 
 
+_V6 = "'2001:db8:0:' || format('{:x}', user_id % 65536) || '::7'"
+
+
+@query(
+    "allowlist_filter_ipv6",
+    f"""SELECT event_id, {_V6} AS src_ip FROM raw WHERE user_id % 65536 NOT IN (SELECT s_suppkey * 3 % 65536 FROM supplier)
+        AND user_id % 65536 NOT BETWEEN 64 AND 79""",
+)
+def allowlist_filter_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A /64 per supplier and a /60; the events' addresses in IPv6 form."""
+    group = lambda number: F.lower(F.hex(number % 65536))
+    events = fx.raw_events(spark, sf_dir).select(
+        "event_id", F.concat(F.lit("2001:db8:0:"), group(F.col("user_id")), F.lit("::7")).alias("src_ip")
+    )
+    suppliers = fx.read_table(spark, sf_dir, "supplier")
+    single = suppliers.select(F.concat(F.lit("2001:DB8::"), group(F.col("s_suppkey") * 3), F.lit(":0:0:0:0/64")).alias("cidr"))
+    wide = fx.read_table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.lit("2001:db8:0:4f::/60").alias("cidr"))
+    return en.outside_networks(events, tables.with_network(single.unionByName(wide)))
+
+
 # --- blocks -----------------------------------------------------------------------
 
 

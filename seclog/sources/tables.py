@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seclog.functions.ip import ipv4_to_long, ipv6_network_of, ipv6_to_hex, network_of
+
 GEO_SCHEMA = T.StructType(
     [
         T.StructField("cidr", T.StringType()),
@@ -45,23 +47,40 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df
 
 
+def _network(cidr: Column) -> tuple[Column, Column, Column]:
+    """(number, digits, bits) of a network literal: one of the first two is set if it is one."""
+    parts = F.split(cidr, "/")
+    number, digits = ipv4_to_long(parts[0]), ipv6_to_hex(parts[0])
+    most = F.when(number.isNotNull(), 32).otherwise(128)
+    bits = F.when(F.size(parts) == 1, most).when(F.size(parts) == 2, F.try_element_at(parts, F.lit(2)).try_cast("int"))
+    fits = bits.between(0, most)
+    return F.when(fits, number), F.when(fits, digits), bits
+
+
 def with_network(df: DataFrame, cidr: str = "cidr") -> DataFrame:
-    """Turn ``a.b.c.d/n`` (or a single address) into ``lo`` and ``prefix_len``.
+    """Turn a network (``a.b.c.d/n``, ``x:y::/n``) or a single address into its first address and ``prefix_len``.
 
-    Host bits are cleared; rows that are not IPv4 networks are dropped.
+    IPv4 has its first address as a number in ``lo``, IPv6 as hexadecimal digits in ``lo6``. Host bits are cleared;
+    rows that are no network are left out: ``no_networks`` gives those.
     """
-    from seclog.functions.ip import ipv4_to_long, network_of
-
-    parts = F.split(F.col(cidr), "/")
-    number = ipv4_to_long(parts[0])
-    bits = F.coalesce(F.try_element_at(parts, F.lit(2)).try_cast("int"), F.lit(32))
+    number, digits, bits = _network(F.col(cidr))
     return (
         df.withColumn("prefix_len", bits)
-        .filter(number.isNotNull() & F.col("prefix_len").between(0, 32))
-        .withColumn("lo", network_of(number, F.col("prefix_len")))
+        .withColumn("__number", number)
+        .withColumn("__digits", digits)
+        .filter(F.col("__number").isNotNull() | F.col("__digits").isNotNull())
+        .withColumn("lo", network_of(F.col("__number"), F.col("prefix_len")))
+        .withColumn("lo6", ipv6_network_of(F.col("__digits"), F.col("prefix_len")))
+        .drop("__number", "__digits")
     )
 
 
+def no_networks(df: DataFrame, cidr: str = "cidr") -> DataFrame:
+    """The rows that ``with_network`` leaves out."""
+    number, digits, _ = _network(F.col(cidr))
+    return df.filter(number.isNull() & digits.isNull())
+
+
 def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV files with a header; columns may be missing or in any order."""
     text = spark.read.csv(path, header=True)

@@ -8,7 +8,8 @@ from seclog import config
 from seclog.functions import ip as ipf
 from seclog.functions import markup as mk
 from seclog.functions import scalar as sc
-from seclog.sources.tables import with_network
+from seclog.operators.enrich import geo_enrich, matching_networks, outside_networks
+from seclog.sources.tables import no_networks, with_network
 
 ADDRESSES = [
     "1.2.3.4", "255.255.255.255", "256.1.1.1", "1.2.3", "1.2.3.4.5", "01.2.3.4", "", " 1.2.3.4", "a.b.c.d",
@@ -46,12 +47,41 @@ def test_addresses_like_the_standard_library(spark):
     assert [(r.ip, r.p) for r in rows] == [(a, private(a)) for a in ADDRESSES]
 
 
+NETWORKS = [
+    "10.1.2.3/8", "1.2.3.4", "x", "1.2.3.4/40", "1.2.3.4/x", "1.2.3.4/8/9", "0.0.0.0/0", "2001:db8:7:ffff::1/53", "2001:db8::/32",
+    "fe80::1", "::/0", "2001:db8::1/129", "2001:db8:7:ffff::1/127", "::ffff:1.2.3.4/100", "", None,
+]
+
+
+def network(cidr):
+    try:
+        return ipaddress.ip_network(cidr, strict=False) if cidr else None
+    except ValueError:
+        return None
+
+
 def test_networks_from_cidr(spark):
-    df = spark.createDataFrame([("10.1.2.3/8",), ("1.2.3.4",), ("x",), ("1.2.3.4/40",), ("0.0.0.0/0",)], "cidr string")
-    got = {r.cidr: (r.lo, r.prefix_len) for r in with_network(df).collect()}
-    assert got == {
-        "10.1.2.3/8": (10 << 24, 8), "1.2.3.4": (int(ipaddress.ip_address("1.2.3.4")), 32), "0.0.0.0/0": (0, 0),
+    df = spark.createDataFrame([(c,) for c in NETWORKS], "cidr string")
+    got = {r.cidr: (r.lo if r.lo6 is None else int(r.lo6, 16), r.prefix_len) for r in with_network(df).collect()}
+    assert got == {c: (int(n.network_address), n.prefixlen) for c in NETWORKS if (n := network(c))}
+    assert {r.cidr for r in no_networks(df).collect()} == {c for c in NETWORKS if not network(c)}
+
+
+def test_lookups_hold_both_families(spark):
+    ips = ["1.2.3.4", "10.9.9.9", "2001:db8:7:f800::5", "2001:DB8::1%eth0", "2001:db9::", "::1", "::ffff:1.2.3.4", "nonsense", None]
+    rows = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "event_id long, src_ip string")
+    cidrs = ["10.0.0.0/8", "2001:db8:7:f800::/53", "2001:db8::/32", "::ffff:1.2.3.0/120"]
+    table = with_network(spark.createDataFrame([(c,) for c in cidrs], "cidr string"))
+    want = {
+        (ip, c) for ip in ips[:7] for c in cidrs
+        if (a := ipaddress.ip_address(ip.split("%")[0])).version == (n := ipaddress.ip_network(c)).version and a in n
     }
+    assert {(r.ip, r.cidr) for r in matching_networks(rows.withColumnRenamed("src_ip", "ip"), table).collect()} == want
+    left = {r.event_id for r in outside_networks(rows, table).collect()}
+    assert left == {i for i, ip in enumerate(ips) if ip not in {a for a, _ in want}}
+    places = table.withColumn("country", F.col("cidr")).withColumn("country_code", F.lit("DE"))
+    found = {r.event_id: r.country for r in geo_enrich(rows, places).collect()}
+    assert found == {0: "Unknown", 1: "Local/Private", 2: cidrs[1], 3: cidrs[2], 4: "Unknown", 5: "Local/Private", 6: cidrs[3], 7: "Unknown", 8: None}
 
 
 def test_labels(spark):
