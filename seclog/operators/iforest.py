@@ -1,7 +1,7 @@
 """Isolation forest on Spark (Liu, Ting and Zhou, 2008).
 
-Rows are hashed to trees and each tree keeps the rows with the smallest hash, so
-the forest is trained from one pass with a map-side limit; trees grow in
+Rows are drawn for trees by hash and each tree keeps the smallest draws, so the
+forest is trained from one pass and few rows are shuffled; trees grow in
 parallel on samples of at most ``sample_size`` rows, and scoring is a vectorised
 UDF over the trees, whose total size is bounded by trees x 2 x sample_size.
 """
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seclog.config import SECOND_US, ForestLimits
@@ -35,26 +35,27 @@ def training_sample(
 ) -> DataFrame:
     """(tree, rank, features...) with at most ``sample_size`` rows per tree.
 
-    A row goes to one tree; only when the data are too few to fill the trees
-    does it go to several, as many as are needed. With fewer than
-    ``min_samples`` rows there is no sample, and so an empty forest. The sample
-    size per tree is a parameter of the method; scoring reads every row.
+    Every row is drawn for every tree with one probability, twice what fills the tree, or 1 if there are too few
+    rows for that; of the rows drawn a tree keeps those with the least draws. With fewer than ``min_samples`` rows
+    there is no sample, and so an empty forest. The sample size per tree is a parameter of the method; scoring
+    reads every row.
     """
     have = rows.count()
     if have < limits.min_samples:
         rows, have = rows.limit(0), 1
-    wanted = limits.trees * limits.sample_size
-    copies = min(limits.trees, math.ceil(2 * wanted / have))
-    first = F.pmod(F.xxhash64(*identity, F.lit(limits.seed)), F.lit(limits.trees))
-    placed = rows.select(
-        *identity,
-        *[F.col(f).cast("double").alias(f) for f in features],
-        F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"),
-    ).withColumn("tree", F.pmod(first + F.col("copy"), F.lit(limits.trees)).cast("int"))
-    draw = F.xxhash64(*identity, F.col("tree"), F.lit(limits.seed + 1))
+    chance = min(1.0, 2 * limits.sample_size / have)
+
+    def draw(tree: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(*identity, tree, F.lit(limits.seed)), 11) / F.lit(float(1 << 53))
+
     order = Window.partitionBy("tree").orderBy("draw", *identity)
     return (
-        placed.withColumn("draw", draw)
+        rows.select(
+            *identity,
+            *[F.col(f).cast("double").alias(f) for f in features],
+            F.explode(F.filter(F.sequence(F.lit(0), F.lit(limits.trees - 1)), lambda t: draw(t) < chance)).alias("tree"),
+        )
+        .withColumn("draw", draw(F.col("tree")))
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limits.sample_size)
         .select("tree", "rank", *features)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seclog.config import SECOND_US
 from seclog.functions.scalar import response_decision, response_plan
 from seclog.operators import baseline as bl
 from seclog.operators import correlate as co
@@ -453,6 +454,63 @@ def iforest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("src_ip", "us", F.round("score", 6).alias("score"))
 
 
+@query(
+    "iforest_structure",
+    f"""SELECT CAST(t AS INTEGER) AS tree, least({FOREST.sample_size}, n) AS sample, least({FOREST.sample_size}, n) AS in_leaves, 0 AS uneven_splits
+        FROM (SELECT count(*) AS n FROM ({_FEATURE_SQL})), range({FOREST.trees}) r(t) WHERE n >= {FOREST.min_samples}""",
+)
+def iforest_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per tree the rows at its root and in its leaves, and the splits whose children do not add up."""
+    nodes = staged(iforest_fit(spark, sf_dir), "forest")
+    child = nodes.select("tree", F.col("node").alias("child"), F.col("size").alias("part"))
+    halves = nodes.filter("feature >= 0").select("tree", "node", "size", F.explode(F.array("left", "right")).alias("child"))
+    uneven = (
+        halves.join(child, ["tree", "child"], "left")
+        .groupBy("tree", "node", "size")
+        .agg(F.coalesce(F.sum("part"), F.lit(0)).alias("parts"))
+        .filter("parts <> size")
+        .select("tree", F.lit(0).alias("sample"), F.lit(0).alias("in_leaves"), F.lit(1).alias("uneven"))
+    )
+    rows = nodes.select(
+        "tree",
+        F.when(F.col("node") == 0, F.col("size")).otherwise(0).alias("sample"),
+        F.when(F.col("feature") < 0, F.col("size")).otherwise(0).alias("in_leaves"),
+        F.lit(0).alias("uneven"),
+    )
+    return rows.unionByName(uneven).groupBy("tree").agg(
+        F.sum("sample").alias("sample"), F.sum("in_leaves").alias("in_leaves"), F.sum("uneven").cast("int").alias("uneven_splits")
+    )
+
+
+@query(
+    "iforest_bounds",
+    f"""SELECT count(*) AS scored, count(*) AS in_range, true AS share_holds, 0 AS short_gaps, 0 AS without_reason
+        FROM ({_FEATURE_SQL})""",
+)
+def iforest_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants scored, scores in [-1, 0], whether alerts stay within the contamination share and keep their gap."""
+    scored = staged(_scored(spark, sf_dir), "scores")
+    alerts = staged(iforest.anomalies(scored, FOREST), "alerts")
+    gap = F.col("us") - F.lag("us").over(Window.partitionBy("src_ip").orderBy("us"))
+    one = lambda where: F.when(where, 1).otherwise(0)
+    none = F.lit(0)
+    of_alerts = alerts.withColumn("gap", gap).select(
+        none.alias("scored"), none.alias("in_range"), F.lit(1).alias("alerts"),
+        one(F.col("gap") < FOREST.cooldown_sec * SECOND_US).alias("short"), one(F.size("reasons") == 0).alias("bare"),
+    )
+    of_scores = scored.select(
+        F.lit(1).alias("scored"), one(F.col("score").between(-1, 0)).alias("in_range"), none.alias("alerts"), none.alias("short"), none.alias("bare"),
+    )
+    total = of_scores.union(of_alerts).agg(*[F.coalesce(F.sum(c), none).alias(c) for c in ("scored", "in_range", "alerts", "short", "bare")])
+    return total.select(
+        "scored",
+        "in_range",
+        (F.col("alerts") <= F.ceil(F.col("scored") * FOREST.contamination)).alias("share_holds"),
+        F.col("short").cast("int").alias("short_gaps"),
+        F.col("bare").cast("int").alias("without_reason"),
+    )
+
+
 @query("ml_alerts")
 def ml_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iforest.anomalies(_scored(spark, sf_dir), FOREST).select(

@@ -15,7 +15,7 @@ from seclog.plans.catalog import query
 from seclog.plans.fixture_sql import BASE, DAY
 from seclog.plans.fixtures import AS_OF_US, BLOCKS, CHUNK_US, IDLE_SEC
 from seclog.plans.queries_detect import final_incidents
-from seclog.sources import sinks, tables
+from seclog.sources import sinks, snapshot, tables
 from seclog.sources.staging import new_folder, staged
 
 _TTL = 12 * 3600
@@ -374,6 +374,20 @@ def write_fim_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_appended(spark, path).select("path", "change", "severity")
 
 
+@query(
+    "scan_file_snapshot",
+    "SELECT doc_id, sha256(coalesce(text, '') || chr(10)) AS hash, strlen(coalesce(text, '')) + 1 AS size FROM documents",
+)
+def scan_file_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of its own, found again by a scan of the folder and by one of a missing folder."""
+    path = new_folder(spark, "files")
+    docs = fx.read_table(spark, sf_dir, "documents")
+    docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("doc_id").text(path)
+    found = snapshot.scan_snapshot(spark, [snapshot.Watch(path, pattern="*.txt"), snapshot.Watch(f"{path}/missing")])
+    number = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast(docs.schema["doc_id"].dataType)
+    return found.select(number.alias("doc_id"), "hash", "size")
+
+
 @query(
     "load_dimensions",
     f"""SELECT 'geo' AS kind, n_name AS name, {BASE} + n_nationkey * 64 AS lo, 26 AS prefix_len FROM nation

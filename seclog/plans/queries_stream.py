@@ -34,6 +34,29 @@ def sec_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.as_sec_events(fx.as_raw_events(event_stream(spark, sf_dir)))
 
 
+#: Days in a slice of the events that arrives on its own, and days by which every fifth event comes late.
+_SLICE, _LATE = 10, 2
+
+
+def arriving_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in the order of three slices, every fifth one late, file by file: a micro-batch each or more."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path = new_folder(spark, "arriving")
+    day = (fx.AS_OF_US - F.unix_micros(F.col("ts").cast("timestamp"))) / DAY - F.when(F.col("event_id") % 5 == 0, _LATE).otherwise(0)
+    fx.read_table(spark, sf_dir, "events")  # sets the session time zone
+    for ahead in (F.lit(2), F.lit(1), F.lit(0)):
+        raw.filter(F.least(F.greatest(F.floor(day / _SLICE), F.lit(0)), F.lit(2)) == ahead).write.mode("append").parquet(path)
+    stream = sw.stream_table(spark, path, "*.parquet", raw.schema, max_files=1)
+    return fx.as_sec_events(fx.as_raw_events(stream))
+
+
+def judged(stream: DataFrame, handler, path: str) -> DataFrame:
+    """Run a detector over a stream until all is taken and judged."""
+    sinks.for_each_batch(stream, [handler], f"{path}/checkpoint").awaitTermination()
+    handler.finish(stream.sparkSession.createDataFrame([], stream.schema), handler.next_batch)
+    return read_appended(stream.sparkSession, f"{path}/out")
+
+
 def taken(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over the input that is there and read back what it wrote."""
     spark = stream.sparkSession
@@ -45,11 +68,10 @@ def taken(stream: DataFrame, label: str) -> DataFrame:
 _SSH_LINES = f"SELECT src_ip, kind, \"user\", us - us % 1000000 AS us, count(*) AS n FROM ({SSH_LINES}) GROUP BY ALL"
 
 
-def _ssh_folder(spark: SparkSession, sf_dir: str) -> str:
-    """SSH log lines as text files."""
+def _line_folder(spark: SparkSession, sf_dir: str) -> str:
+    """All log lines, of every source, as text files."""
     path = new_folder(spark, "logs")
-    lines = fx.log_lines(spark, sf_dir).filter(F.col("source") == "auth")
-    lines.select("line").write.text(path)
+    fx.log_lines(spark, sf_dir).select("line").write.text(path)
     return path
 
 
@@ -62,13 +84,13 @@ def _counted(events: DataFrame) -> DataFrame:
 
 @query("read_log_lines", _SSH_LINES)
 def read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = text.read_log_lines(spark, _ssh_folder(spark, sf_dir))
+    lines = text.read_log_lines(spark, _line_folder(spark, sf_dir))
     return _counted(pa.parse_lines(lines, "auth", YEAR))
 
 
 @query("stream_ingest", _SSH_LINES)
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = text.stream_log_lines(spark, _ssh_folder(spark, sf_dir))
+    lines = text.stream_log_lines(spark, _line_folder(spark, sf_dir))
     events = pa.parse_lines(lines, "auth", YEAR).select("src_ip", "kind", "user", "ts")
     return _counted(taken(events, "ingest"))
 
@@ -146,9 +168,8 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "detect")
-    handler = sd.IncidentDetector(f"{path}/state", f"{path}/out", LIMITS, delay_us=0)
-    sinks.for_each_batch(sec_stream(spark, sf_dir), [handler], f"{path}/checkpoint").awaitTermination()
-    return read_appended(spark, f"{path}/out").select(
+    handler = sd.IncidentDetector(f"{path}/state", f"{path}/out", LIMITS, delay_us=(_SLICE + _LATE) * DAY)
+    return judged(arriving_stream(spark, sf_dir), handler, path).select(
         "event_id", "src_ip", "us", "severity", "fail_count", "uniq_users", "trigger",
         F.array_join("reasons", "; ").alias("reasons"),
     )
@@ -157,9 +178,8 @@ def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_correlate", "SELECT src_ip, us, rule, confidence, severity, description FROM corr_kept")
 def stream_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "correlate")
-    handler = sd.CorrelationDetector(f"{path}/state", f"{path}/out", RULES, delay_us=0, chunk_us=CHUNK_US)
-    sinks.for_each_batch(sec_stream(spark, sf_dir), [handler], f"{path}/checkpoint").awaitTermination()
-    return read_appended(spark, f"{path}/out").select(
+    handler = sd.CorrelationDetector(f"{path}/state", f"{path}/out", RULES, delay_us=(_SLICE + _LATE) * DAY, chunk_us=CHUNK_US)
+    return judged(arriving_stream(spark, sf_dir), handler, path).select(
         "src_ip", "us", "rule", "confidence", "severity", "description"
     )
 
@@ -176,10 +196,8 @@ def _port_requests(rows: DataFrame) -> DataFrame:
 )
 def stream_block_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "blocks")
-    handler = sd.BlockDetector(f"{path}/state", f"{path}/out", BlockLimits(duration_sec=5 * 86_400), delay_us=0)
-    requests = _port_requests(sec_stream(spark, sf_dir)).drop("ts")
-    sinks.for_each_batch(requests, [handler], f"{path}/checkpoint").awaitTermination()
-    return read_appended(spark, f"{path}/out")
+    handler = sd.BlockDetector(f"{path}/state", f"{path}/out", BlockLimits(duration_sec=5 * 86_400), delay_us=(_SLICE + _LATE) * DAY)
+    return judged(_port_requests(arriving_stream(spark, sf_dir)).drop("ts"), handler, path)
 
 
 @query(

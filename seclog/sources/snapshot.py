@@ -38,8 +38,9 @@ def scan_snapshot(
             reader = reader.option("pathGlobFilter", watch.pattern)
         try:
             parts.append(reader.load(watch.path))
-        except AnalysisException:
-            continue
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
     if not parts:
         return spark.createDataFrame(
             [], "path string, hash string, size long, mtime long, mode string, uid int, gid int"

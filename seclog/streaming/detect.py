@@ -72,6 +72,7 @@ class _Incremental:
         self.output = output
         self.delay_us = delay_us
         self.window_us = window_us
+        self.next_batch = 0
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -80,6 +81,7 @@ class _Incremental:
         append_table(batch.filter(F.col("us") <= before), f"{self.state.folder}/late", "us", batch_id)
         rows = staged(carried.unionByName(batch.filter(F.col("us") > before)), "rows")
         newest = rows.agg(F.max("us")).first()[0]
+        self.next_batch = batch_id + 1
         until = before if newest is None else max(before, newest - self.delay_us)
         results = self.judge(rows.filter(F.col("us") <= until), before, until, batch_id)
         append_table(results, self.output, "us", batch_id)
@@ -90,6 +92,17 @@ class _Incremental:
         for name in ("events", "fired", "judged"):
             self.state.forget(spark, batch_id - 2, name)
 
+    def finish(self, like: DataFrame, batch_id: int) -> None:
+        """Judge the rows that still wait for the event-time bound, as at the end of a replay.
+
+        ``like`` has the columns of a batch; ``batch_id`` is the one after the last.
+        """
+        delay, self.delay_us = self.delay_us, 0
+        try:
+            self(like.limit(0), batch_id)
+        finally:
+            self.delay_us = delay
+
     def late_rows(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
         """Rows that came after their time was judged."""
         return read_appended(spark, f"{self.state.folder}/late", schema)
