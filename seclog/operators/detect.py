@@ -283,11 +283,12 @@ def activity_snapshot(
     blocks: DataFrame | None = None,
     geo: DataFrame | None = None,
     login_anomalies: DataFrame | None = None,
+    correlation: DataFrame | None = None,
 ) -> DataFrame:
     """State of every address at ``as_of_us``, the most failing first.
 
-    ``blocks`` (ip, start_us, end_us), ``geo`` (src_ip, country, flag, isp) and
-    ``login_anomalies`` (src_ip, ...) are optional sides, one row per fact.
+    ``blocks`` (ip, start_us, end_us), ``geo`` (src_ip, country, flag, isp), ``login_anomalies`` (src_ip, ...) and
+    ``correlation`` (src_ip, counts: recent events by kind) are optional sides, one row per fact.
     """
     past = handled(events).filter(F.col("us") <= as_of_us)
     recent = F.col("us") >= as_of_us - limits.window_sec * SECOND_US
@@ -329,6 +330,9 @@ def activity_snapshot(
         odd = login_anomalies.groupBy("src_ip").agg(F.count(F.lit(1)).alias("baseline_anomalies"))
         out = out.join(odd, "src_ip", "left")
         extra.append(F.coalesce("baseline_anomalies", F.lit(0)).alias("baseline_anomalies"))
+    if correlation is not None:
+        out = out.join(correlation.select("src_ip", F.col("counts").alias("correlation_events")), "src_ip", "left")
+        extra.append(F.coalesce("correlation_events", F.create_map().cast("map<string,bigint>")).alias("correlation_events"))
     return out.select(
         "src_ip",
         "fails_in_window",

@@ -164,6 +164,13 @@ def sliding_distinct_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_GATE = "prior >= 5"
+_UNUSUAL = "len(usual) > 0 AND hour_prior < 2"
+_NEW = "known_users > 0 AND user_prior = 0"
+_ABSENT = f"coalesce(us - previous_us > {4 * DAY}, false)"
+_SPIKE = "earlier_days + 1 >= 3 AND today_count >= 2 AND today_count * earlier_days > earlier_logins"
+
+
 @query(
     "ip_activity_snapshot",
     f"""SELECT s.src_ip, count(*) FILTER (kind = 'SSH_FAIL' AND us >= {AS_OF_US - DAY}) AS fails_in_window,
@@ -174,10 +181,15 @@ def sliding_distinct_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
           count(*) FILTER (kind = 'SSH_FAIL') AS total_fails,
           coalesce(any_value(i.n), 0) AS total_incidents, any_value(i.last_us) AS last_incident_us,
           coalesce(any_value(b.held), false) AS is_blocked, any_value(g.country) AS country, any_value(g.flag) AS flag,
-          any_value(g.isp) AS isp
+          any_value(g.isp) AS isp, coalesce(any_value(a.n), 0) AS baseline_anomalies, coalesce(any_value(c.kinds), '') AS correlation_events
         FROM sec s LEFT JOIN (SELECT src_ip, count(*) AS n, max(us) AS last_us FROM inc GROUP BY src_ip) i ON s.src_ip = i.src_ip
           LEFT JOIN (SELECT DISTINCT ip, true AS held FROM blocks WHERE start_us <= {AS_OF_US} AND end_us > {AS_OF_US}) b ON s.src_ip = b.ip
           LEFT JOIN ip_geo g ON s.src_ip = g.src_ip
+          LEFT JOIN (SELECT src_ip, count(*) AS n FROM login_hist WHERE {_GATE} AND ({_UNUSUAL} OR {_NEW} OR {_ABSENT} OR {_SPIKE}) GROUP BY src_ip) a
+            ON s.src_ip = a.src_ip
+          LEFT JOIN (SELECT src_ip, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM (
+              SELECT src_ip, kind, count(*) AS n FROM sec WHERE us > {AS_OF_US - 5 * DAY} AND us <= {AS_OF_US} GROUP BY ALL) GROUP BY src_ip) c
+            ON s.src_ip = c.src_ip
         GROUP BY s.src_ip""",
 )
 def ip_activity_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,9 +198,13 @@ def ip_activity_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, found = fx.sec_events(spark, sf_dir), final_incidents(spark, sf_dir)
     geo = en.geo_lookup(events, fx.geo_ranges(spark, sf_dir), prefixes=fx.GEO_PREFIXES)
     held = blocks.block_intervals(blocks.block_requests(found), fx.BLOCKS)
-    return de.activity_snapshot(
-        events, found, AS_OF_US, LIMITS, held, geo.select("src_ip", "country", "flag", "isp")
+    recent = co.kind_count_maps(co.recent_kind_counts(events, AS_OF_US, 5 * 86_400))
+    state = de.activity_snapshot(
+        events, found, AS_OF_US, LIMITS, held, geo.select("src_ip", "country", "flag", "isp"),
+        bl.login_anomalies(events, BASELINE), recent,
     )
+    item = lambda e: F.concat(e["key"], F.lit("="), e["value"])
+    return state.withColumn("correlation_events", F.array_join(F.transform(F.map_entries("correlation_events"), item), ","))
 
 
 @query(
@@ -326,13 +342,6 @@ def custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- behavioural baseline ---------------------------------------------------------
 
-_GATE = "prior >= 5"
-_UNUSUAL = "len(usual) > 0 AND hour_prior < 2"
-_NEW = "known_users > 0 AND user_prior = 0"
-_ABSENT = f"coalesce(us - previous_us > {4 * DAY}, false)"
-_SPIKE = "earlier_days + 1 >= 3 AND today_count >= 2 AND today_count * earlier_days > earlier_logins"
-
-
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bl.login_history(fx.sec_events(spark, sf_dir), BASELINE).filter(
         F.col("prior") >= BASELINE.min_observations

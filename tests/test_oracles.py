@@ -14,7 +14,8 @@ SOME = {
     "privilege_attribution", "login_anomalies", "ip_window_features", "geo_enrich", "allowlist_filter",
     "manual_overrides", "cluster_blocklist", "fim_diff", "fim_baseline_merge", "asset_trust", "asset_summary",
     "decoy_session_commands", "top_attackers", "timeline_24h_filled", "executive_summary", "rate_series",
-    "stream_sessions", "stream_blocklist",
+    "stream_sessions", "stream_blocklist", "stream_correlate", "lines_to_incidents", "allowlist_filter_ipv6",
+    "scan_file_snapshot", "iforest_structure", "iforest_bounds", "ip_activity_snapshot",
 }
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 NAMES = sorted(ORACLES if os.environ.get("SECLOG_ALL") else SOME)
