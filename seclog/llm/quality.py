@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from seclog.llm.common import documents, mapped, texts
 
 SYMBOLS = "#*$%&|<>"
-#: Phrases of page furniture; a line that has one is no prose.
+#: Phrases of page furniture; a line that they make up a share of is no prose.
 BOILERPLATE = (
     "all rights reserved", "accept cookies", "cookie policy", "enable javascript", "javascript is disabled",
     "lorem ipsum", "privacy policy", "sign up for our newsletter", "skip to content", "terms of service", "terms of use",
 )
 _SEPARATORS = ("|", "»", "›", ">", "•", "·", "::")
+_FURNITURE = re.compile("|".join(BOILERPLATE))
 _NO_LETTER = re.compile(r"[^\w\s]|[\d_]")
 _SHOUT = re.compile(r"[!?]{2,}(?=[.,]?(?:\s|$))")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,6 +42,7 @@ class Rules:
     min_separators: int = 3
     max_separator_gap: float = 4.0
     max_stutter_share: float = 0.4
+    max_boilerplate_share: float = 0.15
     min_letter_share: float = 0.4
 
 
@@ -62,8 +64,10 @@ def line_fault(line: str, words: list[str], rules: Rules, marks: bool = True, fu
         return "punctuation"
     if n >= 3 and len(_NO_LETTER.findall(line)) > (1 - rules.min_letter_share) * sum(map(len, words)):
         return "punctuation"
-    if furniture and any(map(line.lower().__contains__, BOILERPLATE)):
-        return "boilerplate"
+    if furniture and (found := _FURNITURE.findall(line.lower())):
+        # By characters of the words, since text without spaces between words is few, long words.
+        if sum(len(p) - p.count(" ") for p in found) > rules.max_boilerplate_share * sum(map(len, words)):
+            return "boilerplate"
     if n >= 5 and sum(map(eq, words, words[1:])) > rules.max_stutter_share * n:
         return "boilerplate"
     return None

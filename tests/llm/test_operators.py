@@ -102,6 +102,17 @@ def test_cleaning_removes_failing_lines_and_rejects_documents_that_lose_too_much
     assert set(got) == {1, 2} and got[1].text == got[2].text == good and got[2].n_chars == len(good) and got[1].copies == 9
 
 
+@pytest.mark.parametrize("phrase", quality.BOILERPLATE)
+def test_a_boilerplate_phrase_fails_short_lines_and_no_long_ones(spark, phrase):
+    prose = " ".join(f"This sentence {i} has plain words and then {i} more." for i in range(60))
+    spaceless = "中文" * 200
+    rows = [(1, f"{prose} It names the {phrase.title()} once."), (2, f"{prose}\n{phrase.capitalize()}."), (3, f"{prose}\n{spaceless} {phrase} {spaceless}")]
+    got = {r.doc_id: r.text for r in quality.clean_documents(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: prose, 3: rows[2][1]}
+    stats = {r.doc_id: (r.kept, r.n_fault_lines) for r in quality.line_quality(docs(spark, rows)).collect()}
+    assert stats == {1: (True, 0), 2: (True, 1), 3: (True, 0)}
+
+
 def test_word_bpe_is_the_library_s(spark):
     own = tokenizer("word_bpe_49k.json")
     rows = [*awkward(), (300, "İ ﬁ Σς <|endoftext|>x<|startoftext|> <|EndOfText|> 's'RE"), (301, "ab" * 300)]
