@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import cache
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from seclog.llm.common import documents, latin_pattern, mapped, tokenizer_path
 
-#: Pre-tokens in a leaf when a tree is built.
+#: Pre-tokens in a run.
 LEAF = 32
 KEPT_PIECES = 600_000
 
@@ -58,31 +59,53 @@ def piece_counter(tokenizer: str) -> PieceCounter:
     return PieceCounter(tokenizer)
 
 
+def _dealt(values: list, size: int) -> list[list]:
+    """Runs of ``size`` values at most, none much shorter than the others."""
+    n = -(-len(values) // size)
+    cuts = [len(values) * i // n for i in range(n + 1)] if n else []
+    return [values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class TokenTree:
-    """Counts of one document: leaves are runs of pre-tokens, inner nodes hold sums of characters and of tokens.
+    """Counts of one document: runs of pre-tokens lie in leaves, inner nodes hold sums of characters and of tokens.
 
-    The leaves' texts are kept beside the sums, so an edit moves no other text.
+    A leaf starts with one run. Edits deal what they encode anew into runs of ``LEAF`` pre-tokens, so that a later
+    edit beside them encodes a few runs only; a leaf that comes to hold many runs has all runs dealt to leaves anew,
+    which encodes nothing. The runs' texts are kept beside the sums, so an edit moves no other text.
     """
 
     def __init__(self, text: str, counter: PieceCounter) -> None:
-        self.counter = counter
         pieces = counter.pattern(text).findall(text)
         counts = np.fromiter(map(counter.__getitem__, pieces), np.int64, len(pieces))
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        at = np.arange(0, max(1, len(pieces)), LEAF)
-        self.leaves = len(at)
-        self.base = 1 << (self.leaves - 1).bit_length()
+        at = np.arange(0, len(pieces), LEAF)
+        chars, tokens = (np.add.reduceat(v, at).tolist() if len(pieces) else [] for v in (lengths, counts))
+        self._load(text, chars, tokens, counter)
+
+    @classmethod
+    def stored(cls, text: str, chars: list[int], tokens: list[int], counter: PieceCounter) -> TokenTree:
+        """A tree from its text and the characters and tokens of its runs, as ``runs`` gives them; encodes nothing."""
+        tree = cls.__new__(cls)
+        tree._load(text, chars, tokens, counter)
+        return tree
+
+    def _load(self, text: str, chars: list[int], tokens: list[int], counter: PieceCounter) -> None:
+        self.counter, self.encoded = counter, 0
+        ends = np.cumsum(chars, dtype=np.int64).tolist()
+        self._deal([(text[a:b], n) for a, b, n in zip([0, *ends], ends, tokens, strict=False)])
+
+    def _deal(self, runs: list[tuple[str, int]]) -> None:
+        """One run a leaf, and all sums anew."""
+        self.leaves = [[r] for r in runs] or [[]]
+        self.most = max(16, math.isqrt(len(runs)))
+        self.base = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = np.zeros(2 * self.base, np.int64), np.zeros(2 * self.base, np.int64)
-        for sums, values in ((self.chars, lengths), (self.tokens, counts)):
-            if len(pieces):
-                sums[self.base : self.base + self.leaves] = np.add.reduceat(values, at)
+        for sums, values in ((self.chars, [len(t) for t, _ in runs]), (self.tokens, [n for _, n in runs])):
+            sums[self.base : self.base + len(runs)] = values
             width = self.base
             while width > 1:
                 sums[width // 2 : width] = sums[width : 2 * width].reshape(-1, 2).sum(axis=1)
                 width //= 2
-        ends = np.cumsum(self.chars[self.base : self.base + self.leaves]).tolist()
-        self.texts = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        self.encoded = 0
 
     @property
     def n_tokens(self) -> int:
@@ -93,58 +116,92 @@ class TokenTree:
         return int(self.chars[1])
 
     def text(self) -> str:
-        return "".join(self.texts)
+        return "".join(t for leaf in self.leaves for t, _ in leaf)
+
+    def runs(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of each run in the order of the text."""
+        return [len(t) for leaf in self.leaves for t, _ in leaf], [n for leaf in self.leaves for _, n in leaf]
 
-    def find(self, place: int) -> tuple[int, int]:
-        """Leaf that holds character ``place`` and the characters before the leaf; the last leaf with text beyond the end."""
+    def find(self, place: int) -> tuple[tuple[int, int], int]:
+        """Leaf and run that hold character ``place`` and the characters before the run; the last run beyond the end."""
         node, before = 1, 0
         while node < self.base:
             node *= 2
             if place - before >= self.chars[node] and self.chars[node + 1]:
                 before += int(self.chars[node])
                 node += 1
-        return node - self.base, before
-
-    def _set(self, leaf: int, text: str, tokens: int) -> None:
-        self.texts[leaf] = text
+        leaf, run = self.leaves[node - self.base], 0
+        while run < len(leaf) - 1 and place - before >= len(leaf[run][0]):
+            before += len(leaf[run][0])
+            run += 1
+        return (node - self.base, run), before
+
+    def _beside(self, at: tuple[int, int], step: int) -> tuple[int, int] | None:
+        """The next run in a direction."""
+        leaf, run = at
+        if 0 <= run + step < len(self.leaves[leaf]):
+            return leaf, run + step
         node = self.base + leaf
-        more, chars = tokens - int(self.tokens[node]), len(text) - int(self.chars[node])
-        while node:
-            self.tokens[node] += more
-            self.chars[node] += chars
+        while node > 1:
+            if node % 2 == (step < 0) and self.chars[node ^ 1]:
+                node ^= 1
+                while node < self.base:
+                    node = 2 * node + (step < 0)
+                    if not self.chars[node]:
+                        node ^= 1
+                leaf = node - self.base
+                return leaf, (0 if step > 0 else len(self.leaves[leaf]) - 1)
             node //= 2
-
-    def _beside(self, leaf: int, step: int) -> int | None:
-        """The next leaf with text in a direction."""
-        leaf += step
-        while 0 <= leaf < self.leaves:
-            if self.texts[leaf]:
-                return leaf
-            leaf += step
         return None
 
+    def _text(self, at: tuple[int, int] | None) -> str:
+        if at is None or not self.leaves[at[0]]:
+            return ""
+        return self.leaves[at[0]][at[1]][0]
+
+    def _replace(self, region: list[tuple[int, int]], runs: list[tuple[str, int]]) -> None:
+        """Put ``runs`` in place of those of ``region``, which follow each other, dealt over the same leaves."""
+        touched = list(dict.fromkeys(leaf for leaf, _ in region))
+        head, tail = self.leaves[touched[0]][: region[0][1]], self.leaves[touched[-1]][region[-1][1] + 1 :]
+        parts = _dealt(runs, max(1, -(-len(runs) // len(touched))))
+        parts += [[] for _ in range(len(touched) - len(parts))]
+        parts[0] = head + parts[0]
+        parts[-1] = parts[-1] + tail
+        for leaf, part in zip(touched, parts, strict=True):
+            self.leaves[leaf] = part
+            node = self.base + leaf
+            chars, tokens = sum(len(t) for t, _ in part) - int(self.chars[node]), sum(n for _, n in part) - int(self.tokens[node])
+            while node:
+                self.chars[node] += chars
+                self.tokens[node] += tokens
+                node //= 2
+        if max(map(len, parts)) > self.most:
+            self._deal([r for leaf in self.leaves for r in leaf])
+
     def edit(self, start: int, stop: int, new: str) -> None:
         """Replace characters ``start`` to ``stop`` by ``new``.
 
         Cutting at a place looks at no text before it and at one pre-token beyond its end at most, so it begins
-        anew one leaf before the edit, and ends at the first later border of leaves that is a border of
+        anew one run before the edit, and ends at the first later border of runs that is a border of
         pre-tokens again: from there on both texts are cut alike.
         """
         start, stop = max(0, min(start, self.n_chars)), max(0, min(stop, self.n_chars))
         stop = max(start, stop)
         first, before = self.find(max(0, start - 1))
         for _ in range(2):
-            if (leaf := self._beside(first, -1)) is not None:
-                first, before = leaf, before - len(self.texts[leaf])
-        last, ahead = self.find(max(start, stop - 1))
-        old = "".join(self.texts[first : last + 1])
+            if (at := self._beside(first, -1)) is not None:
+                first, before = at, before - len(self._text(at))
+        last, _ = self.find(max(start, stop - 1))
+        region = [first]
+        while region[-1] < last:
+            region.append(self._beside(region[-1], 1))
+        old = "".join(map(self._text, region))
         text = old[: start - before] + new + old[stop - before :]
-        reach = last
         while True:
-            after = self._beside(reach, 1)
-            tail = "" if after is None else self.texts[after]
+            after = self._beside(region[-1], 1)
+            tail = self._text(after)
             beyond = None if after is None else self._beside(after, 1)
-            look = text + tail + ("" if beyond is None else self.texts[beyond])
+            look = text + tail + self._text(beyond)
             pieces, place = [], 0
             for m in self.counter.pattern(look).finditer(look):
                 if place >= len(text):
@@ -153,12 +210,11 @@ class TokenTree:
                 place = m.end()
             if place == len(text) or after is None:
                 break
-            text, reach = text + tail, after
+            text = text + tail
+            region.append(after)
         self.encoded += len(text)
-        for leaf in range(first + 1, reach + 1):
-            if self.texts[leaf]:
-                self._set(leaf, "", 0)
-        self._set(first, text, sum(map(self.counter.__getitem__, pieces)))
+        runs = [("".join(run), sum(map(self.counter.__getitem__, run))) for run in _dealt(pieces, LEAF)]
+        self._replace(region, runs)
 
 
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("new", T.StringType())]))

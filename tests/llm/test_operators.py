@@ -262,6 +262,20 @@ def test_edits_reencode_little():
     assert tree.encoded < 2000
 
 
+@pytest.mark.parametrize(("line", "old", "new"), [("a row with some plain words and number 1234567 in it\n", "1234567", "<number>"), (" 1234567", "1234567", "<number>"), ("x@y.org 1234567\n", "1234567", "several more words than there were before " * 5)])
+def test_dense_edits_encode_in_proportion(line, old, new):
+    counter, spent = token_counts.piece_counter("byte_bpe_50k.tiktoken"), []
+    for n in (400, 3200):
+        tree = token_counts.TokenTree(line * n, counter)
+        for i in reversed(range(n)):
+            at = i * len(line) + line.index(old)
+            tree.edit(at, at + len(old), new)
+        text = (line * n).replace(old, new)
+        assert tree.text() == text and tree.n_tokens == len(counter.own.encode_ordinary(text)) and sum(tree.runs()[0]) == len(text)
+        spent.append(tree.encoded)
+    assert spent[1] < 9 * spent[0]
+
+
 def test_random_edits(spark):
     counter = token_counts.piece_counter("byte_bpe_50k.tiktoken")
     rng = np.random.default_rng(9)
