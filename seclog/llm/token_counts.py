@@ -12,7 +12,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from seclog.llm.common import documents, latin_pattern, mapped, tokenizer_path
+from seclog.llm.common import documents, latin_pattern, mapped, texts, tokenizer_path
+from seclog.sources.staging import staged
 
 #: Pre-tokens in a run.
 LEAF = 32
@@ -66,6 +67,16 @@ def _dealt(values: list, size: int) -> list[list]:
     return [values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def cut_runs(text: str, counter: PieceCounter) -> tuple[list[int], list[int]]:
+    """Characters and tokens of each run of a text."""
+    pieces = counter.pattern(text).findall(text)
+    if not pieces:
+        return [], []
+    at = np.arange(0, len(pieces), LEAF)
+    lengths, counts = (np.fromiter(map(f, pieces), np.int64, len(pieces)) for f in (len, counter.__getitem__))
+    return np.add.reduceat(lengths, at).tolist(), np.add.reduceat(counts, at).tolist()
+
+
 class TokenTree:
     """Counts of one document: runs of pre-tokens lie in leaves, inner nodes hold sums of characters and of tokens.
 
@@ -75,12 +86,7 @@ class TokenTree:
     """
 
     def __init__(self, text: str, counter: PieceCounter) -> None:
-        pieces = counter.pattern(text).findall(text)
-        counts = np.fromiter(map(counter.__getitem__, pieces), np.int64, len(pieces))
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        at = np.arange(0, len(pieces), LEAF)
-        chars, tokens = (np.add.reduceat(v, at).tolist() if len(pieces) else [] for v in (lengths, counts))
-        self._load(text, chars, tokens, counter)
+        self._load(text, *cut_runs(text, counter), counter)
 
     @classmethod
     def stored(cls, text: str, chars: list[int], tokens: list[int], counter: PieceCounter) -> TokenTree:
@@ -220,31 +226,63 @@ class TokenTree:
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("new", T.StringType())]))
 
 
-def count_after_edits(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", with_text: bool = False) -> DataFrame:
+#: What a row of a tree table has besides its text: characters and tokens of each run. The sums follow from them.
+RUNS = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("run_chars", "run_tokens")]
+
+
+def token_trees(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """The tree table: (doc_id, text, run_chars, run_tokens) per row of ``docs``, for ``count_after_edits``.
+
+    Null text counts as empty and has no runs; repeated rows each give a row. No shuffle.
+    """
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        counter = piece_counter(tokenizer)
+        found = [cut_runs(t, counter) for t in texts(batch)]
+        columns = dict(zip(("run_chars", "run_tokens"), zip(*found, strict=True), strict=True))
+        return {c: batch.column(c) for c in ("doc_id", "text")} | columns
+
+    return mapped(docs.select("doc_id", "text"), rows, T.StructType([*docs.select("doc_id", "text").schema, *RUNS]))
+
+
+def count_after_edits(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", with_text: bool = False, with_tree: bool = False) -> DataFrame:
     """Counts before and after the edits of each row of ``docs`` (doc_id, text, edits).
 
-    ``edits`` is an array of (start, stop, new), character places in the text as it was; they are applied from the
-    last to the first. Edits must not overlap; places beyond the text count as its end, nulls in an edit as 0 or
-    the empty text, null ``edits`` as none, a null text as empty. Gives doc_id, n_tokens (before), n_edits,
-    n_tokens_after, n_chars_after, n_chars_encoded (what the edits made it encode anew), and ``text_after`` if
-    asked for. Repeated rows each give a row; other columns are not read; no rows give no rows. No shuffle.
+    Rows with ``run_chars`` and ``run_tokens`` of ``token_trees``, by the same tokenizer, are taken as stored trees, of
+    which only what edits touch is encoded; without these columns trees are built first. ``edits`` is an array of
+    (start, stop, new), character places in the text as it was; they are applied from the last to the first. Edits
+    must not overlap; places beyond the text count as its end, nulls in an edit as 0 or the empty text, null
+    ``edits`` as none, a null text as empty. Gives doc_id, n_tokens (before), n_edits, n_tokens_after,
+    n_chars_after, n_chars_encoded (what the edits made it encode anew), and if asked for ``text_after`` and with
+    it the updated ``run_chars`` and ``run_tokens``. Repeated rows each give a row; other columns are not read; no
+    rows give no rows. No shuffle.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
+    runs = [f.name for f in RUNS if f.name in docs.columns]
 
     def rows(batch: pa.RecordBatch) -> dict:
         counter = piece_counter(tokenizer)
         out = []
-        for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
-            tree = TokenTree(text or "", counter)
+        of = [batch.column(c).to_pylist() for c in runs]
+        for i, (text, edits) in enumerate(zip(texts(batch), batch.column("edits").to_pylist(), strict=True)):
+            tree = TokenTree.stored(text, of[0][i], of[1][i], counter) if len(of) == len(RUNS) else TokenTree(text, counter)
             n, edits = tree.n_tokens, sorted((e or {} for e in edits or []), key=lambda e: e.get("start") or 0, reverse=True)
             for e in edits:
                 tree.edit(e.get("start") or 0, e.get("stop") or 0, e.get("new") or "")
-            out.append((n, len(edits), tree.n_tokens, tree.n_chars, tree.encoded, tree.text() if with_text else ""))
-        names = ("n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "n_chars_encoded", "text_after")
+            more = (tree.text() if with_text or with_tree else "", *(tree.runs() if with_tree else ((), ())))
+            out.append((n, len(edits), tree.n_tokens, tree.n_chars, tree.encoded, *more))
+        names = ("n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "n_chars_encoded", "text_after", "run_chars", "run_tokens")
         return {"doc_id": batch.column("doc_id")} | dict(zip(names, zip(*out, strict=True), strict=True))
 
     schema = f"doc_id {key}, n_tokens long, n_edits long, n_tokens_after long, n_chars_after long, n_chars_encoded long"
-    return mapped(docs.select("doc_id", "text", "edits"), rows, schema + ", text_after string" * with_text)
+    schema += ", text_after string" * (with_text or with_tree) + ", run_chars array<int>, run_tokens array<int>" * with_tree
+    return mapped(docs.select("doc_id", "text", "edits", *runs), rows, schema)
+
+
+def edited_trees(trees: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """The tree table after the edits of each row of ``trees`` (doc_id, text, run_chars, run_tokens, edits)."""
+    after = count_after_edits(trees, tokenizer, with_tree=True)
+    return after.select("doc_id", after["text_after"].alias("text"), "run_chars", "run_tokens")
 
 
 _NUMBER = re.compile(r"\d{6,}")
@@ -254,8 +292,10 @@ _MAIL = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+")
 def masking_edits(docs: DataFrame) -> DataFrame:
     """(doc_id, text, edits): e-mail addresses become <email>, runs of six digits or more <number>, repeated lines go.
 
-    A repeated line is one with a word that equals an earlier line; it goes with the line break before it.
+    A repeated line is one with a word that equals an earlier line; it goes with the line break before it. The runs of a
+    tree table pass through.
     """
+    runs = [f for f in RUNS if f.name in docs.columns]
 
     def edits(text: str) -> list[dict]:
         found, place, seen = [], 0, set()
@@ -276,12 +316,16 @@ def masking_edits(docs: DataFrame) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> dict:
         whole = batch.column("text")
-        return {"doc_id": batch.column("doc_id"), "text": whole, "edits": [edits(t or "") for t in whole.to_pylist()]}
+        kept = {f.name: batch.column(f.name) for f in runs}
+        return {"doc_id": batch.column("doc_id"), "text": whole, "edits": [edits(t or "") for t in whole.to_pylist()]} | kept
 
-    schema = T.StructType([docs.select("doc_id").schema[0], docs.select("text").schema[0], T.StructField("edits", EDITS)])
-    return mapped(docs.select("doc_id", "text"), rows, schema)
+    given = docs.select("doc_id", "text", *[f.name for f in runs])
+    return mapped(given, rows, T.StructType([*given.schema, T.StructField("edits", EDITS)]))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents before and after personal data is masked and repeated lines are removed."""
-    return count_after_edits(masking_edits(documents(spark, sf_dir)))
+    """Token counts of all documents before and after personal data is masked and repeated lines are removed.
+
+    The trees are written as a table first, and the edits read it.
+    """
+    return count_after_edits(masking_edits(staged(token_trees(documents(spark, sf_dir)), "token_trees")))

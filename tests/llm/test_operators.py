@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from seclog.llm import archive, bpe, components, exact, mixing, quality, simhash, token_counts, token_files, toxicity
+from seclog.sources.staging import staged
 from tests.llm.helpers import SF, awkward, docs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -256,6 +257,28 @@ def test_counts_after_edits_are_those_of_the_edited_text(spark):
     assert after[701] == "same\nsame <number>" and after[700].count("<email>") == 1 and len(got) == len(rows)
 
 
+def test_stored_trees_take_several_rounds_of_edits(spark):
+    own = token_counts.piece_counter("byte_bpe_50k.tiktoken").own
+    rows = [r for r in awkward() if r[0] not in (None, 111)] + [(700, "call 1234567890 or a.b@c.de\n" * 60 + "tail")]
+    trees = token_counts.token_trees(docs(spark, rows))
+    for new in ("a 99999999 b", "", "Ω"):
+        edits = F.expr(f"array(named_struct('start', 20, 'stop', 25, 'new', '{new}'), named_struct('start', 900, 'stop', 901, 'new', 'z'))")
+        before = staged(trees.withColumn("edits", edits))
+        trees = staged(token_counts.edited_trees(before))
+        text = {r.doc_id: r.text or "" for r in before.collect()}
+        for r in token_counts.count_after_edits(before, with_tree=True).collect():
+            want = text[r.doc_id][:900] + "z" + text[r.doc_id][901:]
+            want = want[:20] + new + want[25:]
+            assert r.text_after == want and r.n_tokens == len(own.encode_ordinary(text[r.doc_id])) and r.n_chars_encoded < 20000
+            assert r.n_tokens_after == sum(r.run_tokens) == len(own.encode_ordinary(want)) and sum(r.run_chars) == len(want)
+    # What is stored is what is read: nothing is counted anew.
+    odd = trees.withColumn("run_tokens", F.expr("transform(run_tokens, n -> n + 1)")).withColumn("edits", F.lit(None).cast(before.schema["edits"].dataType))
+    read = {r.doc_id: r.n_tokens for r in token_counts.count_after_edits(odd).collect()}
+    assert read == {r.doc_id: sum(r.run_tokens) + len(r.run_tokens) for r in trees.collect()}
+    masked = token_counts.count_after_edits(token_counts.masking_edits(token_counts.token_trees(docs(spark, rows)))).collect()
+    assert Counter(masked) == Counter(token_counts.count_after_edits(token_counts.masking_edits(docs(spark, rows))).collect())
+
+
 def test_edits_reencode_little():
     tree = token_counts.TokenTree("some plain words here " * 20000, token_counts.piece_counter("byte_bpe_50k.tiktoken"))
     tree.edit(200000, 200005, "other")
