@@ -78,14 +78,19 @@ def exact_copies(docs: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged, whatever their names. Texts move once, in the last join."""
-    stay = exact_copies(docs).filter("kept").select(_key(F.col("doc_id"), F.col("text_sha256")).alias("__row"))
+    stay = exact_copies(docs).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("__row"))
+    return one_by_key(docs, stay)
+
+
+def one_by_key(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``row_key`` in ``stay`` (column __row)."""
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    rows = docs.withColumn("__row", _key(F.col("doc_id"), sha)).join(stay, "__row", "left_semi")
+    rows = docs.withColumn("__row", row_key(F.col("doc_id"), sha)).join(stay, "__row", "left_semi")
     one = Window.partitionBy("__row").orderBy(F.lit(1))
     return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _key(doc_id: Column, sha: Column) -> Column:
+def row_key(doc_id: Column, sha: Column) -> Column:
     return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), sha)
 
 

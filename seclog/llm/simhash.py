@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seclog.llm.common import documents, lower_words, mapped, texts
 from seclog.llm.components import roots
+from seclog.llm.exact import one_by_key, row_key
 from seclog.sources.staging import staged
 
 BITS = 64
@@ -40,15 +42,17 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): a 64-bit fingerprint, as signed long, per row."""
+def fingerprints(docs: DataFrame, with_digest: bool = False) -> DataFrame:
+    """(doc_id, fp): a 64-bit fingerprint, as signed long, per row; and ``sha``, SHA-256 of the text in hex, if asked for."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batch: pa.RecordBatch) -> dict:
-        found = np.array([fingerprint(t) for t in texts(batch)], np.uint64)
-        return {"doc_id": batch.column("doc_id"), "fp": pa.array(found.view(np.int64))}
+        whole = texts(batch)
+        found = np.array([fingerprint(t) for t in whole], np.uint64)
+        sha = {"sha": [hashlib.sha256(t.encode()).hexdigest() for t in whole]} if with_digest else {}
+        return {"doc_id": batch.column("doc_id"), "fp": pa.array(found.view(np.int64))} | sha
 
-    return mapped(docs.select("doc_id", "text"), rows, f"doc_id {key}, fp long")
+    return mapped(docs.select("doc_id", "text"), rows, f"doc_id {key}, fp long" + ", sha string" * with_digest)
 
 
 def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -176,6 +180,16 @@ def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Dat
     return one.filter("key is null").select("a", "b").union(pairs.mapInArrow(across, "a long, b long")).distinct()
 
 
+def _least(marked: DataFrame, value: Column, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, root) of the different fingerprints of ``marked``, and (root, least): the least ``value`` of each component."""
+    nodes = marked.groupBy("fp").agg(F.min(value).alias("first"))
+    found = roots(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    placed = staged(nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
+    # A table of its own: a join with it then has two shuffled sides and can split a large component.
+    least = staged(placed.groupBy("root").agg(F.min("first").alias("least")), "least")
+    return placed.select("fp", "root"), least
+
+
 def near_copies(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint (hex), component_id.
 
@@ -185,23 +199,22 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     row; other columns are not read; an empty table gives no rows.
     """
     marked = staged(fingerprints(docs), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = roots(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    placed = staged(nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
-    # A table of its own: the join below then has two shuffled sides and can split a large component.
-    least = staged(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    named = placed.join(least, "root").select("fp", "component_id")
+    placed, least = _least(marked, F.col("doc_id"), distance)
+    named = placed.join(least, "root").select("fp", F.col("least").alias("component_id"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(named, "fp").select("doc_id", text, "component_id")
 
 
 def without_near_copies(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; all columns unchanged.
+    """One row of each component of ``near_copies``; all columns unchanged, whatever their names.
 
-    Rows that share a doc_id stand for one document. A null doc_id cannot be named, so such rows stay.
+    The row with the smallest doc_id stays, of several the one whose text has the smallest digest, of equal ones any
+    one; a row with null doc_id stays only if its component has no other doc_id.
     """
-    go = near_copies(docs, distance).filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(go, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = staged(fingerprints(docs, with_digest=True), "fingerprints")
+    _, least = _least(marked, F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sha"), distance)
+    stay = least.select(row_key(F.col("least.doc_id"), F.col("least.sha")).alias("__row"))
+    return one_by_key(docs, stay)
 
 
 def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,19 @@ def test_near_copies(spark):
     assert simhash.near_copies(docs(spark, []).limit(0)).collect() == []
 
 
+def test_one_row_of_each_near_component_stays(spark):
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 9999, 400))
+    a, b, c, d, e, alone, other = (text() for _ in range(7))
+    rows = [(5, a), (3, a + " end"), (5, alone), (1, b), (1, b + " end"), (None, c), (None, c + " end"), (2, d), (2, d), (None, e), (8, e + " end"), (None, other), (9, None), (9, "")]
+    fps = [slow_fingerprint(t) for _, t in rows]
+    assert all((fps[i] ^ fps[i + 1]).bit_count() <= 4 for i in (0, 3, 5, 9))
+    left = simhash.without_near_copies(docs(spark, rows)).collect()
+    got = Counter((r.doc_id, (r.text or "").removesuffix(" end")) for r in left)
+    assert got == Counter([(3, a), (5, alone), (1, b), (None, c), (2, d), (8, e), (None, other), (9, "")])
+    assert all(r.copies == 9 for r in left) and any(r.text == a + " end" for r in left)
+
+
 @pytest.mark.parametrize("block", [16, 4096])
 def test_links_connect_what_all_pairs_connect(spark, block):
     rng = np.random.default_rng(5)
