@@ -271,7 +271,8 @@ def top_failing_ips_approx(events: DataFrame, limit: int = 10, tracked: int = 10
     """The same from a mergeable sketch of ``tracked`` counters: one row, no shuffle of keys.
 
     A count is off by at most a share of 1 / (0.75 * tracked) of all failures once more addresses than
-    0.75 * tracked occur; where that could reach the last of the top, an error says so.
+    0.75 * tracked occur; where that could reach the last of the top, the exact top is counted in a second pass.
+    The sketch is made at once, since it decides.
     """
     rows = events.filter((F.col("kind") == "SSH_FAIL") & F.col("src_ip").isNotNull())
     top = rows.agg(
@@ -281,11 +282,13 @@ def top_failing_ips_approx(events: DataFrame, limit: int = 10, tracked: int = 10
     )
     exact = F.col("addresses") * 1.2 < 0.75 * tracked
     least = F.array_min(F.transform("t", lambda i: i["count"]))
-    sure = exact | (least > F.col("n") / (0.75 * tracked)) | (F.size("t") == 0)
-    checked = F.when(sure, F.col("t")).otherwise(
-        F.raise_error(F.lit(f"{tracked} counters are too few for this many addresses"))
-    )
-    return top.select(F.explode(checked).alias("i")).select(
+    # The sketch leaves out what it is not sure of, up to all of a flat table.
+    sure = exact | ((F.size("t") == limit) & (least > F.col("n") / (0.75 * tracked)))
+    sketch = top.select("t", sure.alias("sure"))
+    found = sketch.first()
+    if not found["sure"]:
+        return top_failing_ips(events, limit=limit)
+    return events.sparkSession.createDataFrame([found], sketch.schema).select(F.explode("t").alias("i")).select(
         F.col("i.item").alias("src_ip"), F.col("i.count").alias("fails")
     )
 

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from seclog.plans import report
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -28,3 +29,13 @@ def test_input_is_read_and_shuffled_few_times(spark, name):
     exchanges, scans = BOUNDS[name]
     assert len(re.findall(r"Exchange ", plan)) <= exchanges
     assert len(re.findall(r"FileScan", plan)) <= scans
+
+
+def test_top_failing_ips_approx_is_exact_where_the_sketch_is_not_sure(spark):
+    rows = [("SSH_FAIL", f"10.0.{i // 250}.{i % 250}") for i in range(600) for _ in range(1 + (i == 577))]
+    events = spark.createDataFrame([*rows, ("SSH_OK", "10.9.9.9"), ("SSH_FAIL", None)], "kind string, src_ip string")
+    want = [tuple(r) for r in report.top_failing_ips(events, limit=5).collect()]
+    assert [tuple(r) for r in report.top_failing_ips_approx(events, limit=5, tracked=100).collect()] == want and want[0] == ("10.0.2.77", 2)
+    few = events.filter("src_ip < '10.0.0.12'")
+    exact = {tuple(r) for r in report.top_failing_ips(few, limit=50).collect()}
+    assert {tuple(r) for r in report.top_failing_ips_approx(few, limit=50, tracked=100).collect()} == exact
