@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seclog.llm import archive, bpe, exact, katz, mixing, quality, simhash, token_counts, token_files, toxicity
+from seclog.llm import archive, bpe, exact, katz, mixing, packing, prefix_trie, quality, repair, simhash, token_counts, token_files, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         mixing.op8_mix_sources,
         toxicity.op9_toxicity,
         katz.op10_katz_scores,
+        repair.op11_repair_conversations,
+        packing.op12_pack_sequences,
+        prefix_trie.op13_prefix_trie,
     )
 }
 ORACLES = {"op5_web_archive": archive.OP5_SQL, "op6_exact_copies": exact.OP6_SQL}
