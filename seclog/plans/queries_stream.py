@@ -14,11 +14,12 @@ from seclog.plans.fixture_sql import DAY
 from seclog.plans.fixtures import CHUNK_US, LIMITS, RULES, YEAR
 from seclog.plans.queries_parse import CHANNELS, SSH_LINES
 from seclog.sources.sinks import read_appended
+from seclog.sources import follow
 from seclog.sources import parsers as pa
 from seclog.sources import text
-from seclog.sources.staging import new_folder
+from seclog.sources.staging import new_folder, remove
 from seclog.streaming import detect as sd
-from seclog.streaming import sinks
+from seclog.streaming import replays, sinks
 from seclog.streaming import windows as sw
 
 _LAST = "(SELECT max(us) FROM raw)"
@@ -95,6 +96,56 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(taken(events, "ingest"))
 
 
+def _grown(spark: SparkSession, sf_dir: str, path: str, until: int) -> None:
+    """The log lines before a day of the events, as one file a source and shard; each time under new names.
+
+    Lines are in order, so each file starts with what the one before it held, like a log that grew and was renamed.
+    """
+    lines = fx.log_lines(spark, sf_dir).filter(F.col("us") < fx.AS_OF_US - until * DAY)
+    dealt = lines.withColumn("shard", F.pmod(F.xxhash64("src_ip"), F.lit(4))).repartition("source", "shard")
+    ordered = dealt.sortWithinPartitions("source", "shard", "us", "event_id")
+    ordered.select("source", "shard", "line").write.mode("overwrite").partitionBy("source", "shard").text(path)
+
+
+def _counted_lines(lines: DataFrame) -> DataFrame:
+    return _counted(pa.parse_lines(follow.lines_of(lines), "auth", YEAR))
+
+
+@query("follow_batch", _SSH_LINES)
+def follow_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files read in ranges of 64 kB."""
+    path = new_folder(spark, "grown")
+    _grown(spark, sf_dir, path, 0)
+    return _counted_lines(follow.read_grown_lines(spark, path, "*.txt", chunk=1 << 16))
+
+
+def _follow(spark: SparkSession, sf_dir: str, steps: list[int | None], once: bool) -> DataFrame:
+    """Follow log files over several states of the folder, one run of the stream each; None empties the folder."""
+    path, work = new_folder(spark, "grown"), new_folder(spark, "followed")
+    schema = None
+    for until in steps:
+        if until is None:
+            remove(spark, path)
+        else:
+            _grown(spark, sf_dir, path, until)
+        lines = follow.follow_lines(spark, path, "*.txt", chunk=1 << 16)
+        schema = lines.schema
+        sinks.to_table(replays.drop_replayed(lines, 1 << 16) if once else lines, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    return _counted_lines(spark.read.schema(schema).parquet(f"{work}/out"))
+
+
+@query("stream_follow", _SSH_LINES)
+def stream_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that grow and are renamed between three runs: each line comes once."""
+    return _follow(spark, sf_dir, [20, 10, 0], once=False)
+
+
+@query("stream_replays", _SSH_LINES)
+def stream_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that go, come back whole, go, and come back in part: each line counts once, equal lines each."""
+    return _follow(spark, sf_dir, [20, None, 0, None, 10], once=True)
+
+
 @query(
     "stream_watermark",
     f"""SELECT us // {DAY} * {DAY} AS start_us, kind, count(*) AS n FROM sec
