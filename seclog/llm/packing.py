@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seclog.llm.bpe import word_bpe
-from seclog.llm.common import documents, mapped, texts
+from seclog.llm.common import documents, texts
 from seclog.sources.staging import staged
 
 #: Ids in a sequence.
@@ -95,7 +95,10 @@ def _table(rows: pa.Array, lengths: np.ndarray, block: int, found: dict, schema:
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, pool: int = POOL, rounds: int = ROUNDS) -> DataFrame:
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def packed(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, pool: int = POOL, rounds: int = ROUNDS, cut: tuple[Batches, str] | None = None) -> DataFrame:
     """``pieces``, any columns with ``length`` from 1 to ``capacity``, and where each lies: sequence_id and offset.
 
     Each task packs its rows in blocks by best-fit decreasing and bounds each block's bins from below. Where that
@@ -105,12 +108,13 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, pool
     one a block, bins with room in certified blocks move too, since a block may have too many long pieces for its
     short ones. It ends when the bound of all pieces is met, an exchange gains nothing, or after ``rounds`` of them.
     Each round is a written table; the driver sees counts, of at most ``capacity`` lengths. Columns named sequence_id
-    or offset are replaced; equal rows are pieces of their own; no rows give no rows.
+    or offset are replaced; equal rows are pieces of their own; no rows give no rows. ``cut`` is a function that makes
+    pieces of the batches of what is given instead, and the schema of these: it runs in the same workers.
     """
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    rows = pieces.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("length").cast("long").alias("size"))
-    more = "block long, bin int, place int, ready int"
-    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(more).fields])
+    given = T.StructType.fromDDL(cut[1]) if cut else pieces.schema
+    kept = T.StructType([f for f in given.fields if f.name not in ("sequence_id", "offset")])
+    names = kept.names
+    schema = T.StructType([T.StructField("row", kept), *T.StructType.fromDDL("size long, block long, bin int, place int, ready int").fields])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -120,11 +124,12 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, pool
 
         def out() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks()
-            lengths = whole.column("size").to_numpy()
-            kept = whole.column("row").combine_chunks()
-            return _table(kept.cast(arrow.field("row").type), lengths, made, _pack(lengths, capacity), arrow)
+            lengths = whole.column(given.names.index("length")).cast(pa.int64()).to_numpy()
+            columns = [whole.column(given.names.index(f.name)).combine_chunks().cast(f.type) for f in arrow.field("row").type]
+            row = pa.StructArray.from_arrays(columns, fields=list(arrow.field("row").type))
+            return _table(row, lengths, made, _pack(lengths, capacity), arrow)
 
-        for batch in batches:
+        for batch in cut[0](batches) if cut else batches:
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
                 if n + part.num_rows > block:
@@ -146,7 +151,8 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, pool
         return pa.Table.from_batches([_table(kept, lengths, key[0].as_py(), found, arrow)])
 
     done = []
-    table = staged(rows.mapInArrow(first, schema), "packed")
+    # by position: a name may hold a dot
+    table = staged(pieces.toDF(*[f"_{i}" for i, _ in enumerate(pieces.columns)] if not cut else pieces.columns).mapInArrow(first, schema), "packed")
     count = np.zeros(capacity + 1, np.int64)
     for size, n in table.groupBy("size").count().collect():
         count[size] = n
@@ -175,37 +181,30 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, pool
     return out
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "word_bpe_49k.json", end: int = END, with_ids: bool = False) -> DataFrame:
-    """Documents as pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, and ``ids`` if asked for.
-
-    A document is its ids and one end id. Only those longer than ``capacity`` are cut, every ``capacity`` ids. Null
-    text counts as empty, a piece of the end id alone; null and repeated doc_ids give their own pieces; other columns
-    are not read; no rows give no rows.
-    """
-    key = docs.schema["doc_id"].dataType.simpleString()
+def token_cutter(key: str, capacity: int = CAPACITY, tokenizer: str = "word_bpe_49k.json", end: int = END, with_ids: bool = False) -> tuple[Batches, str]:
+    """A function from batches of documents (doc_id of type ``key``, text) to batches of pieces, and their schema."""
     stop = array("I", [end]).tobytes()
     step = 4 * capacity
+    schema = f"doc_id {key}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
-    def rows(batch: pa.RecordBatch) -> dict:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(tokenizer)
-        source, number, parts = [], [], []
-        for i, text in enumerate(texts(batch)):
-            ids = bpe.encode(text) + stop
-            cut = [ids[at : at + step] for at in range(0, len(ids), step)] if len(ids) > step else [ids]
-            source += [i] * len(cut)
-            number += range(len(cut))
-            parts += cut
-        return {
-            "doc_id": batch.column("doc_id").take(pa.array(source, pa.int64())),
-            "piece": number,
-            "start": [capacity * x for x in number],
-            "length": [len(x) // 4 for x in parts],
-            "ids_crc32": list(map(zlib.crc32, parts)),
-            "ids": parts,
-        }
-
-    schema = f"doc_id {key}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return mapped(docs.select("doc_id", "text"), rows, schema)
+        for batch in batches:
+            source, number, lengths, sums, parts = [], [], [], [], []
+            for i, text in enumerate(texts(batch)):
+                ids = bpe.encode(text) + stop
+                for k, at in enumerate(range(0, len(ids), step)):
+                    part = ids[at : at + step]
+                    source.append(i)
+                    number.append(k)
+                    lengths.append(len(part) // 4)
+                    sums.append(zlib.crc32(part))
+                    if with_ids:
+                        parts.append(part)
+            columns = {"doc_id": batch.column("doc_id").take(pa.array(source, pa.int64())), "piece": pa.array(number, pa.int32()), "start": pa.array([capacity * k for k in number], pa.int64()), "length": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(parts, pa.binary())} if with_ids else {}))
+
+    return cut, schema
 
 
 def sequences(placed: DataFrame) -> DataFrame:
@@ -216,9 +215,16 @@ def sequences(placed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    return packed(token_pieces(docs, capacity, with_ids=with_ids), capacity)
+    """Documents cut into pieces of at most ``capacity`` ids and packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A document is its ids and one end id. Only those longer than ``capacity`` are cut, every ``capacity`` ids. Null
+    text counts as empty, a piece of the end id alone; null and repeated doc_ids give their own pieces; other columns
+    are not read; no rows give no rows. ``with_ids`` adds the ids of each piece, of which ``sequences`` are made.
+    """
+    cut = token_cutter(docs.schema["doc_id"].dataType.simpleString(), capacity, with_ids=with_ids)
+    return packed(docs.select("doc_id", "text"), capacity, cut=cut)
 
 
 def op12_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; the SQL of it would need the tokenizer."""
+    """Every piece of every document; the SQL of it would need the tokenizer."""
     return pack_documents(documents(spark, sf_dir))
