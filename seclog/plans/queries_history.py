@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seclog.operators import assets as asx
@@ -388,6 +388,35 @@ def scan_file_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(number.alias("doc_id"), "hash", "size")
 
 
+_TEXT = "coalesce(text, '')"
+
+
+@query(
+    "fim_rescan",
+    f"""SELECT doc_id, CASE WHEN NOT before THEN 'created' WHEN NOT after THEN 'deleted' ELSE 'modified' END AS change,
+          CASE WHEN before THEN sha256({_TEXT} || chr(10)) END AS old_hash,
+          CASE WHEN after THEN sha256({_TEXT} || CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END || chr(10)) END AS new_hash
+        FROM (SELECT *, doc_id % 10 <> 0 AS before, doc_id % 7 <> 0 AS after FROM documents)
+        WHERE before <> after OR (before AND doc_id % 5 = 0)""",
+)
+def fim_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans of every document as a file, some new, gone or changed; files over 2,000 bytes are hashed in blocks."""
+    docs = fx.read_table(spark, sf_dir, "documents")
+    key = F.col("doc_id")
+
+    def scan(rows: DataFrame, text: Column) -> DataFrame:
+        path = new_folder(spark, "files")
+        rows.select("doc_id", text.alias("text")).write.partitionBy("doc_id").text(path)
+        found = snapshot.scan_snapshot(spark, [snapshot.Watch(path, pattern="*.txt")], large=2000)
+        return found.withColumn("path", F.regexp_extract("path", r"doc_id=\d+", 0))
+
+    text = F.coalesce("text", F.lit(""))
+    one = scan(docs.filter(key % 10 != 0), text)
+    two = scan(docs.filter(key % 7 != 0), F.when(key % 5 == 0, F.concat(text, F.lit("!"))).otherwise(text))
+    number = F.substring_index("path", "=", -1).cast(docs.schema["doc_id"].dataType)
+    return fi.diff(one, two, fx.AS_OF_US).select(number.alias("doc_id"), "change", "old_hash", "new_hash")
+
+
 @query(
     "load_dimensions",
     f"""SELECT 'geo' AS kind, n_name AS name, {BASE} + n_nationkey * 64 AS lo, 26 AS prefix_len FROM nation

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes up to which a file is one value of a row; bytes read at a time of larger ones.
+LARGE, BLOCK = 64 << 20, 8 << 20
+
 
 @dataclass(frozen=True)
 class Watch:
@@ -20,38 +26,76 @@ class Watch:
     pattern: str | None = None
 
 
-def scan_snapshot(
-    spark: SparkSession, watches: Sequence[Watch], manifest: DataFrame | None = None
-) -> DataFrame:
-    """(path, hash, size, mtime, mode, uid, gid), one row per distinct file.
+SNAPSHOT = "path string, hash string, size long, mtime long, mode string, uid int, gid int"
+
+
+def _files(spark: SparkSession, watches: Sequence[Watch]) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """For each watch that exists, its files without and with their content."""
+
+    def reader(watch: Watch) -> DataFrameReader:
+        out = spark.read.format("binaryFile").option("recursiveFileLookup", watch.recursive).option("ignoreMissingFiles", True)
+        return out.option("pathGlobFilter", watch.pattern) if watch.pattern else out
 
-    Watches that do not exist and files that cannot be read are left out. Mode
-    and owner are not visible to Spark; ``manifest`` (path, mode, uid, gid)
-    supplies them where it is collected.
-    """
-    parts = []
     for watch in watches:
-        reader = spark.read.format("binaryFile").option("ignoreMissingFiles", True)
-        reader = reader.option("ignoreCorruptFiles", True)
-        reader = reader.option("recursiveFileLookup", watch.recursive)
-        if watch.pattern:
-            reader = reader.option("pathGlobFilter", watch.pattern)
         try:
-            parts.append(reader.load(watch.path))
+            # content is not asked for, so no file is opened
+            listed = reader(watch).load(watch.path).select("path", "length", "modificationTime")
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
-    if not parts:
-        return spark.createDataFrame(
-            [], "path string, hash string, size long, mtime long, mode string, uid int, gid int"
-        )
-    files = reduce(lambda a, b: a.unionByName(b), parts).select(
+        else:
+            yield listed, reader(watch).option("ignoreCorruptFiles", True).load(watch.path)
+
+
+def _chunk_hashes(files: DataFrame) -> DataFrame:
+    """(path, hash) of files of any size, read in blocks by one task a file; null where reading fails."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            hashes = []
+            for path in paths:
+                store, place = fs.FileSystem.from_uri(re.sub("^file:/*", "/", path))
+                digest = hashlib.sha256()
+                try:
+                    with store.open_input_stream(place) as f:
+                        while block := f.read(BLOCK):
+                            digest.update(block)
+                    hashes.append(digest.hexdigest())
+                except OSError:
+                    hashes.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(hashes, pa.string())], names=["path", "hash"])
+
+    # large files are few and long: as many tasks as Spark allows, the largest first in each
+    return files.repartition("path").sortWithinPartitions(F.desc("length")).select("path").mapInArrow(run, "path string, hash string")
+
+
+def scan_snapshot(
+    spark: SparkSession, watches: Sequence[Watch], manifest: DataFrame | None = None, large: int = LARGE
+) -> DataFrame:
+    """(path, hash, size, mtime, mode, uid, gid), one row per distinct file.
+
+    Files are listed without being opened. Those of up to ``large`` bytes are hashed by Spark's reader, larger ones block
+    by block, so a file of any size takes bounded memory; for these the store must be one that ``pyarrow.fs`` knows.
+    A file that is there but cannot be read has a null hash. Watches that do not exist are left out. Mode and owner
+    are not visible to Spark; ``manifest`` (path, mode, uid, gid) supplies them where it is collected.
+    """
+    found = list(_files(spark, watches))
+    if not found:
+        return spark.createDataFrame([], SNAPSHOT)
+    listed = reduce(DataFrame.unionByName, [files for files, _ in found])
+    # a file may change between the reads: listed once, by its latest state
+    once = listed.groupBy("path").agg(F.max_by(F.struct("length", "modificationTime"), "modificationTime").alias("at")).select("path", "at.*")
+    small = reduce(DataFrame.unionByName, [content.filter(F.col("length") <= large) for _, content in found])
+    hashes = small.select("path", F.sha2("content", 256).alias("hash")).unionByName(_chunk_hashes(once.filter(F.col("length") > large)))
+    files = once.join(hashes.groupBy("path").agg(F.max("hash").alias("hash")), "path", "left").select(
         F.regexp_replace("path", "^file:/*", "/").alias("path"),
-        F.sha2("content", 256).alias("hash"),
+        "hash",
         F.col("length").alias("size"),
         F.unix_micros("modificationTime").alias("mtime"),
     )
-    files = files.dropDuplicates(["path"])
     if manifest is None:
         return files.select(
             "*",

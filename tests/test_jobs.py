@@ -69,6 +69,31 @@ def test_snapshot_and_diff(spark, tmp_path):
     assert got == {"passwd": "modified", "job": "deleted", "new": "created", "note.txt": "created"}
 
 
+def test_unreadable_and_large_files_raise_no_alert(spark, tmp_path):
+    root = tmp_path / "etc"
+    root.mkdir()
+    (root / "plain").write_text("x")
+    (root / "large").write_bytes(b"0123456789" * 5000)
+    (root / "broken").write_text("y")
+    (root / "big and broken").write_bytes(b"z" * 40_000)
+    watches = [snapshot.Watch(str(root)), snapshot.Watch(str(root / "plain"))]
+    one = snapshot.scan_snapshot(spark, watches, large=1000)
+    hashes = {r.path.rsplit("/", 1)[1]: (r.hash, r.size) for r in one.collect()}
+    assert hashes == {p.name: (hashlib.sha256(p.read_bytes()).hexdigest(), p.stat().st_size) for p in root.iterdir()}
+    schema = one.schema.add("first_seen_us", "long").add("last_seen_us", "long")
+    fim.baseline_init(spark.createDataFrame([], schema), one, 5).write.parquet(str(tmp_path / "base"))
+    base = spark.read.parquet(str(tmp_path / "base"))
+    assert fim.diff(base, snapshot.scan_snapshot(spark, watches, large=1000), 9).collect() == []
+    (root / ".broken.crc").write_bytes(b"crc\0\0\0\2\0\1\2\3\4")  # Spark's reader refuses the file now
+    (root / "large").write_bytes(b"9" * 50_000)
+    two = snapshot.scan_snapshot(spark, watches, large=1000)
+    state = {r.path.rsplit("/", 1)[1]: r.hash is None for r in two.collect()}
+    assert state == {"plain": False, "large": False, "broken": True, "big and broken": False}
+    assert [(r.path.rsplit("/", 1)[1], r.change) for r in fim.diff(base, two, 9).collect()] == [("large", "modified")]
+    merged = {r.path.rsplit("/", 1)[1]: r.hash for r in fim.baseline_merge(base, two, 9).collect()}
+    assert merged.keys() == hashes.keys() and merged["broken"] == hashes["broken"][0] and merged["large"] != hashes["large"][0]
+
+
 def test_dimension_files(spark, tmp_path):
     (tmp_path / "geo.csv").write_text("cidr,country,country_code,city,isp,org,asn,proxy,hosting\n1.2.0.0/16,Land,LD,,I,,,true,false\n")
     geo = tables.load_geo(spark, str(tmp_path / "geo.csv"))
