@@ -5,11 +5,14 @@ key in one task. Time is cut into chunks of many cooldowns instead:
 
 1. per (key, chunk): for every row that could be the first one kept, the last
    row kept in the chunk. This map is a step function, stored by its steps;
-2. per key: walk the steps from chunk to chunk to learn when each chunk opens;
+2. the maps of neighbouring chunks are composed, ``fan`` to one, until a key has at
+   most ``fan`` left; these are walked to learn when each opens, and then, down the
+   same tree, the maps that each was made of;
 3. per (key, chunk): thin the rows, knowing when the chunk opens.
 
-Steps 1 and 3 run in parallel over chunks, also within one key. Only keys,
-instants and row ids pass through Arrow; the payload never leaves the JVM.
+All steps run in parallel over chunks, also within one key: a task that composes or
+walks passes at most ``fan`` maps of a key, with two of them at a time in memory. Only
+keys, instants and row ids pass through Arrow; the payload never leaves the JVM.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ from seclog.operators.scan import CHUNK, chunk_of
 from seclog.sources.staging import staged
 
 _OPEN = -(2**62)  # "nothing kept so far"; also sorts a chunk's opening before its rows
+_BLOCK = "__block"
+#: Maps of one key that one task composes or walks.
+FAN = 1024
 
 
 def suppress_within(
@@ -37,6 +43,7 @@ def suppress_within(
     tie: str = "event_id",
     chunk_cooldowns: int = 64,
     stage: bool = True,
+    fan: int = FAN,
 ) -> DataFrame:
     """Rows of ``df`` that survive suppression per ``keys``; ``tie`` orders equal instants.
 
@@ -73,11 +80,45 @@ def suppress_within(
         .sortWithinPartitions(*group, "__us")
         .mapInArrow(_step_finder(group, cooldown_us, span), step_schema)
     )
+    # The range of time says how many levels the tree needs.
+    low, high = usable.agg(F.min(us), F.max(us)).first()
+    low, high = (low // span, high // span) if low is not None else (0, 0)
+    levels = [steps]
+    while high - low >= fan:
+        levels[-1] = staged(levels[-1], "steps")
+        begin = span * fan ** (len(levels) - 1)
+        parts = levels[-1].withColumn(_BLOCK, F.floor(F.col(CHUNK) / fan))
+        composed = (
+            parts.repartition(*keys, _BLOCK)
+            .sortWithinPartitions(*keys, _BLOCK, CHUNK, "__entry")
+            .mapInArrow(_composer(keys, cooldown_us, begin), step_schema)
+        )
+        levels.append(composed)
+        low, high = low // fan, high // fan
     openings = (
-        steps.repartition(*keys)
+        levels[-1].repartition(*keys)
         .sortWithinPartitions(*group, "__entry")
-        .mapInArrow(_chunk_walker(keys, cooldown_us, span), open_schema)
+        .mapInArrow(_chunk_walker(keys, cooldown_us, span * fan ** (len(levels) - 1)), open_schema)
     )
+    for k in range(len(levels) - 2, -1, -1):
+        # What a block was left with when it opened is one more map, before all of the block's own.
+        given = openings.select(
+            *keys,
+            F.lit(_OPEN).cast("long").alias(CHUNK),
+            F.lit(_OPEN).cast("long").alias("__entry"),
+            F.when(F.col("__us") == _OPEN, F.lit(_OPEN)).otherwise(F.col("__us") - cooldown_us).cast("long").alias("__exit"),
+            F.col(CHUNK).alias(_BLOCK),
+        )
+        parts = levels[k].withColumn(_BLOCK, F.floor(F.col(CHUNK) / fan)).unionByName(given)
+        inner = [*keys, _BLOCK]
+        below = T.StructType([*key_fields, T.StructField(_BLOCK, T.LongType()), *open_schema.fields[len(keys) :]])
+        openings = (
+            parts.repartition(*inner)
+            .sortWithinPartitions(*inner, CHUNK, "__entry")
+            .mapInArrow(_chunk_walker(inner, cooldown_us, span * fan**k), below)
+            .filter(F.col(CHUNK) != _OPEN)
+            .drop(_BLOCK)
+        )
     # __open carries when the chunk opens; such a row sorts before all rows of its chunk.
     rows = instants.withColumn("__open", F.lit(None).cast("long")).unionByName(
         openings.select(
@@ -173,6 +214,56 @@ def _step_finder(group: list[str], cooldown: int, span: int):
     return find
 
 
+def _compose(first: tuple, then: tuple, cooldown: int, latest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The map of two neighbouring stretches of time from those of each: (entries, exits).
+
+    ``latest`` is the last instant at which the first stretch can open.
+    """
+    (entry, leave), (entry2, leave2) = first, then
+    j = np.searchsorted(entry2, leave + cooldown)
+    out = np.where(j < len(entry2), leave2[np.minimum(j, len(entry2) - 1)], leave)
+    # An opening after all rows of the first stretch goes on to the second.
+    a = np.searchsorted(entry2, entry[-1], "right")
+    b = np.searchsorted(entry2, latest) + 1 if entry[-1] < latest else a
+    entry, out = np.r_[entry, entry2[a:b]], np.r_[out, leave2[a:b]]
+    pick = np.r_[out[1:] != out[:-1], True]
+    return entry[pick], out[pick]
+
+
+def _composer(keys: list[str], cooldown: int, span: int):
+    """One map for all chunks of a (key, block), composed in order."""
+    block = [*keys, _BLOCK]
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, latest = None, None, 0
+
+        def done() -> pa.RecordBatch:
+            n = len(held[0])
+            named = [pa.array([v] * n, f) for v, f in zip(place, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*named, pa.array(held[0]), pa.array(held[1])], names=[*keys, CHUNK, "__entry", "__exit"])
+
+        for table in _whole_groups(batches, [*block, CHUNK]):
+            first = np.flatnonzero(_changes(table, [*block, CHUNK]))
+            heads = table.select([*block, CHUNK]).take(pa.array(first))
+            kinds = [heads.schema.field(c).type for c in block]
+            entry = table.column("__entry").to_numpy()
+            leave = table.column("__exit").to_numpy()
+            begins = [c * span for c in heads.column(CHUNK).to_pylist()]
+            places = list(zip(*(heads.column(c).to_pylist() for c in block), strict=True))
+            for i, (a, b) in enumerate(zip(first, np.r_[first[1:], len(entry)], strict=True)):
+                mine = entry[a:b], leave[a:b]
+                if places[i] != place:
+                    if place is not None:
+                        yield done()
+                    place, held, latest = places[i], mine, begins[i] + cooldown
+                else:
+                    held = _compose(held, mine, cooldown, latest)
+        if place is not None:
+            yield done()
+
+    return compose
+
+
 def _chunk_walker(keys: list[str], cooldown: int, span: int):
     """When each chunk opens. Only chunks that an earlier one can still silence are walked."""
     group = [*keys, CHUNK]
@@ -193,7 +284,7 @@ def _chunk_walker(keys: list[str], cooldown: int, span: int):
             new_key[0] = _key_at(heads, keys, 0) != last_key
             if not new_key[0]:
                 latest[0] = last_exit
-            begins = heads.column(CHUNK).to_numpy() * span
+            begins = np.maximum(heads.column(CHUNK).to_numpy(), _OPEN // span) * span
             for i in np.flatnonzero(~new_key & (latest + cooldown > begins)):
                 before = left[i - 1] if i else last_exit
                 opens[i] = before + cooldown

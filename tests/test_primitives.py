@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seclog.operators.scan import Running, running
-from seclog.operators.suppress import suppress_within
+from seclog.operators.suppress import _compose, suppress_within
 from seclog.operators.sweep import Count, Distinct, window_counts
 
 
@@ -39,6 +40,55 @@ def test_suppression_is_greedy(spark, seed, cooldown, chunks):
     assert {r.event_id for r in out.collect()} == greedy(data, cooldown)
 
 
+@pytest.mark.parametrize("seed,cooldown,chunks,fan", [(1, 7, 2, 2), (2, 50, 1, 3), (3, 1, 4, 16), (4, 400, 1, 2), (5, 9, 1, 5)])
+def test_suppression_by_a_tree_of_maps(spark, seed, cooldown, chunks, fan):
+    data = rows(seed, 3000, ["a", "b", "c"], 6000) + [(9000 + i, "d", -70 + i * (cooldown - 1), "A", "u") for i in range(200)]
+    out = suppress_within(frame(spark, data), ["src_ip"], cooldown, chunk_cooldowns=chunks, fan=fan)
+    assert {r.event_id for r in out.collect()} == greedy(data, cooldown)
+
+
+def test_suppression_of_one_key_with_a_million_chunks(spark):
+    every = F.col("id") * 37 + F.pmod(F.xxhash64("id"), F.lit(90))
+    df = spark.range(600_000).select(F.col("id").alias("event_id"), F.lit("a").alias("src_ip"), every.alias("us"))
+    out = suppress_within(df, ["src_ip"], 23, chunk_cooldowns=1, fan=64).select("us").collect()
+    kept, last = [], None
+    for r in df.select("us").distinct().orderBy("us").collect():
+        if last is None or r.us - last >= 23:
+            kept.append(last := r.us)
+    assert sorted(r.us for r in out) == kept
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_maps_of_stretches_compose(seed):
+    rng = np.random.default_rng(seed)
+    cooldown, span = 10, 30
+
+    def table(chunk):
+        us = np.unique(rng.integers(chunk * span, (chunk + 1) * span, rng.integers(1, 8)))
+        leave = []
+        for i in range(len(us)):
+            last = us[i]
+            for u in us[i:]:
+                last = u if u - last >= cooldown else last
+            leave.append(last)
+        return us, np.array(leave)
+
+    def through(tables, before):
+        for entry, leave in tables:
+            j = np.searchsorted(entry, before + cooldown)
+            before = leave[j] if j < len(entry) else before
+        return before
+
+    for _ in range(30):
+        tables = [table(c) for c in sorted(rng.choice(6, 4, replace=False))]
+        latest = tables[0][0][0] // span * span + cooldown
+        whole = tables[0]
+        for t in tables[1:]:
+            whole = _compose(whole, t, cooldown, latest)
+        for before in [-1000, *range(latest - 3 * cooldown, latest - cooldown)]:
+            assert through([whole], before) == through(tables, before)
+
+
 def test_suppression_regular_spacing_and_gap_edges(spark):
     # exactly the cooldown apart is kept; one less is not
     data = [(i, "a", t, "A", "u") for i, t in enumerate([0, 9, 10, 19, 20, 30, 41, 50, 1000, 1009, 1010])]
