@@ -230,7 +230,7 @@ def alerts_as_incidents(alerts: DataFrame) -> DataFrame:
     )
 
 
-def attribute_privilege(events: DataFrame, window_sec: int, chunk_us: int = HOUR_US) -> DataFrame:
+def attribute_privilege(events: DataFrame, window_sec: int) -> DataFrame:
     """Failed sudo / su rows with the address of the latest login of the same user.
 
     An as-of join on (host, user): the most recent SSH_SUCCESS at or before the
@@ -241,14 +241,8 @@ def attribute_privilege(events: DataFrame, window_sec: int, chunk_us: int = HOUR
         & F.col("host").isNotNull()
         & F.col("user").isNotNull()
     )
-    # Structs compare field by field, so the running maximum is the latest login.
-    login = F.when(
-        F.col("kind") == "SSH_SUCCESS",
-        F.struct(F.col("us").alias("at"), F.col("event_id").alias("id"), F.col("src_ip").alias("ip")),
-    )
-    linked = running(
-        relevant, ["host", "user"], "us", {"__login": Running(login, "max")}, chunk_us, tie="event_id"
-    )
+    login = F.when(F.col("kind") == "SSH_SUCCESS", F.struct(F.col("us").alias("at"), F.col("src_ip").alias("ip")))
+    linked = running(relevant, ["host", "user"], "us", {"__login": Running(login, "last")}, tie="event_id")
     fresh = F.col("us") - F.col("__login.at") <= window_sec * SECOND_US
     return linked.filter(F.col("kind").isin(*SYS_KINDS)).select(
         *[
@@ -258,7 +252,7 @@ def attribute_privilege(events: DataFrame, window_sec: int, chunk_us: int = HOUR
     )
 
 
-def with_attributed_privilege(events: DataFrame, window_sec: int, chunk_us: int = HOUR_US) -> DataFrame:
+def with_attributed_privilege(events: DataFrame, window_sec: int) -> DataFrame:
     """All events, failed sudo / su rows with the address that ``attribute_privilege`` finds for them."""
     named = F.col("kind").isin(*SYS_KINDS) & F.col("host").isNotNull() & F.col("user").isNotNull()
-    return events.filter(~F.coalesce(named, F.lit(False))).unionByName(attribute_privilege(events, window_sec, chunk_us))
+    return events.filter(~F.coalesce(named, F.lit(False))).unionByName(attribute_privilege(events, window_sec))

@@ -9,37 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seclog.config import HOUR_US, SECOND_US
+from seclog.config import SECOND_US
 from seclog.operators.scan import Running, running
 
 IDLE_SEC = 180  # a session ends after this long without a record
 
 
-def with_session(records: DataFrame, idle_sec: int = IDLE_SEC, chunk_us: int = HOUR_US) -> DataFrame:
+def with_session(records: DataFrame, idle_sec: int = IDLE_SEC) -> DataFrame:
     """Records with the start of their session (``session_us``), which names it with ``ip``.
 
     A record opens a session when the previous one of its address is at least
     ``idle_sec`` old; the session of a record is the latest opening so far.
     """
-    rows = records.filter(F.col("ip").isNotNull())
-    linked = running(
-        rows, ["ip"], "us", {"__previous": Running(F.col("us"), "max")}, chunk_us,
-        tie="record_id", include_current=False,
-    )
-    opens = F.col("__previous").isNull() | (
-        F.col("us") - F.col("__previous") >= idle_sec * SECOND_US
-    )
-    opened = linked.withColumn("__opens", F.when(opens, F.col("us")))
-    return running(
-        opened, ["ip"], "us", {"session_us": Running(F.col("__opens"), "max")}, chunk_us,
-        tie="record_id",
-    ).drop("__previous", "__opens")
+    session = Running(F.col("us"), "session", idle_sec * SECOND_US)
+    return running(records.filter(F.col("ip").isNotNull()), ["ip"], "us", {"session_us": session}, tie="record_id")
 
 
-def decoy_sessions(records: DataFrame, idle_sec: int = IDLE_SEC, chunk_us: int = HOUR_US) -> DataFrame:
+def decoy_sessions(records: DataFrame, idle_sec: int = IDLE_SEC) -> DataFrame:
     """One row per session: start, end, duration, numbers of commands and login attempts."""
     return (
-        with_session(records, idle_sec, chunk_us)
+        with_session(records, idle_sec)
         .groupBy("ip", "session_us")
         .agg(
             F.max("us").alias("end_us"),
@@ -51,21 +40,21 @@ def decoy_sessions(records: DataFrame, idle_sec: int = IDLE_SEC, chunk_us: int =
     )
 
 
-def session_commands(records: DataFrame, idle_sec: int = IDLE_SEC, chunk_us: int = HOUR_US) -> DataFrame:
+def session_commands(records: DataFrame, idle_sec: int = IDLE_SEC) -> DataFrame:
     """The commands of all sessions in order: (ip, session_us, seq, command).
 
     One row per command: a session's number of commands has no bound.
     """
-    commands = with_session(records, idle_sec, chunk_us).filter(F.col("type") == "honeypot_command")
+    commands = with_session(records, idle_sec).filter(F.col("type") == "honeypot_command")
     return running(
-        commands, ["ip", "session_us"], "us", {"seq": Running(F.lit(1))}, chunk_us, tie="record_id"
+        commands, ["ip", "session_us"], "us", {"seq": Running(F.lit(1))}, tie="record_id"
     ).select("ip", "session_us", "seq", "us", "command")
 
 
-def session_attempts(records: DataFrame, idle_sec: int = IDLE_SEC, chunk_us: int = HOUR_US) -> DataFrame:
+def session_attempts(records: DataFrame, idle_sec: int = IDLE_SEC) -> DataFrame:
     """Login attempts of all sessions: (ip, session_us, us, username, password)."""
     return (
-        with_session(records, idle_sec, chunk_us)
+        with_session(records, idle_sec)
         .filter(F.col("type") == "honeypot_credentials")
         .select("ip", "session_us", "us", "username", "password")
     )

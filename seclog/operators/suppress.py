@@ -21,12 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seclog.operators.scan import CHUNK, chunk_of
+from seclog.operators.scan import CHUNK, changes, chunk_of, whole_groups
 from seclog.sources.staging import staged
 
 _OPEN = -(2**62)  # "nothing kept so far"; also sorts a chunk's opening before its rows
@@ -138,39 +137,6 @@ def suppress_within(
     return usable.join(kept, identity, "left_semi").dropDuplicates(identity)
 
 
-def _changes(table: pa.Table, names: list[str]) -> np.ndarray:
-    """True where a row's group differs from the row before it (row 0 is True)."""
-    n = table.num_rows
-    flags = np.zeros(n, dtype=bool)
-    flags[:1] = True
-    for name in names:
-        column = table.column(name)
-        if n > 1:
-            flags[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy()
-    return flags
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
-    """Re-cut sorted batches so that no group spans two tables."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        same = held and all(
-            held[0].column(n)[0] == batch.column(n)[batch.num_rows - 1] for n in names
-        )
-        held.append(batch)
-        if same:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        last = int(np.flatnonzero(_changes(table, names))[-1])
-        if last:
-            yield table.slice(0, last)
-        held = table.slice(last).to_batches()
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _next_allowed(us: np.ndarray, starts: np.ndarray, offset: np.ndarray, cooldown: int, stride: int):
     """Index of the first row of the same group at least ``cooldown`` later, else -1."""
     group = np.cumsum(starts) - 1
@@ -188,9 +154,9 @@ def _next_allowed(us: np.ndarray, starts: np.ndarray, offset: np.ndarray, cooldo
 
 def _step_finder(group: list[str], cooldown: int, span: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, group):
+        for table in whole_groups(batches, group):
             us = table.column("__us").to_numpy()
-            starts = _changes(table, group)
+            starts = changes(table, group)
             offset = us - table.column(CHUNK).to_numpy() * span
             ids, nxt = _next_allowed(us, starts, offset, cooldown, span + cooldown + 1)
             # Possible first rows: those in the chunk's first cooldown and the one after.
@@ -242,8 +208,8 @@ def _composer(keys: list[str], cooldown: int, span: int):
             named = [pa.array([v] * n, f) for v, f in zip(place, kinds, strict=True)]
             return pa.RecordBatch.from_arrays([*named, pa.array(held[0]), pa.array(held[1])], names=[*keys, CHUNK, "__entry", "__exit"])
 
-        for table in _whole_groups(batches, [*block, CHUNK]):
-            first = np.flatnonzero(_changes(table, [*block, CHUNK]))
+        for table in whole_groups(batches, [*block, CHUNK]):
+            first = np.flatnonzero(changes(table, [*block, CHUNK]))
             heads = table.select([*block, CHUNK]).take(pa.array(first))
             kinds = [heads.schema.field(c).type for c in block]
             entry = table.column("__entry").to_numpy()
@@ -270,13 +236,13 @@ def _chunk_walker(keys: list[str], cooldown: int, span: int):
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_exit = None, _OPEN
-        for table in _whole_groups(batches, group):
-            first = np.flatnonzero(_changes(table, group))
+        for table in whole_groups(batches, group):
+            first = np.flatnonzero(changes(table, group))
             heads = table.select(group).take(pa.array(first))
             entry = table.column("__entry").to_numpy()
             leave = table.column("__exit").to_numpy()
             stop = np.r_[first[1:], len(entry)]
-            new_key = _changes(heads, keys)
+            new_key = changes(heads, keys)
             # The latest exit the chunk before can have.
             latest = np.r_[_OPEN, np.maximum.reduceat(leave, first)[:-1]]
             left = leave[first].copy()  # the exit of each chunk if nothing silences it
@@ -302,12 +268,12 @@ def _key_at(table: pa.Table, keys: list[str], row: int) -> tuple:
 
 def _thinner(keys: list[str], group: list[str], cooldown: int, span: int):
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, group):
+        for table in whole_groups(batches, group):
             opening = table.column("__us").to_numpy() == _OPEN
             opens = table.column("__open").filter(pa.array(opening)).to_numpy()
             rows = table.filter(pa.array(~opening))
             us = rows.column("__us").to_numpy()
-            starts = _changes(rows, group)
+            starts = changes(rows, group)
             offset = us - rows.column(CHUNK).to_numpy() * span
             ids, nxt = _next_allowed(us, starts, offset, cooldown, span + cooldown + 1)
             allowed = np.flatnonzero(us >= opens[ids])

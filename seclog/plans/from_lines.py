@@ -14,14 +14,14 @@ from seclog.sources.parsers import parse_mixed
 from seclog.sources.staging import staged
 
 
-def events_from_lines(lines: DataFrame, year: int | Column, attribution_sec: int, chunk_us: int) -> DataFrame:
+def events_from_lines(lines: DataFrame, year: int | Column, attribution_sec: int) -> DataFrame:
     """Events of a table (event_id, source, line), with ``us``; failed sudo / su rows carry their login's address.
 
     Parsing costs more than all that follows, so its result is written once. Lines without a time, which no window
     can hold, and events without an address go.
     """
     parsed = staged(with_micros(parse_mixed(lines, year)), "events").dropna(subset=["us"])
-    return co.with_attributed_privilege(parsed, attribution_sec, chunk_us).dropna(subset=["src_ip"])
+    return co.with_attributed_privilege(parsed, attribution_sec).dropna(subset=["src_ip"])
 
 
 def incidents_from_lines(
@@ -32,6 +32,6 @@ def incidents_from_lines(
     attribution_sec: int = 300,
 ) -> DataFrame:
     """Detected incidents and correlation alerts in incident form, all from one read of the lines."""
-    events = events_from_lines(lines, year, attribution_sec, limits.chunk_us)
+    events = events_from_lines(lines, year, attribution_sec)
     alerts = co.correlation_alerts(co.correlate(events, rules, limits.chunk_us), rules)
     return de.incidents(events, limits).unionByName(co.alerts_as_incidents(alerts), allowMissingColumns=True)

@@ -317,7 +317,7 @@ def corr_to_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
         ON p.host = l.host AND p."user" = l."user" AND p.us >= l.us""",
 )
 def privilege_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = co.attribute_privilege(fx.sec_events(spark, sf_dir), 5 * 86_400, CHUNK_US)
+    rows = co.attribute_privilege(fx.sec_events(spark, sf_dir), 5 * 86_400)
     return rows.select("event_id", "host", "user", "kind", "src_ip")
 
 

@@ -13,7 +13,7 @@ from seclog.operators import fim as fi
 from seclog.plans import fixtures as fx
 from seclog.plans.catalog import query
 from seclog.plans.fixture_sql import BASE, DAY
-from seclog.plans.fixtures import AS_OF_US, BLOCKS, CHUNK_US, IDLE_SEC
+from seclog.plans.fixtures import AS_OF_US, BLOCKS, IDLE_SEC
 from seclog.plans.queries_detect import final_incidents
 from seclog.sources import sinks, snapshot, tables
 from seclog.sources.staging import new_folder, staged
@@ -124,7 +124,7 @@ def manual_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("src_ip").alias("ip"), "us", F.col("event_id").alias("request_id"))
     )
     requests = staged(bk.block_requests(final_incidents(spark, sf_dir)), "requests")
-    return bk.block_intervals(requests, BLOCKS, lifts, CHUNK_US).select("ip", "start_us", "end_us")
+    return bk.block_intervals(requests, BLOCKS, lifts).select("ip", "start_us", "end_us")
 
 
 @query(
@@ -290,7 +290,7 @@ def asset_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dc.decoy_sessions(fx.decoy_log(spark, sf_dir), IDLE_SEC, CHUNK_US)
+    return dc.decoy_sessions(fx.decoy_log(spark, sf_dir), IDLE_SEC)
 
 
 _SESSIONS = """SELECT ip, session_us, max(us) AS end_us, count(*) FILTER (type = 'honeypot_command') AS commands,
@@ -309,7 +309,7 @@ def decoy_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM decoy_session WHERE type = 'honeypot_command'""",
 )
 def decoy_session_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dc.session_commands(fx.decoy_log(spark, sf_dir), IDLE_SEC, CHUNK_US)
+    return dc.session_commands(fx.decoy_log(spark, sf_dir), IDLE_SEC)
 
 
 @query(
@@ -317,7 +317,7 @@ def decoy_session_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT ip, session_us, us, username, password FROM decoy_session WHERE type = 'honeypot_credentials'",
 )
 def decoy_session_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dc.session_attempts(fx.decoy_log(spark, sf_dir), IDLE_SEC, CHUNK_US)
+    return dc.session_attempts(fx.decoy_log(spark, sf_dir), IDLE_SEC)
 
 
 @query("decoy_recent_sessions", f"{_SESSIONS} ORDER BY session_us DESC, ip LIMIT 20")

@@ -19,6 +19,9 @@ BOUNDS = {
     "sliding_distinct_sweep": (2, 1),
     "ip_window_features": (2, 1),
     "login_anomalies": (9, 3),
+    "decoy_sessions": (1, 1),
+    "privilege_attribution": (0, 1),
+    "manual_overrides": (8, 4),
 }
 
 

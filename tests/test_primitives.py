@@ -133,17 +133,44 @@ def test_window_counts_match_brute_force(spark, chunk):
         assert got[key, us] == want
 
 
-def test_running_excludes_current_row(spark):
-    data = rows(13, 500, ["a", "b"], 300)
-    out = running(
-        frame(spark, data), ["src_ip"], "us",
-        {"n": Running(F.lit(1)), "last": Running(F.col("us"), "max")},
-        17, tie="event_id", include_current=False,
-    ).collect()
-    for r in out:
-        earlier = [d for d in data if d[1] == r.src_ip and (d[2], d[0]) < (r.us, r.event_id)]
-        assert r.n == len(earlier)
-        assert r["last"] == (max(d[2] for d in earlier) if earlier else None)
+@pytest.mark.parametrize(("partitions", "batch"), [(1, 10_000), (5, 7), (60, 10_000)])
+def test_running_values_over_partitions_of_one_key(spark, partitions, batch):
+    data = rows(13, 500, ["a", "b", "c"], 900)
+    seen = F.when(F.col("kind") == "A", F.struct("us", "user"))
+    wanted = {"n": Running(F.lit(1)), "a": Running(seen, "last"), "begun": Running(F.lit(None), "session", 12)}
+    for name, value in (("spark.sql.shuffle.partitions", partitions), ("spark.sql.execution.arrow.maxRecordsPerBatch", batch), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(name, value)
+    try:
+        df = frame(spark, data)
+        before = running(df, ["src_ip"], "us", {k: wanted[k] for k in ("n", "a")}, tie="event_id", include_current=False).collect()
+        upto = running(df, ["src_ip"], "us", wanted, tie="event_id").collect()
+        peers = running(df, ["src_ip"], "us", {k: wanted[k] for k in ("n", "a")}).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(name)
+    order = {key: sorted((d[2], d[0], d[3], d[4]) for d in data if d[1] == key) for key in "abc"}
+    for got, reaches in (
+        (before, lambda r, at: at[:2] < (r.us, r.event_id)), (upto, lambda r, at: at[:2] <= (r.us, r.event_id)), (peers, lambda r, at: at[0] <= r.us),
+    ):
+        assert sorted(r.event_id for r in got) == list(range(500))
+        for r in got:
+            mine = [at for at in order[r.src_ip] if reaches(r, at)]
+            last = [(at[0], at[3]) for at in mine if at[2] == "A"]
+            assert r.n == len(mine)
+            if got is not peers:
+                assert (tuple(r["a"]) if r["a"] else None) == (last[-1] if last else None)
+            else:
+                assert r["a"] is None if not last else r["a"].us == last[-1][0]
+            if got is upto:
+                begun = mine[0][0]
+                for x, y in zip(mine, mine[1:], strict=False):
+                    begun = y[0] if y[0] - x[0] >= 12 else begun
+                assert r.begun == begun
+
+
+def test_running_over_no_rows(spark):
+    assert running(frame(spark, []), ["src_ip"], "us", {"n": Running(F.lit(1))}).collect() == []
 
 
 def test_copies_of_a_kept_row_come_out_once(spark):
