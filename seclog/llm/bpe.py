@@ -12,13 +12,13 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from seclog.llm.common import documents, latin_pattern, mapped, texts, tokenizer_path
+from seclog.llm.common import Kept, documents, latin_pattern, mapped, texts, tokenizer_path
 
 NONE = PAIR = 1 << 31
 #: Words with more symbols are merged with a heap, since scanning for the minimum costs the square of the length.
 SHORT = 96
-#: Words kept per worker; beyond that the words kept longest are forgotten.
-KEPT_WORDS = 800_000
+#: Words in each of the two generations that a worker keeps.
+KEPT_WORDS = 400_000
 #: Leads words that are byte letters already; no text has a lone surrogate.
 MAPPED = "\ud800"
 _OUTSIDE = re.compile("[^\x00-\xff]")
@@ -96,7 +96,7 @@ class WordBPE:
         self.words = latin_pattern(split).findall
         own = Tokenizer.from_file(path)
         self._normal, self._pieces = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
-        self.kept = _Words(self)
+        self.kept = Kept(self._word, KEPT_WORDS)
 
     def word_ids(self, letters: str) -> list[int]:
         """Ids of one word, given as byte letters."""
@@ -124,27 +124,15 @@ class WordBPE:
             parts.append(array("I", [self.special[part]]).tobytes() if k % 2 else b"".join(map(get, self.split(part))))
         return b"".join(parts)
 
+    def _word(self, word: str) -> bytes:
+        letters = word[1:] if word[0] == MAPPED else "".join(map(self.letters.__getitem__, word.encode("utf-8", "replace")))
+        return array("I", self.word_ids(letters)).tobytes()
+
     def decode(self, ids: bytes) -> str:
         """Without a decoder in the file, the tokens joined by spaces, special ones too."""
         return " ".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 
 
-class _Words(dict):
-    """Word to its ids in bytes; bounded."""
-
-    def __init__(self, bpe: WordBPE) -> None:
-        self.bpe = bpe
-
-    def __missing__(self, word: str) -> bytes:
-        letters = word[1:] if word[0] == MAPPED else "".join(map(self.bpe.letters.__getitem__, word.encode("utf-8", "replace")))
-        found = array("I", self.bpe.word_ids(letters)).tobytes()
-        if len(self) >= KEPT_WORDS:
-            for old in [w for w, _ in zip(self, range(KEPT_WORDS // 4), strict=False)]:
-                del self[old]
-        self[word] = found
-        return found
-
-
 @cache
 def word_bpe(name: str) -> WordBPE:
     """The tokenizer of a worker process, read once."""

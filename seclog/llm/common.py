@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +36,26 @@ def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(LOWER_ASCII).split()
 
 
+class Kept(dict):
+    """What a function makes of a key, kept in two generations of at most ``most`` keys.
+
+    When the young one is full it becomes the old one, of which stays what is asked for again.
+    """
+
+    def __init__(self, make: Callable[[Hashable], object], most: int) -> None:
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: Hashable) -> object:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def mapped(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` of a function that turns a record batch into columns by name."""
     given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -42,6 +42,27 @@ def test_token_files_hold_what_the_library_encodes(spark):
     assert token_files.token_files(docs(spark, []).limit(0)).collect() == []
 
 
+def test_token_files_of_one_doc_id_and_of_other_tokenizers(spark):
+    rows = [(7, f"text {i % 90} of one id") for i in range(300)] + [(None, "none"), (8, None)]
+    got = sorted(token_files.token_files(docs(spark, rows)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] + [7] * 300 + [8] and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    own = tokenizer("word_bpe_49k.json")
+    rows = [*{r[0]: r for r in awkward()}.values()]
+    index = token_files.write_token_files(docs(spark, rows), token_files.new_folder(spark, "tokens"), "word_bpe_49k.json", end=70_000, length=64)
+    got = {r.doc_id: r for r in token_files.read_token_files(index).collect()}
+    for doc_id, text, *_ in rows:
+        ids = np.array([*own.encode(text or "", add_special_tokens=False).ids, 70_000], "<u4")
+        assert (got[doc_id].n_tokens, got[doc_id].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_pieces_are_kept_in_two_generations(monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 40)
+    own, encoder = tokenizer("byte_bpe_50k.json"), token_files.ByteEncoder(token_files.tokenizer_path("byte_bpe_50k.json"))
+    texts = [f"the word{i} and the one before, word{i - 1}; café's 12{i}" for i in range(200)]
+    assert [np.frombuffer(encoder.encode(t), np.uint16).tolist() for t in texts] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert " the" in encoder.kept and len(encoder.kept) <= 40 and len(encoder.kept.old) == 40
+
+
 def test_sequences_have_equal_length_and_masks(tmp_path):
     path = (tmp_path / "f.arrow").as_uri()
     out = token_files.SequenceWriter(path, length=8, batch=4, width=2)
@@ -52,7 +73,7 @@ def test_sequences_have_equal_length_and_masks(tmp_path):
     read = token_files.SequenceReader(path)
     assert read.ids(0, 100).tolist() == ids.tolist() and read.ids(30, 5).tolist() == [30, 31, 32, 33, 34]
     seq, mask = read.sequence(12)
-    assert seq.tolist() == [96, 97, 98, 99, 0, 0, 0, 0] and mask.tolist() == [True] * 4 + [False] * 4
+    assert seq.to_pylist() == [96, 97, 98, 99, 0, 0, 0, 0] and mask.to_pylist() == [True] * 4 + [False] * 4
 
 
 def quality_base(text):
