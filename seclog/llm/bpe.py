@@ -18,7 +18,7 @@ NONE = PAIR = 1 << 31
 #: Words with more symbols are merged with a heap, since scanning for the minimum costs the square of the length.
 SHORT = 96
 #: Words in each of the two generations that a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 #: Leads words that are byte letters already; no text has a lone surrogate.
 MAPPED = "\ud800"
 _OUTSIDE = re.compile("[^\x00-\xff]")

@@ -83,6 +83,20 @@ def by_name(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner"
     return df.join(right, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def quoted(name: str) -> Column:
+    """A column by its very name, which may hold dots and backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed_rows(df: DataFrame, **others: Column) -> DataFrame:
+    """Whole rows as one column ``row``, so that no name can clash with ``others``, the only names beside it."""
+    return df.select(F.struct(*[quoted(c).alias(c) for c in df.columns]).alias("row"), *[c.alias(n) for n, c in others.items()])
+
+
+def unpacked_rows(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[F.col("row").getField(c).alias(c) for c in names])
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer file lies; every executor has the package."""
     import public_tokenizers

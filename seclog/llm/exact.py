@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seclog.llm.common import documents
+from seclog.llm.common import documents, packed_rows, unpacked_rows
 from seclog.sources.staging import staged
 
 #: A chunk ends after a sentence or line end once it has 256 characters, and at 4096 at the latest. Where it ends
@@ -77,17 +77,21 @@ def exact_copies(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged, whatever their names. Texts move once, in the last join."""
-    stay = exact_copies(docs).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("__row"))
+    """The rows of ``docs`` that stay, all columns unchanged, whatever their names. Texts move once, in the last join.
+
+    Of equal texts (null counts as empty) the row with the largest doc_id stays, a null doc_id being smaller than any
+    other, and one of rows that repeat both. No rows give no rows.
+    """
+    stay = exact_copies(docs).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
     return one_by_key(docs, stay)
 
 
 def one_by_key(docs: DataFrame, stay: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each ``row_key`` in ``stay`` (column __row)."""
+    """One row of ``docs`` for each ``row_key`` in ``stay`` (column key)."""
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    rows = docs.withColumn("__row", row_key(F.col("doc_id"), sha)).join(stay, "__row", "left_semi")
-    one = Window.partitionBy("__row").orderBy(F.lit(1))
-    return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = packed_rows(docs, key=row_key(F.col("doc_id"), sha)).join(stay, "key", "left_semi")
+    one = Window.partitionBy("key").orderBy(F.lit(1))
+    return unpacked_rows(rows.withColumn("n", F.row_number().over(one)).filter("n = 1"), docs.columns)
 
 
 def row_key(doc_id: Column, sha: Column) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seclog.llm.common import by_name, documents, word_count
+from seclog.llm.common import by_name, documents, packed_rows, unpacked_rows, word_count
 from seclog.sources.staging import staged
 
 #: Weights go round over the sources in order of their names, null last.
@@ -138,11 +138,14 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; all columns unchanged, whatever their names."""
-    taken = mixed(docs, seed).filter("copies > 0").groupBy("source", "doc_id").agg(F.max("copies").alias("__copies"))
-    rows = by_name(docs, taken, ["source", "doc_id"])
-    repeated = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs``, each as often as the mix takes it; all columns unchanged, whatever their names.
+
+    A row without words (null text too) is taken no time, as are all rows of a source without words; nulls in source
+    or doc_id are values of their own. No rows give no rows.
+    """
+    taken = mixed(docs, seed).filter("copies > 0").groupBy("source", "doc_id").agg(F.max("copies").alias("copies"))
+    rows = by_name(packed_rows(docs, source=F.col("source"), doc_id=F.col("doc_id")), taken, ["source", "doc_id"])
+    return unpacked_rows(rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")), docs.columns)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

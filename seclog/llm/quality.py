@@ -159,23 +159,26 @@ def line_quality(docs: DataFrame, rules: Rules | None = None, with_text: bool =
 def clean_documents(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with failing lines removed and ``n_chars``, where present, counted anew.
 
-    All other columns pass through unchanged, whatever their names.
+    All other columns pass through unchanged, whatever their names. A null text has no words and goes; repeated rows
+    are judged one by one; no rows give no rows.
     """
     rules = rules or Rules()
-    schema = docs.schema
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
+    counted = names.index("n_chars") if "n_chars" in names else None
+    by_place = docs.toDF(*[f"_{i}" for i in range(len(names))])  # a name may hold a dot
 
     def run(batches):
         for batch in batches:
-            found = [judge(t, rules) for t in texts(batch)]
-            keep = pa.array([f[6] for f in found], pa.bool_())
-            batch = batch.set_column(at, batch.schema.field(at), pa.array([f[9] for f in found], batch.schema.field(at).type))
-            yield batch.filter(keep)
-
-    out = docs.mapInArrow(run, schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+            found = [judge(t, rules) for t in texts(batch, f"_{at}")]
+            clean = pa.array([f[9] for f in found], batch.schema.field(at).type)
+            batch = batch.set_column(at, batch.schema.field(at), clean)
+            if counted is not None:
+                field = batch.schema.field(counted)
+                batch = batch.set_column(counted, field, pa.array([len(f[9]) for f in found], pa.int64()).cast(field.type))
+            yield batch.filter(pa.array([f[6] for f in found], pa.bool_()))
+
+    return by_place.mapInArrow(run, by_place.schema).toDF(*names)
 
 
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,7 +213,7 @@ def without_near_copies(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     marked = staged(fingerprints(docs, with_digest=True), "fingerprints")
     _, least = _least(marked, F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sha"), distance)
-    stay = least.select(row_key(F.col("least.doc_id"), F.col("least.sha")).alias("__row"))
+    stay = least.select(row_key(F.col("least.doc_id"), F.col("least.sha")).alias("key"))
     return one_by_key(docs, stay)
 
 

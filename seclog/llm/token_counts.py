@@ -12,12 +12,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from seclog.llm.common import documents, latin_pattern, mapped, texts, tokenizer_path
+from seclog.llm.common import Kept, documents, latin_pattern, mapped, texts, tokenizer_path
 from seclog.sources.staging import staged
 
 #: Pre-tokens in a run.
 LEAF = 32
-KEPT_PIECES = 600_000
+KEPT_PIECES = 300_000
 
 
 @cache
@@ -32,21 +32,15 @@ def _encoding(name: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), public_tokenizers.PATTERN
 
 
-class PieceCounter(dict):
+class PieceCounter(Kept):
     """Pre-token to its number of tokens, each different one encoded once; and the pattern that cuts pre-tokens."""
 
     def __init__(self, tokenizer: str) -> None:
+        super().__init__(lambda piece: len(self.own.encode_ordinary(piece)), KEPT_PIECES)
         self.own, pattern = _encoding(tokenizer)
         self.full = regex.compile(pattern)
         self.latin = latin_pattern(pattern)
 
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= KEPT_PIECES:
-            for old in [p for p, _ in zip(self, range(KEPT_PIECES // 3), strict=False)]:
-                del self[old]
-        n = self[piece] = len(self.own.encode_ordinary(piece))
-        return n
-
     def pattern(self, text: str):
         try:
             text.encode("latin-1")
