@@ -185,7 +185,7 @@ CTES = {
     "msgs": """
       SELECT src_ip AS ip, us, event_id AS message_id, CASE WHEN k % 5 = 0 THEN 'unblock' ELSE 'block' END AS action,
              CASE WHEN k % 3 <> 0 THEN 'r' || (k % 4) END AS reason, CASE WHEN k % 2 = 0 THEN 432000 END AS ttl,
-             'n' || (user_id % 3) AS node_id FROM raw WHERE event_type = 'click'""",
+             'n' || (user_id % 3) AS node_id FROM raw""",
     "fim_old": f"""
       SELECT CASE doc_id % 8 WHEN 0 THEN '/etc/passwd' WHEN 1 THEN '/etc/cron.d/job' WHEN 2 THEN '/home/a/.ssh/authorized_keys'
              WHEN 3 THEN '/var/log/app' WHEN 4 THEN '/etc/hosts' WHEN 5 THEN '/opt/data' WHEN 6 THEN '/etc/sudoers.d/x'

@@ -339,18 +339,15 @@ def fim_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        raw_events(spark, sf_dir)
-        .filter(F.col("event_type") == "click")
-        .select(
-            F.col("src_ip").alias("ip"),
-            "us",
-            F.col("event_id").alias("message_id"),
-            F.when(F.col("k") % 5 == 0, "unblock").otherwise("block").alias("action"),
-            F.when(F.col("k") % 3 != 0, F.concat(F.lit("r"), F.col("k") % 4)).alias("reason"),
-            F.when(F.col("k") % 2 == 0, F.lit(5 * 86_400).cast("long")).alias("ttl"),
-            F.concat(F.lit("n"), F.col("user_id") % 3).alias("node_id"),
-        )
+    """Every event as a message of one of three nodes."""
+    return raw_events(spark, sf_dir).select(
+        F.col("src_ip").alias("ip"),
+        "us",
+        F.col("event_id").alias("message_id"),
+        F.when(F.col("k") % 5 == 0, "unblock").otherwise("block").alias("action"),
+        F.when(F.col("k") % 3 != 0, F.concat(F.lit("r"), F.col("k") % 4)).alias("reason"),
+        F.when(F.col("k") % 2 == 0, F.lit(5 * 86_400).cast("long")).alias("ttl"),
+        F.concat(F.lit("n"), F.col("user_id") % 3).alias("node_id"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,32 +114,33 @@ def active_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bk.active_blocks(intervals(spark, sf_dir), AS_OF_US).select("ip", "start_us", "end_us")
 
 
-@query(
-    "manual_overrides",
-    f"""SELECT e.ip, e.us AS start_us, least(e.us + {15 * DAY},
-          (SELECT min(l.us) FROM lifts l WHERE l.ip = e.ip AND l.us >= e.us)) AS end_us FROM epoch_at e""",
-)
-def manual_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+def override_actions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Block requests of the incidents, and unblocks by hand."""
     lifts = (
         fx.raw_events(spark, sf_dir)
         .filter((F.col("event_type") == "view") & (F.col("k") % 10 == 3))
         .select(F.col("src_ip").alias("ip"), "us", F.col("event_id").alias("request_id"))
     )
-    requests = staged(bk.block_requests(final_incidents(spark, sf_dir)), "requests")
-    return bk.block_intervals(requests, BLOCKS, lifts).select("ip", "start_us", "end_us")
+    return staged(bk.block_requests(final_incidents(spark, sf_dir)), "requests"), lifts
 
 
-@query(
-    "cluster_blocklist",
-    f"""SELECT ip, coalesce(reason, 'remote_block') AS reason, node_id, us AS blocked_us, us + coalesce(ttl, 1296000)::BIGINT * 1000000 AS expire_us
+OVERRIDES_SQL = f"""SELECT e.ip, e.us AS start_us, least(e.us + {15 * DAY},
+          (SELECT min(l.us) FROM lifts l WHERE l.ip = e.ip AND l.us >= e.us)) AS end_us FROM epoch_at e"""
+CLUSTER_LIMITS = replace(BLOCKS, default_ttl_sec=15 * 86_400)
+CLUSTER_SQL = f"""SELECT ip, coalesce(reason, 'remote_block') AS reason, node_id, us AS blocked_us, us + coalesce(ttl, 1296000)::BIGINT * 1000000 AS expire_us
         FROM (SELECT * FROM msgs WHERE node_id <> 'n0' QUALIFY row_number() OVER (PARTITION BY ip ORDER BY us DESC, message_id DESC) = 1)
-        WHERE action = 'block' AND us + coalesce(ttl, 1296000)::BIGINT * 1000000 > {AS_OF_US}""",
-)
-def cluster_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dataclasses import replace
+        WHERE action = 'block' AND us + coalesce(ttl, 1296000)::BIGINT * 1000000 > {AS_OF_US}"""
+
 
-    limits = replace(BLOCKS, default_ttl_sec=15 * 86_400)
-    return bk.cluster_blocklist(fx.block_messages(spark, sf_dir), AS_OF_US, limits, own_node="n0")
+@query("manual_overrides", OVERRIDES_SQL)
+def manual_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests, lifts = override_actions(spark, sf_dir)
+    return bk.block_intervals(requests, BLOCKS, lifts).select("ip", "start_us", "end_us")
+
+
+@query("cluster_blocklist", CLUSTER_SQL)
+def cluster_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bk.cluster_blocklist(fx.block_messages(spark, sf_dir), AS_OF_US, CLUSTER_LIMITS, own_node="n0")
 
 
 @query(

@@ -17,9 +17,11 @@ from seclog.sources.sinks import read_appended
 from seclog.sources import follow
 from seclog.sources import parsers as pa
 from seclog.sources import text
-from seclog.sources.staging import new_folder, remove
+from seclog.sources.staging import new_folder, remove, staged
+from seclog.plans.queries_history import CLUSTER_LIMITS, CLUSTER_SQL, OVERRIDES_SQL, override_actions
 from seclog.streaming import detect as sd
 from seclog.streaming import replays, sinks
+from seclog.streaming.blocklist import ROCKSDB, block_changes, cluster_changes
 from seclog.streaming import windows as sw
 
 _LAST = "(SELECT max(us) FROM raw)"
@@ -257,11 +259,58 @@ def stream_block_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT ip, 'unblock', us + {5 * DAY}, NULL FROM port_at WHERE (us + {5 * DAY}) // 1000 < (SELECT max(us) FROM port_req) // 1000""",
 )
 def stream_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from seclog.streaming.blocklist import ROCKSDB, block_changes
+    rows = sec_stream(spark, sf_dir).withWatermark("ts", "0 seconds")
+    changes = block_changes(_port_requests(rows), BlockLimits(duration_sec=5 * 86_400), bucket_ms=1)
+    return kept_blocks(changes, "blocklist").select("ip", "action", "us", "reason")
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+def kept_blocks(changes: DataFrame, label: str) -> DataFrame:
+    """Run a stream of block changes, whose state needs its own kind of store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    changes.sparkSession.conf.set(name, ROCKSDB)
     try:
-        rows = sec_stream(spark, sf_dir).withWatermark("ts", "0 seconds")
-        return taken(block_changes(_port_requests(rows), BlockLimits(duration_sec=5 * 86_400)), "blocklist")
+        return taken(changes, label)
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        changes.sparkSession.conf.unset(name)
+
+
+def _arriving(rows: DataFrame, label: str) -> DataFrame:
+    """Rows (us, ...) as a stream of five slices of time in order, every seventh row one slice late.
+
+    A last row lies beyond all, so that the event-time bound passes them.
+    """
+    spark = rows.sparkSession
+    path = new_folder(spark, label)
+    timed = rows.withColumn("ts", F.timestamp_micros("us"))
+    slice_ = F.least(F.greatest(5 - F.ceil((fx.AS_OF_US - F.col("us")) / (8 * DAY)), F.lit(0)) + F.when(F.xxhash64("ip", "us") % 7 == 0, 1).otherwise(0), F.lit(4))
+    dealt = staged(timed.withColumn("slice", slice_), label)
+    for k in range(5):
+        dealt.filter(F.col("slice") == k).drop("slice").write.mode("append").parquet(path)
+    beyond = dealt.drop("slice").limit(1).withColumn("ip", F.lit("-")).withColumn("us", F.lit(fx.AS_OF_US + 90 * DAY))
+    beyond.withColumn("ts", F.timestamp_micros("us")).coalesce(1).write.mode("append").parquet(path)
+    stream = sw.stream_table(spark, path, "*.parquet", dealt.drop("slice").schema, max_files=4)
+    return stream.withWatermark("ts", "17 days")
+
+
+@query("stream_overrides", OVERRIDES_SQL)
+def stream_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block requests and manual unblocks as a stream: the intervals of the batch."""
+    requests, lifts = override_actions(spark, sf_dir)
+    both = requests.select("ip", "us", "request_id", "reason").withColumn("lift", F.lit(False)).unionByName(lifts.withColumn("lift", F.lit(True)), allowMissingColumns=True)
+    stream = _arriving(both, "overrides")
+    changes = block_changes(stream.filter("not lift"), fx.BLOCKS, stream.filter("lift"), bucket_ms=DAY // 1000)
+    found = kept_blocks(changes, "overrides").filter("ip <> '-'")
+    starts, stops = found.filter("action = 'block'"), found.filter("action = 'unblock'")
+    ended = starts.alias("s").join(stops.alias("e"), (F.col("s.ip") == F.col("e.ip")) & (F.col("e.us") > F.col("s.us")) & (F.col("e.us") <= F.col("s.end_us")), "left")
+    return ended.groupBy("s.ip", F.col("s.us").alias("start_us")).agg(F.min("e.us").alias("end_us"))
+
+
+@query("stream_cluster_blocklist", CLUSTER_SQL)
+def stream_cluster_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of all nodes as a stream; the list as it stands when the last is judged."""
+    stream = _arriving(fx.block_messages(spark, sf_dir), "messages")
+    found = kept_blocks(cluster_changes(stream, CLUSTER_LIMITS, own_node="n0", bucket_ms=DAY // 1000), "messages")
+    last = found.filter(F.col("us") <= fx.AS_OF_US).groupBy("ip").agg(F.max_by(F.struct("action", "reason", "node_id", "us", "end_us"), F.struct("us", "end_us", "action")).alias("m"))
+    return last.filter(f"m.action = 'block' and m.end_us > {fx.AS_OF_US}").select(
+        "ip", "m.reason", "m.node_id", F.col("m.us").alias("blocked_us"), F.col("m.end_us").alias("expire_us")
+    )

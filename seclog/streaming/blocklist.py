@@ -1,7 +1,9 @@
-"""Active blocks as a stream: each accepted block and its expiry, one small state per address.
+"""Blocks as a stream: requests, lifts and messages of other nodes in, changes of the block list out.
 
-Spark state: when the current block ends. An event-time timer ends the block.
-Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+State per address: the running block, and by time bucket what came after the event-time
+bound. A bucket is judged, and its state removed, once the bound has passed its end, so the
+state holds open buckets only, whatever the history. One timer a bucket, and one for the
+end of the block. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
 """
 
 from __future__ import annotations
@@ -10,80 +12,90 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from seclog.config import SECOND_US, BlockLimits
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-CHANGES = StructType(
+BUCKET_MS = 1000
+CHANGES = StructType().add("ip", "string").add("action", "string").add("us", "long").add("end_us", "long").add("reason", "string").add("node_id", "string")
+_BUCKET = StructType([StructField("bucket", LongType())])
+#: The actions of a bucket, column by column.
+_ACTIONS = StructType(
     [
-        StructField("ip", StringType()),
-        StructField("action", StringType()),
-        StructField("us", LongType()),
-        StructField("reason", StringType()),
+        StructField(name, ArrayType(kind))
+        for name, kind in (
+            ("us", LongType()), ("request_id", LongType()), ("lift", BooleanType()), ("end_us", LongType()),
+            ("reason", StringType()), ("node_id", StringType()),
+        )
     ]
 )
-_PENDING = StructType(
-    [
-        StructField("us", LongType()),
-        StructField("request_id", LongType()),
-        StructField("reason", StringType()),
-    ]
-)
-_UNTIL = StructType([StructField("until", LongType())])
+_BLOCK = StructType().add("end_us", "long").add("reason", "string").add("node_id", "string")
 
 
 class BlockKeeper(StatefulProcessor):
-    """Requests wait until the event-time bound passes them, then run in event order."""
+    """Judges the actions of one address in event order.
 
-    def __init__(self, duration_us: int) -> None:
-        self.duration_us = duration_us
+    A request during a running block is ignored, or, with ``renew``, replaces it (the last
+    message decides). A lift ends a running block.
+    """
+
+    def __init__(self, bucket_ms: int, renew: bool) -> None:
+        self.bucket_ms, self.renew = bucket_ms, renew
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", _PENDING)
-        self.until = handle.getValueState("until", _UNTIL)
+        self.pending = handle.getMapState("pending", _BUCKET, _ACTIONS)
+        self.block = handle.getValueState("block", _BLOCK)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A request inside the current block can never start one: only the others wait.
-        until = self.until.get()[0] if self.until.exists() else None
         for pdf in rows:
-            if until is not None:
-                pdf = pdf[pdf["us"] >= until]
-            if pdf.empty:
-                continue
-            waiting = [(int(u), int(i), r) for u, i, r in zip(pdf["us"], pdf["request_id"], pdf["reason"])]
-            self.pending.appendList(waiting)
-            for ms in {-(-u // 1000) for u, _, _ in waiting}:
-                self.handle.registerTimer(ms)
+            buckets = pdf["us"] // (1000 * self.bucket_ms)
+            for bucket, part in pdf.groupby(buckets):
+                at = (int(bucket),)
+                columns = [part[c].astype(object).where(part[c].notna(), None).tolist() for c in _ACTIONS.names]
+                if self.pending.containsKey(at):
+                    columns = [[*old, *new] for old, new in zip(self.pending.getValue(at), columns, strict=True)]
+                else:
+                    self.handle.registerTimer((at[0] + 1) * self.bucket_ms)
+                self.pending.updateValue(at, tuple(columns))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        due, later = [], []
-        for us, request, reason in self.pending.get():
-            (due if us <= now else later).append((us, request, reason))
+        step = 1000 * self.bucket_ms
+        passed = timerValues.getCurrentWatermarkInMs() // self.bucket_ms  # buckets before this one are complete
+        due = sorted(b for (b,) in self.pending.keys() if b < passed)
+        actions = []
+        for b in due:
+            actions += zip(*self.pending.getValue((b,)), strict=True)
+            self.pending.removeKey((b,))
+        running = tuple(self.block.get()) if self.block.exists() else None
         changes = []
-        until = self.until.get()[0] if self.until.exists() else None
-        for us, _, reason in sorted(due, key=lambda r: (r[0], r[1])):
-            if until is not None and until <= us:
-                changes.append((key[0], "unblock", until, None))
-                until = None
-            if until is None:
-                until = us + self.duration_us
-                changes.append((key[0], "block", us, reason))
-                self.handle.registerTimer(-(-until // 1000))
-        if until is not None and until <= now:
-            changes.append((key[0], "unblock", until, None))
-            until = None
-        self.pending.clear()
-        if later:
-            self.pending.put(later)
-        if until is None:
-            self.until.clear()
+
+        def ends(us: int) -> None:
+            changes.append((key[0], "unblock", us, None, None, None))
+
+        for us, _, lift, end, reason, node in sorted(actions, key=lambda a: a[:2]):
+            if running and running[0] <= us:
+                ends(running[0])
+                running = None
+            if lift:
+                if running:
+                    ends(us)
+                running = None
+            elif running is None or self.renew:
+                running = (end, reason, node)
+                changes.append((key[0], "block", us, *running))
+                self.handle.registerTimer((end // step + 1) * self.bucket_ms)
+        if running and running[0] < passed * step:
+            ends(running[0])
+            running = None
+        if running is None:
+            self.block.clear()
         else:
-            self.until.update((until,))
+            self.block.update(running)
         if changes:
             yield pd.DataFrame(changes, columns=CHANGES.names)
 
@@ -91,14 +103,45 @@ class BlockKeeper(StatefulProcessor):
         pass
 
 
-def block_changes(requests: DataFrame, limits: BlockLimits = BlockLimits()) -> DataFrame:
-    """Stream of block / unblock changes from requests (ip, ts, us, request_id, reason).
-
-    ``requests`` needs an event-time bound on ``ts``.
-    """
-    return requests.groupBy("ip").transformWithStateInPandas(
-        statefulProcessor=BlockKeeper(limits.duration_sec * SECOND_US),
+def _kept(actions: DataFrame, bucket_ms: int, renew: bool) -> DataFrame:
+    return actions.groupBy("ip").transformWithStateInPandas(
+        statefulProcessor=BlockKeeper(bucket_ms, renew),
         outputStructType=CHANGES,
         outputMode="Append",
         timeMode="EventTime",
     )
+
+
+def block_changes(
+    requests: DataFrame, limits: BlockLimits = BlockLimits(), unblocks: DataFrame | None = None, bucket_ms: int = BUCKET_MS
+) -> DataFrame:
+    """Stream of block / unblock changes (ip, action, us, end_us, reason) from requests (ip, ts, us, request_id, reason).
+
+    ``requests`` and ``unblocks`` (ip, ts, us, request_id) need an event-time bound on ``ts``. The blocks are those of
+    ``operators.blocks.block_intervals``: ``end_us`` is when a block is to end, the unblock when it did.
+    """
+    length = limits.duration_sec * SECOND_US
+    node = F.lit(None).cast("string").alias("node_id")
+    actions = requests.select("ip", "ts", "us", "request_id", F.lit(False).alias("lift"), (F.col("us") + length).alias("end_us"), "reason", node)
+    if unblocks is not None:
+        # numbers are never null: pandas would make them floats
+        lifts = unblocks.select("ip", "ts", "us", "request_id", F.lit(True).alias("lift"), F.col("us").alias("end_us"), F.lit(None).cast("string").alias("reason"), node)
+        actions = actions.unionByName(lifts)
+    return _kept(actions.filter(F.col("ip").isNotNull()), bucket_ms, renew=False).drop("node_id")
+
+
+def cluster_changes(
+    messages: DataFrame, limits: BlockLimits = BlockLimits(), own_node: str | None = None, bucket_ms: int = BUCKET_MS
+) -> DataFrame:
+    """The same from the nodes' messages (ip, ts, us, message_id, action, reason, ttl, node_id), of which the last decides.
+
+    An address is on the list of ``operators.blocks.cluster_blocklist`` as long as its last change is a block.
+    """
+    if own_node is not None:
+        messages = messages.filter(F.col("node_id") != own_node)
+    expires = F.col("us") + F.coalesce("ttl", F.lit(limits.default_ttl_sec)) * SECOND_US
+    actions = messages.select(
+        "ip", "ts", "us", F.col("message_id").alias("request_id"), (F.col("action") != "block").alias("lift"),
+        expires.cast("long").alias("end_us"), F.coalesce("reason", F.lit("remote_block")).alias("reason"), "node_id",
+    )
+    return _kept(actions.filter(F.col("ip").isNotNull()), bucket_ms, renew=True)
