@@ -25,16 +25,20 @@ def logins(events: DataFrame) -> DataFrame:
     )
 
 
-def login_history(events: DataFrame, limits: BaselineLimits = BaselineLimits()) -> DataFrame:
+def login_history(
+    events: DataFrame, limits: BaselineLimits = BaselineLimits(), known: DataFrame | None = None
+) -> DataFrame:
     """Every login with what was known about its address before it.
 
+    ``known`` is what ``login_state`` holds of logins in earlier hours.
+
     Time is cut into clock hours, so all logins of a chunk share hour and day:
     what an address brings into a chunk (``_carried``) is one row, and only
     what is known of a user is one row per user. Everything else is counted
     inside the chunk. ``usual_mask`` has bit h set once hour h was seen twice.
     """
     rows = logins(events).withColumn(CHUNK, chunk_of(F.col("us"), HOUR_US))
-    users = _users_per_chunk(rows)
+    users = _with_user_before(_per_user(rows, known))
     here = Window.partitionBy("src_ip", CHUNK).orderBy("us", "event_id")
     same_user = Window.partitionBy("src_ip", CHUNK, "user").orderBy("us", "event_id")
     counted = (
@@ -90,15 +94,61 @@ def _sum_before(value: Column, *keys: str) -> Column:
     return F.coalesce(F.sum(value).over(before), F.lit(0))
 
 
-def _users_per_chunk(rows: DataFrame) -> DataFrame:
-    """Logins per (address, user, chunk), with the user's logins in earlier chunks."""
-    return (
-        rows.groupBy("src_ip", "user", CHUNK)
-        .agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("last_us"))
-        .withColumn("user_before", _sum_before(F.col("n"), "src_ip", "user"))
+STATE = ("src_ip", "user", CHUNK, "n", "first_us", "last_us")
+#: Stands for all days before the last active ones.
+_LONG_AGO = -1_000_000
+
+
+def _per_user(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Logins per (address, user, chunk)."""
+    us = F.col("us")
+    counted = rows.groupBy("src_ip", "user", CHUNK).agg(
+        F.count(F.lit(1)).alias("n"), F.min(us).alias("first_us"), F.max(us).alias("last_us")
+    )
+    return counted if known is None else _merged(counted.unionByName(known.select(*STATE)))
+
+
+def _merged(states: DataFrame) -> DataFrame:
+    return states.groupBy("src_ip", "user", CHUNK).agg(
+        F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")
     )
 
 
+def _with_user_before(users: DataFrame) -> DataFrame:
+    """With the user's logins in earlier chunks."""
+    return users.withColumn("user_before", _sum_before(F.col("n"), "src_ip", "user"))
+
+
+def login_state(
+    events: DataFrame, limits: BaselineLimits = BaselineLimits(), known: DataFrame | None = None
+) -> DataFrame:
+    """What later logins are judged by, mergeable: logins per (address, user, hour of a day).
+
+    Days before the last ``active_days`` with logins of an address only count by their hour, so they are folded
+    into one: an address has at most 24 * (active_days + 1) rows a user, whatever its history.
+    """
+    rows = logins(events).withColumn(CHUNK, chunk_of(F.col("us"), HOUR_US))
+    users = _per_user(rows, known)
+    day = F.floor(F.col(CHUNK) / 24)
+    days = users.select("src_ip", day.alias("__day")).distinct()
+    recent = Window.partitionBy("src_ip").orderBy(F.desc("__day"))
+    first = days.withColumn("__no", F.row_number().over(recent)).filter(F.col("__no") <= limits.active_days)
+    kept = users.join(first.groupBy("src_ip").agg(F.min("__day").alias("__from")), "src_ip")
+    folded = F.lit(24 * _LONG_AGO).cast("long") + F.pmod(F.col(CHUNK), F.lit(24))
+    chunk = F.when(day >= F.col("__from"), F.col(CHUNK)).otherwise(folded)
+    return _merged(kept.withColumn(CHUNK, chunk).drop("__from")).select(*STATE)
+
+
+def profiles_of_state(state: DataFrame) -> DataFrame:
+    """The profiles of ``login_profiles`` (without anomalies) from the state of a stream."""
+    hour = F.pmod(F.col(CHUNK), F.lit(24)).cast("int")
+    hourly = state.groupBy("src_ip", hour.alias("hour")).agg(
+        F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")
+    )
+    users = state.groupBy("src_ip", "user").agg(F.lit(1).alias("one")).groupBy("src_ip").agg(F.count("*").alias("known_users"))
+    return _profile(hourly).join(users, "src_ip")
+
+
 def _carried(users: DataFrame, limits: BaselineLimits) -> DataFrame:
     """What an address brings into each of its chunks, one row per hour with logins."""
     hours = (
@@ -214,10 +264,12 @@ def reasons(limits: BaselineLimits) -> Column:
     )
 
 
-def login_anomalies(events: DataFrame, limits: BaselineLimits = BaselineLimits()) -> DataFrame:
+def login_anomalies(
+    events: DataFrame, limits: BaselineLimits = BaselineLimits(), known: DataFrame | None = None
+) -> DataFrame:
     """Logins that deviate from an established profile, with the reasons as one text."""
     return (
-        login_history(events, limits)
+        login_history(events, limits, known)
         .filter(F.col("prior") >= limits.min_observations)
         .withColumn("reasons", reasons(limits))
         .filter(F.size("reasons") > 0)
@@ -225,6 +277,16 @@ def login_anomalies(events: DataFrame, limits: BaselineLimits = BaselineLimits()
     )
 
 
+def _profile(hourly: DataFrame) -> DataFrame:
+    entry = F.struct(F.col("hour"), F.col("n"))
+    return hourly.groupBy("src_ip").agg(
+        F.sum("n").alias("total_logins"),
+        F.min("first_us").alias("first_seen_us"),
+        F.max("last_us").alias("last_seen_us"),
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("login_hours"),
+    )
+
+
 def login_profiles(
     events: DataFrame, anomalies: DataFrame | None = None
 ) -> DataFrame:
@@ -237,17 +299,10 @@ def login_profiles(
     hourly = rows.groupBy("src_ip", "hour").agg(
         F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us")
     )
-    entry = F.struct(F.col("hour"), F.col("n"))
-    profile = hourly.groupBy("src_ip").agg(
-        F.sum("n").alias("total_logins"),
-        F.min("first_us").alias("first_seen_us"),
-        F.max("last_us").alias("last_seen_us"),
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("login_hours"),
-    )
     users = login_profile_users(events).groupBy("src_ip").agg(
         F.count(F.lit(1)).alias("known_users")
     )
-    out = profile.join(users, "src_ip")
+    out = _profile(hourly).join(users, "src_ip")
     if anomalies is None:
         return out
     odd = anomalies.groupBy("src_ip").agg(F.count(F.lit(1)).alias("anomaly_count"))

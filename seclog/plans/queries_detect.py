@@ -406,15 +406,15 @@ def login_frequency_spike(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "login_anomalies",
-    f"""SELECT * FROM (SELECT event_id, src_ip, concat_ws('; ',
+ANOMALIES_SQL = f"""SELECT * FROM (SELECT event_id, src_ip, concat_ws('; ',
           CASE WHEN {_UNUSUAL} THEN 'login at unusual hour ' || lpad(CAST(hour AS VARCHAR), 2, '0') || ':xx (normal hours: [' || array_to_string(usual, ', ') || '])' END,
           CASE WHEN {_NEW} THEN 'new username ''' || "user" || ''' for IP with ' || known_users || ' known users' END,
           CASE WHEN {_ABSENT} THEN 'login after ' || ((us - previous_us) // {DAY}) || '-day absence' END,
           CASE WHEN {_SPIKE} THEN 'login frequency spike: ' || today_count || ' today vs avg ' || printf('%.1f', CAST(earlier_logins AS DOUBLE) / earlier_days) || '/day' END) AS anomaly
-        FROM login_hist WHERE {_GATE}) WHERE anomaly <> ''""",
-)
+        FROM login_hist WHERE {_GATE}) WHERE anomaly <> ''"""
+
+
+@query("login_anomalies", ANOMALIES_SQL)
 def login_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bl.login_anomalies(fx.sec_events(spark, sf_dir), BASELINE).select("event_id", "src_ip", "anomaly")
 

@@ -18,6 +18,7 @@ from seclog.sources import follow
 from seclog.sources import parsers as pa
 from seclog.sources import text
 from seclog.sources.staging import new_folder, remove, staged
+from seclog.plans.queries_detect import ANOMALIES_SQL
 from seclog.plans.queries_history import CLUSTER_LIMITS, CLUSTER_SQL, OVERRIDES_SQL, override_actions
 from seclog.streaming import detect as sd
 from seclog.streaming import replays, sinks
@@ -237,6 +238,31 @@ def stream_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _login_detector(spark: SparkSession, sf_dir: str) -> tuple[sd.LoginDetector, DataFrame, DataFrame]:
+    path = new_folder(spark, "logins")
+    handler = sd.LoginDetector(f"{path}/state", f"{path}/out", fx.BASELINE, delay_us=(_SLICE + _LATE) * DAY)
+    stream = arriving_stream(spark, sf_dir)
+    return handler, judged(stream, handler, path), spark.createDataFrame([], stream.schema)
+
+
+@query("stream_login_anomalies", ANOMALIES_SQL)
+def stream_login_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each login judged by the profile of its address so far, over out-of-order micro-batches."""
+    return _login_detector(spark, sf_dir)[1].select("event_id", "src_ip", "anomaly")
+
+
+@query(
+    "stream_login_profile",
+    """SELECT src_ip, count(*) AS total_logins, count(DISTINCT "user") AS known_users, min(us) AS first_seen_us, max(us) AS last_seen_us,
+         (SELECT string_agg(hour || ':' || n, ',' ORDER BY hour) FROM (SELECT hour, count(*) AS n FROM logins h WHERE h.src_ip = l.src_ip GROUP BY hour)) AS hours
+       FROM logins l GROUP BY src_ip""",
+)
+def stream_login_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    handler, _, like = _login_detector(spark, sf_dir)
+    hour = lambda e: F.concat(e["key"], F.lit(":"), e["value"])
+    return handler.profiles(like).withColumn("hours", F.array_join(F.transform(F.map_entries("login_hours"), hour), ",")).drop("login_hours")
+
+
 def _port_requests(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("kind") == "FW_HONEYPOT_PORT").select(
         F.col("src_ip").alias("ip"), "ts", "us", F.col("event_id").alias("request_id"), F.lit("port").alias("reason")

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seclog.config import SECOND_US, BlockLimits, DetectionLimits
+from seclog.config import HOUR_US, SECOND_US, BaselineLimits, BlockLimits, DetectionLimits
+from seclog.operators.baseline import login_anomalies, login_state, profiles_of_state
 from seclog.operators.correlate import RuleSpec, correlate, correlation_alerts
 from seclog.operators.detect import (
     escalate_repeat_offenders,
@@ -89,7 +90,7 @@ class _Incremental:
         self.state.save(
             spark.range(1).select(F.lit(until).cast("long").alias("us")), batch_id, "judged"
         )
-        for name in ("events", "fired", "judged"):
+        for name in ("events", "fired", "judged", "profile"):
             self.state.forget(spark, batch_id - 2, name)
 
     def finish(self, like: DataFrame, batch_id: int) -> None:
@@ -166,6 +167,37 @@ class CorrelationDetector(_Incremental):
         return fired.filter(F.col("us") > before)
 
 
+class LoginDetector(_Incremental):
+    """``foreachBatch`` handler for login anomalies, each judged by the profile before it.
+
+    The profile is a table of counts per address, user and hour (``operators.baseline.login_state``), one version a
+    batch: a batch merges the hours that are over into it, and judges the hour under way together with the rows it had.
+    """
+
+    def __init__(self, folder: str, output: str, limits: BaselineLimits, delay_us: int) -> None:
+        super().__init__(folder, output, delay_us, HOUR_US)
+        self.limits = limits
+
+    def _profile(self, spark: SparkSession, batch: int) -> DataFrame:
+        empty = spark.createDataFrame([], "src_ip string, user string, __chunk long, n long, first_us long, last_us long")
+        return self.state.load(spark, batch, "profile", empty)
+
+    def judge(self, due: DataFrame, before: int, until: int, batch_id: int) -> DataFrame:
+        known = self._profile(due.sparkSession, batch_id - 1)
+        rows = due.filter(F.col("us") >= before // HOUR_US * HOUR_US)
+        over = rows.filter(F.col("us") < until // HOUR_US * HOUR_US)
+        self.state.save(login_state(over, self.limits, known), batch_id, "profile")
+        return login_anomalies(rows, self.limits, known).filter(F.col("us") > before)
+
+    def profiles(self, like: DataFrame) -> DataFrame:
+        """The profiles after the last batch; ``like`` has the columns of a batch."""
+        spark, last = like.sparkSession, self.next_batch - 1
+        until = self.state.judged_until(spark, last)
+        rows = self.state.load(spark, last, "events", like)
+        now = rows.filter((F.col("us") >= until // HOUR_US * HOUR_US) & (F.col("us") <= until))
+        return profiles_of_state(login_state(now, self.limits, self._profile(spark, last)))
+
+
 class BlockDetector(_Incremental):
     """``foreachBatch`` handler for accepted blocks of requests (ip, us, request_id, reason)."""
 

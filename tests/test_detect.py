@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seclog.config import SECOND_US, BaselineLimits, DetectionLimits
 from seclog.operators import baseline, blocks, correlate, detect
 from seclog.schema import meta_struct
+from seclog.sources.staging import staged
 
 KINDS = [
     ("auth", "SSH_FAIL"), ("auth", "SSH_SUCCESS"), ("nginx", "WEB_SCAN"), ("nginx", "WEB_AUTH_FAIL"),
@@ -212,3 +213,22 @@ def test_recent_kind_maps(spark):
     counts = correlate.recent_kind_counts(frame(spark, rows), 4_000_000, window_sec=3)
     (row,) = correlate.kind_count_maps(counts).collect()
     assert (row.src_ip, row.counts) == ("1.1.1.1", {"SSH_FAIL": 2, "FW_BLOCK": 1})  # the edge at 1 s is outside
+
+
+def test_logins_after_a_merged_state_are_judged_as_with_all_history(spark):
+    rng = random.Random(8)
+    hour = 3_600 * SECOND_US
+    rows = [(i, rng.choice("aab"), rng.choice(["u", "v", "w"]), rng.randrange(24 * 30) // rng.choice([1, 5]) * hour + rng.randrange(hour), "SSH_SUCCESS") for i in range(1500)]
+    events = spark.createDataFrame(rows, "event_id long, src_ip string, user string, us long, kind string")
+    limits = BaselineLimits(min_observations=2, active_days=4, spike_min_days=2, spike_min_count=2, spike_factor=1)
+    cuts = [0, 90 * hour, 91 * hour, 400 * hour, 24 * 30 * hour]
+    state, got = None, []
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = events.filter((F.col("us") >= low) & (F.col("us") < high))
+        got += [tuple(r) for r in baseline.login_history(part, limits, state).collect()]
+        state = staged(baseline.login_state(part, limits, state), "state")
+    assert sorted(got) == sorted(tuple(r) for r in baseline.login_history(events, limits).collect())
+    names = ["src_ip", "total_logins", "known_users", "first_seen_us", "last_seen_us", "login_hours"]
+    want = baseline.login_profiles(events).select(*names).collect()
+    assert sorted(map(str, baseline.profiles_of_state(state).select(*names).collect())) == sorted(map(str, want))
+    assert state.groupBy("src_ip", "user").count().agg(F.max("count")).first()[0] <= 24 * 5
