@@ -12,7 +12,7 @@ from seclog.config import HOUR_US, SECOND_US
 from seclog.operators.scan import Running, running
 from seclog.operators.suppress import suppress_within
 from seclog.operators.sweep import Count, window_counts
-from seclog.schema import ALL_KINDS, ALL_SOURCES, SYS_KINDS
+from seclog.schema import ALL_KINDS, ALL_SOURCES, SYS_KINDS, within
 
 
 @dataclass(frozen=True)
@@ -198,11 +198,8 @@ def correlation_alerts(
 
 def recent_kind_counts(events: DataFrame, as_of_us: int, window_sec: int = 300) -> DataFrame:
     """Events per (address, kind) in the last ``window_sec`` before ``as_of_us``."""
-    cut = as_of_us - window_sec * SECOND_US
     return (
-        events.filter(
-            F.col("src_ip").isNotNull() & (F.col("us") > cut) & (F.col("us") <= as_of_us)
-        )
+        within(events.filter(F.col("src_ip").isNotNull()), as_of_us - window_sec * SECOND_US + 1, as_of_us)
         .groupBy("src_ip", "kind")
         .agg(F.count(F.lit(1)).alias("n"))
     )

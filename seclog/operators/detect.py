@@ -12,7 +12,7 @@ from seclog.functions.scalar import severity_of_rank, severity_rank
 from seclog.operators.enrich import one_per_address
 from seclog.operators.suppress import suppress_within
 from seclog.operators.sweep import Count, Distinct, window_counts
-from seclog.schema import HANDLED_KINDS, NET_HINT, SYS_KINDS, WEB_KINDS
+from seclog.schema import HANDLED_KINDS, NET_HINT, SYS_KINDS, WEB_KINDS, within
 from seclog.sources.staging import staged
 
 
@@ -290,7 +290,7 @@ def activity_snapshot(
     ``blocks`` (ip, start_us, end_us), ``geo`` (src_ip, country, flag, isp), ``login_anomalies`` (src_ip, ...) and
     ``correlation`` (src_ip, counts: recent events by kind) are optional sides, one row per fact.
     """
-    past = handled(events).filter(F.col("us") <= as_of_us)
+    past = within(handled(events), until_us=as_of_us)
     recent = F.col("us") >= as_of_us - limits.window_sec * SECOND_US
 
     def seen(kind: str, within: Column = recent) -> Column:
@@ -304,12 +304,12 @@ def activity_snapshot(
         seen("SSH_FAIL", F.lit(True)).alias("total_fails"),
     )
     users = (
-        past.filter(recent & (F.col("kind") == "SSH_FAIL") & (F.col("user") != ""))
+        within(past, as_of_us - limits.window_sec * SECOND_US).filter((F.col("kind") == "SSH_FAIL") & (F.col("user") != ""))
         .groupBy("src_ip")
         .agg(F.countDistinct("user").alias("unique_users"))
     )
     fired = (
-        incident_table.filter(F.col("us") <= as_of_us)
+        within(incident_table, until_us=as_of_us)
         .groupBy("src_ip")
         .agg(F.count(F.lit(1)).alias("total_incidents"), F.max("us").alias("last_incident_us"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seclog.functions.scalar import file_severity
+from seclog.schema import within
 
 FACTS = ("hash", "size", "mtime", "mode", "uid", "gid")
 
@@ -105,7 +106,7 @@ def recent_alerts(alerts: DataFrame, limit: int = 50) -> DataFrame:
 
 def alert_counts(alerts: DataFrame, since_us: int) -> DataFrame:
     """Alerts and critical alerts since a point in time, one row."""
-    return alerts.filter(F.col("us") >= since_us).agg(
+    return within(alerts, since_us).agg(
         F.count(F.lit(1)).alias("fim_alert_count"),
         F.count(F.when(F.col("severity") == "CRITICAL", 1)).alias("fim_critical"),
     )

@@ -389,6 +389,7 @@ def as_report_incidents(events: DataFrame) -> DataFrame:
     return events.filter(~kind.isin("FW_BLOCK")).select(
         "event_id",
         "src_ip",
+        "ts",
         "us",
         F.when(kind.isin("FW_HONEYPOT_PORT", "SSH_SUCCESS"), "HIGH")
         .when(kind.isin("SUDO_FAIL", "SU_FAIL"), "LOW")

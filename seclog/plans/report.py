@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seclog.config import DAY_US, HOUR_US
 from seclog.functions.scalar import iso_from_micros, severity_of_rank, severity_rank
+from seclog.schema import within
 
 REPORTED = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
@@ -46,7 +47,7 @@ def timeline(incidents: DataFrame, as_of_us: int, span_us: int = DAY_US, step_us
     """Incidents per step and severity over the span before ``as_of_us``."""
     cutoff = as_of_us - span_us
     return (
-        incidents.filter((F.col("us") >= cutoff) & (F.col("us") <= as_of_us))
+        within(incidents, cutoff, as_of_us)
         .groupBy(
             F.floor((F.col("us") - cutoff) / step_us).cast("int").alias("hour_offset"), "severity"
         )
@@ -102,7 +103,7 @@ def period_report(
 ) -> DataFrame:
     """Totals of the period before ``as_of_us`` as (metric, value) rows."""
     since = as_of_us - days * DAY_US
-    inc = incidents.filter((F.col("us") >= since) & (F.col("us") <= as_of_us)).agg(
+    inc = within(incidents, since, as_of_us).agg(
         F.count(F.lit(1)).alias("total_incidents"),
         _of("HIGH").alias("high_count"),
         _of("MEDIUM").alias("medium_count"),
@@ -110,7 +111,7 @@ def period_report(
     held = blocks.filter((F.col("start_us") <= as_of_us) & (F.col("end_us") > as_of_us)).agg(
         F.count(F.lit(1)).alias("block_count")
     )
-    fim = fim_alerts.filter((F.col("us") >= since) & (F.col("us") <= as_of_us)).agg(
+    fim = within(fim_alerts, since, as_of_us).agg(
         F.count(F.lit(1)).alias("fim_alert_count"), _of("CRITICAL").alias("fim_critical")
     )
     return (

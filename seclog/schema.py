@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seclog.config import DAY_US
+
 # Event kinds and sources, spelled as the log pipeline emits them.
 SSH_KINDS = ("SSH_FAIL", "SSH_SUCCESS")
 WEB_KINDS = ("WEB_SCAN", "WEB_AUTH_FAIL", "WEB_EXPLOIT_ATTEMPT")
@@ -62,3 +64,21 @@ def meta_struct(**given: Column) -> Column:
 def with_micros(df: DataFrame, ts: str = "ts", us: str = "us") -> DataFrame:
     """Add the epoch-microsecond order column that every windowed operator uses."""
     return df.withColumn(us, F.unix_micros(F.col(ts).cast("timestamp")))
+
+
+def within(df: DataFrame, since_us: int | None = None, until_us: int | None = None, us: str = "us") -> DataFrame:
+    """Rows with ``since_us <= us <= until_us``.
+
+    ``us`` is derived, so a filter on it reaches no file. Where ``ts`` (the instant that ``us`` is of) or a partition
+    column ``day`` (its date, UTC) is there, the bounds are put on them as well: row groups and folders outside are skipped.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    for bound, is_in in ((since_us, lambda c, low: c >= low), (until_us, lambda c, high: c <= high)):
+        if bound is None:
+            continue
+        df = df.filter(is_in(F.col(us), F.lit(bound)))
+        if kinds.get("ts") == T.TimestampType():
+            df = df.filter(is_in(F.col("ts"), F.timestamp_micros(F.lit(bound))))
+        if kinds.get("day") == T.DateType():
+            df = df.filter(is_in(F.col("day"), F.date_add(F.lit("1970-01-01").cast("date"), bound // DAY_US)))
+    return df

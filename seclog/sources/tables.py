@@ -37,13 +37,16 @@ ALLOWLIST_SCHEMA = T.StructType([T.StructField("cidr", T.StringType())])
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table; timestamps without zone become UTC instants."""
+    """A Parquet table; timestamps without zone become UTC instants.
+
+    They are read as such, not cast, so that bounds on them reach the files.
+    """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    for field in df.schema.fields:
-        if isinstance(field.dataType, T.TimestampNTZType):
-            df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
+    if any(isinstance(f.dataType, T.TimestampNTZType) for f in df.schema):
+        kind = lambda f: T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType
+        df = spark.read.schema(T.StructType([T.StructField(f.name, kind(f)) for f in df.schema])).parquet(f"{folder}/{name}.parquet")
     return df
 
 

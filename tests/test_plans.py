@@ -3,9 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from seclog.plans import report
+from seclog.schema import within
+from seclog.sources import sinks
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -34,6 +37,25 @@ def test_input_is_read_and_shuffled_few_times(spark, name):
     assert len(re.findall(r"FileScan", plan)) <= scans
 
 
+@pytest.mark.parametrize("name", ["corr_ip_summary", "timeline_24h"])
+def test_time_bounds_reach_the_files(spark, name):
+    plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    pushed = re.search(r"PushedFilters: \[([^\]]*)", plan)[1]
+    assert "GreaterThanOrEqual(ts," in pushed and "LessThanOrEqual(ts," in pushed
+
+
+def test_time_bounds_reach_folders_by_day(spark, tmp_path):
+    day = 86_400_000_000
+    rows = spark.range(100).select((F.col("id") * (day // 4)).cast("long").alias("us"), F.lit("LOW").alias("severity"))
+    sinks.write_incidents(rows, str(tmp_path / "t"), batch=1)
+    table = spark.read.parquet(str(tmp_path / "t"))
+    found = within(table, 3 * day, 5 * day)
+    assert found.count() == 9
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*day#\d+ >= 1970-01-04", plan)
+    assert sum(r.n for r in report.timeline(table, 5 * day, 2 * day, day).collect()) == 9
+
+
 def test_top_failing_ips_approx_is_exact_where_the_sketch_is_not_sure(spark):
     rows = [("SSH_FAIL", f"10.0.{i // 250}.{i % 250}") for i in range(600) for _ in range(1 + (i == 577))]
     events = spark.createDataFrame([*rows, ("SSH_OK", "10.9.9.9"), ("SSH_FAIL", None)], "kind string, src_ip string")
