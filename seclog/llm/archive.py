@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seclog.sources.staging import new_folder
+from seclog.sources.staging import new_folder, staged
 
 #: Fixed values of the format: base 32 digits by value, the letters that conv() uses for them.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -72,6 +72,8 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     # Few bytes decide what a record is, so only they are joined.
     small = rows.drop("payload").withColumn("long_enough", F.col("payload_bytes") >= min_bytes)
     last = small.filter("long_enough").groupBy("content").agg(F.max("page_id").alias("response_id"))
+    # As a table of its own, so that the join has two shuffled sides and can split a payload that many pages have.
+    last = staged(last, "responses")
     marked = small.join(last, "content", "left").withColumn("response", ~F.col("long_enough") | F.col("page_id").eqNullSafe(F.col("response_id")))
     kind = F.when(F.col("response"), "response").otherwise("revisit")
     written = marked.select("page_id", "content", header(kind, F.col("response_id")).alias("header"), "long_enough", "response")

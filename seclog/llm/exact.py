@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from seclog.llm.common import documents, packed_rows, unpacked_rows
 from seclog.sources.staging import staged
 
-#: A chunk ends after a sentence or line end once it has 256 characters, and at 4096 at the latest. Where it ends
-#: depends on the text alone, so texts that share a passage share most chunks of it.
-CHUNK = r"(?s).{255,4094}?[.!?\n](?=\s)|.{1,4096}"
+#: A chunk ends, once it has 256 bytes, behind three bytes that are 1 modulo 4, and at 4096 bytes at the latest. Where
+#: it ends depends on the bytes before alone, in any script, so texts that share a passage share most chunks of it.
+_ENDS = "[" + "".join(rf"\x{b:02x}" for b in range(1, 256, 4)) + "]"
+CHUNK = r"(?s).{253,4093}?" + _ENDS + "{3}|.{1,4096}"
 
 
 def chunks(text: Column) -> Column:
-    """The chunks of a text in order; together they are the text. An empty text has one empty chunk."""
-    cut = F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
+    """The chunks of a text in order, each with a character for a byte of UTF-8; together they are its bytes.
+
+    An empty text has one empty chunk.
+    """
+    single = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    cut = F.regexp_extract_all(single, F.lit(CHUNK), F.lit(0))
     return F.when(F.char_length(text) == 0, F.array(F.lit(""))).otherwise(cut)
 
 

@@ -172,7 +172,9 @@ def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Dat
                 found = np.array(forest(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), distance), np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], names=["a", "b"])
 
-    keyed = nodes.select("fp", F.explode(variants(F.col("fp"), distance)).alias("key"))
+    # Few bytes make many rows here: spread them first, over a number of tasks that no later step merges.
+    spread = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = spread.select("fp", F.explode(variants(F.col("fp"), distance)).alias("key"))
     one = staged(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(within, LINKS), "links")
     parts = one.filter("key is not null").select("key", "block", "fps")
     others = parts.select("key", F.col("block").alias("block2"), F.col("fps").alias("fps2"))

@@ -255,7 +255,17 @@ def test_exact_copies(spark):
 def test_chunks_are_the_text(spark):
     rows = [r for r in awkward() if r[1]]
     table = docs(spark, rows).select("text", exact.chunks(F.col("text")).alias("c"))
-    assert all("".join(r.c) == r.text and len(r.c) for r in table.collect())
+    assert all("".join(r.c).encode("latin-1") == r.text.encode() and len(r.c) for r in table.collect())
+
+
+def test_chunks_are_shared_behind_a_word_put_in_front(spark):
+    rng = np.random.default_rng(6)
+    chinese = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 18_000)))
+    plain = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "word", "thing"], 4000))
+    rows = [(i, t) for i, text in enumerate((chinese, plain)) for t in (text, "first " + text)]
+    cut = [r.c for r in docs(spark, rows).repartition(1).orderBy("doc_id", F.length("text")).select(exact.chunks(F.col("text")).alias("c")).collect()]
+    for one, two in (cut[:2], cut[2:]):
+        assert len(one) > 50 and len(set(one) & set(two)) >= 0.95 * len(one)
 
 
 def test_archive_round_trip(spark):
