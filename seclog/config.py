@@ -69,6 +69,13 @@ UPPER_BOUNDS = {
 }
 
 
+def checked(limits: object) -> None:
+    """Stop an operator whose limits make no sense: every one must be positive, however large it may be."""
+    wrong = [p for p in problems(limits) if "must be positive" in p]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+
+
 def problems(limits: object) -> list[str]:
     """Names of the limits that are not positive or exceed their accepted bound."""
     found = []

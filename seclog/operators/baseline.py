@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seclog.config import DAY_US, HOUR_US, SECOND_US, BaselineLimits
+from seclog.config import DAY_US, HOUR_US, SECOND_US, BaselineLimits, checked
 from seclog.operators.scan import CHUNK, chunk_of
 
 
@@ -37,6 +37,7 @@ def login_history(
     what is known of a user is one row per user. Everything else is counted
     inside the chunk. ``usual_mask`` has bit h set once hour h was seen twice.
     """
+    checked(limits)
     rows = logins(events).withColumn(CHUNK, chunk_of(F.col("us"), HOUR_US))
     users = _with_user_before(_per_user(rows, known))
     here = Window.partitionBy("src_ip", CHUNK).orderBy("us", "event_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seclog.config import SECOND_US, BlockLimits
+from seclog.config import SECOND_US, BlockLimits, checked
 from seclog.operators.scan import Running, running
 from seclog.operators.suppress import suppress_within
 
@@ -31,6 +31,7 @@ def block_intervals(
     end a block early; the address can be blocked again right after. Each
     unblock starts a new epoch of its address, and epochs are independent.
     """
+    checked(limits)
     length = limits.duration_sec * SECOND_US
     if unblocks is None:
         kept = suppress_within(requests, ["ip"], length, tie="request_id")
@@ -70,11 +71,6 @@ def active_blocks(intervals: DataFrame, as_of_us: int) -> DataFrame:
     ).orderBy(F.desc("start_us"), "ip")
 
 
-def only_blocked(rows: DataFrame, active: DataFrame, ip: str = "src_ip") -> DataFrame:
-    """Rows whose address is on the given list of blocks."""
-    return rows.join(active.select(F.col("ip").alias(ip)).distinct(), ip, "left_semi")
-
-
 def cluster_blocklist(
     messages: DataFrame,
     as_of_us: int,

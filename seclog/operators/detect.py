@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seclog.config import SECOND_US, DetectionLimits, ReputationLimits
+from seclog.config import SECOND_US, DetectionLimits, ReputationLimits, checked
 from seclog.functions.scalar import severity_of_rank, severity_rank
 from seclog.operators.enrich import one_per_address
 from seclog.operators.suppress import suppress_within
@@ -21,10 +21,6 @@ def handled(events: DataFrame) -> DataFrame:
     return events.filter(F.col("kind").isin(*HANDLED_KINDS) & F.col("src_ip").isNotNull())
 
 
-def packet_hints(events: DataFrame) -> DataFrame:
-    return events.filter(F.col("kind") == NET_HINT)
-
-
 def context_events(events: DataFrame) -> DataFrame:
     """Events kept as context only: plain firewall blocks and failed sudo / su."""
     return handled(events).filter(F.col("kind").isin("FW_BLOCK", *SYS_KINDS))
@@ -125,16 +121,13 @@ def incident_candidates(
     With ``reputation`` (ip, abuse_score, total_reports, isp, is_public) any
     judged event of a flagged address is at least MEDIUM.
     """
+    checked(limits)
     judged = handled(events).filter(~F.col("kind").isin("FW_BLOCK", *SYS_KINDS))
-    counts = detection_counts(events, limits)
+    # Only instants that can fire are joined back; decoy-port hits need no counts.
+    instants = detection_counts(events, limits)
+    decoys = judged.filter(_kind("FW_HONEYPOT_PORT"))
     if reputation is None:
-        # Only instants that can fire are joined back; decoy-port hits need no counts.
-        counted = judged.join(counts.filter(_possible(limits)), ["src_ip", "us"], "inner")
-        decoys = judged.filter(_kind("FW_HONEYPOT_PORT")).select(
-            "*", *[F.lit(0).cast("long").alias(c) for c in COUNTED]
-        )
-        rows = counted.filter(~_kind("FW_HONEYPOT_PORT")).unionByName(decoys)
-        flag = F.lit(None).cast("string")
+        instants, flag = instants.filter(_possible(limits)), F.lit(None).cast("string")
     else:
         least = (reputation_limits or ReputationLimits()).flag_score
         flagged = one_per_address(reputation).filter((F.col("abuse_score") >= least) & F.col("is_public")).select(
@@ -144,8 +137,11 @@ def incident_candidates(
                 " isp=", F.col("isp"),
             ).alias("__flag"),
         )
-        rows = judged.join(counts, ["src_ip", "us"]).join(flagged, "src_ip", "left")
         flag = F.col("__flag")
+        instants = instants.join(flagged, "src_ip", "left").filter(_possible(limits) | flag.isNotNull())
+        decoys = decoys.join(flagged, "src_ip", "left")
+    counted = judged.filter(~_kind("FW_HONEYPOT_PORT")).join(instants, ["src_ip", "us"])
+    rows = counted.unionByName(decoys.select("*", *[F.lit(0).cast("long").alias(c) for c in COUNTED]))
 
     hit = rule_hits(limits)
     w = limits.window_sec

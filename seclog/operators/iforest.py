@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seclog.config import SECOND_US, ForestLimits
+from seclog.config import SECOND_US, ForestLimits, checked
 from seclog.operators.features import FEATURES, anomaly_reasons
 from seclog.operators.suppress import suppress_within
 
@@ -104,6 +104,7 @@ def fit(
 
     ``rows`` is read twice (size, sample): pass a table, not a long computation.
     """
+    checked(limits)
     sample = training_sample(rows, limits, features, identity)
     return sample.groupBy("tree").applyInPandas(_grower(features, limits), _NODE)
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 
 from seclog.plans.fixtures import AS_OF_US
+from seclog.schema import ALL_KINDS, ALL_SOURCES
 
 DAY = 86_400_000_000
 BASE = 198 * 256**3 + 18 * 256**2
+#: Kinds, then sources, with what each has in the window, where that is not zero; then the total.
+_SEEN_7 = [(k, f"kind = '{k}'") for k in ALL_KINDS] + [(f"source:{s}", f"source = '{s}'") for s in ALL_SOURCES] + [("total", "true")]
+_EVIDENCE_7 = "concat_ws(',', " + ", ".join(f"'{name}=' || nullif(count(*) FILTER ({where}) OVER d7, 0)" for name, where in _SEEN_7) + ")"
 
 CTES = {
     "raw": """
@@ -83,7 +87,8 @@ CTES = {
         count(*) FILTER (kind = 'SSH_FAIL') OVER d10 AS ssh10,
         count(*) FILTER (kind = 'FW_HONEYPOT_PORT') OVER d3 AS hp3, count(*) FILTER (kind = 'SSH_FAIL') OVER d3 AS ssh3,
         count(*) FILTER (kind = 'WEB_AUTH_FAIL') OVER d2 AS auth2,
-        count(DISTINCT source) OVER d7 AS sources7, count(DISTINCT kind) OVER d7 AS kinds7, count(*) OVER d7 AS n7
+        count(DISTINCT source) OVER d7 AS sources7, count(DISTINCT kind) OVER d7 AS kinds7, count(*) OVER d7 AS n7,
+        {_EVIDENCE_7} AS evidence7
       FROM sec WINDOW
         d2 AS (PARTITION BY src_ip ORDER BY us RANGE BETWEEN {2 * DAY - 1} PRECEDING AND CURRENT ROW),
         d3 AS (PARTITION BY src_ip ORDER BY us RANGE BETWEEN {3 * DAY - 1} PRECEDING AND CURRENT ROW),
@@ -110,7 +115,7 @@ CTES = {
         'SSH_SUCCESS=' || ok5 || ',SUDO_FAIL=' || sudo5 || ',SU_FAIL=' || su5
         FROM corr_cnt WHERE ok5 >= 1 AND sudo5 + su5 >= 2
       UNION ALL SELECT src_ip, us, 'persistent_recon', 0.70, 'MEDIUM',
-        'Persistent recon: ' || n7 || ' events across ' || sources7 || ' sources, ' || kinds7 || ' attack types in 30min', NULL
+        'Persistent recon: ' || n7 || ' events across ' || sources7 || ' sources, ' || kinds7 || ' attack types in 30min', evidence7
         FROM corr_cnt WHERE sources7 >= 3 AND kinds7 >= 4 AND n7 >= 20""",
     "corr_at": f"""
       SELECT src_ip, rule, min(us) AS us FROM corr GROUP BY src_ip, rule

@@ -21,7 +21,8 @@ from seclog.config import (
 from seclog.functions.scalar import iso_from_micros
 from seclog.operators.correlate import DEFAULT_RULES, RuleSpec
 from seclog.schema import meta_struct
-from seclog.sources.tables import read_table
+from seclog.sources.staging import new_folder
+from seclog.sources.tables import REPUTATION_SCHEMA, load_allowlist, load_reputation, read_table
 
 AS_OF_US = 1_706_659_200_000_000  # 2024-01-31 00:00:00 UTC, just after the last event
 YEAR = 2024
@@ -277,6 +278,25 @@ def reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def loaded_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written as CSV files and loaded."""
+    path = new_folder(spark, "reputation")
+    given = reputation(spark, sf_dir)
+    given.select(*[(F.col(f.name) if f.name in given.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in REPUTATION_SCHEMA]).write.csv(path, header=True)
+    return load_reputation(spark, path).select(*given.columns)
+
+
+def loaded_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``allowlist`` as CSV files of addresses and networks, loaded."""
+    path = new_folder(spark, "allowlist")
+    lo = F.col("lo")
+    part = lambda bits: (F.shiftright(lo, bits) % 256).cast("string")
+    dots = F.concat_ws(".", *map(part, (24, 16, 8, 0)))
+    cidr = F.when(F.col("prefix_len") == 32, dots).otherwise(F.concat(dots, F.lit("/"), "prefix_len"))
+    allowlist(spark, sf_dir).select(cidr.alias("cidr")).write.csv(path, header=True)
+    return load_allowlist(spark, path)
+
+
 def allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A single address per supplier plus one /28."""
     key = F.col("s_suppkey")

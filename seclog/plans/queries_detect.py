@@ -88,7 +88,7 @@ def incident_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reputation_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(
-        de.incident_candidates(fx.sec_events(spark, sf_dir), LIMITS, fx.reputation(spark, sf_dir))
+        de.incident_candidates(fx.sec_events(spark, sf_dir), LIMITS, fx.loaded_reputation(spark, sf_dir))
     )
 
 
@@ -245,13 +245,7 @@ def all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evidence_text(alerts: DataFrame) -> DataFrame:
     item = lambda e: F.concat(e["kind"], F.lit("="), e["count"])
-    return alerts.withColumn(
-        "evidence",
-        F.when(
-            F.col("rule") != "persistent_recon",
-            F.array_join(F.transform("evidence", item), ","),
-        ),
-    )
+    return alerts.withColumn("evidence", F.array_join(F.transform("evidence", item), ","))
 
 
 _ALERT = "src_ip, us, rule, confidence, severity, description, evidence"

@@ -45,7 +45,7 @@ def geo_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reputation_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = fx.raw_events(spark, sf_dir).select("event_id", "src_ip")
-    return en.reputation_enrich(events, fx.reputation(spark, sf_dir))
+    return en.reputation_enrich(events, fx.loaded_reputation(spark, sf_dir))
 
 
 @query(
@@ -74,7 +74,7 @@ def lookup_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("allowlist_filter", "SELECT event_id, src_ip FROM raw WHERE src_ip NOT IN (SELECT src_ip FROM allowed)")
 def allowlist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = fx.raw_events(spark, sf_dir).select("event_id", "src_ip")
-    return en.outside_networks(events, fx.allowlist(spark, sf_dir), prefixes=fx.ALLOW_PREFIXES)
+    return en.outside_networks(events, fx.loaded_allowlist(spark, sf_dir), prefixes=fx.ALLOW_PREFIXES)
 
 
 _V6 = "'2001:db8:0:' || format('{:x}', user_id % 65536) || '::7'"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,9 +41,14 @@ def read_appended(
     """
     reader = spark.read.option("basePath", path)
     if schema is not None:
-        own = T.StructType([f for f in schema.fields if f.name not in ("batch", "day")])
-        reader = reader.schema(own.add("batch", "string").add("day", "date"))
-    rows = reader.parquet(path)
+        own = [f for f in schema.fields if f.name not in ("batch", "day")]
+        reader = reader.schema(T.StructType(own).add("batch", "string").add("day", "date"))
+    try:
+        rows = reader.parquet(path)
+    except AnalysisException as problem:
+        if schema is None or problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], T.StructType(own))  # nothing was appended yet
     if since_us is not None:
         rows = rows.filter(F.col("day") >= F.to_date(F.timestamp_micros(F.lit(since_us))))
     if until_us is not None:

@@ -135,15 +135,17 @@ class _Incremental:
 class IncidentDetector(_Incremental):
     """``foreachBatch`` handler for incidents (candidates, cooldown, escalation)."""
 
-    def __init__(self, folder: str, output: str, limits: DetectionLimits, delay_us: int) -> None:
+    def __init__(
+        self, folder: str, output: str, limits: DetectionLimits, delay_us: int, severity_aware: bool = False
+    ) -> None:
         super().__init__(folder, output, delay_us, limits.window_sec * SECOND_US)
-        self.limits = limits
+        self.limits, self.severity_aware = limits, severity_aware
 
     def judge(self, due: DataFrame, before: int, until: int, batch_id: int) -> DataFrame:
         fresh = incident_candidates(handled(due), self.limits).filter(F.col("us") > before)
         keep = max(self.limits.cooldown_sec, self.limits.repeat_window_sec) * SECOND_US
         fired = self.thin(
-            fresh, before, until, batch_id, keep, lambda rows: fired_incidents(rows, self.limits)
+            fresh, before, until, batch_id, keep, lambda rows: fired_incidents(rows, self.limits, self.severity_aware)
         )
         return escalate_repeat_offenders(fired, self.limits).filter(F.col("us") > before)
 

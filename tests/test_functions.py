@@ -2,12 +2,14 @@
 
 import ipaddress
 
+import pytest
 from pyspark.sql import functions as F
 
 from seclog import config
 from seclog.functions import ip as ipf
 from seclog.functions import markup as mk
 from seclog.functions import scalar as sc
+from seclog.operators import baseline, blocks, detect, iforest
 from seclog.operators.enrich import geo_enrich, matching_networks, outside_networks
 from seclog.sources.tables import no_networks, with_network
 
@@ -103,3 +105,15 @@ def test_limits():
     assert config.problems(config.DetectionLimits()) == []
     bad = config.DetectionLimits(window_sec=0, fails=5000, cooldown_sec=-1)
     assert {p.split()[0] for p in config.problems(bad)} == {"window_sec", "fails", "cooldown_sec"}
+
+
+def test_operators_refuse_limits_that_make_no_sense(spark):
+    events = spark.createDataFrame([], "event_id long, src_ip string, user string, us long, kind string, source string")
+    for build in (
+        lambda: detect.incident_candidates(events, config.DetectionLimits(fails=0)),
+        lambda: baseline.login_history(events, config.BaselineLimits(active_days=-1)),
+        lambda: blocks.block_intervals(events, config.BlockLimits(duration_sec=0)),
+        lambda: iforest.fit(events, config.ForestLimits(trees=0)),
+    ):
+        with pytest.raises(ValueError, match="must be positive"):
+            build()

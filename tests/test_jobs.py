@@ -137,6 +137,7 @@ def test_streaming_detection_equals_batch(spark, tmp_path):
     seen = []
     handlers = [
         sd.IncidentDetector(str(tmp_path / "s1"), str(tmp_path / "incidents"), LIMITS, delay),
+        sd.IncidentDetector(str(tmp_path / "s3"), str(tmp_path / "by_severity"), LIMITS, delay, severity_aware=True),
         sd.CorrelationDetector(str(tmp_path / "s2"), str(tmp_path / "alerts"), rule, delay),
         lambda batch, batch_id: seen.append(batch_id),  # a user callback
     ]
@@ -145,6 +146,9 @@ def test_streaming_detection_equals_batch(spark, tmp_path):
     want = {(r.event_id, r.severity, tuple(r.reasons)) for r in detect.incidents(frame(spark, rows), LIMITS).collect()}
     got = {(r.event_id, r.severity, tuple(r.reasons)) for r in sinks.read_appended(spark, str(tmp_path / "incidents")).collect()}
     assert got == want and len(want) > 20
+    aware = {(r.event_id, r.severity) for r in detect.incidents(frame(spark, rows), LIMITS, severity_aware=True).collect()}
+    got = {(r.event_id, r.severity) for r in sinks.read_appended(spark, str(tmp_path / "by_severity")).collect()}
+    assert got == aware and len(aware) >= len(want)
     want = {(r.src_ip, r.us, r.rule) for r in correlate.correlation_alerts(correlate.correlate(frame(spark, rows), rule), rule).collect()}
     got = {(r.src_ip, r.us, r.rule) for r in sinks.read_appended(spark, str(tmp_path / "alerts")).collect()}
     assert got == want and want
@@ -186,6 +190,11 @@ def test_an_instant_split_over_batches(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "s" / "events").glob("batch=*")) == ["batch=2", "batch=3"]
 
 
+def test_a_table_that_nothing_was_appended_to_is_empty(spark, tmp_path):
+    empty = sinks.read_appended(spark, str(tmp_path / "none"), spark.createDataFrame([], "us long, ip string").schema, since_us=5)
+    assert empty.columns == ["us", "ip"] and empty.collect() == []
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     folder = str(tmp_path / "in")
     for part in ([(1, 0), (2, 5000)], [(3, 100)], [(4, 9000)]):
