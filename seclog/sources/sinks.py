@@ -42,7 +42,7 @@ def read_appended(
     reader = spark.read.option("basePath", path)
     if schema is not None:
         own = [f for f in schema.fields if f.name not in ("batch", "day")]
-        reader = reader.schema(T.StructType(own).add("batch", "string").add("day", "date"))
+        reader = reader.schema(T.StructType([*own]).add("batch", "string").add("day", "date"))
     try:
         rows = reader.parquet(path)
     except AnalysisException as problem:
