@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seclog.config import BlockLimits
 from seclog.operators import enrich as en
 from seclog.operators import outbox as ob
+from seclog.operators import rollup
 from seclog.plans import fixtures as fx
 from seclog.plans.catalog import query
 from seclog.plans.fixture_sql import DAY
@@ -238,6 +239,33 @@ def stream_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly states that a stream of out-of-order batches wrote, one an hour."""
+    path = new_folder(spark, "hours")
+    sinks.for_each_batch(arriving_stream(spark, sf_dir), [sinks.hourly_handler(f"{path}/out")], f"{path}/checkpoint").awaitTermination()
+    return staged(rollup.compacted(read_appended(spark, f"{path}/out")), "hours")
+
+
+_ROLLED = (fx.AS_OF_US - 20 * DAY, fx.AS_OF_US - 1)
+
+
+@query(
+    "rolled_top_failing_ips",
+    f"""SELECT src_ip, count(*) AS fails, 0::BIGINT AS error FROM sec WHERE kind = 'SSH_FAIL' AND us >= {_ROLLED[0]} AND us <= {_ROLLED[1]}
+        GROUP BY src_ip ORDER BY fails DESC, src_ip LIMIT 10""",
+)
+def rolled_top_failing_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.top_failing(_rolled(spark, sf_dir), *_ROLLED)
+
+
+@query(
+    "rolled_counters",
+    """SELECT us // 3600000000 * 3600000000 AS us, count(*) AS events, count(*) FILTER (kind = 'SSH_FAIL') AS ssh_fails FROM sec GROUP BY 1""",
+)
+def rolled_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.counters(_rolled(spark, sf_dir))
+
+
 def _login_detector(spark: SparkSession, sf_dir: str) -> tuple[sd.LoginDetector, DataFrame, DataFrame]:
     path = new_folder(spark, "logins")
     handler = sd.LoginDetector(f"{path}/state", f"{path}/out", fx.BASELINE, delay_us=(_SLICE + _LATE) * DAY)

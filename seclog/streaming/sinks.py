@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from seclog.operators.rollup import hourly_states
 from seclog.sources.sinks import append_table
 
 Handler = Callable[[DataFrame, int], None]
@@ -48,6 +49,11 @@ def for_each_batch(stream: DataFrame, handlers: list[Handler], checkpoint: str)
     )
 
 
+def hourly_handler(path: str) -> Handler:
+    """A handler that appends the hourly states of each batch (``operators.rollup``), replacing its own earlier attempt."""
+    return lambda batch, batch_id: append_table(hourly_states(batch), path, "us", batch_id)
+
+
 def table_handler(path: str, us: str = "us") -> Handler:
     """A handler that appends the batch to a table, replacing its own earlier attempt."""
     return lambda batch, batch_id: append_table(batch, path, us, batch_id)
