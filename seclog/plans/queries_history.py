@@ -26,11 +26,11 @@ _TTL = 12 * 3600
 # --- enrichment -------------------------------------------------------------------
 
 
-@query(
-    "geo_enrich",
-    """SELECT r.event_id, r.src_ip, g.country, g.country_code, g.city, g.isp, g.flag
-       FROM raw r LEFT JOIN ip_geo g ON r.src_ip = g.src_ip""",
-)
+_GEO_SQL = """SELECT r.event_id, r.src_ip, g.country, g.country_code, g.city, g.isp, g.flag
+       FROM raw r LEFT JOIN ip_geo g ON r.src_ip = g.src_ip"""
+
+
+@query("geo_enrich", _GEO_SQL)
 def geo_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = fx.raw_events(spark, sf_dir).select("event_id", "src_ip")
     return en.geo_enrich(events, fx.geo_ranges(spark, sf_dir), prefixes=fx.GEO_PREFIXES).select(
@@ -38,6 +38,13 @@ def geo_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("geo_enrich_by_range", _GEO_SQL)
+def geo_enrich_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = fx.raw_events(spark, sf_dir).select("event_id", "src_ip")
+    found = en.geo_lookup_by_range(events, fx.geo_ranges(spark, sf_dir))
+    return events.join(found, "src_ip", "left").select("event_id", "src_ip", "country", "country_code", "city", "isp", "flag")
+
+
 @query(
     "reputation_enrich",
     """SELECT r.event_id, r.src_ip, p.abuse_score, p.total_reports, p.isp AS reputation_isp,
@@ -80,13 +87,12 @@ def allowlist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _V6 = "'2001:db8:0:' || format('{:x}', user_id % 65536) || '::7'"
 
 
-@query(
-    "allowlist_filter_ipv6",
-    f"""SELECT event_id, {_V6} AS src_ip FROM raw WHERE user_id % 65536 NOT IN (SELECT s_suppkey * 3 % 65536 FROM supplier)
-        AND user_id % 65536 NOT BETWEEN 64 AND 79""",
-)
-def allowlist_filter_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A /64 per supplier and a /60; the events' addresses in IPv6 form."""
+_ALLOW_SQL_6 = f"""SELECT event_id, {_V6} AS src_ip FROM raw WHERE user_id % 65536 NOT IN (SELECT s_suppkey * 3 % 65536 FROM supplier)
+        AND user_id % 65536 NOT BETWEEN 64 AND 79"""
+
+
+def _ipv6_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The events' addresses in IPv6 form; a /64 per supplier and a /60."""
     group = lambda number: F.lower(F.hex(number % 65536))
     events = fx.raw_events(spark, sf_dir).select(
         "event_id", F.concat(F.lit("2001:db8:0:"), group(F.col("user_id")), F.lit("::7")).alias("src_ip")
@@ -94,7 +100,17 @@ def allowlist_filter_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = fx.read_table(spark, sf_dir, "supplier")
     single = suppliers.select(F.concat(F.lit("2001:DB8::"), group(F.col("s_suppkey") * 3), F.lit(":0:0:0:0/64")).alias("cidr"))
     wide = fx.read_table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.lit("2001:db8:0:4f::/60").alias("cidr"))
-    return en.outside_networks(events, tables.with_network(single.unionByName(wide)))
+    return events, tables.with_network(single.unionByName(wide))
+
+
+@query("allowlist_filter_ipv6", _ALLOW_SQL_6)
+def allowlist_filter_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return en.outside_networks(*_ipv6_sides(spark, sf_dir))
+
+
+@query("allowlist_filter_ipv6_by_range", _ALLOW_SQL_6)
+def allowlist_filter_ipv6_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return en.outside_networks_by_range(*_ipv6_sides(spark, sf_dir))
 
 
 # --- blocks -----------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Scalar functions against the standard library and edge cases."""
 
 import ipaddress
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,10 @@ from seclog.functions import ip as ipf
 from seclog.functions import markup as mk
 from seclog.functions import scalar as sc
 from seclog.operators import baseline, blocks, detect, iforest
-from seclog.operators.enrich import geo_enrich, matching_networks, outside_networks
+from seclog.operators.enrich import (
+    flat_networks, geo_enrich, geo_lookup, geo_lookup_by_range, innermost_networks, matching_networks, outside_networks,
+    outside_networks_by_range,
+)
 from seclog.sources.tables import no_networks, with_network
 
 ADDRESSES = [
@@ -86,6 +90,35 @@ def test_lookups_hold_both_families(spark):
     assert found == {0: "Unknown", 1: "Local/Private", 2: cidrs[1], 3: cidrs[2], 4: "Unknown", 5: "Local/Private", 6: cidrs[3], 7: "Unknown", 8: None}
 
 
+def test_flat_networks_give_the_innermost_one(spark):
+    rng = random.Random(4)
+    nets = {"0.0.0.0/0", "255.255.255.0/24", "255.255.255.255/32", "::/0", "ffff::/16", "2001:db8::/33"}
+    for _ in range(60):
+        bits = rng.choice([8, 10, 12, 15, 16, 24, 31, 32])
+        nets.add(str(ipaddress.ip_network((rng.choice([10 << 24, 172 << 24]) + rng.getrandbits(rng.choice([8, 16, 24])), bits), strict=False)))
+        bits = rng.choice([16, 31, 33, 47, 48, 64, 65, 127, 128])
+        nets.add(str(ipaddress.ip_network(((0x20010DB8 << 96) + rng.getrandbits(rng.choice([40, 64, 90])), bits), strict=False)))
+    parsed = [ipaddress.ip_network(n) for n in nets]
+    ips = {str(x) for n in parsed for at in (n.network_address, n.broadcast_address) for x in (at, *([at + 1] if int(at) + 1 < 2**n.max_prefixlen else []), *([at - 1] if int(at) else []))}
+    rows = spark.createDataFrame([(ip,) for ip in [*ips, "nonsense", None]], "ip string")
+    for kept in (parsed, [n for n in parsed if n.prefixlen]):
+        table = with_network(spark.createDataFrame([(str(n),) for n in kept], "cidr string"))
+        got = {r.ip: r.network and r.network.cidr for r in innermost_networks(rows, flat_networks(table, ["cidr"])).collect()}
+        assert got.pop("nonsense") is None and got.keys() == ips
+        for ip, cidr in got.items():
+            held = [n for n in kept if n.version == ipaddress.ip_address(ip).version and ipaddress.ip_address(ip) in n]
+            assert cidr == (str(max(held, key=lambda n: n.prefixlen)) if held else None), ip
+
+
+def test_lookups_by_range_are_those_by_prefix(spark):
+    ips = ["1.2.3.4", "10.9.9.9", "2001:db8:7:f800::5", "2001:DB8::1%eth0", "2001:db9::", "::1", "nonsense", None]
+    rows = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "event_id long, src_ip string")
+    table = with_network(spark.createDataFrame([("1.2.0.0/16",), ("2001:db8:7:f800::/53",), ("2001:db8::/32",)], "cidr string"))
+    places = table.withColumn("country", F.col("cidr")).withColumn("country_code", F.lit("DE"))
+    assert sorted(geo_lookup(rows, places).collect()) == sorted(geo_lookup_by_range(rows, places).collect())
+    assert sorted(map(str, outside_networks(rows, table).collect())) == sorted(map(str, outside_networks_by_range(rows, table).collect()))
+
+
 def test_labels(spark):
     df = spark.createDataFrame([("US", 59), ("USA", 60), ("DE", 3600), ("", 200000)], "code string, age long")
     rows = df.select(sc.country_flag(F.col("code")), sc.time_ago(F.col("age")), mk.escape_markup(F.lit("a_b*c`d[e]"))).collect()
