@@ -56,6 +56,8 @@ class ForestLimits:
     min_samples: int = 100
     cooldown_sec: int = 300
     window_sec: int = 60
+    retrain_sec: int = 3600  # event time between two trainings of a stream
+    buffer_sec: int = 7 * 86400  # newest span that a stream's model is trained on
 
 
 # Accepted upper bounds per limit; every limit must be a positive integer.

@@ -9,14 +9,14 @@ UDF over the trees, whose total size is bounded by trees x 2 x sample_size.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seclog.config import SECOND_US, ForestLimits, checked
+from seclog.config import DAY_US, SECOND_US, ForestLimits, checked
 from seclog.operators.features import FEATURES, anomaly_reasons
 from seclog.operators.suppress import suppress_within
 
@@ -94,6 +94,67 @@ def _grower(features: Sequence[str], limits: ForestLimits):
     return grow
 
 
+def _draws(base: np.ndarray, tree: int) -> np.ndarray:
+    """A number in [0, 2^53) per row and tree from a hash of the row."""
+    mixed = base + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(np.int64)
+
+
+def sample_state(
+    rows: DataFrame,
+    limits: ForestLimits = ForestLimits(),
+    features: Sequence[str] = FEATURES,
+    identity: Sequence[str] = ("src_ip", "us"),
+    bucket_us: int = DAY_US,
+    known: DataFrame | None = None,
+) -> DataFrame:
+    """A sample per tree that can be merged: (bucket, tree, draw, row hash, features...).
+
+    Of each bucket of time a tree keeps the ``sample_size`` rows with the least draws, so the sample of a bucket does not
+    depend on how its rows were dealt to batches and tasks. ``known`` is such a state to merge with; ``rows`` has ``us``.
+    Each task sends at most that many rows per tree and bucket.
+    """
+    names = list(features)
+    schema = "bucket long, tree int, draw long, row long, " + ", ".join(f"{f} double" for f in names)
+    given = rows.select(
+        F.floor(F.col("us") / bucket_us).alias("bucket"),
+        F.xxhash64(*identity, F.lit(limits.seed)).alias("row"),
+        *[F.col(f).cast("double").alias(f) for f in names],
+    )
+    size, trees = limits.sample_size, limits.trees
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], pd.DataFrame] = {}
+        for pdf in batches:
+            base = pdf["row"].to_numpy().view(np.uint64)
+            for bucket, places in pdf.groupby("bucket").indices.items():
+                for tree in range(trees):
+                    draw = _draws(base[places], tree)
+                    near = np.argpartition(draw, size - 1)[:size] if len(draw) > size else np.arange(len(draw))
+                    part = pdf.iloc[places[near]].assign(draw=draw[near])
+                    if (bucket, tree) in held:
+                        part = pd.concat((held[bucket, tree], part)).nsmallest(size, ["draw", "row"])
+                    held[bucket, tree] = part
+        for (_, tree), part in held.items():
+            yield part.assign(tree=tree)[["bucket", "tree", "draw", "row", *names]]
+
+    drawn = given.mapInPandas(least, schema)
+    if known is not None:
+        drawn = drawn.unionByName(known.select(*drawn.columns))
+    order = Window.partitionBy("bucket", "tree").orderBy("draw", "row", *names)
+    return drawn.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size).drop("rank")
+
+
+def fit_state(state: DataFrame, limits: ForestLimits = ForestLimits(), features: Sequence[str] = FEATURES) -> DataFrame:
+    """The forest of a merged sample: of all its buckets a tree takes the rows with the least draws."""
+    checked(limits)
+    order = Window.partitionBy("tree").orderBy("draw", "row", *features)
+    sample = state.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limits.sample_size)
+    return sample.select("tree", "rank", *features).groupBy("tree").applyInPandas(_grower(features, limits), _NODE)
+
+
 def fit(
     rows: DataFrame,
     limits: ForestLimits = ForestLimits(),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -291,6 +293,15 @@ def stream_login_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handler.profiles(like).withColumn("hours", F.array_join(F.transform(F.map_entries("login_hours"), hour), ",")).drop("login_hours")
 
 
+@query("stream_ml_alerts")
+def stream_ml_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalous windows by a forest that is trained anew as the stream goes on."""
+    path = new_folder(spark, "forest")
+    limits = replace(fx.FOREST, retrain_sec=5 * 86_400, buffer_sec=16 * 86_400)
+    handler = sd.ForestDetector(f"{path}/state", f"{path}/out", limits, delay_us=(_SLICE + _LATE) * DAY, chunk_us=CHUNK_US)
+    return judged(arriving_stream(spark, sf_dir), handler, path).select("src_ip", "us", F.round("score", 6).alias("score"), "version")
+
+
 def _port_requests(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("kind") == "FW_HONEYPOT_PORT").select(
         F.col("src_ip").alias("ip"), "ts", "us", F.col("event_id").alias("request_id"), F.lit("port").alias("reason")

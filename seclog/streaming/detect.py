@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seclog.config import HOUR_US, SECOND_US, BaselineLimits, BlockLimits, DetectionLimits
+from seclog.config import HOUR_US, SECOND_US, BaselineLimits, BlockLimits, DetectionLimits, ForestLimits, checked
 from seclog.operators.baseline import login_anomalies, login_state, profiles_of_state
 from seclog.operators.correlate import RuleSpec, correlate, correlation_alerts
 from seclog.operators.detect import (
@@ -30,6 +30,8 @@ from seclog.operators.detect import (
     handled,
     incident_candidates,
 )
+from seclog.operators.features import anomaly_reasons, ip_window_features
+from seclog.operators.iforest import fit_state, sample_state, score
 from seclog.operators.suppress import suppress_within
 from seclog.sources.sinks import append_table, read_appended
 from seclog.sources.staging import remove, staged
@@ -90,7 +92,7 @@ class _Incremental:
         self.state.save(
             spark.range(1).select(F.lit(until).cast("long").alias("us")), batch_id, "judged"
         )
-        for name in ("events", "fired", "judged", "profile"):
+        for name in ("events", "fired", "judged", "profile", "sample", "model"):
             self.state.forget(spark, batch_id - 2, name)
 
     def finish(self, like: DataFrame, batch_id: int) -> None:
@@ -200,6 +202,55 @@ class LoginDetector(_Incremental):
         return profiles_of_state(login_state(now, self.limits, self._profile(spark, last)))
 
 
+class ForestDetector(_Incremental):
+    """``foreachBatch`` handler that scores windows of addresses by an isolation forest it trains as it goes.
+
+    The sample (``operators.iforest.sample_state``) is merged batch by batch and keeps the newest ``buffer_sec``. A forest
+    is grown from it once ``min_samples`` rows were seen, and anew when ``retrain_sec`` of event time went by since; each
+    is a version of its own, with the score at the contamination quantile of its sample as its cut. A batch is
+    scored by the version before it, so rows before the first training are not judged. Alerts of an address keep
+    the cooldown.
+    """
+
+    def __init__(self, folder: str, output: str, limits: ForestLimits, delay_us: int, chunk_us: int = HOUR_US) -> None:
+        checked(limits)
+        super().__init__(folder, output, delay_us, limits.window_sec * SECOND_US)
+        self.limits, self.chunk_us = limits, chunk_us
+        self.bucket_us = max(1, limits.buffer_sec * SECOND_US // 16)
+
+    def model(self, spark: SparkSession, batch: int) -> tuple[int, int, int, float] | None:
+        """(version, trained at, rows seen, cut) after a batch; version 0 has no forest."""
+        return None if batch < 0 else tuple(spark.read.parquet(self.state._at(batch, "model")).first())
+
+    def forest(self, spark: SparkSession, version: int) -> DataFrame:
+        return spark.read.parquet(f"{self.state.folder}/forest/version={version}")
+
+    def judge(self, due: DataFrame, before: int, until: int, batch_id: int) -> DataFrame:
+        spark, limits = due.sparkSession, self.limits
+        rows = staged(ip_window_features(due, limits.window_sec, chunk_us=self.chunk_us).filter(F.col("us") > before), "windows")
+        version, trained, seen, cut = self.model(spark, batch_id - 1) or (0, _START, 0, 0.0)
+        known = self.state.load(spark, batch_id - 1, "sample", sample_state(rows.limit(0), limits, bucket_us=self.bucket_us))
+        oldest = (until - limits.buffer_sec * SECOND_US) // self.bucket_us
+        merged = sample_state(rows, limits, bucket_us=self.bucket_us, known=known).filter(F.col("bucket") >= oldest)
+        sample = self.state.save(merged, batch_id, "sample")
+        strange = rows.withColumn("score", F.lit(0.0)).limit(0)
+        if version:
+            strange = score(rows, self.forest(spark, version), limits=limits).filter(F.col("score") < cut)
+        keep = limits.cooldown_sec * SECOND_US
+        tied = strange.withColumn("version", F.lit(version)).withColumn("__n", F.lit(0))
+        kept = self.thin(tied, before, until, batch_id, keep, lambda r: suppress_within(r, ["src_ip"], keep, tie="__n"))
+        seen += rows.count()
+        if seen >= limits.min_samples and until - trained >= limits.retrain_sec * SECOND_US:
+            version, trained = version + 1, until
+            fit_state(sample, limits).write.mode("overwrite").parquet(f"{self.state.folder}/forest/version={version}")
+            scored = score(sample, self.forest(spark, version), limits=limits)
+            cut = scored.agg(F.percentile_approx("score", F.lit(limits.contamination), F.lit(10_000))).first()[0]
+        facts = spark.createDataFrame([(version, trained, seen, cut)], "version int, trained_us long, seen long, cut double")
+        self.state.save(facts, batch_id, "model")
+        out = kept.filter(F.col("us") > before)
+        return out.withColumn("reasons", anomaly_reasons(F.col("score"))).select("src_ip", "us", "score", "version", "reasons")
+
+
 class BlockDetector(_Incremental):
     """``foreachBatch`` handler for accepted blocks of requests (ip, us, request_id, reason)."""
 
