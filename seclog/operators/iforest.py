@@ -126,19 +126,21 @@ def sample_state(
     size, trees = limits.sample_size, limits.trees
 
     def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], pd.DataFrame] = {}
+        # per bucket: draws, row hashes and features of the rows kept, a column a tree
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for pdf in batches:
-            base = pdf["row"].to_numpy().view(np.uint64)
+            hashes, data = pdf["row"].to_numpy(), pdf[names].to_numpy(float)
             for bucket, places in pdf.groupby("bucket").indices.items():
-                for tree in range(trees):
-                    draw = _draws(base[places], tree)
-                    near = np.argpartition(draw, size - 1)[:size] if len(draw) > size else np.arange(len(draw))
-                    part = pdf.iloc[places[near]].assign(draw=draw[near])
-                    if (bucket, tree) in held:
-                        part = pd.concat((held[bucket, tree], part)).nsmallest(size, ["draw", "row"])
-                    held[bucket, tree] = part
-        for (_, tree), part in held.items():
-            yield part.assign(tree=tree)[["bucket", "tree", "draw", "row", *names]]
+                draw = np.stack([_draws(hashes[places].view(np.uint64), tree) for tree in range(trees)], 1)
+                row = np.repeat(hashes[places][:, None], trees, 1)
+                point = np.repeat(data[places][:, None, :], trees, 1)
+                if bucket in held:
+                    draw, row, point = (np.concatenate(x) for x in zip(held[bucket], (draw, row, point), strict=True))
+                near = np.argsort(draw, axis=0, kind="stable")[:size]
+                held[bucket] = tuple(np.take_along_axis(x, near if x.ndim == 2 else near[:, :, None], 0) for x in (draw, row, point))
+        for bucket, (draw, row, point) in held.items():
+            out = pd.DataFrame(point.reshape(-1, len(names)), columns=names)
+            yield out.assign(bucket=bucket, tree=np.tile(np.arange(trees, dtype=np.int32), len(draw)), draw=draw.ravel(), row=row.ravel())[["bucket", "tree", "draw", "row", *names]]
 
     drawn = given.mapInPandas(least, schema)
     if known is not None:
