@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -424,6 +425,62 @@ def test_toxicity_learns_and_takes_awkward_rows(spark):
     assert toxicity.scored(docs(spark, []).limit(0), labels).collect() == []
 
 
+def plain_grams(text):
+    """Numbers of the n-grams of 4 to 6 characters of a text, one n-gram at a time."""
+    m, step, mask = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 2**64 - 1
+    whole, found = [ord(c) for c in f" {text.lower()} "], set()
+    for n in toxicity.ORDERS:
+        for at in range(len(whole) - n + 1):
+            code = 0
+            for c in whole[at : at + n]:
+                code = (code * step + c) & mask
+            found.add(((code + (n << 56)) * m & mask) >> (64 - 19))
+    return found
+
+
+def test_toxicity_scores_are_those_of_a_plain_fit(spark):
+    rng = np.random.default_rng(9)
+    nice, bad = "river stone light garden paper window".split(), "vile scum trash filth".split()
+    rows, labels = [], []
+    for i in range(160):
+        toxic = i % 3 == 0
+        words = [*rng.choice(nice, rng.integers(3, 12)), *(rng.choice(bad, 2) if toxic else [])]
+        rows.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, int(toxic)))
+    table = docs(spark, [*rows, (500, None), (501, "garden scum")])
+    got = {r.doc_id: r.score for r in toxicity.scored(table, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+
+    taught = [(plain_grams(t), labels[i][1]) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    n1, n0 = sum(y for _, y in taught), sum(1 - y for _, y in taught)
+    counts = Counter((g, y) for grams, y in taught for g in grams)
+    ratio = {}
+    for g in {g for g, _ in counts}:
+        a, b = counts[g, 1], counts[g, 0]
+        r = math.log((a + 1) / (n1 + 2)) - math.log((b + 1) / (n0 + 2))
+        pooled = (a + b + 1) / (n1 + n0 + 2)
+        if abs(r) > 3.5 * math.sqrt((1 - pooled) / pooled * (1 / n1 + 1 / n0)):
+            ratio[g] = r
+    names = sorted(ratio)
+    x = np.array([[ratio[g] if g in grams else 0.0 for g in names] for grams, _ in taught])
+    y = np.array([float(v) for _, v in taught])
+    share = n1 / (n1 + n0)
+    importance = np.where(y == 1, share / n1, (1 - share) / n0)
+    rate = 1 / (0.25 * float((importance * ((x * x).sum(1) + 1)).sum()) + 2e-3)
+    w, b = np.zeros(len(names)), math.log(share / (1 - share))
+    look_w, look_b, t = w, b, 1.0
+    for _ in range(150):  # gradient steps with momentum on the loss, written out
+        g = importance * (1 / (1 + np.exp(-(x @ look_w + look_b))) - y)
+        new_w, new_b = look_w - rate * (x.T @ g + 2e-3 * look_w), look_b - rate * g.sum()
+        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        look_w, look_b = new_w + (t - 1) / t2 * (new_w - w), new_b + (t - 1) / t2 * (new_b - b)
+        w, b, t = new_w, new_b, t2
+    weight = dict(zip(names, w * np.array([ratio[g] for g in names]), strict=True))
+    for i, text in [*rows, (500, ""), (501, "garden scum")]:
+        z = b + sum(weight.get(g, 0.0) for g in plain_grams(text))
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-4, i
+    assert got[501] > 0.5 > got[500] and len(names) > 20
+
+
 def test_pipeline_stages_against_plain_versions(spark):
     import corpus_pipeline
 
