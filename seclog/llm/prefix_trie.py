@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate
@@ -209,6 +210,21 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return np.split(values, cuts[:-1])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``size`` rows, whatever the size of those that come."""
+    held, n = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, size - n))
+            n, at = n + held[-1].num_rows, at + held[-1].num_rows
+            if n == size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _peel(rows: DataFrame, whole: bool, size: int) -> DataFrame:
     """Peel sorted rows in blocks: conversations (conv_id, path, sizes) or open paths."""
     conversations = "conv_id" in rows.columns
@@ -220,20 +236,15 @@ def _peel(rows: DataFrame, whole: bool, size: int) -> DataFrame:
 
         arrow = to_arrow_schema(schema)
         place = TaskContext.get().partitionId() << 32
-        if whole:
-            together = [b for b in batches if b.num_rows]
-            batches = pa.Table.from_batches(together).combine_chunks().to_batches() if together else []
-        for batch in batches:
-            for at in range(0, batch.num_rows, batch.num_rows if whole else size):
-                part = batch if whole else batch.slice(at, size)
-                ids = part.column("conv_id").to_numpy() if conversations else None
-                sums = None if conversations else {c: _lists(part.column(c)) for c in SUMS}
-                block = Peeling(part.column("path").to_pylist(), _lists(part.column("sizes")), ids, sums, whole)
-                block.run()
-                for out in block.tables(place):
-                    n = len(out["kind"])
-                    yield pa.RecordBatch.from_arrays([pa.array(list(out[f.name]) if pa.types.is_list(f.type) else out[f.name], f.type) if f.name in out else pa.nulls(n, f.type) for f in arrow], schema=arrow)
-                place += 1
+        for part in _blocks(batches, sys.maxsize if whole else size):
+            ids = part.column("conv_id").to_numpy() if conversations else None
+            sums = None if conversations else {c: _lists(part.column(c)) for c in SUMS}
+            block = Peeling(part.column("path").to_pylist(), _lists(part.column("sizes")), ids, sums, whole)
+            block.run()
+            for out in block.tables(place):
+                n = len(out["kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(out[f.name]) if pa.types.is_list(f.type) else out[f.name], f.type) if f.name in out else pa.nulls(n, f.type) for f in arrow], schema=arrow)
+            place += 1
 
     return rows.mapInArrow(run, schema)
 

@@ -68,15 +68,19 @@ def talk(seed, n, most=9, words=3):
     return rows
 
 
-@pytest.mark.parametrize("block", [16, 4096])
-def test_the_trie_of_rebuilt_conversations(spark, block):
+@pytest.mark.parametrize(("block", "batch"), [(16, 10_000), (30, 2), (4096, 7)])
+def test_the_trie_of_rebuilt_conversations(spark, block, batch):
     rows = talk(block, 120)
     rows += [(200 + c, t, "user", "same") for c in range(60) for t in range(5)]  # a group of copies
     rows += [(300 + c, t, "user", "hot" if t < 2 else f"{c} {t}") for c in range(40) for t in range(4)]  # a hot start
     rows += [(400, t, "user", f"turn {t // 2}") for t in range(300)] + [(401, 3, "x", "long" * 9000), (None, 1, "user", "nobody's")]
     rows += [(500, 1, "user", "twice")] * 2
     convs = prefix_trie.with_shared_starts(table(spark, rows))
-    same(prefix_trie.prefix_trie(convs, block).collect(), trie(shared(rows)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        same(prefix_trie.prefix_trie(convs, block).collect(), trie(shared(rows)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_random_tries_in_blocks_of_every_size():
