@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import replace
+from itertools import groupby
 
+import pyarrow
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -393,6 +398,35 @@ def write_fim_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_appended(spark, path).select("path", "change", "severity")
 
 
+#: Files in a folder.
+_FOLDER = 1000
+
+
+def _as_files(rows: DataFrame, path: str) -> None:
+    """Rows (doc_id, text) as files ``doc_id=<id>.txt`` of a line each, written by the tasks, some in a folder.
+
+    Equal ids of a task share a file. One that runs again writes the same files.
+    """
+
+    def write(batches: Iterator[pyarrow.RecordBatch]) -> Iterator[pyarrow.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(re.sub("^file:/*", "/", path))
+        part, made, folder = TaskContext.get().partitionId(), 0, ""
+        lines = ((d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for doc_id, same in groupby(lines, key=lambda line: line[0]):
+            if made % _FOLDER == 0:
+                folder = f"{root}/{part:05d}-{made // _FOLDER:05d}"
+                store.create_dir(folder)
+            with store.open_output_stream(f"{folder}/doc_id={'__HIVE_DEFAULT_PARTITION__' if doc_id is None else doc_id}.txt") as out:
+                for _, text in same:
+                    out.write(f"{text}\n".encode())
+            made += 1
+        yield pyarrow.RecordBatch.from_pydict({"n": pyarrow.array([made], pyarrow.int64())})
+
+    rows.sortWithinPartitions("doc_id").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 @query(
     "scan_file_snapshot",
     "SELECT doc_id, sha256(coalesce(text, '') || chr(10)) AS hash, strlen(coalesce(text, '')) + 1 AS size FROM documents",
@@ -401,7 +435,7 @@ def scan_file_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a file of its own, found again by a scan of the folder and by one of a missing folder."""
     path = new_folder(spark, "files")
     docs = fx.read_table(spark, sf_dir, "documents")
-    docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("doc_id").text(path)
+    _as_files(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
     found = snapshot.scan_snapshot(spark, [snapshot.Watch(path, pattern="*.txt"), snapshot.Watch(f"{path}/missing")])
     number = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast(docs.schema["doc_id"].dataType)
     return found.select(number.alias("doc_id"), "hash", "size")
@@ -425,7 +459,7 @@ def fim_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def scan(rows: DataFrame, text: Column) -> DataFrame:
         path = new_folder(spark, "files")
-        rows.select("doc_id", text.alias("text")).write.partitionBy("doc_id").text(path)
+        _as_files(rows.select("doc_id", text.alias("text")), path)
         found = snapshot.scan_snapshot(spark, [snapshot.Watch(path, pattern="*.txt")], large=2000)
         return found.withColumn("path", F.regexp_extract("path", r"doc_id=\d+", 0))
 

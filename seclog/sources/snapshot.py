@@ -5,14 +5,17 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seclog.sources.staging import staged
+
 #: Bytes up to which a file is one value of a row; bytes read at a time of larger ones.
 LARGE, BLOCK = 64 << 20, 8 << 20
 
@@ -29,22 +32,32 @@ class Watch:
 SNAPSHOT = "path string, hash string, size long, mtime long, mode string, uid int, gid int"
 
 
-def _files(spark: SparkSession, watches: Sequence[Watch]) -> Iterator[tuple[DataFrame, DataFrame]]:
-    """For each watch that exists, its files without and with their content."""
+#: What a file counts as, beyond its bytes, when Spark packs files into tasks: some 2,000 small files make a task.
+_OPEN_COST = 64 << 10
 
-    def reader(watch: Watch) -> DataFrameReader:
-        out = spark.read.format("binaryFile").option("recursiveFileLookup", watch.recursive).option("ignoreMissingFiles", True)
-        return out.option("pathGlobFilter", watch.pattern) if watch.pattern else out
 
+def _files(spark: SparkSession, watches: Sequence[Watch]) -> Iterator[DataFrame]:
+    """For each watch that exists, its files: listed once, and opened only where the content is asked for."""
     for watch in watches:
+        reader = spark.read.format("binaryFile").options(
+            recursiveFileLookup=watch.recursive, ignoreMissingFiles=True, ignoreCorruptFiles=True
+        )
         try:
-            # content is not asked for, so no file is opened
-            listed = reader(watch).load(watch.path).select("path", "length", "modificationTime")
+            yield (reader.option("pathGlobFilter", watch.pattern) if watch.pattern else reader).load(watch.path)
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
-        else:
-            yield listed, reader(watch).option("ignoreCorruptFiles", True).load(watch.path)
+
+
+@contextmanager
+def _many_files_a_task(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, _OPEN_COST)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _chunk_hashes(files: DataFrame) -> DataFrame:
@@ -68,8 +81,9 @@ def _chunk_hashes(files: DataFrame) -> DataFrame:
                     hashes.append(None)
             yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(hashes, pa.string())], names=["path", "hash"])
 
-    # large files are few and long: as many tasks as Spark allows, the largest first in each
-    return files.repartition("path").sortWithinPartitions(F.desc("length")).select("path").mapInArrow(run, "path string, hash string")
+    # large files are few and long: as many tasks as Spark allows, the largest first in each; not merged for being few rows
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(parts, "path").sortWithinPartitions(F.desc("length")).select("path").mapInArrow(run, "path string, hash string")
 
 
 def scan_snapshot(
@@ -77,7 +91,7 @@ def scan_snapshot(
 ) -> DataFrame:
     """(path, hash, size, mtime, mode, uid, gid), one row per distinct file.
 
-    Files are listed without being opened. Those of up to ``large`` bytes are hashed by Spark's reader, larger ones block
+    Files are listed once and without being opened, and the scan is done when this returns. Those of up to ``large`` bytes are hashed by Spark's reader, larger ones block
     by block, so a file of any size takes bounded memory; for these the store must be one that ``pyarrow.fs`` knows.
     A file that is there but cannot be read has a null hash. Watches that do not exist are left out. Mode and owner
     are not visible to Spark; ``manifest`` (path, mode, uid, gid) supplies them where it is collected.
@@ -85,11 +99,16 @@ def scan_snapshot(
     found = list(_files(spark, watches))
     if not found:
         return spark.createDataFrame([], SNAPSHOT)
-    listed = reduce(DataFrame.unionByName, [files for files, _ in found])
-    # a file may change between the reads: listed once, by its latest state
-    once = listed.groupBy("path").agg(F.max_by(F.struct("length", "modificationTime"), "modificationTime").alias("at")).select("path", "at.*")
-    small = reduce(DataFrame.unionByName, [content.filter(F.col("length") <= large) for _, content in found])
-    hashes = small.select("path", F.sha2("content", 256).alias("hash")).unionByName(_chunk_hashes(once.filter(F.col("length") > large)))
+    listed = reduce(DataFrame.unionByName, [files.select("path", "length", "modificationTime") for files in found])
+    small = reduce(DataFrame.unionByName, [files.filter(F.col("length") <= large) for files in found])
+    with _many_files_a_task(spark):
+        # a file may change between the reads: listed once, by its latest state
+        once = staged(
+            listed.groupBy("path").agg(F.max_by(F.struct("length", "modificationTime"), "modificationTime").alias("at")).select("path", "at.*"),
+            "listed",
+        )
+        read = staged(small.select("path", F.sha2("content", 256).alias("hash")), "hashes")
+    hashes = read.unionByName(_chunk_hashes(once.filter(F.col("length") > large)))
     files = once.join(hashes.groupBy("path").agg(F.max("hash").alias("hash")), "path", "left").select(
         F.regexp_replace("path", "^file:/*", "/").alias("path"),
         "hash",

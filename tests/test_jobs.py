@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seclog.config import SECOND_US
 from seclog.operators import correlate, detect, fim
+from seclog.plans import queries_history as qh
 from seclog.sources import audit, sinks, snapshot, tables, text
 from seclog.sources import parsers as pa
 from seclog.streaming import detect as sd
@@ -94,6 +95,31 @@ def test_unreadable_and_large_files_raise_no_alert(spark, tmp_path):
     assert merged.keys() == hashes.keys() and merged["broken"] == hashes["broken"][0] and merged["large"] != hashes["large"][0]
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    root = tmp_path / "many"
+    root.mkdir()
+    for i in range(400):
+        (root / f"{i}.txt").write_text(f"{i}\n" * (1 + i % 3))
+    spark.sparkContext.setJobGroup("many-files", "")
+    try:
+        rows = snapshot.scan_snapshot(spark, [snapshot.Watch(str(root))]).collect()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert {r.path: r.hash for r in rows} == {str(p): hashlib.sha256(p.read_bytes()).hexdigest() for p in root.iterdir()}
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup("many-files") for s in tracker.getJobInfo(job).stageIds]
+    assert stages and max(info.numTasks for s in stages if (info := tracker.getStageInfo(s))) <= 8
+    assert spark.conf.get("spark.sql.files.openCostInBytes") in ("4194304", "4194304b")
+
+
+def test_rows_become_files(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b"), (1, "a\nz"), (1, ""), (None, "n"), (3, "é")], "doc_id long, text string").coalesce(1)
+    qh._as_files(rows, str(tmp_path / "out"))
+    files = {p.name: p.read_text() for p in (tmp_path / "out").rglob("*.txt")}
+    assert sorted(files.pop("doc_id=1.txt").split("\n")) == ["", "", "a", "z"]
+    assert files == {"doc_id=__HIVE_DEFAULT_PARTITION__.txt": "n\n", "doc_id=2.txt": "b\n", "doc_id=3.txt": "é\n"}
+
+
 def test_dimension_files(spark, tmp_path):
     (tmp_path / "geo.csv").write_text("cidr,country,country_code,city,isp,org,asn,proxy,hosting\n1.2.0.0/16,Land,LD,,I,,,true,false\n")
     geo = tables.load_geo(spark, str(tmp_path / "geo.csv"))
