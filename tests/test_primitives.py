@@ -3,12 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow
 import pytest
 from pyspark.sql import functions as F
 
 from seclog.operators.scan import Running, running
 from seclog.operators.suppress import _compose, suppress_within
-from seclog.operators.sweep import Count, Distinct, window_counts
+from seclog.operators.sweep import Count, Distinct, GapSum, window_counts
 
 
 def rows(seed, n, keys, horizon):
@@ -187,3 +188,34 @@ def test_copies_count_in_windows(spark):
         chunk_us=4,
     )
     assert sorted((r.us, r.n, r.users) for r in counts.collect()) == [(5, 300, 1), (15, 301, 2)]
+
+
+def test_rows_of_many_windows_stay_narrow(spark):
+    data = rows(17, 900, ["a", "b", "c"], 700)
+    terms = [Count(f"n{i}", F.col("event_id") % 70 == i, 30 + i, i % 2 == 0) for i in range(70)]
+    terms += [GapSum("gaps", F.col("kind") == "A", 25), Distinct("users", F.lit(True), 25, value=F.col("user"))]
+    counts = window_counts(frame(spark, data), terms, chunk_us=128)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(" not in plan and "Window" not in plan  # no row carries a count per term through a shuffle
+    got = {(r.src_ip, r.us): r for r in counts.collect()}
+    assert got.keys() == {(r[1], r[2]) for r in data}
+    for (key, us), row in got.items():
+        mine = [r for r in data if r[1] == key and r[2] <= us]
+        for i in (0, 1, 61, 62, 69):
+            assert row[f"n{i}"] == sum(r[0] % 70 == i and r[2] >= us - 30 - i + (i % 2 == 0) for r in mine)
+        times = sorted({r[2] for r in mine if r[3] == "A" and r[2] >= us - 25})
+        assert row["gaps"] == (times[-1] - times[0] if times else 0)
+        assert row["users"] == len({r[4] for r in mine if r[2] >= us - 25})
+
+
+def test_long_groups_are_counted_in_slices(monkeypatch):
+    from seclog.operators import sweep
+
+    batch = pyarrow.RecordBatch.from_pydict({"k": ["a"] * 500 + ["b"] * 500, sweep.CHUNK: [0] * 1000, "us": [*range(500)] * 2, "__word0": [1, 2] * 500, "__n": [1] * 1000})
+    terms = [sweep._Term("odd", 10, "__word0", 1), sweep._Term("even", 300, "__word0", 0)]
+    for size in (7, 1 << 16):
+        monkeypatch.setattr(sweep, "_SLICE", size)
+        out = pyarrow.Table.from_batches(sweep._swept(iter([batch]), "k", 1000, 300, terms))
+        assert out.column("k").to_pylist() == ["a"] * 500 + ["b"] * 500
+        assert out.column("odd").to_pylist() == [sum(j % 2 for j in range(max(0, i - 9), i + 1)) for i in range(500)] * 2
+        assert out.column("even").to_pylist() == [sum(j % 2 == 0 for j in range(max(0, i - 299), i + 1)) for i in range(500)] * 2
