@@ -25,6 +25,8 @@ HEAD, TAIL = 4096, 1024
 READ = 1 << 20
 #: Lines and bytes in a batch of rows.
 ROWS, BYTES = 8192, 4 << 20
+#: Tasks to which the ranges of a batch are dealt if they are short, and bytes that a task reads at most of such ranges.
+TASKS, OWN = 128, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,7 @@ class Found:
 
 
 @dataclass
-class Span(InputPartition):
+class Span:
     """The lines of a file that start in ``begin <= position < stop``; a line starts at ``first``, none after ``end``."""
 
     key: str
@@ -51,6 +53,13 @@ class Span(InputPartition):
     arrived: float
 
 
+@dataclass
+class Spans(InputPartition):
+    """Ranges that a task reads one after the other."""
+
+    spans: list[Span]
+
+
 class LogFolder:
     """The files of a folder, or one file, wherever ``pyarrow.fs`` can read."""
 
@@ -146,6 +155,20 @@ def spans(found: Found, begin: int, chunk: int) -> list[Span]:
     return [Span(found.key, found.path, begin, at, min(at + chunk, found.end), found.end, found.arrived) for at in range(begin, found.end, chunk)]
 
 
+def dealt(spans: list[Span]) -> list[Spans]:
+    """Ranges in order, short ones dealt to about ``TASKS`` tasks of at most ``OWN`` bytes: a task costs more than a short range."""
+    room = min(OWN, sum(s.stop - s.begin for s in spans) // TASKS)
+    out, held = [], 0
+    for span in spans:
+        size = span.stop - span.begin
+        if not out or held + size > room:
+            out.append(Spans([]))
+            held = 0
+        out[-1].spans.append(span)
+        held += size
+    return out
+
+
 def read_span(folder: LogFolder, span: Span, whole: bool) -> Iterator[pa.RecordBatch]:
     """Rows of a range, empty lines too, so that the ranges of a file cover it."""
     path = folder.located(span.key, span.path, whole)
@@ -191,11 +214,12 @@ class _Batch(DataSourceReader):
     def __init__(self, folder: LogFolder, chunk: int) -> None:
         self.folder, self.chunk = folder, chunk
 
-    def partitions(self) -> list[Span]:
-        return [s for f in self.folder.files(whole=True) for s in spans(f, 0, self.chunk)] or [Span("", "", 0, 0, 0, 0, 0.0)]
+    def partitions(self) -> list[Spans]:
+        return dealt([s for f in self.folder.files(whole=True) for s in spans(f, 0, self.chunk)]) or [Spans([])]
 
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        return read_span(self.folder, partition, True) if partition.end else iter(())
+    def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
+        for span in partition.spans:
+            yield from read_span(self.folder, span, True)
 
 
 class _Stream(DataSourceStreamReader):
@@ -210,7 +234,7 @@ class _Stream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {f.key: [f.path, f.end, f.tail, f.arrived] for f in self.folder.files(whole=False)}
 
-    def partitions(self, start: dict, end: dict) -> list[Span]:
+    def partitions(self, start: dict, end: dict) -> list[Spans]:
         out = []
         for key, (path, stop, tail, arrived) in end.items():
             begin = 0
@@ -219,10 +243,11 @@ class _Stream(DataSourceStreamReader):
                 if stop < begin or (stop > begin and self.folder.tail(self.folder.located(key, path, False), begin) != before):
                     begin = 0  # cut short and written anew with the same first line
             out += spans(Found(key, path, stop, tail, arrived), begin, self.chunk)
-        return out
+        return dealt(out)
 
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        return read_span(self.folder, partition, False)
+    def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
+        for span in partition.spans:
+            yield from read_span(self.folder, span, False)
 
 
 class FollowedLogs(DataSource):

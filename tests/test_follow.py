@@ -113,3 +113,11 @@ def test_intervals_hold_what_was_taken(seed):
         assert {x for b, e in zip(begins, ends, strict=True) for x in range(b, e)} == taken and (begins[1:] > ends[:-1]).all()
         at = np.arange(320)
         assert set(at[replays.covered(at, begins, ends)]) == taken
+
+
+def test_short_ranges_share_tasks():
+    short = follow.spans(follow.Found("k", "p", 1000 * 65536, "", 0.0), 0, 65536)
+    parts = follow.dealt(short)
+    assert [s for part in parts for s in part.spans] == short and len(parts) <= 2 * follow.TASKS
+    long = follow.spans(follow.Found("k", "p", 10 * follow.OWN, "", 0.0), 0, follow.OWN)
+    assert [part.spans for part in follow.dealt(long)] == [[s] for s in long] and follow.dealt([]) == []
