@@ -60,3 +60,27 @@ def test_messages_of_nodes(spark, tmp_path):
     got = run(spark, tmp_path, rows, ddl, lambda s: blocklist.cluster_changes(s, own_node="n0", bucket_ms=5000))
     kept = [(ip, us, i, action != "block", us + ttl * SECOND, reason or "remote_block", node) for ip, us, i, action, reason, ttl, node in rows if node != "n0"]
     assert sorted(got, key=str) == sorted(changes(kept, renew=True), key=str)
+
+
+def test_addresses_share_states_and_slices_are_batches(spark, tmp_path):
+    from seclog.plans import queries_stream as qs
+
+    rows = [(f"a{i % 900}", qs.fx.AS_OF_US - (40 - i % 40) * qs.DAY + i, i, "block" if i % 5 else "unblock", "r", 10**9, "n1") for i in range(3600)]
+    ddl = "ip string, us long, message_id long, action string, reason string, ttl long, node_id string"
+    stream = qs._arriving(spark.createDataFrame(rows, ddl).repartition(24), "messages")
+    changed = blocklist.cluster_changes(stream, bucket_ms=86_400_000)
+    path = qs.new_folder(spark, "messages")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, blocklist.ROCKSDB)
+    try:
+        query = qs.sinks.to_table(changed, f"{path}/out", f"{path}/checkpoint")
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(name)
+    progress = query.recentProgress
+    assert sum(p["numInputRows"] > 0 for p in progress) <= 6  # five slices and the last row
+    assert max(p["stateOperators"][0]["customMetrics"].get("numRegisteredTimers", 0) for p in progress) <= blocklist.GROUPS
+    found = [tuple(r) for r in spark.read.schema(changed.schema).parquet(f"{path}/out").filter("ip <> '-'").collect()]
+    kept = [(ip, us, i, action != "block", us + ttl * SECOND, reason, node) for ip, us, i, action, reason, ttl, node in rows]
+    want = [w for w in changes(kept, renew=True) if w[2] < qs.fx.AS_OF_US + 60 * qs.DAY]
+    assert sorted(found, key=str) == sorted(want, key=str)
