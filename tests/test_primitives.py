@@ -1,6 +1,7 @@
 """Scan, sweep and suppression against brute force, with hot keys and small chunks."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow
@@ -219,3 +220,12 @@ def test_long_groups_are_counted_in_slices(monkeypatch):
         assert out.column("k").to_pylist() == ["a"] * 500 + ["b"] * 500
         assert out.column("odd").to_pylist() == [sum(j % 2 for j in range(max(0, i - 9), i + 1)) for i in range(500)] * 2
         assert out.column("even").to_pylist() == [sum(j % 2 == 0 for j in range(max(0, i - 299), i + 1)) for i in range(500)] * 2
+
+
+def test_suppression_has_more_tasks_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr("seclog.operators.suppress.TASK_ROWS", 100, raising=False)
+    data = rows(7, 3000, ["a", "b", "c"], 6000)
+    out = suppress_within(frame(spark, data), ["src_ip"], 13, chunk_cooldowns=2)
+    assert {r.event_id for r in out.collect()} == greedy(data, 13)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(src_ip#\d+, us#\w+, event_id#\w+, 30\)", plan)
