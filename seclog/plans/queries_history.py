@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import replace
 from itertools import groupby
 
@@ -427,6 +428,22 @@ def _as_files(rows: DataFrame, path: str) -> None:
     rows.sortWithinPartitions("doc_id").mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
+def _remove_folders(folders: DataFrame) -> None:
+    """Deletes folders, named in the one column, with what they hold: each by a task."""
+
+    def remove(batches: Iterator[pyarrow.RecordBatch]) -> Iterator[pyarrow.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                store, place = fs.FileSystem.from_uri(re.sub("^file:/*", "/", folder))
+                with suppress(FileNotFoundError):  # a task that runs again
+                    store.delete_dir(place)
+            yield pyarrow.RecordBatch.from_pydict({"n": pyarrow.array([batch.num_rows], pyarrow.int64())})
+
+    folders.distinct().mapInArrow(remove, "n long").agg(F.sum("n")).collect()
+
+
 @query(
     "scan_file_snapshot",
     "SELECT doc_id, sha256(coalesce(text, '') || chr(10)) AS hash, strlen(coalesce(text, '')) + 1 AS size FROM documents",
@@ -461,6 +478,7 @@ def fim_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = new_folder(spark, "files")
         _as_files(rows.select("doc_id", text.alias("text")), path)
         found = snapshot.scan_snapshot(spark, [snapshot.Watch(path, pattern="*.txt")], large=2000)
+        _remove_folders(found.select(F.regexp_extract("path", "(?s)^(.*)/", 1).alias("folder")))  # the scan is done: one set of files at a time
         return found.withColumn("path", F.regexp_extract("path", r"doc_id=\d+", 0))
 
     text = F.coalesce("text", F.lit(""))

@@ -3,7 +3,9 @@
 import hashlib
 import json
 import random
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from seclog.config import SECOND_US
@@ -112,6 +114,84 @@ def test_small_files_share_tasks(spark, tmp_path):
     assert spark.conf.get("spark.sql.files.openCostInBytes") in ("4194304", "4194304b")
 
 
+def test_driver_does_not_list_local_files(spark, tmp_path):
+    root = tmp_path / "tree"
+    for folder in range(24):
+        (root / f"{folder % 5}" / f"{folder}").mkdir(parents=True)
+        for i in range(500):
+            (root / f"{folder % 5}" / f"{folder}" / f"{i}.txt").write_text(f"{folder} {i}")
+    found = spark._jvm.org.apache.spark.metrics.source.HiveCatalogMetrics.METRIC_FILES_DISCOVERED()
+    before = found.getCount()
+    rows = snapshot.scan_snapshot(spark, [snapshot.Watch(str(root))]).collect()
+    assert found.getCount() - before < 1000  # parts of staged tables only
+    assert len(rows) == 12_000 > snapshot._SPREAD  # a task hands on folders
+    assert {r.path: r.hash for r in rows} == {str(p): hashlib.sha256(p.read_bytes()).hexdigest() for p in root.rglob("*.txt")}
+
+
+def test_folders_left_by_a_task_are_listed_once(tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "_SPREAD", 4)
+    rng = random.Random(5)
+    folders = [tmp_path]
+    for i in range(40):
+        (made := rng.choice(folders) / f"d{i}").mkdir()
+        folders.append(made)
+        for j in range(rng.randrange(4)):
+            (made / f"f{j}.{'txt' if j % 2 else 'log'}").write_text("x" * (j + 1))
+    places, files, rounds = [(str(tmp_path), True, r".*\.txt", True)], [], 0
+    while places:
+        rows = [row for place in places for row in snapshot._below(*place)]
+        files += [row[0] for row in rows if row[1] is not None]
+        places, rounds = [(path, True, pattern, False) for path, length, _, pattern in rows if length is None], rounds + 1
+    assert rounds > 2 and sorted(files) == sorted(str(p) for p in tmp_path.rglob("*.txt"))
+
+
+def test_names_that_a_scan_takes(spark, tmp_path):
+    root = tmp_path / "odd"
+    for name in ("a b.txt", "c%20d.txt", "x[1].txt", "é.txt", "new\nline.txt", "e.log", ".hid.txt", "_under.txt", "_k=1/f.txt", ".hdir/f.txt", "sub/f.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    (root / "empty.txt").touch()
+    (root / "link.txt").symlink_to(root / "e.log")
+    (root / "broken.txt").symlink_to(root / "nowhere")
+    (root / "dir").symlink_to(root / "sub")
+
+    def taken(*watches):
+        return {r.path.removeprefix(f"{root}/"): r.hash for r in snapshot.scan_snapshot(spark, list(watches)).collect()}
+
+    deep = taken(snapshot.Watch(str(root), pattern="*.{txt,md}"))
+    flat = {"a b.txt", "c%20d.txt", "x[1].txt", "é.txt", "new\nline.txt", "link.txt"}
+    assert deep == {n: hashlib.sha256((root / n).read_bytes()).hexdigest() for n in flat | {"_k=1/f.txt", "sub/f.txt", "dir/f.txt"}}
+    assert taken(snapshot.Watch(f"file://{root}", recursive=False)).keys() == flat | {"e.log"}
+    assert taken(snapshot.Watch(f"{root}/s*"), snapshot.Watch(f"{root}/e.log", pattern="*.txt"), snapshot.Watch(f"{root}/zz*")).keys() == {"sub/f.txt"}
+    # what the driver sees and a task doesn't must not count as deleted
+    with pytest.raises(FileNotFoundError):
+        list(snapshot._below(str(root / "gone"), True, None, True))
+    assert list(snapshot._below(str(root / "gone"), True, None, False)) == []
+
+
+def test_checksums_beside_a_file(tmp_path):
+    content = bytes(range(256)) * 5
+    (tmp_path / "f").write_bytes(content)
+    sums = b"".join(zlib.crc32(content[i : i + 512]).to_bytes(4, "big") for i in (0, 512, 1024))
+    head, good = b"crc\0" + (512).to_bytes(4, "big"), hashlib.sha256(content).hexdigest()
+    for crc, expected in (
+        (None, good), (head + sums, good), (head + sums[:8], None), (head, None), (head + b"\0" + sums[1:], None),
+        (b"xyz\0" + head[4:] + b"1234", good), (head[:6], good),
+    ):
+        if crc is not None:
+            (tmp_path / ".f.crc").write_bytes(crc)
+        assert snapshot._whole_hash(str(tmp_path / "f")) == expected
+
+
+def test_other_stores_are_read_by_spark(spark, tmp_path):
+    (tmp_path / "kept").mkdir()
+    (tmp_path / "kept" / "f").write_text("x")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.scan.link./in", f"file://{tmp_path}/kept")
+    rows = snapshot.scan_snapshot(spark, [snapshot.Watch("viewfs://scan/in"), snapshot.Watch("viewfs://scan/none"), snapshot.Watch(str(tmp_path))]).collect()
+    expected = hashlib.sha256(b"x").hexdigest()
+    assert sorted((r.path, r.hash, r.size) for r in rows) == [(f"{tmp_path}/kept/f", expected, 1), ("viewfs://scan/in/f", expected, 1)]
+
+
 def test_rows_become_files(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b"), (1, "a\nz"), (1, ""), (None, "n"), (3, "é")], "doc_id long, text string").coalesce(1)
     qh._as_files(rows, str(tmp_path / "out"))
@@ -120,6 +200,17 @@ def test_rows_become_files(spark, tmp_path):
     assert files == {"doc_id=__HIVE_DEFAULT_PARTITION__.txt": "n\n", "doc_id=2.txt": "b\n", "doc_id=3.txt": "é\n"}
 
 
+def test_rescan_leaves_no_files(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "a"), (5, "b" * 3000), (7, "c"), (10, "d"), (11, None), (35, "e")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    made = []
+    monkeypatch.setattr(qh, "new_folder", lambda _, label: made.append(tmp_path / f"{label}-{len(made)}") or str(made[-1]))
+    rows = qh.fim_rescan(spark, str(tmp_path)).collect()
+    sha = {d: hashlib.sha256(t.encode()).hexdigest() for d, t in ((5, "b" * 3000 + "\n"), (55, "b" * 3000 + "!\n"), (7, "c\n"), (10, "d!\n"), (35, "e\n"))}
+    assert {tuple(r) for r in rows} == {(5, "modified", sha[5], sha[55]), (7, "deleted", sha[7], None), (10, "created", None, sha[10]), (35, "deleted", sha[35], None)}
+    assert len(made) == 2 and all(p.exists() and not list(p.rglob("*.txt")) for p in made)
+
+
 def test_dimension_files(spark, tmp_path):
     (tmp_path / "geo.csv").write_text("cidr,country,country_code,city,isp,org,asn,proxy,hosting\n1.2.0.0/16,Land,LD,,I,,,true,false\n")
     geo = tables.load_geo(spark, str(tmp_path / "geo.csv"))
