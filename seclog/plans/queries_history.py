@@ -429,7 +429,7 @@ def _as_files(rows: DataFrame, path: str) -> None:
 
 
 def _remove_folders(folders: DataFrame) -> None:
-    """Deletes folders, named in the one column, with what they hold: each by a task."""
+    """Deletes folders, named in the column ``folder``, with what they hold, dealt to all tasks."""
 
     def remove(batches: Iterator[pyarrow.RecordBatch]) -> Iterator[pyarrow.RecordBatch]:
         from pyarrow import fs
@@ -441,7 +441,8 @@ def _remove_folders(folders: DataFrame) -> None:
                     store.delete_dir(place)
             yield pyarrow.RecordBatch.from_pydict({"n": pyarrow.array([batch.num_rows], pyarrow.int64())})
 
-    folders.distinct().mapInArrow(remove, "n long").agg(F.sum("n")).collect()
+    parts = int(folders.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as few rows are much work
+    folders.distinct().repartition(parts).mapInArrow(remove, "n long").agg(F.sum("n")).collect()
 
 
 @query(

@@ -211,6 +211,23 @@ def test_rescan_leaves_no_files(spark, tmp_path, monkeypatch):
     assert len(made) == 2 and all(p.exists() and not list(p.rglob("*.txt")) for p in made)
 
 
+def test_folders_are_removed_by_many_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "x") for i in range(200)], "doc_id long, text string").repartition(20)
+    qh._as_files(rows, str(tmp_path / "out"))
+    (tmp_path / "out" / "kept").mkdir()
+    folders = sorted(str(p.parent) for p in (tmp_path / "out").rglob("*.txt"))
+    assert len(set(folders)) == 20
+    spark.sparkContext.setJobGroup("removed", "")
+    try:
+        qh._remove_folders(spark.createDataFrame([(f,) for f in [*folders, f"{tmp_path}/gone"]], "folder string"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["kept"]
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s: tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup("removed") for s in tracker.getJobInfo(job).stageIds}
+    assert sum(i.numCompletedTasks == 8 for i in stages.values() if i) >= 2  # that of the rows, and that which removes
+
+
 def test_dimension_files(spark, tmp_path):
     (tmp_path / "geo.csv").write_text("cidr,country,country_code,city,isp,org,asn,proxy,hosting\n1.2.0.0/16,Land,LD,,I,,,true,false\n")
     geo = tables.load_geo(spark, str(tmp_path / "geo.csv"))
